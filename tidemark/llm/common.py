@@ -118,3 +118,13 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         if count == nodes and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def ordered_parts(scratch: Scratch, df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` written in ranges of ``columns``, with ``part``, the number of a row's range: all rows of a lower part come first.
+
+    Rows that are equal in all columns can lie in several parts, so a repeated key fills no single task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *columns, "tie").drop("tie")
+    return scratch.table(dealt.withColumn("part", F.spark_partition_id()), "ordered")

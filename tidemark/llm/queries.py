@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import common, near_dedup
+from tidemark.llm import bpe, common, decontaminate, licenses, near_dedup, perspectives, sharding, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,3 +19,90 @@ def query(f):
 @query
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.documents(spark, sf_dir, "doc_id", "text"), width=4, threshold=0.8)
+
+
+#: Vocabulary files of public tokenizers; a parameter, never copied here.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(common.documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=5, threshold=0.8)
+
+
+ORACLE_SQL["op1_decontamination"] = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents
+), items AS (
+  SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), item_shingles AS (
+  SELECT item_id, least(len(words), 5) AS width, unnest(list_distinct(list_transform(range(1, len(words) - least(len(words), 5) + 2), lambda i: array_to_string(words[i : i + least(len(words), 5) - 1], ' ')))) AS shingle
+  FROM items WHERE len(words) > 0
+), sizes AS (
+  SELECT item_id, width, count(*) AS n_item FROM item_shingles GROUP BY ALL
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(words) - width + 2), lambda i: array_to_string(words[i : i + width - 1], ' '))) AS shingle
+  FROM docs, (SELECT DISTINCT width FROM sizes)
+)
+SELECT d.doc_id, i.item_id, count(*) AS n_common, any_value(s.n_item) AS n_item
+FROM doc_shingles d JOIN item_shingles i USING (width, shingle) JOIN sizes s ON s.item_id = i.item_id AND s.width = i.width
+GROUP BY d.doc_id, i.item_id HAVING count(*) >= ceil(0.8 * any_value(s.n_item) - 1e-9)"""
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(common.documents(spark, sf_dir, "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(common.documents(spark, sf_dir, "doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(common.documents(spark, sf_dir, "doc_id", "text"), 8)
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.documents(spark, sf_dir, "doc_id", "text"))
+
+
+ORACLE_SQL["op7_licenses"] = licenses.oracle()
+
+
+@query
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE_SQL["op10_perspectives"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+), seen AS (
+  SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM turns WHERE speaker <> 'system'
+), every AS (
+  SELECT conv_id, perspective, turn, speaker, text, speaker = perspective AS own,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+  FROM turns JOIN seen ON conv_id IS NOT DISTINCT FROM conv
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS position, sum(length(rendered)) OVER w AS done FROM every
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, perspective, position, turn, speaker, rendered, (done - length(rendered))::BIGINT AS char_start, done::BIGINT AS char_end,
+  CASE WHEN own THEN (done - length(text) - 11)::BIGINT END AS learn_start, CASE WHEN own THEN (done - 1)::BIGINT END AS learn_end
+FROM placed"""
+
+
+def learnable():
+    """Labels may be learnt from rows whose crc32 of the id, as text, is not divisible by five."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learnable=learnable())
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
