@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontaminate, licenses, near_dedup, perspectives, sharding, token_counts, toxicity
+from tidemark.llm import bpe, common, decontaminate, licenses, near_dedup, perspectives, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learnable=learnable())
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(common.documents(spark, sf_dir, "doc_id", "text"))
