@@ -9,7 +9,8 @@ With 32 bands of 4 registers a pair at similarity 0.8 shares no band with a prob
 
 Buckets can be of any size. Each first sends every member to the bucket's smallest document only; that joins groups of
 copies. Buckets whose members are then still in different components have all such pairs compared, in blocks that keep
-one member of each pair outside the bucket's largest component; larger ones are first split by further bands.
+one member of each pair outside the bucket's largest component; larger ones are first split by further bands. There a
+second sketch of 1024 registers tells which pairs are worth the full sets.
 
 Defined results: null or wordless texts have an empty set and link with nothing; fewer words than the shingle width make
 one shingle; equal texts are one node and always together; a null id keeps its row, with a null component, as kept;
@@ -35,9 +36,10 @@ BLOCK = 1000  #: members of a bucket that are compared at a time
 SPLITS = 2  #: times that a large bucket is split by further bands
 SLACK = 0.2  #: the estimate may lie so far under the threshold; five standard deviations of it and more
 
+FINE, FINE_SLACK = 1024, 0.065  #: registers of the second sketch, of eight bits each, and five standard deviations of it
+
 _rng = np.random.default_rng(20240229)
-_A, _B = (_rng.integers(1, 2**32, (REGISTERS, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
-_C = _rng.integers(0, 2**32, (REGISTERS, 1), dtype=np.uint64).astype(np.uint32)
+_A, _B, _C = (_rng.integers(1, 2**32, (REGISTERS + FINE, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(3))
 _BAND = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 _hashes = WordHashes()
@@ -53,16 +55,18 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(_hashes.of(words_of(text)), width))
 
 
-def registers(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
-    """SetSketch registers, a row of ``REGISTERS`` for each of the non-empty sets."""
-    low = np.full((REGISTERS, len(sets)), np.uint32(0xFFFFFFFF))
+def registers(sets: list[np.ndarray], which: slice = slice(0, REGISTERS)) -> np.ndarray:
+    """SetSketch registers, a row for each of the non-empty sets; ``which`` of all ``REGISTERS + FINE``."""
+    a, b, c = _A[which], _B[which], _C[which]
+    low = np.full((len(a), len(sets)), np.uint32(0xFFFFFFFF))
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     every = np.concatenate(sets)
+    chunk = 524288 // len(a)
     for i in range(0, len(every), chunk):
         h, of = every[i : i + chunk], owner[i : i + chunk]
-        x = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) * _A
-        x += (h >> np.uint64(32)).astype(np.uint32) * _B
-        x += _C
+        x = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) * a
+        x += (h >> np.uint64(32)).astype(np.uint32) * b
+        x += c
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         least = np.minimum.reduceat(x, starts, axis=1)
         low[:, of[starts]] = np.minimum(low[:, of[starts]], least)
@@ -145,19 +149,38 @@ def _verified(width: int, threshold: float):
     return run
 
 
-def _block_pairs(least: float, ratio: float):
-    """In a block of a bucket: its asking members against all its members, other components only."""
+def _fine(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            _hashes.trim()
+            for i in range(0, len(sets), 16):
+                made = registers(sets[i : i + 16], slice(REGISTERS, None)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 16), pa.array([r.tobytes() for r in made], pa.binary())], names=["id", "fine"])
+
+    return run
+
+
+def _block_pairs(threshold: float):
+    """In a block of a bucket: its asking members against all its members, other components only.
+
+    A pair is looked at in the bucket of the first band that it shares, by all likelihood first and then by the fine sketch.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ask = table.column("ask").to_numpy()
+        ask, band = table.column("ask").to_numpy(), table.column("band")[0].as_py()
         ids, n, comp = (table.column(k).to_numpy() for k in ("id", "n", "comp"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         low, high, every = [], [], np.flatnonzero(~ask)
         for i in np.flatnonzero(ask):
-            j = every[(comp[every] != comp[i]) & (n[every] >= ratio * n[i]) & (n[i] >= ratio * n[every])]
-            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= REGISTERS * (least - 0.1)]
+            j = every[(comp[every] != comp[i]) & (n[every] >= threshold * n[i]) & (n[i] >= threshold * n[every])]
+            same = sketch[j] == sketch[i]
+            j, same = j[keep := same.sum(axis=1) >= REGISTERS * (threshold - SLACK - 0.1)], same[keep]
+            j = j[same.reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            j = j[(fine[j] == fine[i]).sum(axis=1) >= FINE * (threshold - FINE_SLACK)]
             if len(j):
-                j = j[estimate(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= least]
+                j = j[estimate(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= threshold - SLACK]
                 low.append(np.minimum(ids[i], ids[j]))
                 high.append(np.maximum(ids[i], ids[j]))
         ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (high, low)]
@@ -176,27 +199,29 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, t
     return both.mapInArrow(_verified(width, threshold), "a long, b long")
 
 
-def _rest(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _rest(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a > b) of different components from the buckets that hold several."""
     node = nodes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sketch", "bands", F.coalesce("component", "id").alias("comp"))
     here = buckets.join(node.select("id", "comp"), "id")
-    found = []
+    found, fine = [], None
     for depth in range(SPLITS + 1):
         sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
         split = sizes.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         split = split.select("bucket", F.col("top.comp").alias("main"), F.col("size"), (F.col("size") - F.col("top.k")).alias("others"))
-        open_ = scratch.table(here.join(split, "bucket").select("bucket", "id", "comp", "main", "size", "others"), f"open{depth}")
+        open_ = scratch.table(here.join(split, "bucket").select("bucket", "band", "id", "comp", "main", "size", "others"), f"open{depth}")
+        if fine is None:
+            fine = scratch.table(texts.join(open_.select("id").distinct(), "id").select("id", "text").mapInArrow(_fine(width), "id long, fine binary"), "fine")
         large = (F.col("others") > BLOCK) & F.lit(depth < SPLITS)
         small = open_.where(~large).withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "asks": F.ceil(F.col("others") / BLOCK).cast("int")})
         at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = small.select("bucket", "id", F.lit(False).alias("ask"), at("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("part"))
-        asking = small.where("comp <> main").select("bucket", "id", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at("asks").alias("part"))
-        rows = every.unionByName(asking).join(node.select("id", "n", "sketch", "comp"), "id")
-        found.append(rows.groupBy("bucket", "block", "part").applyInArrow(_block_pairs(threshold - SLACK, threshold), "a long, b long"))
+        every = small.select("bucket", "band", "id", F.lit(False).alias("ask"), at("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("part"))
+        asking = small.where("comp <> main").select("bucket", "band", "id", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at("asks").alias("part"))
+        rows = every.unionByName(asking).join(node.select("id", "n", "sketch", "comp"), "id").join(fine, "id")
+        found.append(rows.groupBy("bucket", "block", "part").applyInArrow(_block_pairs(threshold), "a long, b long"))
         if depth == SPLITS or open_.where(large).isEmpty():
             break
-        finer = open_.where(large).join(node.select("id", F.posexplode("bands").alias("band", "band_key")), "id")
-        here = finer.select(F.xxhash64("bucket", "band", "band_key").alias("bucket"), "id", "comp")
+        finer = open_.where(large).join(node.select("id", F.posexplode("bands").alias("other", "key")), "id").where("other > band")
+        here = finer.select(F.xxhash64("bucket", "other", "key").alias("bucket"), "band", "id", "comp")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -213,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = made.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
     member = scratch.table(made.select("id", "n", "key").join(alike, "key", "left").select("id", "n", "rep"), "members")
     nodes = scratch.table(made.where("key is not null and id is not null").groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch", "bands"), "id").alias("x")).select("x.*"), "nodes")
-    exploded = nodes.select(F.explode("bands").alias("bucket"), "id")
+    exploded = nodes.select(F.posexplode("bands").alias("band", "bucket"), "id")
     leaders = exploded.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("bucket", "b")
     buckets = scratch.table(exploded.join(leaders, "bucket"), "buckets")
     pairs = buckets.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
@@ -221,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # an id with several texts joins their nodes
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     first = scratch.table(components(scratch, links.unionByName(same)), "components")
-    more = scratch.table(_confirm(_rest(buckets.select("bucket", "id"), nodes, first, threshold, scratch), nodes, source, width, threshold, True), "more")
+    more = scratch.table(_confirm(_rest(buckets.select("bucket", "band", "id"), nodes, source, first, width, threshold, scratch), nodes, source, width, threshold, True), "more")
     # the components so far are a forest of stars: join the new links between them
     name = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     lifted = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
