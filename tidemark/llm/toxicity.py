@@ -9,7 +9,8 @@ the same for any number of landmarks.
 
 Training: a bounded sample of the labelled sentences' documents (``MOST_DOCS``, the smallest hashes of their ids) gives
 for each token, and each beginning of tokens, the documents of either label that hold it. Those that toxic documents
-hold more than chance allows make the examples of insults, the others those of clean tokens. A document's score is that of its worst token, on a logistic scale set on the same sample. Spelled-out
+hold more than chance allows make the examples of insults, the others those of clean tokens. A document's score is a logistic function
+of the values of its three worst tokens, set on the same sample. Spelled-out
 insults ("i d i o t") are read as one more token. Tokens longer than ``WINDOW`` are read in overlapping windows.
 
 Null and empty texts have the score of no evidence. Without labels of both kinds, or any telling token, every score is 0. Labels, language,
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,10 @@ from tidemark.llm.common import Scratch
 
 MOST_DOCS = 12_000  #: labelled documents that training reads at most
 MOST_TOKENS = 12_000  #: distinct tokens that training reads at most
-LANDMARKS = 256
+LANDMARKS = 384
 ORDER, SPAN, DECAY = 3, 5, 0.7
 WINDOW, STRIDE = 24, 12
+EXPLAINED = 0.5  #: what an explanation leaves of a document's weight
 BEGINNING = 8  #: longest beginning of tokens that training counts
 CACHE = 300_000
 _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]  #: places of the second and third character after the first
@@ -112,14 +115,19 @@ def bare(token: str) -> str:
     return _TRIM.sub("", token)
 
 
+def keys_of(text: str | None) -> set[str]:
+    """The tokens of a text, in windows, and their beginnings, marked by a star."""
+    found = {w for t in {bare(t) for t in tokens_of(text)} if len(t) >= 2 for w in windows(t)}
+    return found | {w[:n] + "*" for w in found for n in range(3, min(len(w), BEGINNING + 1))}
+
+
 @dataclass
 class Model:
-    """The folded machine: a weight for each subsequence, a bias, and the scale of documents' scores."""
+    """The folded machine: a weight for each subsequence, a bias, and a logistic scale over a document's greatest values."""
 
     weights: np.ndarray
     bias: float
-    centre: float = 0.0
-    slope: float = 4.0
+    scale: np.ndarray | None = None  #: weights of the ``TOP`` greatest values, and a bias
 
     def values(self, tokens: list[str]) -> np.ndarray:
         """The machine's value of each token; the greatest of its windows for long ones."""
@@ -131,20 +139,21 @@ class Model:
         v = np.bincount(of, w * self.weights[sub], len(flat)) + self.bias
         return np.maximum.reduceat(v, np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]))
 
-    def scale(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (worst - self.centre), -30, 30)))
+    def scores(self, top: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(top @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
 
-NOTHING = -2.0  #: a text without tokens
+TOP = 3  #: greatest token values of a document that its score is made of
+NOTHING = -2.0  #: where a text has fewer tokens
 
 
 class Scorer:
-    """The worst value over each text's tokens; tokens met before are looked up."""
+    """The greatest values over each text's distinct tokens; tokens met before are looked up."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
+    def top(self, texts: list[str | None]) -> np.ndarray:
         known, all_tokens = self.known, [tokens_of(t) for t in texts]
         new = list(set().union(*all_tokens).difference(known)) if all_tokens else []
         for i in range(0, len(new), 20_000):
@@ -153,13 +162,14 @@ class Scorer:
             full = [t for t in short if len(t) >= 2]
             values = dict(zip(full, self.model.values(full), strict=True))
             known.update((t, values.get(s, NOTHING)) for t, s in zip(some, short, strict=True))
-        out = np.array([max(map(known.__getitem__, ts), default=NOTHING) for ts in all_tokens])
+        fill = [NOTHING] * TOP
+        out = np.array([(nlargest(TOP, map(known.__getitem__, ts)) + fill)[:TOP] for ts in all_tokens]).reshape(-1, TOP)
         if len(known) > CACHE:
             known.clear()
         return out
 
 
-def train_machine(features: np.ndarray, positive: np.ndarray, negative: np.ndarray, cost: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
+def train_machine(features: np.ndarray, positive: np.ndarray, negative: np.ndarray, cost: float = 4.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss by Newton steps; each row is an example of both labels, with these weights."""
     x = np.hstack([features, np.ones((len(features), 1))])
     w = np.zeros(x.shape[1])
@@ -184,18 +194,41 @@ def train_machine(features: np.ndarray, positive: np.ndarray, negative: np.ndarr
     return w[:-1], float(w[-1])
 
 
-def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, n_keys: int) -> np.ndarray:
-    """Which tokens or beginnings are held by toxic documents far more than chance gives for any of ``n_keys``, and hardly by others."""
+def gains(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How much likelier the labels of the documents that hold a key are at their own rate than at the general one."""
     base = n_toxic / (n_toxic + n_clean)
-    n = toxic + clean
-    rate = np.clip(toxic / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    taken = np.isinf(clean)
+    clean = np.where(taken, 0, clean)
+    rate = np.clip(toxic / np.maximum(toxic + clean, 1e-9), 1e-9, 1 - 1e-9)
     gain = toxic * np.log(rate / base) + clean * np.log((1 - rate) / (1 - base))
-    return (rate >= max(0.85, base)) & (gain > np.log(max(n_keys, 2)))
+    return np.where((rate >= max(0.5, base)) & ~taken, gain, 0.0)
+
+
+def telling(keys: list[str], holders: list[np.ndarray], clean: np.ndarray, n_toxic: int, n_clean: int, n_keys: int) -> set[str]:
+    """The keys that explain the toxic documents, greedily by gain; a document counts ``EXPLAINED`` times as much for each key that explains it.
+
+    So what merely stands beside insults, as in copies of one document, hardly explains anything. Of equal gains the longest key
+    counts. It ends where chance would give such a gain to any of ``n_keys`` keys. ``holders`` has each key's toxic documents.
+    """
+    weight, found = np.ones(max((int(h.max()) for h in holders if len(h)), default=0) + 1), set()
+    left = np.array([len(h) for h in holders], float)
+    size = np.array([len(k) for k in keys])
+    while len(found) < len(keys):
+        gain = gains(left, clean, n_toxic, n_clean)
+        best = int(np.lexsort((size, np.round(gain, 6)))[-1])
+        if gain[best] <= np.log(max(n_keys, 2)):
+            break
+        found.add(keys[best])
+        clean = clean.copy()
+        clean[best] = np.inf  # it is taken
+        weight[holders[best]] *= EXPLAINED
+        left = np.array([weight[h].sum() for h in holders])
+    return found
 
 
 def fit_tokens(tokens: list[str], toxic: np.ndarray, clean: np.ndarray, insult: np.ndarray) -> Model:
     """The folded machine of tokens with the numbers of toxic and of clean documents that hold them, and which are insults."""
-    rate = np.where(insult, toxic, -clean)
+    rate = np.where(insult, toxic + clean, -clean)
     # landmarks: half from the insults that most documents hold, half from the commonest of the others
     order = np.argsort(-rate, kind="stable")
     half = min(LANDMARKS // 2, int(insult.sum()))
@@ -218,8 +251,10 @@ def fit_tokens(tokens: list[str], toxic: np.ndarray, clean: np.ndarray, insult:
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = kernel @ root
-    plus, minus = np.where(insult, np.sqrt(toxic), 0), np.where(insult, 0, np.sqrt(clean + 1))
-    w_, bias = train_machine(features, plus / max(1e-9, plus.sum()) * 4000, minus / max(1e-9, minus.sum()) * 4000)
+    # an insult's clean documents count against it, so that its value tells how sure a sign it is
+    scale = 4000 / max(1e-9, toxic[insult].sum())
+    usual = np.where(insult, 0, np.sqrt(clean + 1))
+    w_, bias = train_machine(features, np.where(insult, toxic, 0) * scale, np.where(insult, clean, 0) * scale + usual * 4000 / max(1e-9, usual.sum()))
     return Model((root @ w_) @ dense.astype(np.float64), bias)
 
 
@@ -229,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.where(learnable) if learnable is not None else marked
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(MOST_DOCS)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = scratch.table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id"), "sample")
+    sample = scratch.table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id").dropDuplicates(["text"]), "sample")
     n_toxic, n_clean = (x or 0 for x in sample.agg(F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("toxic") <= 0).cast("int"))).first())
     if not n_toxic or not n_clean:
         return None
@@ -238,8 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         counts = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {w for t in {bare(t) for t in tokens_of(text)} if len(t) >= 2 for w in windows(t)}
-                counts[toxic > 0].update(found | {w[:n] + "*" for w in found for n in range(3, min(len(w), BEGINNING + 1))})
+                counts[toxic > 0].update(keys_of(text))
         for toxic, own in counts.items():
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], names=["token", "toxic", "n"])
@@ -251,27 +285,46 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = counts.where(~whole).orderBy(F.desc(tells), "token"), counts.where(whole).orderBy(F.desc(tells), "token"), counts.where(whole).orderBy(F.asc(tells), "token"), counts.where(whole).orderBy(F.xxhash64("token"))
     rows = sorted({tuple(r) for part in parts for r in part.limit(MOST_TOKENS // 4).collect()})
     names, t, c = [r[0] for r in rows], np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-    found = {n for n, x in zip(names, telling(t, c, n_toxic, n_clean, counts.count()), strict=True) if x}
+    total = counts.count()
+    wanted = {n: k for k, n in enumerate(n for n, g in zip(names, gains(t, c, n_toxic, n_clean), strict=True) if g > np.log(max(total, 2)))}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[wanted[k] for k in keys_of(x) & wanted.keys()] for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["keys"])
+
+    rows = [r[0] for r in sample.where("toxic > 0").select("text").mapInArrow(held, "keys array<int>").collect()]
+    of = [[] for _ in wanted]
+    for d, own in enumerate(rows):
+        for k in own:
+            of[k].append(d)
+    clean_of = dict(zip(names, c, strict=True))
+    found = telling(list(wanted), [np.array(x, np.int64) for x in of], np.array([clean_of[n] for n in wanted]), n_toxic, n_clean, total)
     full = np.array([not n.endswith("*") for n in names])
     insult = np.array([n in found or any(f"{n[:k]}*" in found for k in range(3, min(len(n), BEGINNING + 1))) for n in names])[full]
     if not insult.any():
         return None
     model = fit_tokens([n for n, x in zip(names, full, strict=True) if x], t[full], c[full], insult)
-    got = worst_values(sample.select("id", "text", "toxic"), model, docs.sparkSession.sparkContext.broadcast(model)).select("toxic", "worst").collect()
-    value, toxic = np.array([r.worst for r in got]), np.array([r.toxic > 0 for r in got])
-    order = np.argsort(value, kind="stable")
-    value, toxic = value[order], toxic[order]
-    # the cut with the fewest errors; between its neighbours, in the middle
-    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(~toxic[::-1])[::-1], [0]])
-    best = np.flatnonzero(errors == errors.min())
-    k = int(best[len(best) // 2])
-    low, high = value[max(0, k - 1)], value[min(k, len(value) - 1)]
-    model.centre = float((low + high) / 2)
+    got = top_values(sample.select("id", "text", "toxic"), docs.sparkSession.sparkContext.broadcast(model)).select("toxic", "top").collect()
+    model.scale = logistic(np.array([r.top for r in got]), np.array([r.toxic > 0 for r in got], float))
     return model
 
 
-def worst_values(rows: DataFrame, model: Model, shared) -> DataFrame:
-    """``rows`` (with a column text) with ``worst`` in the place of the text."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Weights and bias of a logistic regression by Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def top_values(rows: DataFrame, shared) -> DataFrame:
+    """``rows`` (with a column text) with ``top`` in the place of the text."""
     kept = [c for c in rows.columns if c != "text"]
     at = [rows.columns.index(c) for c in kept]
     text = rows.columns.index("text")
@@ -279,10 +332,10 @@ def worst_values(rows: DataFrame, model: Model, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            worst = scorer.worst(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(worst, pa.float64())], names=[*kept, "worst"])
+            top = scorer.top(batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(list(top), pa.list_(pa.float64()))], names=[*kept, "top"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("worst", "double"))
+    return rows.mapInArrow(run, rows.select(*kept).schema.add("top", "array<double>"))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,9 +343,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    out = worst_values(rows, model, docs.sparkSession.sparkContext.broadcast(model))
-    value = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.lit(model.slope) * (F.col("worst") - F.lit(model.centre))))))
-    return out.select(F.col("id").alias(id_col), value.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(scorer.top(batch.column(1).to_pylist())))], names=["id", "score"])
+
+    out = rows.mapInArrow(run, rows.select("id").schema.add("score", "double"))
+    return out.select(F.col("id").alias(id_col), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -301,12 +360,11 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
         return docs
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    centre = model.centre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            keep = pa.array(scorer.worst(batch.column(1).to_pylist()) < centre)
+            keep = pa.array(shared.value.scores(scorer.top(batch.column(1).to_pylist())) < 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
 
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
