@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import bars, fixtures  # noqa: F401  plans register themselves
+
+QUERIES = fixtures.QUERIES
+ORACLE_SQL = fixtures.ORACLE_SQL
