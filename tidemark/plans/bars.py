@@ -206,7 +206,10 @@ def e3_point_in_time(t: Tables):
     return versions.observed_asof(t.observations(), instant, "tie").select(*OBS_NAMES)
 
 
-@query(", instants AS (SELECT unnest([TIMESTAMP '1996-01-31 18:00:00', TIMESTAMP '1998-06-15 12:00:00', TIMESTAMP '2001-02-28 00:00:00']) AS "asof") SELECT "asof", series_id, count(*) AS n, max(observation_date) AS last_date, sum(tie) AS ties FROM (" + PIT.format(cols='"asof", o.*', join=", instants", a='"asof"', by='"asof", ') + ") GROUP BY ALL", "observations")
+INSTANTS = """, instants AS (SELECT unnest([TIMESTAMP '1996-01-31 18:00:00', TIMESTAMP '1998-06-15 12:00:00', TIMESTAMP '2001-02-28 00:00:00']) AS "asof")"""
+
+
+@query(INSTANTS + ' SELECT "asof", series_id, count(*) AS n, max(observation_date) AS last_date, sum(tie) AS ties FROM (' + PIT.format(cols='"asof", o.*', join=", instants", a='"asof"', by='"asof", ') + ") GROUP BY ALL", "observations")
 def c9_asof_join(t: Tables):
     instants = t.spark.sql("SELECT explode(array(timestamp'1996-01-31 18:00:00', timestamp'1998-06-15 12:00:00', timestamp'2001-02-28 00:00:00')) AS asof")
     seen = versions.observed_asof(t.observations(), F.broadcast(instants), "tie")
