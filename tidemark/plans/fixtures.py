@@ -136,4 +136,6 @@ def with_views(sql: str, *views: str) -> str:
     for v in views:
         need(v)
     parts = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in wanted]
+    if sql.startswith(", RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + sql.removeprefix(", RECURSIVE ")
     return ("WITH " + ", ".join(parts) + " " if parts else "") + sql
