@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.llm.common import Scratch
 
@@ -335,7 +336,7 @@ def top_values(rows: DataFrame, shared) -> DataFrame:
             top = scorer.top(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(list(top), pa.list_(pa.float64()))], names=[*kept, "top"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("top", "array<double>"))
+    return rows.mapInArrow(run, rows.select(*kept).schema.add("top", ArrayType(DoubleType())))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
