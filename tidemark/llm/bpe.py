@@ -3,7 +3,8 @@
 Each pre-token is a row of symbols, one a byte at first. The leaves of the tree hold the rank of each symbol's pair with
 its right neighbour, joined with its position, and each inner node the smaller of its two children; so the root yields
 the leftmost pair of the lowest rank. A merge changes three leaves, and each of them takes a logarithmic walk to the
-root. It ends when no pair can be merged. A pre-token of n bytes takes O(n log n), however long it is.
+root. It ends when no pair can be merged. A pre-token of n bytes takes O(n log n), however long it is. Short pre-tokens
+are merged side by side, each with a tree of its own in the lines of shared arrays.
 
 Texts are first cut before each space: no pre-token crosses such a place, unless the space stands between white space;
 texts with that are cut by the pattern alone. A worker keeps what it has encoded of such pieces, up to ``CACHE`` of them, and starts anew then.
@@ -18,12 +19,15 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-CACHE = 150_000
+CACHE = 400_000
+SHORT = 64  #: bytes of pre-tokens that are merged side by side
 #: The split pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 62
@@ -64,6 +68,26 @@ class PairTree:
             least[k] = value
 
 
+class PairTrees:
+    """The same tree for many short rows at once: level by level one array, a line for each row."""
+
+    def __init__(self, leaves: np.ndarray):
+        self.levels = [leaves]
+        while self.levels[-1].shape[1] > 1:
+            low = self.levels[-1]
+            self.levels.append(np.minimum(low[:, ::2], low[:, 1::2]))
+
+    def root(self, rows: np.ndarray) -> np.ndarray:
+        return self.levels[-1][rows, 0]
+
+    def put(self, rows: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+        """New leaves, at most one for each row."""
+        self.levels[0][rows, at] = values
+        for low, high in zip(self.levels, self.levels[1:], strict=False):
+            at = at >> 1
+            high[rows, at] = np.minimum(low[rows, 2 * at], low[rows, 2 * at + 1])
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizer file of the tokenizers library."""
 
@@ -77,13 +101,77 @@ class Bpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[vocab[a] << 32 | vocab[b]] = rank, vocab[a + b]
+        # the same as arrays: sorted pairs with their ranks, and the merged id of each rank
+        keys = np.array(list(self.pairs), np.int64)
+        ranks = np.array([r for r, _ in self.pairs.values()], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], ranks[order]
+        self.made = np.zeros(len(keys), np.int64)
+        self.made[ranks] = [i for _, i in self.pairs.values()]
+        self.first = np.array(self.byte_ids, np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.name = {i: str(i) for i in self.bytes_of}
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.open = regex.compile(r"\s \s")  # where a space is inside a run of white space, pieces are no safe cut
         self.cache: dict[str, tuple[int, str, bytes]] = {}
 
+    def _leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        k = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[k] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[k] * SHORT + at, _NONE)
+
+    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of many pre-tokens; those of up to ``SHORT`` bytes are merged side by side."""
+        out: list = [None] * len(pieces)
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            n = len(p)
+            if n > SHORT:
+                out[i] = self.merge(p)
+            elif n == 1:
+                out[i] = [self.byte_ids[p[0]]]
+            else:
+                by.setdefault((n - 2).bit_length(), []).append(i)
+        for bits, every in by.items():
+            width = (1 << bits) + 1
+            for k in range(0, len(every), 8192):
+                some = every[k : k + 8192]
+                for i, ids in zip(some, self._merged([pieces[i] for i in some], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merged(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        n, size = len(pieces), np.array([len(p) for p in pieces])
+        ids = np.full((n, width + 1), -1, np.int64)
+        inside = np.arange(width + 1) < size[:, None]
+        ids[inside] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.broadcast_to(np.arange(1, width + 2), ids.shape).copy()
+        before = np.broadcast_to(np.arange(-1, width), ids.shape).copy()
+        at = np.broadcast_to(np.arange(width - 1), (n, width - 1))
+        tree = PairTrees(self._leaves(ids[:, : width - 1], ids[:, 1:width], at))
+        rows = np.arange(n)
+        while True:
+            root = tree.root(rows)
+            going = root != _NONE
+            rows, root = rows[going], root[going]
+            if not len(rows):
+                break
+            i, new = root % SHORT, self.made[root // SHORT]
+            j = after[rows, i]
+            k = after[rows, j]
+            ids[rows, i], ids[rows, j], after[rows, i], before[rows, k] = new, -1, k, i
+            gone = j < width - 1
+            tree.put(rows[gone], j[gone], np.full(gone.sum(), _NONE))
+            tree.put(rows, i, np.where(k < size[rows], self._leaves(new, ids[rows, k], i), _NONE))
+            h = before[rows, i]
+            left = h >= 0
+            tree.put(rows[left], h[left], self._leaves(ids[rows[left], h[left]], new[left], h[left]))
+        kept = ids >= 0
+        flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
         ids = [self.byte_ids[b] for b in piece]
@@ -117,39 +205,46 @@ class Bpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
-    def piece(self, text: str) -> tuple[int, str, bytes]:
-        """Of a short piece of text: number of ids, the ids joined by commas, and the bytes that they decode to."""
-        if (known := self.cache.get(text)) is None:
-            ids = [i for t in self.pattern.findall(text) for i in self.merge(t.encode())]
-            known = len(ids), ",".join(map(str, ids)), self.decode(ids)
-            if len(text) < 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = known
-        return known
-
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """A text as pieces that are encoded apart."""
-        out, get, cache = [], self.piece, self.cache
+    def cut(self, text: str) -> list[str]:
+        """A text as pieces that are encoded apart; special tokens are pieces."""
+        out = []
         for k, part in enumerate(self.splitter.split(text) if self.splitter else [text]):
             if k % 2:
-                out.append((1, str(self.special[part]), part.encode()))
+                out.append(part)
             elif self.open.search(part):
-                out += [cache.get(t) or get(t) for t in self.pattern.findall(part)]
+                out += self.pattern.findall(part)
             elif part:
                 first, *rest = part.split(" ")
-                for s in [first, *[" " + r for r in rest]]:
-                    if known := cache.get(s):
-                        out.append(known)
-                    elif len(s) < 64:
-                        if s:
-                            out.append(get(s))
-                    else:
-                        out += [get(t) for t in self.pattern.findall(s)]
+                if first:
+                    out.append(first)
+                out += [" " + r for r in rest]
         return out
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces that are not in the cache, all at once."""
+        for s in pieces & self.special.keys():
+            self.cache[s] = 1, str(self.special[s]), s.encode()
+        new = list(pieces - self.cache.keys())
+        tokens = list(map(self.pattern.findall, new))
+        parts = list({t for ts in tokens for t in ts})
+        ids = dict(zip(parts, self.merge_many([t.encode() for t in parts]), strict=True))
+        name, cache = self.name, self.cache
+        for s, ts in zip(new, tokens, strict=True):
+            own = ids[ts[0]] if len(ts) == 1 else [i for t in ts for i in ids[t]]
+            cache[s] = len(own), ",".join([name[i] for i in own]), self.decode(own)
+
+    def texts(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, bytes]]]:
+        """Of each text its pieces: number of ids, the ids joined by commas, and the bytes that they decode to."""
+        for i in range(0, len(texts), 256):
+            cut = [self.cut(t or "") for t in texts[i : i + 256]]
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            self.learn(set().union(*cut))
+            for pieces in cut:
+                yield list(map(self.cache.__getitem__, pieces))
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) if ids for i in ids.split(",")]
+        return [int(i) for _, ids, _ in next(self.texts([text])) for i in ids.split(",")]
 
 
 @lru_cache(maxsize=2)
@@ -163,8 +258,7 @@ def _digests(path: str):
         bpe = load(path)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                done = bpe.pieces(text or "")
+            for done in bpe.texts(batch.column(1).to_pylist()):
                 counts.append(sum([x[0] for x in done]))
                 ids.append(hashlib.sha256(",".join([x[1] for x in done]).encode()).hexdigest())
                 whole = b"".join([x[2] for x in done]).decode("utf-8", "replace")
@@ -183,7 +277,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of each text as one more column; a column of that name is replaced."""
     kept = [c for c in docs.columns if c != out_col]
-    schema = docs.select(*kept).schema.add(out_col, "array<int>")
+    schema = docs.select(*kept).schema.add(out_col, ArrayType(IntegerType()))
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
