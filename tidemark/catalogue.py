@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import bars, fixtures, runs, sources  # noqa: F401  plans register themselves
+from tidemark.plans import bars, derive, fixtures, runs, sources  # noqa: F401  plans register themselves
 
 QUERIES = fixtures.QUERIES
 ORACLE_SQL = fixtures.ORACLE_SQL
