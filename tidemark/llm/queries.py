@@ -116,3 +116,44 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), threshold=0.95)
+
+
+ORACLE_SQL["op6_sharding"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))
+), docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc
+), steps AS (
+  SELECT doc_id, coalesce(doc_id, 0)::HUGEINT AS key, 0::BIGINT AS b, 0::BIGINT AS j FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, next, j, floor((j + 1) * (2147483648.0::DOUBLE / ((next // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, j, (key * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT AS next FROM steps WHERE j < 9)
+), placed AS (
+  SELECT doc_id, max(b) FILTER (b < 8)::INT AS shard, max(b) FILTER (b < 9)::INT AS grown_shard FROM steps GROUP BY doc_id
+)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM docs d JOIN placed p ON d.doc_id IS NOT DISTINCT FROM p.doc_id"""
+
+#: Smallest id reachable by links (a, b), of the nodes in ``nodes`` (id).
+REACH = """
+linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT id, id FROM nodes UNION SELECT linked.b, reach.root FROM reach JOIN linked ON linked.a = reach.node),
+component AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
+
+ORACLE_SQL["op3_embedding_dedup"] = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))) AND list_sum(list_transform(embedding, lambda c: abs(c))) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {REACH},
+counted AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM nodes JOIN component ON node = id LEFT JOIN counted ON a = id"""
+
+ORACLE_SQL["op8_near_dedup"] = rf"""
+WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents),
+worded AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' ')) END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), {REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM nodes JOIN component ON node = id LEFT JOIN sizes ON doc_id = id"""
