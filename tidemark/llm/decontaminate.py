@@ -130,4 +130,4 @@ def _search(shared, width: int, threshold: float, schema: str, id_col: str, item
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without those that contain a benchmark item. All columns stay."""
     gone = contaminated(docs, items, id_col, text_col, width=width, threshold=threshold).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.hint("merge").join(gone, id_col, "left_anti")  # the same plan at every size
