@@ -3,7 +3,7 @@
 Vectors are made unit vectors in double precision; equal vectors become one node with their number. Nodes are dealt to
 shards by hash. A task reads its shard's nodes, builds the graph, and then streams all nodes past it as queries, in
 blocks: a greedy descent through the upper layers, then a beam search in the lowest. A query whose beam is full of links
-gets a beam twice as wide, until it is not, or the beam is the shard. Some queries of each block are audited against the
+gets a wider beam, until it is not, or the beam is the shard. Some queries of each block are audited against the
 whole shard; while one of their links is missing, the block is searched again with a wider beam. What the search finds is
 verified by cosine in double precision. Links are counted and, within a block, joined to a spanning forest, so a group of
 n near-copies gives n edges and not n squared. The forests are united by distributed components.
@@ -172,7 +172,7 @@ class Graph:
         audit = np.linspace(0, len(q) - 1, min(AUDITS, len(q))).astype(int)
         truth = q32[audit] @ self.x.T >= least
         while True:
-            if 2 * beam >= self.n:  # the beam is the shard
+            if 2 * NEIGHBOURS * beam >= self.n:  # so wide a beam meets as many nodes as the shard has: it is the shard
                 for i in range(0, len(todo), 64):
                     a, b = np.nonzero(q32[todo[i : i + 64]] @ self.x.T >= least)
                     out_q.append(todo[i : i + 64][a])
@@ -257,6 +257,8 @@ def _searched(threshold: float):
                 if not is_query:
                     nodes.append((i, k, np.frombuffer(u)))
                     continue
+                if graph is None and not nodes:
+                    continue  # a shard without nodes
                 if graph is None:
                     ids, copies, units = np.array([x[0] for x in nodes]), np.array([x[1] for x in nodes]), np.stack([x[2] for x in nodes])
                     nodes, graph = [], Graph(units)
