@@ -236,15 +236,19 @@ def fit_tokens(tokens: list[str], toxic: np.ndarray, clean: np.ndarray, insult:
     marks = list(order[:half])
     marks += [i for i in np.argsort(-(toxic + clean), kind="stable") if i not in set(marks)][: LANDMARKS - half]
     of, sub, w = _unit(tokens)
-    dense = np.zeros((len(marks), 1 << 18), np.float32)
-    place = {m: k for k, m in enumerate(marks)}
-    for m, k in place.items():
-        a, b = np.searchsorted(of, [m, m + 1])
-        dense[k, sub[a:b]] = w[a:b]
+    # only subsequences of landmarks matter: a column for each of these, and one for all others
+    mine = np.concatenate([np.arange(*np.searchsorted(of, [m, m + 1])) for m in marks])
+    place = np.zeros(len(tokens), np.int64)
+    place[marks] = np.arange(len(marks))
+    columns = np.unique(sub[mine])
+    column = np.full(1 << 18, len(columns), np.int32)
+    column[columns] = np.arange(len(columns))
+    dense = np.zeros((len(marks), len(columns) + 1), np.float32)
+    dense[place[of[mine]], column[sub[mine]]] = w[mine]
     kernel = np.zeros((len(tokens), len(marks)))
-    for i in range(0, len(tokens), 512):
-        a, b = np.searchsorted(of, [i, min(i + 512, len(tokens))])
-        part = dense[:, sub[a:b]] * w[a:b]
+    for i in range(0, len(tokens), 256):
+        a, b = np.searchsorted(of, [i, min(i + 256, len(tokens))])
+        part = dense[:, column[sub[a:b]]] * w[a:b].astype(np.float32)
         at = np.flatnonzero(np.r_[True, of[a + 1 : b] != of[a : b - 1]])
         kernel[of[a:b][at]] = np.add.reduceat(part, at, axis=1).T
     among = kernel[marks]
@@ -256,7 +260,8 @@ def fit_tokens(tokens: list[str], toxic: np.ndarray, clean: np.ndarray, insult:
     scale = 4000 / max(1e-9, toxic[insult].sum())
     usual = np.where(insult, 0, np.sqrt(clean + 1))
     w_, bias = train_machine(features, np.where(insult, toxic, 0) * scale, np.where(insult, clean, 0) * scale + usual * 4000 / max(1e-9, usual.sum()))
-    return Model((root @ w_) @ dense.astype(np.float64), bias)
+    share = root @ w_
+    return Model(np.bincount(sub[mine], w[mine] * share[place[of[mine]]], 1 << 18), bias)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learnable: Column | None = None) -> Model | None:
