@@ -155,6 +155,10 @@ class Scorer:
         self.model, self.known = model, {}
 
     def top(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text; some texts at a time, so that few tokens are held besides the known ones."""
+        return np.concatenate([self._top(texts[i : i + 512]) for i in range(0, len(texts), 512)]) if texts else np.zeros((0, TOP))
+
+    def _top(self, texts: list[str | None]) -> np.ndarray:
         known, all_tokens = self.known, [tokens_of(t) for t in texts]
         new = list(set().union(*all_tokens).difference(known)) if all_tokens else []
         for i in range(0, len(new), 20_000):
