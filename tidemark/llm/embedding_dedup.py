@@ -28,7 +28,7 @@ from tidemark.llm.common import Scratch, components
 
 SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 32_768, 64 << 20, 8
 NEIGHBOURS = 16  #: of a node when it is inserted; twice as many at most
-BUILD_BEAM, BEAM, DESCENT = 48, 48, 4
+BUILD_BEAM, BEAM, DESCENT = 48, 24, 4
 BLOCK, AUDITS, RECALL = 512, 8, 1.0
 FAN = 16  #: nodes of a layer for each node of the layer above
 
@@ -172,7 +172,7 @@ class Graph:
         audit = np.linspace(0, len(q) - 1, min(AUDITS, len(q))).astype(int)
         truth = q32[audit] @ self.x.T >= least
         while True:
-            if 2 * NEIGHBOURS * beam >= self.n:  # so wide a beam meets as many nodes as the shard has: it is the shard
+            if beam > BEAM and 2 * NEIGHBOURS * beam >= self.n or beam >= self.n:  # so wide a beam meets as many nodes as the shard has: it is the shard
                 for i in range(0, len(todo), 64):
                     a, b = np.nonzero(q32[todo[i : i + 64]] @ self.x.T >= least)
                     out_q.append(todo[i : i + 64][a])
