@@ -10,7 +10,7 @@ With 32 bands of 4 registers a pair at similarity 0.8 shares no band with a prob
 Buckets can be of any size. Each first sends every member to the bucket's smallest document only; that joins groups of
 copies. Buckets whose members are then still in different components have all such pairs compared, in blocks that keep
 one member of each pair outside the bucket's largest component; larger ones are first split by further bands. There a
-second sketch of 1024 registers tells which pairs are worth the full sets.
+second sketch of 768 registers tells which pairs are worth the full sets.
 
 Defined results: null or wordless texts have an empty set and link with nothing; fewer words than the shingle width make
 one shingle; equal texts are one node and always together; a null id keeps its row, with a null component, as kept;
@@ -32,11 +32,11 @@ from tidemark.llm.common import Scratch, WordHashes, components, shingle_hashes
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BASE, LIMIT = 1.02, 4094  #: of the registers' logarithm; the largest register
-BLOCK = 1000  #: members of a bucket that are compared at a time
+BLOCK = 4000  #: members of a bucket that are compared at a time
 SPLITS = 2  #: times that a large bucket is split by further bands
 SLACK = 0.2  #: the estimate may lie so far under the threshold; five standard deviations of it and more
 
-FINE, FINE_SLACK = 1024, 0.065  #: registers of the second sketch, of eight bits each, and five standard deviations of it
+FINE, FINE_SLACK = 768, 0.075  #: registers of the second sketch, of eight bits each, and five standard deviations of it
 
 _rng = np.random.default_rng(20240229)
 _A, _B, _C = (_rng.integers(1, 2**32, (REGISTERS + FINE, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(3))
@@ -150,13 +150,17 @@ def _verified(width: int, threshold: float):
 
 
 def _fine(width: int):
+    """The second sketch, followed by 32 bits of each band's key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             _hashes.trim()
             for i in range(0, len(sets), 16):
-                made = registers(sets[i : i + 16], slice(REGISTERS, None)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 16), pa.array([r.tobytes() for r in made], pa.binary())], names=["id", "fine"])
+                some = sets[i : i + 16]
+                made = registers(some, slice(REGISTERS, None)).astype(np.uint8)
+                tags = (band_keys(registers(some)).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 16), pa.array([r.tobytes() + t.tobytes() for r, t in zip(made, tags, strict=True)], pa.binary())], names=["id", "fine"])
 
     return run
 
@@ -164,23 +168,20 @@ def _fine(width: int):
 def _block_pairs(threshold: float):
     """In a block of a bucket: its asking members against all its members, other components only.
 
-    A pair is looked at in the bucket of the first band that it shares, by all likelihood first and then by the fine sketch.
+    A pair is looked at in the bucket of the first band that it shares, and passes if enough of the second sketch agrees.
     """
 
     def run(table: pa.Table) -> pa.Table:
         ask, band = table.column("ask").to_numpy(), table.column("band")[0].as_py()
         ids, n, comp = (table.column(k).to_numpy() for k in ("id", "n", "comp"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        both = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE + 4 * BANDS)
+        fine, tags = both[:, :FINE], np.ascontiguousarray(both[:, FINE:]).view(np.uint32)
         low, high, every = [], [], np.flatnonzero(~ask)
         for i in np.flatnonzero(ask):
             j = every[(comp[every] != comp[i]) & (n[every] >= threshold * n[i]) & (n[i] >= threshold * n[every])]
-            same = sketch[j] == sketch[i]
-            j, same = j[keep := same.sum(axis=1) >= REGISTERS * (threshold - SLACK - 0.1)], same[keep]
-            j = j[same.reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            j = j[(tags[j] == tags[i]).argmax(axis=1) == band]
             j = j[(fine[j] == fine[i]).sum(axis=1) >= FINE * (threshold - FINE_SLACK)]
             if len(j):
-                j = j[estimate(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= threshold - SLACK]
                 low.append(np.minimum(ids[i], ids[j]))
                 high.append(np.maximum(ids[i], ids[j]))
         ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (high, low)]
@@ -189,12 +190,17 @@ def _block_pairs(threshold: float):
     return run
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: float, estimated: bool) -> DataFrame:
-    if not estimated:
-        s = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        near = pairs.join(s("a"), "a").join(s("b"), "b").where("n_a >= {0} * n_b and n_b >= {0} * n_a".format(threshold))
-        pairs = near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_estimated(threshold - SLACK), "a long, b long")
-    t = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that pass the joint estimate."""
+    s = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    near = pairs.join(s("a"), "a").join(s("b"), "b").where("n_a >= {0} * n_b and n_b >= {0} * n_a".format(threshold))
+    return near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_estimated(threshold - SLACK), "a long, b long")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs whose full sets are similar."""
+    # texts are always shuffled, also where few pairs would allow a broadcast: the plan is the same at every size
+    t = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}")).hint("merge")
     both = pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "t_a", "t_b")
     return both.mapInArrow(_verified(width, threshold), "a long, b long")
 
@@ -216,7 +222,7 @@ def _rest(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFram
         at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         every = small.select("bucket", "band", "id", F.lit(False).alias("ask"), at("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("part"))
         asking = small.where("comp <> main").select("bucket", "band", "id", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at("asks").alias("part"))
-        rows = every.unionByName(asking).join(node.select("id", "n", "sketch", "comp"), "id").join(fine, "id")
+        rows = every.unionByName(asking).join(node.select("id", "n", "comp"), "id").join(fine, "id")
         found.append(rows.groupBy("bucket", "block", "part").applyInArrow(_block_pairs(threshold), "a long, b long"))
         if depth == SPLITS or open_.where(large).isEmpty():
             break
@@ -235,18 +241,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = scratch.table(source.mapInArrow(_sketches(width), "id long, n long, key binary, sketch binary, bands array<long>"), "sketches")
     # equal word sequences are one node: the smallest id that has them
-    alike = made.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
+    # (a table of its own, so that the join with it can split a skewed key)
+    alike = scratch.table(made.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep")), "alike")
     member = scratch.table(made.select("id", "n", "key").join(alike, "key", "left").select("id", "n", "rep"), "members")
     nodes = scratch.table(made.where("key is not null and id is not null").groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch", "bands"), "id").alias("x")).select("x.*"), "nodes")
     exploded = nodes.select(F.posexplode("bands").alias("band", "bucket"), "id")
     leaders = exploded.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("bucket", "b")
     buckets = scratch.table(exploded.join(leaders, "bucket"), "buckets")
     pairs = buckets.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = scratch.table(_confirm(pairs, nodes, source, width, threshold, False), "links")
+    links = scratch.table(_confirm(_likely(pairs, nodes, threshold), source, width, threshold), "links")
     # an id with several texts joins their nodes
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     first = scratch.table(components(scratch, links.unionByName(same)), "components")
-    more = scratch.table(_confirm(_rest(buckets.select("bucket", "band", "id"), nodes, source, first, width, threshold, scratch), nodes, source, width, threshold, True), "more")
+    more = scratch.table(_confirm(_rest(buckets.select("bucket", "band", "id"), nodes, source, first, width, threshold, scratch), source, width, threshold), "more")
     # the components so far are a forest of stars: join the new links between them
     name = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     lifted = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
@@ -261,4 +268,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest id. All columns stay."""
     gone = near_duplicates(docs, id_col, text_col, width, threshold).where("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    return docs.hint("merge").join(gone, id_col, "left_anti")  # the same plan at every size
