@@ -280,6 +280,19 @@ def test_every_shared_window_is_covered(spark, small):
     assert missed == 0
 
 
+def test_passages_with_every_few_words_changed(spark):
+    rows, want = [], {}
+    for k, (every, n) in enumerate([(e, n) for e in range(5, 16) for n in (60, 100, 200) for _ in range(4)]):
+        text = words(n, 5000 + k)
+        rows += [(2 * k, words(80, 6000 + k) + " " + text), (2 * k + 1, edited(text, every) + " " + words(70, 7000 + k))]
+        want[2 * k + 1, 2 * k] = n
+    got = defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id, r.of_doc_id].update(range(r.start_word, r.end_word))
+    covered = sum(len(got[p] & set(range(n))) >= n - 12 for p, n in want.items())
+    assert covered >= 0.98 * len(want) and set(got) <= set(want)
+
+
 def test_cutting_keeps_what_stands_between():
     text = "  one two\nthree  four five "
     assert substring_dedup.without(text, [(1, 3)]) == "  one four five "
