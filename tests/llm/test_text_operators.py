@@ -293,6 +293,14 @@ def test_passages_with_every_few_words_changed(spark):
     assert covered >= 0.98 * len(want) and set(got) <= set(want)
 
 
+def test_a_passage_of_frequent_lines_is_found(spark):
+    a, b, c = (words(24, 8000 + k) for k in range(3))
+    rows = [(20 * k + j, words(60, 9000 + 20 * k + j) + "\n" + two) for k, two in enumerate([a + "\n" + b, b + "\n" + c]) for j in range(20)]
+    rows += [(1000, "\n".join([a, b, c, words(60, 9900)])), (2000, "\n".join([words(60, 9901), a, b, c]))]
+    got = {(r.doc_id, r.of_doc_id): (r.start_word, r.end_word) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2000, 1000): (60, 132)}
+
+
 def test_cutting_keeps_what_stands_between():
     text = "  one two\nthree  four five "
     assert substring_dedup.without(text, [(1, 3)]) == "  one four five "
