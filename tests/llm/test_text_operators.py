@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -246,6 +247,44 @@ def test_licences_match_ordered_rules(spark, awkward, empty):
     assert licenses.scan(awkward).count() == awkward.count() and licenses.scan(empty).count() == 0
 
 
+MIT_TEXT = '''Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.'''
+BSD_TEXT = '''Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+{}THIS SOFTWARE IS PROVIDED BY THE {} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'''
+ENDORSE = "3. Neither the name of the {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+APACHE_TEXT = '''Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0'''
+GPL_TEXT = '''This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.'''
+
+
+def test_wrapped_licence_texts(spark):
+    whole = {
+        "MIT": MIT_TEXT, "BSD-2-Clause": BSD_TEXT.format("", "COPYRIGHT HOLDERS"), "BSD-3-Clause": BSD_TEXT.format(ENDORSE.format("copyright holder"), "COPYRIGHT HOLDERS"),
+        "Apache-2.0": APACHE_TEXT, "GPL-3.0-or-later": GPL_TEXT,
+    }
+    cases = [(name, text) for name, text in whole.items()] + [("BSD-3-Clause", BSD_TEXT.format(ENDORSE.format("University"), "REGENTS"))]
+    rows, want = [], {}
+    for name, text in cases:
+        for width, mark, end in ((10_000, "", "\n"), (72, "", "\n"), (78, "# ", "\n"), (76, " * ", "\r\n"), (70, "// ", "\n"), (70, "dnl ", "\n")):
+            lines = [mark + x for part in text.split("\n") for x in (textwrap.wrap(part, width) or [""])]
+            want[len(rows)] = name
+            rows.append((len(rows), end.join(["Some title", "", *lines, ""])))
+    for name, text in (("Apache-2.0", APACHE_TEXT.replace("\n\n    ", " ")), ("MIT", "This software is released under the MIT License."), ("", "It is not licensed under the MIT License."), ("", MIT_TEXT.replace("deal in", "look at"))):
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_passages_are_found_and_cut(spark, awkward, empty):
     shared, own = words(80, 11), [words(200, 20 + k) for k in range(4)]
     rows = [(1, own[0] + " " + shared + " tail one"), (2, "head two " + edited(shared, 26) + " " + own[1]), (3, own[2]), (4, own[3] + "\n\n" + shared), (5, shared + " " + " ".join(shared.split()[:30]))]
