@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text, time
 from tidemark.operators import bars, coverage, quality, versions, windows
 from tidemark.sources import providers, storage
+from tidemark.streaming import bars as streaming
 
 
 def at(s: str) -> datetime:
@@ -146,3 +147,22 @@ def test_published_runs_are_immutable_and_changes_are_found(spark):
     assert storage.verify(spark, root, manifest).count() == 0
     storage.write_bars(rows, root, "r2")
     assert [r.finding for r in storage.verify(spark, root, manifest).collect()] == ["unlisted_part"]
+
+
+def test_state_changes_of_one_name_over_many_ranges(spark, tmp_path):
+    states = ["low" if k % 7 < 4 or 100 < k < 180 else None if k % 7 == 6 else "high" for k in range(400)]
+    rows = [("hot", s, k) for k, s in enumerate(states)] + [("rare", "low", 5)]
+    want, last = [("rare", "low", 1)], None
+    for s in states:
+        if s != last:
+            last = s
+            want.append(("hot", s, len(want)))
+    for half in (0, 1):
+        part = [r for r in rows if (r[2] >= 205) == half]
+        spark.createDataFrame(part, "name string, state string, ts long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2):  # a restart changes nothing
+            stream = spark.readStream.schema("name string, state string, ts long").parquet(f"{tmp_path}/in")
+            got = streaming.state_changes(stream, "name", "state", "ts", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    ranges = spark.read.parquet(f"{tmp_path}/out-ranges").where("name = 'hot'").groupBy("batch", "part").count().collect()
+    assert len(ranges) > 4 and max(r["count"] for r in ranges) <= 150

@@ -172,4 +172,4 @@ def k6_state_changes(t: Tables):
     root, schema = _delivered(t)
     raw = t.spark.readStream.schema(schema).parquet(f"{root}/in")
     samples = raw.select("event_type", F.when(F.col("value") > 100, "high").otherwise("low").alias("level"), "event_id")
-    return streaming.run_to_end(streaming.state_changes(samples, "event_type", "level", "event_id"), f"{root}/changes", f"{root}/checkpoint")
+    return streaming.state_changes(samples, "event_type", "level", "event_id", f"{root}/changes", f"{root}/checkpoint")

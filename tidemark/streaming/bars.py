@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.operators import bars as bar_ops
@@ -57,17 +53,41 @@ def repaired(spark: SparkSession, versions: str) -> DataFrame:
     return ranked_first(spark.read.parquet(versions), ["symbol", "bar_ts"], [F.desc("version")]).drop("version", "batch")
 
 
-def state_changes(samples: DataFrame, name: str, state: str, ts: str) -> DataFrame:
-    """A stream of samples to the changes of state of each name: (name, state, generation)."""
+def state_changes(samples: DataFrame, name: str, state: str, ts: str, target: str, checkpoint: str) -> DataFrame:
+    """A stream of samples to the changes of state of each name: (name, state, generation). A later call goes on where this ended.
 
-    def changed(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        last, generation = kept.get if kept.exists else (None, 0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values(ts).itertuples(index=False):
-            if getattr(row, state) != last:
-                last, generation = getattr(row, state), generation + 1
-                out.append((key[0], last, generation))
-        kept.update((last, generation))
-        yield pd.DataFrame(out, columns=["name", "state", "generation"])
+    Each batch is written in ranges of (name, ts), so that a name's rows are in as many tasks as they need; a range's first
+    row is compared with the last state of the range before it, or of the batch before. All writes go to folders of the
+    batch's number and replace them, so a batch that is run again changes nothing.
+    """
+    spark = samples.sparkSession
+    out, kept = StructType.fromDDL("name string, state string, generation long"), f"{target}-states"
 
-    return samples.select(F.col(name).alias(name), state, ts).groupBy(name).applyInPandasWithState(changed, "name string, state string, generation long", "state string, generation long", "append", GroupStateTimeout.NoTimeout)
+    def batch(df: DataFrame, number: int) -> None:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.select(F.col(name).alias("name"), F.col(state).alias("state"), F.col(ts).alias("ts")).repartitionByRange(n, "name", "ts")
+        path = f"{target}-ranges/batch={number}"
+        rows.withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path).drop("batch")
+        before = spark.read.schema(out).parquet(f"{kept}/batch={number - 1}") if number else spark.createDataFrame([], out)
+        before = before.select("name", F.col("state").alias("old"), F.col("generation").alias("base"))
+        # a row for each name and range
+        names = Window.partitionBy("name").orderBy("part")
+        ends = rows.groupBy("name", "part").agg(F.max(F.struct("ts", "state")).getField("state").alias("last")).join(before, "name", "left")
+        ends = ends.withColumn("entry", F.when(F.row_number().over(names) == 1, F.col("old")).otherwise(F.lag("last").over(names)))
+        inside = Window.partitionBy("part", "name").orderBy("ts", "state")
+        rows = rows.withColumns({"at": F.row_number().over(inside), "previous": F.lag("state").over(inside)}).join(ends.select("name", "part", "entry"), ["name", "part"])
+        changed = rows.where(~F.col("state").eqNullSafe(F.when(F.col("at") == 1, F.col("entry")).otherwise(F.col("previous"))))
+        changed = changed.withColumn("nth", F.row_number().over(inside))
+        counts = changed.groupBy("name", "part").agg(F.count("*").alias("changes"))
+        ends = ends.join(counts, ["name", "part"], "left").withColumn("done", F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("changes").over(names), F.lit(0)))
+        first = ends.select("name", "part", (F.col("done") - F.coalesce("changes", F.lit(0))).alias("first"))
+        changed.join(first, ["name", "part"]).select("name", "state", (F.col("first") + F.col("nth")).alias("generation")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        now = ends.groupBy("name").agg(F.max_by("last", "part").alias("state"), F.max("done").alias("generation"))
+        now.unionByName(before.join(now, "name", "left_anti").select("name", F.col("old").alias("state"), F.col("base").alias("generation"))).write.mode("overwrite").parquet(f"{kept}/batch={number}")
+
+    samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return spark.createDataFrame([], out)
+    return spark.read.schema(out).parquet(target).select("name", "state", "generation")
