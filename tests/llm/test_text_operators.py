@@ -143,6 +143,14 @@ def test_contained_items_equal_brute_force(spark, small, awkward, empty):
     assert decontaminate.contaminated(awkward, items.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_decided_by_their_texts(spark, small):
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    first = items.orderBy("item_id").first().text
+    rows = [(None, first), (None, "a clean text"), (1, first), (1, "another clean text"), (2, None)]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, kept.collect()), key=repr) == [(1, "another clean text"), (2, None), (None, "a clean text")]
+
+
 def test_large_benchmarks_take_several_passes(spark, small, monkeypatch):
     items, docs = spark.read.parquet(f"{small}/benchmark.parquet"), spark.read.parquet(f"{small}/documents.parquet")
     once = decontaminate.contaminated(docs, items).collect()

@@ -100,18 +100,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Items are sent to every task, in passes of at most ``MOST_ITEM_BYTES``: that many bytes of text and no more are
     held at once; a larger set of items takes more passes over the documents and no more memory.
     """
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {items.schema[item_col].dataType.simpleString()}, n_common long, n_item long"
+    source, out = docs.select(id_col, text_col), None
+    for shared in _passes(items, item_col, item_text):
+        found = source.mapInArrow(_search(shared, width, threshold, schema, id_col, item_col), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _passes(items: DataFrame, item_col: str, item_text: str) -> Iterator:
+    """The distinct items, broadcast in passes."""
     # one row a pass: its items; running totals are over the items only
     items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(1.5 * total / MOST_ITEM_BYTES))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {items.schema['item'].dataType.simpleString()}, n_common long, n_item long"
-    source, out = docs.select(id_col, text_col), None
     for k in range(passes):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        found = source.mapInArrow(_search(shared, width, threshold, schema, id_col, item_col), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield items.sparkSession.sparkContext.broadcast(part)
 
 
 def _search(shared, width: int, threshold: float, schema: str, id_col: str, item_col: str):
@@ -128,6 +133,18 @@ def _search(shared, width: int, threshold: float, schema: str, id_col: str, item
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without those that contain a benchmark item. All columns stay."""
-    gone = contaminated(docs, items, id_col, text_col, width=width, threshold=threshold).select(id_col).distinct()
-    return docs.hint("merge").join(gone, id_col, "left_anti")  # the same plan at every size
+    """``docs`` without those that contain a benchmark item. All columns stay. Each row is decided by its own text, whatever its id."""
+    for shared in _passes(items, "item_id", "text"):
+        docs = docs.mapInArrow(_rest(shared, width, threshold, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
+def _rest(shared, width: int, threshold: float, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches = Sketches(shared.value, width, threshold)
+        for batch in batches:
+            clean = [not (sketches.items and sketches.contained(words_of(text))) for text in batch.column(column).to_pylist()]
+            _hashes.trim()
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
