@@ -101,12 +101,23 @@ def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_each_text_of_an_id_links_and_wordless_rows_stay(spark):
+    """A near copy of an id's second text; texts that differ in white space; copies among rows without an id."""
+    one, two, three = words(150, 71), words(150, 72), words(150, 73)
+    rows = [(1, one), (1, two), (2, edited(two, 80)), (3, one.replace(" ", "\n")), (None, three), (None, three), (None, edited(three, 90)), (7, ""), (7, None), (8, " "), (1, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, node string, key string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (7, 7, True), (8, 8, True)}
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept) == sorted([(1, one[:9]), (1, two[:9]), (0, three[:9]), (7, ""), (7, ""), (8, " "), (1, "")])
+
+
 def test_hot_bucket_is_split_and_stays_whole(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     base = words(120, 7)
     rows = spark.createDataFrame([(k, edited(base, 9 + k % 5) + " " + words(6, k)) for k in range(60)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows, width=3, threshold=0.6).collect()}
-    sets = [set(near_dedup.shingle_set(r.text, 3).tolist()) for r in rows.orderBy("doc_id").collect()]
+    sets = [near_dedup.shingle_set(r.text, 3) for r in rows.orderBy("doc_id").collect()]
     parent, find = forest(60)
     for i in range(60):
         for j in range(i):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,18 +35,20 @@ class Scratch:
         """Write ``df`` and read it back with the schema it had."""
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that nothing reads any more."""
+        """Remove tables that nothing reads any more, and let Spark's cleaner take the shuffle files of finished jobs with them."""
         jvm = self.spark._jvm
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -53,26 +58,36 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """Word (bytes) to 64-bit hash; starts anew beyond ``most`` words so that a worker's memory stays bounded."""
+    """Word (bytes) to 64-bit hash, for one task: ``most`` words of at most ``LONGEST`` bytes are kept, then it starts anew."""
 
-    def __init__(self, most: int = 400_000):
+    LONGEST = 64
+
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= self.LONGEST:
             self[word] = value
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
     def trim(self) -> None:
         """Forget everything once full: later texts may use other words."""
         if len(self) >= self.most:
             self.clear()
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        self.trim()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def lots(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that a task holds little besides them."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -100,19 +115,19 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (node, component), component the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a min per node and a join, until the edges no longer change; a hub's
-    edges are aggregated before the shuffle and a skewed join can be split, so no component is gathered in one task.
+    Alternates large-star and small-star steps, each a min per node and a join, until the edges no longer change. A hub's
+    least neighbour is found by sums before the shuffle and is a table of its own, so that the join with it can be split.
     Nodes without edges do not appear. Empty edges give an empty result.
     """
     now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = scratch.table(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = scratch.table(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small")
-        scratch.drop(now, large)
+        least = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = scratch.table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        scratch.drop(now, low, large, least)
         now = after
         count, nodes = now.agg(F.count("*"), F.count_distinct("a")).first()
         if count == nodes and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
@@ -128,3 +143,36 @@ def ordered_parts(scratch: Scratch, df: DataFrame, *columns: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *columns, "tie").drop("tie")
     return scratch.table(dealt.withColumn("part", F.spark_partition_id()), "ordered")
+
+
+def text_key(text_col: str):
+    """What equal texts share, 16 bytes; null for texts without a word."""
+    return F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.col(text_col).cast("binary"))))
+
+
+def distinct_texts(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, least: int = 1, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, texts) of the distinct texts that have words and at least ``least`` characters.
+
+    nodes (key, id, node): the smallest id of each text, nulls last, and a number without gaps in the order of these ids.
+    texts (node, text), with ``rows`` also ``row``, a whole row that has that text and id. Copies are taken together before
+    the shuffle, so a text that very many rows repeat fills no task.
+    """
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if rows else []))
+    source = given.where(F.length("text") >= least).withColumn("key", text_key("text")).where("key is not null")
+    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = source.groupBy("key").agg(F.min("id").alias("id"))
+    ranged = ids.repartitionByRange(n, F.col("id").asc_nulls_last(), "key").sortWithinPartitions(F.col("id").asc_nulls_last(), "key")
+    ranged = scratch.table(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("at", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("k"))  # a row for each partition
+    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
+    numbered = ranged.withColumn("part", part).join(F.broadcast(before), "part")
+    nodes = scratch.table(numbered.select("key", "id", (F.col("before") + F.col("at") - F.shiftleft("part", 33)).alias("node")), "nodes")
+    # nodes meet the texts where the texts' own exchange has put them
+    one = source.groupBy("key").agg(F.min_by("row" if rows else "text", order).alias("one"))
+    kept = scratch.table(one.join(nodes.select("key", "node").hint("merge"), "key").select("node", "one"), "texts")
+    scratch.drop(ranged)
+    texts = kept.select("node", F.col("one").getField(text_col).alias("text"), F.col("one").alias("row")) if rows else kept.withColumnRenamed("one", "text")
+    texts._scratch_path = kept._scratch_path
+    return nodes, texts

@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, shingle_hashes
+from tidemark.llm.common import WordHashes, lots, shingle_hashes
 
 MOST_ITEM_BYTES = 32_000_000  #: items beyond this size are searched in several passes over the documents
 
-_hashes = WordHashes()
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(c if c >= 128 or c in _WORD else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 
@@ -46,14 +45,14 @@ class Sketches:
     """Bottom-k sketches of items by width of their shingles and by size class."""
 
     def __init__(self, items: list[tuple], width: int, threshold: float):
-        self.items, by = [], defaultdict(list)
+        self.items, by, self.hashes = [], defaultdict(list), WordHashes()
         for item_id, text in items:
             words = words_of(text)
             own = shingles(words, width)
             if own:
                 used = min(width, len(words))
                 need = math.ceil(threshold * len(own) - 1e-9)
-                low = np.sort(np.unique(shingle_hashes(_hashes.of(words), used)))[: len(own) - need + 1]
+                low = np.sort(np.unique(shingle_hashes(self.hashes.of(words), used)))[: len(own) - need + 1]
                 by[used, int(math.log2(len(own)))] += [(int(h), len(self.items)) for h in low]
                 self.items.append((item_id, own, used, need))
         # of each width and size class: sorted hashes, the items of each, and a filter of the hashes' top bits
@@ -70,7 +69,7 @@ class Sketches:
 
     def candidates(self, words: list[bytes]) -> set[int]:
         found: set[int] = set()
-        of, made = _hashes.of(words), {}
+        of, made = self.hashes.of(words), {}
         for used, least, keys, owner, mask in self.classes:
             if len(words) - used + 1 >= least:
                 if used not in made:
@@ -110,21 +109,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def _passes(items: DataFrame, item_col: str, item_text: str) -> Iterator:
     """The distinct items, broadcast in passes."""
-    # one row a pass: its items; running totals are over the items only
-    items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(1.5 * total / MOST_ITEM_BYTES))
+    # passes are doubled until none holds more, but for a single item of that size
+    items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct().withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    deal = lambda n: F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    total = items.agg(F.sum("size")).first()[0] or 0
+    passes = 1
+    while passes * MOST_ITEM_BYTES < total or passes > 1 and items.groupBy(deal(passes)).agg(F.sum("size").alias("size"), F.count("*").alias("n")).where(f"size > {MOST_ITEM_BYTES} and n > 1").limit(1).count():
+        passes *= 2
     for k in range(passes):
-        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()]
+        part = [(r.item, r.text) for r in items.where(deal(passes) == k).collect()]
         yield items.sparkSession.sparkContext.broadcast(part)
 
 
 def _search(shared, width: int, threshold: float, schema: str, id_col: str, item_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = Sketches(shared.value, width, threshold)
-        for batch in batches:
+        for batch in lots(batches):
             rows = [(i, *x) for i, text in enumerate(batch.column(1).to_pylist()) for x in (sketches.contained(words_of(text)) if sketches.items else ())]
-            _hashes.trim()
             if rows:
                 at, item, common, size = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(item), pa.array(common, pa.int64()), pa.array(size, pa.int64())], names=[id_col, item_col, "n_common", "n_item"])
@@ -142,9 +143,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def _rest(shared, width: int, threshold: float, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = Sketches(shared.value, width, threshold)
-        for batch in batches:
+        for batch in lots(batches):
             clean = [not (sketches.items and sketches.contained(words_of(text))) for text in batch.column(column).to_pylist()]
-            _hashes.trim()
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run
