@@ -359,6 +359,25 @@ def test_a_passage_of_frequent_lines_is_found(spark):
     assert got == {(2000, 1000): (60, 132)}
 
 
+def test_four_holders_of_parts_of_a_passage_all_link(spark):
+    """Two documents that share 66 words alone, and two of smaller ids that hold parts of these words."""
+    shared = words(66, 9950).split()
+    rows = [(470, words(60, 9951) + " " + " ".join(shared[:47])), (471, " ".join(shared[20:]) + " " + words(60, 9952))]
+    rows += [(600, words(60, 9953) + " " + " ".join(shared)), (601, " ".join(shared) + " " + words(60, 9954)), (602, " ".join(shared) + " " + words(70, 9955) + " " + " ".join(shared))]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in found} == {(601, 600), (602, 600), (602, 601)}
+    # a passage counts at every place where it stands
+    assert {(r.start_word, r.end_word) for r in found if r.doc_id == 602} == {(0, 66), (136, 202)}
+
+
+def test_texts_of_one_id_are_cut_apart_and_ids_can_be_strings(spark):
+    shared = words(70, 9960)
+    rows = [("a", shared + " " + words(60, 9961)), ("b", words(60, 9962)), ("b", shared + " " + words(60, 9963)), (None, shared), ("c", words(60, 9962))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    left = sorted(((r.doc_id or "", r.text) for r in substring_dedup.drop_passages(docs).collect()))
+    assert left == sorted([("a", rows[0][1]), ("b", rows[1][1]), ("b", words(60, 9963)), ("", shared)])
+
+
 def test_cutting_keeps_what_stands_between():
     text = "  one two\nthree  four five "
     assert substring_dedup.without(text, [(1, 3)]) == "  one four five "
