@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, licenses, near_dedup, perspectives, sharding, substring_dedup, token_counts, toxicity
-from tidemark.llm.queries import TOKENIZERS
+from tidemark.llm.common import vocabulary
+from tidemark.llm.queries import BPE, PIECES
 
-BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 SCHEMA = "doc_id long, text string, row string, id string, rank long, _spans string"
 
 
@@ -172,7 +172,7 @@ def test_large_benchmarks_take_several_passes(spark, small, monkeypatch):
 def test_bpe_equals_the_library(spark, awkward, empty):
     import tokenizers
 
-    library, own = tokenizers.Tokenizer.from_file(BPE), bpe.load(BPE)
+    library, own = tokenizers.Tokenizer.from_file(vocabulary(BPE)), bpe.load(BPE)
     rng = random.Random(4)
     parts = ["a", "the", " ", "  ", "\n", "\t", "é", "漢字", "<|endoftext|>", "'s", "12", "!?", " ", "x" * 80, " and", "🙂"]
     for _ in range(500):

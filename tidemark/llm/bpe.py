@@ -7,7 +7,8 @@ root. It ends when no pair can be merged. A pre-token of n bytes takes O(n log n
 are merged side by side, each with a tree of its own in the lines of shared arrays.
 
 Texts are first cut before each space: no pre-token crosses such a place, unless the space stands between white space;
-texts with that are cut by the pattern alone. A worker keeps what it has encoded of such pieces, up to ``CACHE`` of them, and starts anew then.
+texts with that are cut by the pattern alone. A task keeps what it has encoded of short pieces, up to ``CACHE`` of them, starts
+anew then, and keeps nothing when it ends.
 
 Null texts count as empty. Special tokens in a text become their own ids, as in the library. Equal rows are encoded each.
 """
@@ -26,7 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-CACHE = 400_000
+from tidemark.llm.common import lots, vocabulary
+
+CACHE = 100_000  #: pieces that a task keeps at most, of at most ``KEPT`` characters each
+KEPT = 64
 SHORT = 64  #: bytes of pre-tokens that are merged side by side
 #: The split pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -220,18 +224,19 @@ class Bpe:
                 out += [" " + r for r in rest]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that are not in the cache, all at once."""
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, str, bytes]]:
+        """Encode pieces that are not in the cache, all at once; the long ones among them are not kept there."""
         for s in pieces & self.special.keys():
             self.cache[s] = 1, str(self.special[s]), s.encode()
         new = list(pieces - self.cache.keys())
         tokens = list(map(self.pattern.findall, new))
         parts = list({t for ts in tokens for t in ts})
         ids = dict(zip(parts, self.merge_many([t.encode() for t in parts]), strict=True))
-        name, cache = self.name, self.cache
+        name, cache, large = self.name, self.cache, {}
         for s, ts in zip(new, tokens, strict=True):
             own = ids[ts[0]] if len(ts) == 1 else [i for t in ts for i in ids[t]]
-            cache[s] = len(own), ",".join([name[i] for i in own]), self.decode(own)
+            (cache if len(s) <= KEPT else large)[s] = len(own), ",".join([name[i] for i in own]), self.decode(own)
+        return large
 
     def texts(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, bytes]]]:
         """Of each text its pieces: number of ids, the ids joined by commas, and the bytes that they decode to."""
@@ -239,9 +244,9 @@ class Bpe:
             cut = [self.cut(t or "") for t in texts[i : i + 256]]
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            self.learn(set().union(*cut))
+            large, cache = self.learn(set().union(*cut)), self.cache
             for pieces in cut:
-                yield list(map(self.cache.__getitem__, pieces))
+                yield [large[p] if p in large else cache[p] for p in pieces] if large else list(map(cache.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in next(self.texts([text])) for i in ids.split(",")]
@@ -250,20 +255,23 @@ class Bpe:
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
     """The vocabulary, once for each worker."""
-    return Bpe(path)
+    return Bpe(vocabulary(path))
 
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for done in bpe.texts(batch.column(1).to_pylist()):
-                counts.append(sum([x[0] for x in done]))
-                ids.append(hashlib.sha256(",".join([x[1] for x in done]).encode()).hexdigest())
-                whole = b"".join([x[2] for x in done]).decode("utf-8", "replace")
-                decoded.append(hashlib.sha256(whole.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in lots(batches):
+                counts, ids, decoded = [], [], []
+                for done in bpe.texts(batch.column(1).to_pylist()):
+                    counts.append(sum([x[0] for x in done]))
+                    ids.append(hashlib.sha256(",".join([x[1] for x in done]).encode()).hexdigest())
+                    whole = b"".join([x[2] for x in done]).decode("utf-8", "replace")
+                    decoded.append(hashlib.sha256(whole.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            bpe.cache.clear()
 
     return run
 
@@ -282,7 +290,7 @@ def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in lots(batches):
             ids = pa.array([bpe.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept, out_col])
 
@@ -297,7 +305,7 @@ def decode_ids(docs: DataFrame, path: str, ids_col: str = "token_ids", out_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in lots(batches):
             texts = [None if ids is None else bpe.decode(ids).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out_col])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,15 @@ class Scratch:
         jvm.System.gc()
 
 
+def vocabulary(path: str) -> str:
+    """The place of a vocabulary file; a bare name is one of the public tokenizers', wherever the worker has them installed."""
+    if os.sep in path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The ``documents`` table, with only the named columns."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")

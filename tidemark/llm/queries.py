@@ -16,15 +16,15 @@ def query(f):
     return f
 
 
+#: Vocabulary files of public tokenizers; parameters, never copied here.
+BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
 @query
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.documents(spark, sf_dir, "doc_id", "text"), width=4, threshold=0.8)
 
 
-#: Vocabulary files of public tokenizers; a parameter, never copied here.
-TOKENIZERS = "/opt/tokenizers"
-
-
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(common.documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=5, threshold=0.8)
@@ -51,12 +51,12 @@ GROUP BY d.doc_id, i.item_id HAVING count(*) >= ceil(0.8 * any_value(s.n_item) -
 
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(common.documents(spark, sf_dir, "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_digests(common.documents(spark, sf_dir, "doc_id", "text"), BPE)
 
 
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(common.documents(spark, sf_dir, "doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.token_counts(common.documents(spark, sf_dir, "doc_id", "text"), PIECES)
 
 
 @query
@@ -97,7 +97,7 @@ FROM placed"""
 
 def learnable():
     """Labels may be learnt from rows whose crc32 of the id, as text, is not divisible by five."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
 @query

@@ -2,8 +2,9 @@
 
 Pre-tokens are the runs of characters between white space, each led by the word mark. A pre-token's tokens are its
 segmentation into vocabulary pieces of the highest total log-probability, then of the fewest pieces; a character
-that no piece covers is spelled in UTF-8 bytes. The vocabulary file ranks its pieces, so a piece's probability is taken
-as Zipf's law gives it: 1 / (rank + 1) over the sum of all.
+that no piece covers is spelled in UTF-8 bytes. The public vocabulary file has pieces and ranks but no unigram
+probabilities, and none are trained: a piece's probability is taken as Zipf's law gives it, 1 / (rank + 1) over the sum of
+all. So the counts are those of this unigram model and of no published tokenizer.
 
 Distinct pre-tokens go into a trie. A node's best score and count depend on its prefix alone, so they are computed when
 the node is made and are shared by all pre-tokens with that prefix; terminal nodes keep the count. The trie starts anew
@@ -22,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES, LONG = 400_000, 48
+from tidemark.llm.common import lots, vocabulary
+
+NODES, LONG = 150_000, 48
 MARK = "▁"
 
 
@@ -106,7 +109,7 @@ def load(path: str) -> PrefixTrie:
     """The model of a vocabulary file, once for each worker."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
     plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     total = math.log(math.fsum(1 / (k + 1) for k in range(len(plain))))
     log_probs = {model.id_to_piece(i): -math.log(k + 1) - total for k, i in enumerate(plain)}
@@ -119,7 +122,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = load(path)
-        for batch in batches:
+        for batch in lots(batches):
             done = [trie.total(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=["id", "n_pretokens", "n_tokens"])
 

@@ -14,7 +14,8 @@ of the values of its three worst tokens, set on the same sample. Spelled-out
 insults ("i d i o t") are read as one more token. Tokens longer than ``WINDOW`` are read in overlapping windows.
 
 Null and empty texts have the score of no evidence. Without labels of both kinds, or any telling token, every score is 0. Labels, language,
-source and id are never inputs of a score. Repeated rows are scored each; rows of ``labels`` that disagree count as toxic.
+source and id are never inputs of a score. Repeated rows are scored each; rows of ``labels`` that disagree,
+and equal texts with unlike labels, count as toxic.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, lots
 
 MOST_DOCS = 12_000  #: labelled documents that training reads at most
 MOST_TOKENS = 12_000  #: distinct tokens that training reads at most
@@ -40,7 +41,8 @@ ORDER, SPAN, DECAY = 3, 5, 0.7
 WINDOW, STRIDE = 24, 12
 EXPLAINED = 0.5  #: what an explanation leaves of a document's weight
 BEGINNING = 8  #: longest beginning of tokens that training counts
-CACHE = 300_000
+CACHE = 100_000  #: tokens, or counts of keys, that a task holds at most
+LOT = 64  #: texts that are scored at a time
 _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]  #: places of the second and third character after the first
 _WEIGHT = np.array([DECAY ** (k - 2) for _, k in _GAPS])
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]*\s+){3,}[^\W\d_](?!\w)")
@@ -156,13 +158,13 @@ class Scorer:
 
     def top(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text; some texts at a time, so that few tokens are held besides the known ones."""
-        return np.concatenate([self._top(texts[i : i + 512]) for i in range(0, len(texts), 512)]) if texts else np.zeros((0, TOP))
+        return np.concatenate([self._top(texts[i : i + LOT]) for i in range(0, len(texts), LOT)]) if texts else np.zeros((0, TOP))
 
     def _top(self, texts: list[str | None]) -> np.ndarray:
         known, all_tokens = self.known, [tokens_of(t) for t in texts]
         new = list(set().union(*all_tokens).difference(known)) if all_tokens else []
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        for i in range(0, len(new), 4000):
+            some = new[i : i + 4000]
             short = [bare(t) for t in some]
             full = [t for t in short if len(t) >= 2]
             values = dict(zip(full, self.model.values(full), strict=True))
@@ -274,19 +276,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.where(learnable) if learnable is not None else marked
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(MOST_DOCS)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = scratch.table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id").dropDuplicates(["text"]), "sample")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")  # MOST_DOCS rows at most
+    sample = scratch.table(rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id")), "sample")
     n_toxic, n_clean = (x or 0 for x in sample.agg(F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("toxic") <= 0).cast("int"))).first())
     if not n_toxic or not n_clean:
         return None
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {0: Counter(), 1: Counter()}
-        for batch in batches:
+
+        def told():
+            for toxic, own in counts.items():
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], names=["token", "toxic", "n"])
+                    own.clear()
+
+        for batch in lots(batches, LOT):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic > 0].update(keys_of(text))
-        for toxic, own in counts.items():
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], names=["token", "toxic", "n"])
+            if sum(map(len, counts.values())) > CACHE:
+                yield from told()
+        yield from told()
 
     spread_ = sample.select("text", "toxic").mapInArrow(spread, "token string, toxic int, n long")
     counts = scratch.table(spread_.groupBy("token").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c")), "counts")
@@ -299,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = {n: k for k, n in enumerate(n for n, g in zip(names, gains(t, c, n_toxic, n_clean), strict=True) if g > np.log(max(total, 2)))}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches, LOT):
             rows = [[wanted[k] for k in keys_of(x) & wanted.keys()] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["keys"])
 
@@ -341,7 +351,7 @@ def top_values(rows: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in lots(batches):
             top = scorer.top(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(list(top), pa.list_(pa.float64()))], names=[*kept, "top"])
 
@@ -357,7 +367,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in lots(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(scorer.top(batch.column(1).to_pylist())))], names=["id", "score"])
 
     out = rows.mapInArrow(run, rows.select("id").schema.add("score", "double"))
@@ -373,7 +383,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in lots(batches):
             keep = pa.array(shared.value.scores(scorer.top(batch.column(1).to_pylist())) < 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
 
