@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One row of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
     return near_dedup.drop_near_duplicates(docs, width=5, threshold=0.8)
 
 
@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of each document."""
-    return bpe.encode_digests(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_digests(docs, queries.BPE)
 
 
 STAGES = [
