@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SECRET = r"(?i)(token|password|secret|api[_-]?key|authorization)(\s*[=:]\s*)\S+"
+#: Names that a value which nobody should read stands after.
+SECRET_NAMES = ("access key", "api key", "authorization", "bearer", "cookie", "credential", "passphrase", "passwd", "password", "private key", "secret", "session id", "token")
+_NAME = "|".join(n.replace(" ", "[ _-]?") for n in SECRET_NAMES)
+#: A name, quoted or not, its separator, and a value: in quotes to their end, or as far as no blank, comma or bracket comes.
+SECRET = rf"""(?i)\b((?:{_NAME})s?["']?\s*[:=]\s*)((?:bearer|basic)\s+)?("(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|[^\s,;&}})\]"']+)"""
 
 
 def redact(text: Column, limit: int = 240) -> Column:
-    """A text with the values after secret-like names masked, cut to a length."""
-    return F.left(F.regexp_replace(text, SECRET, "$1$2<redacted>"), F.lit(limit))
+    """A text with the values after secret-like names masked whole, quoted ones with their quotes, cut to a length."""
+    return F.left(F.regexp_replace(text, SECRET, "$1<redacted>"), F.lit(limit))
 
 
 def split_symbol(symbol: Column) -> tuple[Column, Column]:
@@ -25,12 +29,20 @@ def path_value(path: Column, key: str) -> Column:
     return F.regexp_extract(path, f"(?:^|/){key}=([^/]*)", 1)
 
 
-def failure_category(error: Column) -> Column:
-    return F.when(error.isNull(), "unknown").when(error.isin("TimeoutError", "ConnectionError", "RateLimited"), "transient").when(error.isin("ValidationError", "SchemaError"), "data").otherwise("permanent")
+def failure_category(error: Column, http_status: Column | None = None) -> Column:
+    """Name what failed: a timeout, the network, an HTTP answer, a broken contract of the data, or else something internal."""
+    answered = error.isin("HTTPError", "RateLimited") if http_status is None else error.isin("HTTPError", "RateLimited") | (http_status.isNotNull() & (error == "Other"))
+    return (
+        F.when(error.isNull(), "unknown").when(error.isin("TimeoutError", "Timeout"), "timeout").when(error == "ConnectionError", "network")
+        .when(answered, "http").when(error.isin("ValidationError", "SchemaError", "ValueError"), "contract").otherwise("internal")
+    )
 
 
-def retryable(error: Column) -> Column:
-    return F.coalesce(failure_category(error) == "transient", F.lit(False))
+def retryable(error: Column, http_status: Column | None = None) -> Column:
+    """Whether trying again at once can help: timeouts, the network, and answers that blame the server."""
+    category = failure_category(error, http_status)
+    server = F.coalesce(http_status >= 500, F.lit(False)) if http_status is not None else F.lit(False)
+    return F.coalesce(category.isin("timeout", "network") | ((category == "http") & server), F.lit(False))
 
 
 def capacity_class(free_ratio: Column) -> Column:

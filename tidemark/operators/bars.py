@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import TIMEFRAMES, bucket, next_bucket
+from tidemark.functions.time import TIMEFRAMES, SessionProfile, bucket, next_bucket
+from tidemark.operators import coverage
 
 SERIES = ("provider", "asset_class", "symbol")
 
@@ -31,20 +32,27 @@ def rollup(bars: DataFrame, timeframe: str, keys: tuple[str, ...] = SERIES) -> D
     )
 
 
-def completeness(bars: DataFrame, source: str, target: str, keys: tuple[str, ...] = SERIES, require_contiguous: bool = False) -> DataFrame:
-    """For each target bucket with bars: observed and expected source stamps, and whether it is complete.
+def completeness(bars: DataFrame, source: str, target: str, keys: tuple[str, ...] = SERIES, require_contiguous: bool = False, session: SessionProfile | None = None) -> DataFrame:
+    """For each target bucket with bars: observed and expected source stamps, and whether both are the same set.
 
-    With ``require_contiguous`` neighbours also have to be exactly one source step apart.
+    Expected are the bucket's stamps inside the session, all of them without one; a stamp off the source's cadence or in
+    closed hours makes a bucket incomplete. With ``require_contiguous`` neighbours also have to be exactly one step apart.
     """
     step = TIMEFRAMES[source]
-    start = bucket(F.col("bar_ts"), target)
-    w = Window.partitionBy(*keys, "bucket").orderBy("bar_ts")
-    rows = bars.select(*keys, "bar_ts", start.alias("bucket")).withColumn("gap", F.unix_timestamp("bar_ts") - F.unix_timestamp(F.lag("bar_ts").over(w)))
-    out = rows.groupBy(*keys, "bucket").agg(F.count_distinct("bar_ts").alias("observed"), F.coalesce(F.bool_and(F.col("gap") == step), F.lit(True)).alias("contiguous"))
-    width = F.unix_timestamp(next_bucket(F.col("bucket"), target)) - F.unix_timestamp("bucket")
-    out = out.withColumn("expected", (width / step).cast("long"))
-    complete = F.col("observed") == F.col("expected")
-    return out.withColumn("complete", complete & F.col("contiguous") if require_contiguous else complete)
+    seen = bars.select(*keys, F.col("bar_ts").alias("ts")).distinct().withColumn("bucket", bucket(F.col("ts"), target))
+    buckets = seen.select(*keys, "bucket").distinct()
+    spans = buckets.select(*keys, F.col("bucket").alias("start"), next_bucket(F.col("bucket"), target).alias("end"))
+    expected = coverage.grid(spans, list(keys), step, session).where("open").select(*keys, "ts", F.lit(True).alias("expected"))
+    both = seen.withColumn("observed", F.lit(True)).drop("bucket").join(expected, [*keys, "ts"], "full_outer").withColumn("bucket", bucket(F.col("ts"), target))
+    w = Window.partitionBy(*keys, "bucket").orderBy("ts")
+    gap = F.when(F.col("observed"), F.unix_timestamp("ts")) - F.last(F.when(F.col("observed"), F.unix_timestamp("ts")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = both.withColumn("gap", gap) if require_contiguous else both.withColumn("gap", F.lit(None).cast("long"))
+    out = rows.groupBy(*keys, "bucket").agg(
+        F.count("observed").alias("observed"), F.count("expected").alias("expected"), F.count(F.when(F.col("observed") & F.col("expected"), True)).alias("_both"),
+        F.coalesce(F.bool_and(F.col("gap") == step), F.lit(True)).alias("contiguous"),
+    )
+    same = (F.col("observed") == F.col("expected")) & (F.col("_both") == F.col("expected"))
+    return out.withColumn("complete", same & F.col("contiguous")).drop("_both")
 
 
 def lineage(bars: DataFrame, timeframe: str, keys: tuple[str, ...] = SERIES) -> DataFrame:

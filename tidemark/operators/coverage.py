@@ -18,26 +18,50 @@ def grid(ranges: DataFrame, keys: list[str], step: int, session: SessionProfile
     return out.withColumn("open", session.is_open(F.col("ts")) if session else F.lit(True))
 
 
+def _day(ts: str) -> Column:
+    return F.to_date(ts).alias("_day")
+
+
 def islands(df: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
-    """Maximal runs of stamps exactly one step apart: (keys, start, end exclusive, n)."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    new = F.coalesce((F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w)) > step).cast("int"), F.lit(1))
-    runs = df.select(*keys, ts).distinct().withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    return runs.groupBy(*keys, "_run").agg(F.min(ts).alias("start"), (F.max(ts) + F.expr(f"interval {step} second")).alias("end"), F.count("*").alias("n")).drop("_run")
+    """Maximal runs of stamps at most one step apart: (keys, start, end exclusive, n).
+
+    Runs are found day by day; only these, not the stamps, are then put together over a whole series.
+    """
+    day = Window.partitionBy(*keys, "_day").orderBy(ts)
+    new = F.coalesce((F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(day)) > step).cast("int"), F.lit(1))
+    marked = df.select(*keys, ts).distinct().withColumn("_day", _day(ts)).withColumn("_new", new).withColumn("_run", F.sum("_new").over(day))
+    runs = marked.groupBy(*keys, "_day", "_run").agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy("start")
+    seam = F.coalesce((F.unix_timestamp("start") - F.unix_timestamp(F.lag("last").over(w)) > step).cast("int"), F.lit(1))
+    whole = runs.withColumn("_new", seam).withColumn("_run", F.sum("_new").over(w))
+    return whole.groupBy(*keys, "_run").agg(F.min("start").alias("start"), (F.max("last") + F.expr(f"interval {step} second")).alias("end"), F.sum("n").alias("n")).drop("_run")
 
 
 def calendar_islands(stamps: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Runs of stamps with a true flag, unbroken by flagged-false ones between: closed times, absent here, break nothing."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    runs = stamps.withColumn("_run", F.sum((~F.col(flag)).cast("int")).over(w)).where(flag)
+    """Runs of stamps with a true flag, unbroken by flagged-false ones between: closed times, absent here, break nothing.
+
+    Breaks are counted day by day; a series' running count is over its days.
+    """
+    breaks = (~F.col(flag)).cast("int")
+    rows = stamps.withColumn("_day", _day("ts"))
+    days = rows.groupBy(*keys, "_day").agg(F.sum(breaks).alias("_k"))
+    days = days.select(*keys, "_day", (F.sum("_k").over(Window.partitionBy(*keys).orderBy("_day")) - F.col("_k")).alias("_before"))
+    inside = F.sum(breaks).over(Window.partitionBy(*keys, "_day").orderBy("ts"))
+    runs = rows.withColumn("_in", inside).where(flag).join(days, [*keys, "_day"]).withColumn("_run", F.col("_before") + F.col("_in"))
     return runs.groupBy(*keys, "_run").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("_run")
 
 
 def lag_gaps(df: DataFrame, keys: list[str], ts: str, step: Column | int) -> DataFrame:
-    """Distinct stamps whose distance to the one before exceeds the step: (keys, previous, ts, seconds)."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    seconds = F.unix_timestamp(ts) - F.unix_timestamp("previous")
-    return df.select(*keys, ts).distinct().withColumn("previous", F.lag(ts).over(w)).withColumn("seconds", seconds).where(F.col("seconds") > step)
+    """Distinct stamps whose distance to the one before exceeds the step: (keys, previous, ts, seconds).
+
+    The stamp before a day's first one comes from a table of the days.
+    """
+    rows = df.select(*keys, ts).distinct().withColumn("_day", _day(ts))
+    days = rows.groupBy(*keys, "_day").agg(F.max(ts).alias("_last"))
+    days = days.select(*keys, "_day", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("_entry"))
+    inside = F.lag(ts).over(Window.partitionBy(*keys, "_day").orderBy(ts))
+    out = rows.withColumn("_in", inside).join(days, [*keys, "_day"]).withColumn("previous", F.coalesce("_in", "_entry")).drop("_day", "_in", "_entry")
+    return out.withColumn("seconds", F.unix_timestamp(ts) - F.unix_timestamp("previous")).where(F.col("seconds") > step)
 
 
 def summary(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -70,3 +94,9 @@ def prefix_boundary(marked: DataFrame, keys: list[str]) -> DataFrame:
     """The last seen stamp before the first hole of each series; null if the first stamp is missing."""
     first = marked.groupBy(*keys).agg(F.min(F.when(~F.col("seen"), F.col("ts"))).alias("hole"))
     return marked.where("seen").join(first, keys, "right").groupBy(*keys).agg(F.max(F.when(F.col("hole").isNull() | (F.col("ts") < F.col("hole")), F.col("ts"))).alias("latest_complete"))
+
+
+def findings(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """Coverage findings of evaluated series that are not ready: (keys, code)."""
+    code = F.when(F.col("readiness") == "not_ready", "coverage_not_ready").otherwise("coverage_degraded")
+    return summaries.where("readiness <> 'ready'").select(*keys, code.alias("code"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import TIMEFRAMES, SessionProfile, bucket, bucket_window, next_bucket
 from tidemark.operators import bars as bar_ops
-from tidemark.operators import coverage, versions
+from tidemark.operators import coverage, versions, windows
 
 
 @dataclass(frozen=True)
@@ -85,12 +85,15 @@ def chain(recipe_id: str) -> list[Recipe]:
     return out
 
 
-def derive(rows: DataFrame, recipe: Recipe, snapshot: str) -> DataFrame:
-    """Derived bars with their lineage; rows that the recipe does not allow are left out, and so are incomplete buckets under 'drop'."""
+def derive(rows: DataFrame, recipe: Recipe, snapshot: str, session: SessionProfile | None = None) -> DataFrame:
+    """Derived bars with their lineage; rows that the recipe does not allow are left out, and so are incomplete buckets under 'drop'.
+
+    With a session, a bucket is complete when it has all bars of its open hours and no others.
+    """
     keys = list(bar_ops.SERIES)
     allowed = rows.where(recipe.allows())
     out = bar_ops.rollup(allowed, recipe.target).withColumnRenamed("bucket", "bar_ts")
-    complete = bar_ops.completeness(allowed, recipe.source, recipe.target).select(*keys, F.col("bucket").alias("bar_ts"), "complete")
+    complete = bar_ops.completeness(allowed, recipe.source, recipe.target, session=session).select(*keys, F.col("bucket").alias("bar_ts"), "complete")
     out = out.join(complete, [*keys, "bar_ts"])
     if recipe.policy == "drop":
         out = out.where("complete")
@@ -118,23 +121,46 @@ def plan(requests: DataFrame, published: DataFrame, keys: list[str], target: str
     """What to do with each requested window (keys, start, end): not_ready without whole buckets, skipped when closed, already_materialized inside published ranges, else planned."""
     low, high = bucket_window(F.col("start"), F.col("end"), target)
     rows = requests.withColumns({"low": low, "high": high, "opens": opens})
-    done = rows.alias("q").join(published.alias("p"), [F.col(f"q.{k}") == F.col(f"p.{k}") for k in keys] + [F.col("p.start") <= F.col("q.low"), F.col("q.high") <= F.col("p.end")], "left_semi")
-    marked = rows.join(done.select(*keys, "start", "end").distinct().withColumn("done", F.lit(True)), [*keys, "start", "end"], "left")
+    whole = rows.where("low is not null").select(*keys, F.col("low").alias("start"), F.col("high").alias("end")).distinct()
+    done = windows.contained(whole, published, keys, []).select(*keys, F.col("start").alias("low"), F.col("end").alias("high"), F.lit(True).alias("done"))
+    marked = rows.join(done, [*keys, "low", "high"], "left")
     state = F.when(F.col("low").isNull(), "not_ready").when(~F.col("opens"), "skipped").when(F.col("done"), "already_materialized").otherwise("planned")
     return marked.select(*keys, "start", "end", "low", "high", state.alias("state"))
 
 
 def parity(stored: DataFrame, again: DataFrame, keys: list[str], snapshot: str) -> DataFrame:
     """Findings of stored derived bars against their derivation: missing outputs, drifted lineage and differing prices."""
-    both = again.select(*keys, F.lit(True).alias("made"), *[F.col(c).alias(f"_{c}") for c in ("open", "high", "low", "close")]).join(stored, keys, "full_outer")
+    made = again.select(*keys, F.lit(True).alias("made"), *[F.col(c).alias(f"_{c}") for c in ("open", "high", "low", "close")])
+    both = made.join(stored.withColumn("kept", F.lit(True)), keys, "full_outer")
     differs = (F.col("open") != F.col("_open")) | (F.col("high") != F.col("_high")) | (F.col("low") != F.col("_low")) | (F.col("close") != F.col("_close"))
-    code = F.when(F.col("input_snapshot_id").isNull(), "parity_missing_outputs").when(F.col("made").isNull(), "parity_extra_outputs").when(F.col("input_snapshot_id") != snapshot, "lineage_drift").when(differs, "parity_difference")
+    code = F.when(F.col("kept").isNull(), "parity_missing_outputs").when(F.col("made").isNull(), "parity_extra_outputs").when(~F.col("input_snapshot_id").eqNullSafe(snapshot), "lineage_drift").when(differs, "parity_difference")
     return both.select(*keys, code.alias("code")).where("code is not null")
 
 
 Normalizer = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class Connector:
+    """A provider: where its payloads lie, and how they become bars; ``fetch_bars`` takes a job's selector and half-open range."""
+
+    provider: str
+    payloads: Callable[[dict], DataFrame]
+    normalize: Normalizer
+
+    def fetch_bars(self, job: dict) -> DataFrame:
+        rows = versions.selector(self.normalize(self.payloads(job)), {k: v for k, v in job.items() if k not in ("start", "end")})
+        return rows.where(versions.in_range("bar_ts", F.lit(job["start"]).cast("timestamp"), F.lit(job["end"]).cast("timestamp"))).withColumn("provider", F.lit(self.provider))
+
+
+CONNECTORS: dict[str, Connector] = {}
+
+
+def register_connector(connector: Connector) -> Connector:
+    CONNECTORS[connector.provider] = connector
+    return connector
+
+
 def bars(spark, path: str, schema, wanted: dict[str, object] | None = None, start=None, end=None) -> DataFrame:
     """Current bars of a folder of parts, of one selector and half-open range."""
     rows = versions.selector(spark.read.schema(schema).parquet(path), wanted or {})
@@ -148,4 +174,4 @@ def observations(spark, path: str, schema, tie: str, asof=None) -> DataFrame:
     rows = spark.read.schema(schema).parquet(path)
     if asof is None:
         return versions.current_observations(rows, tie)
-    return versions.observed_asof(rows, spark.range(1).select(F.lit(asof).cast("timestamp").alias("asof")), tie)
+    return versions.observed_asof(rows, [asof], tie)

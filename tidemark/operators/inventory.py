@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import capacity_class
 from tidemark.functions.time import timeframe_seconds
 
 
@@ -18,17 +21,29 @@ def inventory(rows: DataFrame, keys: list[str], ts: str, timeframe: str = "timef
     return base.join(gaps, keys, "left")
 
 
-def migration_decision(row_count: Column, duplicates: Column, gaps: Column, price_types: Column, min_ts: Column, max_ts: Column, start, end) -> Column:
-    """The first gate that an inventory row fails, or 'migrate'."""
+def migration_decision(start: Column, end: Column, free_ratio: Column, provenance: Column, price_types: Column, duplicates: Column, invalid: Column) -> Column:
+    """The first of seven gates that an item and its window of days fail, or that all pass. An unknown capacity stops nothing."""
+    zero = lambda c: F.coalesce(c, F.lit(0)) != 0
+    only_bid = F.coalesce(F.array_except(price_types, F.array(F.lit("bid"))) == F.array().cast("array<string>"), F.lit(False)) & F.array_contains(price_types, "bid")
     return (
-        F.when(row_count == 0, "skip_empty").when(F.size(price_types) > 1, "skip_mixed_prices").when(~F.array_contains(price_types, "bid"), "skip_not_bid").when(duplicates > 0, "deduplicate_first")
-        .when(min_ts > F.lit(start).cast("timestamp"), "starts_late").when(max_ts < F.lit(end).cast("timestamp"), "ends_early").when(gaps > 0, "repair_gaps").otherwise("migrate")
+        F.when(end <= start, "invalid_window").when(F.datediff(end, start) > 31, "window_exceeds_31_days")
+        .when(free_ratio.isNotNull() & (capacity_class(free_ratio) != "ok"), "capacity_not_ok").when(~F.coalesce(provenance, F.lit(False)), "bid_provenance_unconfirmed")
+        .when(~only_bid, "legacy_price_basis_not_bid").when(zero(duplicates), "duplicate_timestamps").when(zero(invalid), "invalid_timestamps").otherwise("all_migration_gates_pass")
     )
 
 
-def attestation(keys: list[str], digest: Column) -> Column:
-    """Hash of a series' identity and its content's digest."""
-    return F.sha2(F.concat_ws("|", *keys, digest), 256)
+ATTESTED = ("basis", "method", "attested_by", "attested_at")  #: what an attestation has to say
+
+
+def attestation_state() -> Column:
+    """Whether a row's attestation is complete and of bid prices."""
+    lacking = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.trim(c) == "") for c in ATTESTED])
+    return F.when(lacking, "incomplete").when(F.col("basis") != "bid", "basis_not_bid").otherwise("attested")
+
+
+def attestation(keys: list[str]) -> Column:
+    """Hash of a series' identity and all that its attestation says; null unless that is complete and of bid prices."""
+    return F.when(attestation_state() == "attested", F.sha2(F.concat_ws("|", *keys, *ATTESTED), 256))
 
 
 def unlisted(files: DataFrame, manifest_parts: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:

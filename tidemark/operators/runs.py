@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import retryable
+from tidemark.sources.storage import written
 
 
 def metrics(runs: DataFrame) -> DataFrame:
@@ -15,6 +16,36 @@ def metrics(runs: DataFrame) -> DataFrame:
     return grouped.agg(F.count("*").alias("n"), F.sum("retry_count").alias("retries"), F.sum("duration_s").alias("duration_s"), F.max("duration_s").alias("longest_s"), F.grouping_id().alias("level"))
 
 
+def queue_metrics(runs: DataFrame, now: Column) -> DataFrame:
+    """Queue depth and age, time-outs, retries, dead letters, success and durations of each scope and of all runs, in one pass."""
+    is_ = lambda *states: F.col("state").isin(*states)
+    age, took = F.unix_timestamp(now) - F.unix_timestamp("created_at"), F.when(F.col("finished_at").isNotNull(), F.col("duration_s"))
+    ended = F.count_if(is_("completed", "failed", "dead_letter"))
+    return runs.rollup("run_scope").agg(
+        F.count("*").alias("runs"), F.count_if(is_("queued")).alias("queue_depth"), F.max(F.when(is_("queued"), age)).alias("oldest_queued_s"), F.count_if(F.col("error_type") == "TimeoutError").alias("timeouts"), F.sum("retry_count").alias("retries"),
+        F.count_if(is_("dead_letter")).alias("dead_letters"), F.count_if(is_("dead_letter") & (F.col("dead_state") == "active")).alias("dead_active"), F.try_divide(F.count_if(is_("completed")), ended).alias("success_rate"),
+        F.count(took).alias("durations"), F.sum(took).alias("duration_sum"), F.max(took).alias("duration_max"), F.avg(took).alias("duration_mean"),
+    )
+
+
+def waiting(runs: DataFrame) -> DataFrame:
+    """Number and earliest time of waiting runs by status, and by status and provider (null provider: all)."""
+    sets = [[F.col("status")], [F.col("status"), F.col("provider")]]
+    return runs.groupingSets(sets, "status", "provider").agg(F.count("*").alias("n"), F.min("created_at").alias("earliest")).select("status", "provider", "n", "earliest")
+
+
+def step_states(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """The state of each step (step, upstream) from its runs (step, status): failed, running, blocked by a failure upstream, completed, or skipped without runs."""
+    n = {s: F.count_if(F.col("status") == s) for s in ("completed", "failed", "running")}
+    counts = runs.groupBy("step").agg(*[c.alias(s) for s, c in n.items()])
+    own = steps.join(counts, "step", "left").withColumns({s: F.coalesce(s, F.lit(0)) for s in n})
+    rows = own.join(counts.select(F.col("step").alias("upstream"), F.col("failed").alias("above")), "upstream", "left")
+    busy, blocked = (F.col("failed") > 0) | (F.col("running") > 0), F.coalesce(F.col("above") > 0, F.lit(False))
+    state = F.when(F.col("failed") > 0, "failed").when(F.col("running") > 0, "running").when(blocked, "blocked").when(F.col("completed") > 0, "completed").otherwise("skipped")
+    reason = F.when(~busy & blocked, "upstream_failed").when(state == "skipped", "no_runs")
+    return rows.select("step", "upstream", *n, state.alias("state"), reason.alias("reason"))
+
+
 def success_windows(runs: DataFrame, now: Column, hours: dict[str, int]) -> DataFrame:
     """For each window before ``now``: finished runs, passed ones and their rate, null without runs; one pass over the log."""
     aggs = []
@@ -47,15 +78,26 @@ def transitions(samples: DataFrame, keys: list[str], ts: str, state: str) -> Dat
     return changed.withColumn("generation", F.row_number().over(w).cast("long"))
 
 
-def retry_roots(spark, runs: DataFrame, most: int = 50) -> DataFrame:
-    """For each run the first of its chain of retries and its depth, by a recursive query bounded in depth."""
-    runs.select("run_id", "retry_of").createOrReplaceTempView("tidemark_runs")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(run_id, root, depth) MAX RECURSION LEVEL {most + 5} AS (
-          SELECT run_id, run_id, 0 FROM tidemark_runs WHERE retry_of IS NULL
-          UNION ALL
-          SELECT r.run_id, c.root, c.depth + 1 FROM tidemark_runs r JOIN chain c ON r.retry_of = c.run_id WHERE c.depth < {most}
-        ) SELECT run_id, root, depth FROM chain""")
+def retry_roots(runs: DataFrame, root: str) -> DataFrame:
+    """For each run the first of its chain of retries, its depth in it, and whether the chain is a cycle, which has neither.
+
+    Pointer jumping: each round doubles the stretch that a run looks back, so a chain of n runs takes log2(n) rounds, each
+    written below ``root``. A run whose predecessor is not in the log begins a chain. A cycle never ends at a first run: it
+    is known by the rounds, which are enough for a chain of all runs.
+    """
+    known = runs.select(F.col("run_id").alias("up"), F.lit(True).alias("known"))
+    rows = runs.select("run_id", F.col("retry_of").alias("up")).join(known, "up", "left")
+    up = F.when(F.col("known"), F.col("up"))
+    now = written(rows.select("run_id", F.coalesce(up, "run_id").alias("up"), up.isNotNull().cast("long").alias("depth")), root, "chains-0")
+    rounds = max(1, now.count()).bit_length()
+    for k in range(1, rounds + 1):
+        ahead = now.select(F.col("run_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        now = written(now.join(ahead, "up").select("run_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "more"), root, f"chains-{k}")
+        if now.where("more > 0").isEmpty():
+            break
+        now = now.drop("more")
+    cycle = F.col("depth") >= 2**rounds if "more" not in now.columns else F.lit(False)
+    return now.select("run_id", F.when(~cycle, F.col("up")).alias("root"), F.when(~cycle, F.col("depth")).alias("depth"), cycle.alias("cycle"))
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], payload: Column) -> DataFrame:
@@ -63,3 +105,20 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str], payload: Column
     w = Window.partitionBy(*keys)
     marked = df.withColumn("_payload", payload).withColumns({"_k": F.row_number().over(w.orderBy(*order)), "_low": F.min("_payload").over(w), "_high": F.max("_payload").over(w)})
     return marked.where("_k = 1").withColumn("conflict", F.col("_low") != F.col("_high")).drop("_k", "_low", "_high", "_payload")
+
+
+def views(runs: DataFrame, selector: list[str]) -> DataFrame:
+    """Stage, outcome, degraded reasons (each once, in order), number of windows and selector of each run.
+
+    Reads readiness, manifest, failure_stage, planned_windows, session_closed, provider_gap and the number of findings.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    status, done = F.col("status"), F.col("status") == "completed"
+    stage = F.when(status.isin("queued", "running"), status).when(done, F.when(yes("manifest"), "published").otherwise("verified")).otherwise(F.coalesce("failure_stage", F.lit("execute")))
+    reasons = F.array(
+        F.when(F.col("readiness") == "degraded", "coverage_degraded").when(F.col("readiness") == "not_ready", "coverage_not_ready"),
+        F.when(yes("session_closed"), "session_closed").when(yes("provider_gap"), "provider_gap"),
+        F.when(status.isin("queued", "running") & (F.col("retry_count") > 0), "retrying"), F.when(done & (F.col("findings") > 0), "findings_recorded"),
+    )
+    out = runs.withColumns({"stage": stage, "reasons": F.array_distinct(F.filter(reasons, lambda r: r.isNotNull())), "window_count": F.coalesce("planned_windows", F.lit(1)), "selector": F.concat_ws("/", *selector)})
+    return out.withColumn("outcome", F.when(done, F.when(F.size("reasons") > 0, "degraded").otherwise("pass")).otherwise(F.coalesce(status, F.lit("unknown"))))

@@ -35,15 +35,31 @@ def visible_at(asof: Column) -> Column:
     return (F.col("asof_ts") <= asof) & (by_vintage | by_release)
 
 
-def observed_asof(obs: DataFrame, instants: DataFrame, tie: str) -> DataFrame:
+def visible_from() -> Column:
+    """The first instant at which an observation is public; null for unknown policies, which never are."""
+    lag = F.coalesce("availability_lag_days", F.lit(0))
+    policy = F.when(F.col("availability_policy") == "vintage", F.date_add("vintage_start", lag).cast("timestamp"))
+    policy = policy.when(F.col("availability_policy") == "release", F.col("release_ts") + F.make_dt_interval(lag))
+    return F.when(policy.isNotNull() & F.col("asof_ts").isNotNull(), F.greatest(policy, F.col("asof_ts")))
+
+
+def observed_asof(obs: DataFrame, instants: list, tie: str) -> DataFrame:
     """For each instant (asof), the latest visible version of each observation.
 
-    Versions are joined to the days that follow their as-of date by a bucket of instants, so the plan has an equality
-    to shuffle on; ``instants`` are few and their number is the caller's query set.
+    ``instants`` are the caller's query set, a list of timestamps (or their texts). A version counts from the first of them
+    that sees it; of each such step one version of an observation is left, and only these are given to the later instants.
+    So there is no join, and a row for each observation and instant at most.
     """
-    order = [F.when(F.col("availability_policy") == "vintage", F.col("vintage_start").cast("timestamp")).otherwise(F.col("release_ts")).desc_nulls_last(), F.col("asof_ts").desc_nulls_last(), F.col(tie).desc()]
-    seen = obs.join(instants, F.col("asof_ts") <= F.col("asof"), "inner").where(visible_at(F.col("asof")))
-    return ranked_first(seen, ["asof", "series_id", "observation_date"], order)
+    marks = F.array_sort(F.array_distinct(F.array(*[F.lit(i).cast("timestamp") for i in instants])))
+    order = F.struct(
+        F.when(F.col("availability_policy") == "vintage", F.col("vintage_start").cast("timestamp")).otherwise(F.col("release_ts")).alias("o1"),
+        F.col("asof_ts").alias("o2"), F.col(tie).alias("o3"),
+    )
+    row = F.struct(*[F.col(c) for c in obs.columns])
+    seen = obs.select("series_id", "observation_date", order.alias("o"), row.alias("row"), F.filter(marks, lambda a: a >= visible_from()).alias("later")).where(F.size("later") > 0)
+    step = seen.groupBy("series_id", "observation_date", "later").agg(F.max_by("row", "o").alias("row"), F.max("o").alias("o"))
+    out = step.select("series_id", "observation_date", "o", "row", F.explode("later").alias("asof"))
+    return out.groupBy("series_id", "observation_date", "asof").agg(F.max_by("row", "o").alias("row")).select("asof", "row.*")
 
 
 def in_range(ts: str, start, end) -> Column:
@@ -61,17 +77,49 @@ def after(keys: list[str], values: list) -> Column:
     return F.struct(*keys) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, values, strict=True)])
 
 
+def derived_rows(df: DataFrame, recipe_id: str, recipe_version: str, wanted: dict[str, object] | None = None) -> DataFrame:
+    """Rows of one recipe and version; both have to be named, so that bars of different recipes are never mixed."""
+    if not recipe_id or not recipe_version:
+        raise ValueError("derived bars are read by recipe_id and recipe_version")
+    return selector(df.where((F.col("recipe_id") == recipe_id) & (F.col("recipe_version") == recipe_version)), wanted or {})
+
+
 def page(df: DataFrame, keys: list[str], size: int, last: list | None = None) -> DataFrame:
-    """A page of at most ``size`` rows after ``last`` by key order, with ``has_more``; one row beyond decides on that."""
+    """A page of at most ``size`` rows after ``last`` by key order, with ``has_more``; one row beyond decides on that.
+
+    The bound on the first key alone says nothing new, but it is one that Spark can push below rankings and into the scan.
+    """
     if not 1 <= size <= 10_000:
         raise ValueError("a page has 1 to 10000 rows")
-    rows = df.where(after(keys, last)) if last is not None else df
+    rows = df.where((F.col(keys[0]) >= F.lit(last[0])) & after(keys, last)) if last is not None else df
     got = rows.orderBy(*keys).limit(size + 1)
     w = Window.partitionBy(F.lit(1)).orderBy(*keys)  # over size + 1 rows
     return got.withColumn("_k", F.row_number().over(w)).withColumn("has_more", F.max("_k").over(Window.partitionBy(F.lit(1))) > size).where(F.col("_k") <= size).drop("_k")
 
 
+def pages(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """All pages of one fixed set of rows: each row with the number of its page, from 0; ``df`` is read once.
+
+    Rows are numbered by ranges of the keys, so no task holds more than one range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_k"))  # a row for each range
+    before = sizes.select("_part", (F.sum("_k").over(Window.orderBy("_part")) - F.col("_k")).alias("_before"))
+    place = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)
+    return ranged.join(F.broadcast(before), "_part").withColumn("page", F.floor(place / size).cast("long")).drop("_at", "_part", "_before")
+
+
+def scan_counts(df: DataFrame, condition: Column) -> DataFrame:
+    """One row: how many rows a query looks at and how many match; a sum beside the page, not a window over all rows."""
+    return df.agg(F.count("*").alias("rows_scanned"), F.count_if(condition).alias("matched"))
+
+
 def two_phase_page(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """The same rows as the first page, with keys read first and wide rows only up to the last key."""
-    bound = df.select(F.struct(*keys).alias("k")).orderBy("k").limit(size).agg(F.max("k").alias("bound"))
-    return df.join(F.broadcast(bound), F.struct(*keys) <= F.col("bound")).drop("bound")
+    """The same rows as the first page, with keys read first and wide rows only up to the last key, which one row tells."""
+    bound = df.select(*keys).orderBy(*keys).limit(size).agg(F.max(F.struct(*keys)).alias("bound")).first().bound
+    if bound is None:
+        return df.limit(0)
+    last = F.struct(*[F.lit(bound[k]).alias(k) for k in keys])
+    return df.where((F.col(keys[0]) <= F.lit(bound[keys[0]])) & (F.struct(*keys) <= last))

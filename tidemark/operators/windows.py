@@ -48,14 +48,23 @@ def contained(requests: DataFrame, intervals: DataFrame, keys: list[str], id_col
     return hit.select(*keys, *id_cols, "start", "end").distinct()
 
 
-def sharded(df: DataFrame, keys: list[str], step: str) -> DataFrame:
-    """Intervals in shards of at most ``step`` (such as '2 days'), with ordinals from 0 for each key."""
-    parts = df.where("start < end").select(*keys, "start", "end", F.explode(F.sequence("start", F.col("end") - F.expr("interval 1 microsecond"), F.expr(f"interval {step}"))).alias("s"))
-    parts = parts.select(*keys, F.col("s").alias("start"), F.least(F.col("end"), F.col("s") + F.expr(f"interval {step}")).alias("end"))
+def sharded(df: DataFrame, keys: list[str], step: str | Column) -> DataFrame:
+    """Intervals in shards of at most ``step`` (such as '2 days', or a column of day intervals), with ordinals from 0 for each key."""
+    wide = F.expr(f"interval {step}") if isinstance(step, str) else step
+    rows = df.where("start < end").withColumn("_wide", wide)
+    parts = rows.select(*keys, "end", "_wide", F.explode(F.sequence(F.col("start"), F.col("end") - F.expr("interval 1 microsecond"), F.col("_wide"))).alias("s"))
+    parts = parts.select(*keys, F.col("s").alias("start"), F.least(F.col("end"), F.col("s") + F.col("_wide")).alias("end"))
     w = Window.partitionBy(*keys).orderBy("start", "end")
     return parts.withColumn("ordinal", (F.row_number().over(w) - 1).cast("long"))
 
 
+def clamped(df: DataFrame, limits: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Shards no longer than the least of a policy's and a provider's days (limits: by, policy_days, capability_days), each a window of its own."""
+    rows = df.join(limits, by, "left")
+    days = F.greatest(F.lit(1), F.coalesce(F.least("policy_days", "capability_days"), F.lit(1)))  # least() passes over nulls
+    return sharded(rows, keys, F.make_dt_interval(days.cast("int")))
+
+
 def recompute(df: DataFrame, timeframe: str, lookback: str | None = None) -> DataFrame:
     """Intervals widened to whole target buckets, and by a lookback before them."""
     low = bucket(F.col("start") - F.expr(f"interval {lookback}") if lookback else F.col("start"), timeframe)
@@ -78,7 +87,7 @@ def debt_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def check_execution(df: DataFrame, keys: list[str]) -> DataFrame:
     """Jobs' windows (start, end, ordinal, job_start, job_end, gap_repair): which rule each job breaks, if any."""
-    w = Window.partitionBy(*keys).orderBy("ordinal")
+    w = Window.partitionBy(*keys).orderBy("ordinal", "start")
     rows = df.withColumns({"_prev": F.lag("end").over(w), "_k": F.row_number().over(w) - 1})
     out = rows.groupBy(*keys).agg(
         F.bool_or((F.col("start") < F.col("job_start")) | (F.col("end") > F.col("job_end"))).alias("outside"), F.bool_or(F.col("start") >= F.col("end")).alias("empty"),
@@ -93,3 +102,21 @@ def budgeted(df: DataFrame, keys: list[str], budget: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("priority", "start", "end")
     n = F.count("*").over(Window.partitionBy(*keys))
     return df.withColumns({"rank": F.row_number().over(w).cast("long"), "truncated": n > budget}).where(F.col("rank") <= budget)
+
+
+def gap_debt(failed: DataFrame, ready: DataFrame, keys: list[str], id_cols: list[str]) -> DataFrame:
+    """What failed runs still owe: (keys, ids, start, end).
+
+    ``failed`` has the windows of each run's plan and ``error``: a provider's gap owes its whole windows, a coverage finding
+    what no ready interval of the key covers; other failures, of which nothing about the data is known, owe nothing.
+    Windows without a length owe nothing either.
+    """
+    rows = failed.where("start < end")
+    whole = rows.where("error = 'gap'").select(*keys, *id_cols, "start", "end")
+    rest = subtract(rows.where("error = 'coverage'").select(*keys, *id_cols, "start", "end"), ready, keys, id_cols).drop("ordinal")
+    return whole.unionByName(rest).distinct()
+
+
+def cooling(debt: DataFrame, finished: str, now: Column, minutes: int) -> DataFrame:
+    """The debt of runs that ended so shortly before ``now`` that it is not to be tried again yet."""
+    return debt.where(F.col(finished) >= now - F.make_dt_interval(mins=F.lit(minutes)))

@@ -17,6 +17,13 @@ PIT = """SELECT {cols} FROM observations o {join} WHERE asof_ts <= {a} AND ((ava
   QUALIFY row_number() OVER (PARTITION BY {by}series_id, observation_date ORDER BY CASE WHEN availability_policy = 'vintage' THEN vintage_start::TIMESTAMP ELSE release_ts END DESC NULLS LAST, asof_ts DESC NULLS LAST, tie DESC) = 1"""
 
 
+SESSION_SQL = {
+    "weekdays": "isodow(ts) <= 5 AND ts::DATE <> DATE '2024-01-15'",
+    "fx": "(CASE WHEN w >= 9660 THEN true WHEN w < 6780 THEN true ELSE false END) AND NOT (m >= 1020 AND m < 1080)",
+}
+LOCAL = "(SELECT *, (isodow(local) - 1) * 1440 + hour(local) * 60 + minute(local) AS w, hour(local) * 60 + minute(local) AS m FROM (SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM grid))"
+
+
 @query(f"SELECT {COLUMNS} FROM bars", "bars")
 def e1_current_bars(t: Tables):
     return t.bars().select(*NAMES)
@@ -68,13 +75,27 @@ def d3_null_propagating_sum(t: Tables):
     return rows.groupBy("asset_class", "bar_ts").agg(bars.sum_or_null("volume").alias("volume"))
 
 
+FX_DAYS = """, cells AS (SELECT symbol, unnest(generate_series(day, day + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT symbol, date_trunc('day', bar_ts) AS day FROM bars)),
+    cell AS (SELECT symbol, ts FROM {local} WHERE {fx}),
+    buckets AS (SELECT coalesce(c.symbol, b.symbol) AS symbol, date_trunc('day', coalesce(ts, bar_ts)) AS bucket, count(bar_ts) AS observed, count(ts) AS expected, count(*) FILTER (ts IS NOT NULL AND bar_ts IS NOT NULL) AS n
+      FROM cell c FULL JOIN (SELECT DISTINCT symbol, bar_ts FROM bars) b ON b.symbol = c.symbol AND b.bar_ts = c.ts GROUP BY ALL)"""
+ALL_DAYS = """, gaps AS (SELECT symbol, bar_ts, epoch(bar_ts - lag(bar_ts) OVER (PARTITION BY symbol, date_trunc('day', bar_ts) ORDER BY bar_ts)) AS gap FROM bars)"""
+
+
 @query(
-    """SELECT symbol, date_trunc('day', bar_ts) AS bucket, count(DISTINCT bar_ts) AS observed, 24::BIGINT AS expected, coalesce(bool_and(gap = 3600), true) AS contiguous, count(DISTINCT bar_ts) = 24 AS complete
-    FROM (SELECT *, epoch(bar_ts - lag(bar_ts) OVER (PARTITION BY symbol, date_trunc('day', bar_ts) ORDER BY bar_ts)) AS gap FROM bars) GROUP BY ALL""",
+    ALL_DAYS + """ SELECT symbol, date_trunc('day', bar_ts) AS bucket, count(DISTINCT bar_ts) AS observed, 24::BIGINT AS expected, coalesce(bool_and(gap = 3600), true) AS contiguous,
+    count(DISTINCT bar_ts) = 24 AND coalesce(bool_and(gap = 3600), true) AS complete FROM gaps GROUP BY ALL""",
     "bars",
 )
+def d4_contiguous_buckets(t: Tables):
+    """Days of all hours, with neighbours an hour apart."""
+    return bars.completeness(t.bars(), "1h", "1d", require_contiguous=True).select("symbol", "bucket", "observed", "expected", "contiguous", "complete")
+
+
+@query(FX_DAYS.format(local=LOCAL.replace("FROM grid", "FROM cells"), fx=SESSION_SQL["fx"]) + " SELECT symbol, bucket, observed, expected, observed = expected AND n = expected AS complete FROM buckets", "bars")
 def d4_bucket_completeness(t: Tables):
-    return bars.completeness(t.bars(), "1h", "1d").select("symbol", "bucket", "observed", "expected", "contiguous", "complete")
+    """Days against the hours that the session is open, with its daily break and its weekend."""
+    return bars.completeness(t.bars(), "1h", "1d", session=ft.SESSIONS["fx"]).select("symbol", "bucket", "observed", "expected", "complete")
 
 
 @query(
@@ -102,13 +123,6 @@ def b7_closed_bars(t: Tables):
     return t.bars().where(F.col("bar_ts") < ft.closed_cutoff(F.lit("2024-01-20 10:30:00").cast("timestamp"), "4h", 180)).select("symbol", "bar_ts", "close")
 
 
-SESSION_SQL = {
-    "weekdays": "isodow(ts) <= 5 AND ts::DATE <> DATE '2024-01-15'",
-    "fx": "(CASE WHEN w >= 9660 THEN true WHEN w < 6780 THEN true ELSE false END) AND NOT (m >= 1020 AND m < 1080)",
-}
-LOCAL = "(SELECT *, (isodow(local) - 1) * 1440 + hour(local) * 60 + minute(local) AS w, hour(local) * 60 + minute(local) AS m FROM (SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM grid))"
-
-
 @query(f"SELECT symbol, ts, {SESSION_SQL['weekdays']} AS weekdays, {SESSION_SQL['fx']} AS fx FROM {LOCAL}", "grid")
 def b6_session_open(t: Tables):
     grid = coverage.grid(t.ranges(), ["symbol"], 3600)
@@ -202,8 +216,7 @@ def e2_current_observations(t: Tables):
 
 @query(PIT.format(cols=OBS, join="", a="TIMESTAMP '1998-06-15 12:00:00'", by=""), "observations")
 def e3_point_in_time(t: Tables):
-    instant = t.spark.sql("SELECT timestamp'1998-06-15 12:00:00' AS asof")
-    return versions.observed_asof(t.observations(), instant, "tie").select(*OBS_NAMES)
+    return versions.observed_asof(t.observations(), ["1998-06-15 12:00:00"], "tie").select(*OBS_NAMES)
 
 
 INSTANTS = """, instants AS (SELECT unnest([TIMESTAMP '1996-01-31 18:00:00', TIMESTAMP '1998-06-15 12:00:00', TIMESTAMP '2001-02-28 00:00:00']) AS "asof")"""
@@ -211,8 +224,8 @@ INSTANTS = """, instants AS (SELECT unnest([TIMESTAMP '1996-01-31 18:00:00', TIM
 
 @query(INSTANTS + ' SELECT "asof", series_id, count(*) AS n, max(observation_date) AS last_date, sum(tie) AS ties FROM (' + PIT.format(cols='"asof", o.*', join=", instants", a='"asof"', by='"asof", ') + ") GROUP BY ALL", "observations")
 def c9_asof_join(t: Tables):
-    instants = t.spark.sql("SELECT explode(array(timestamp'1996-01-31 18:00:00', timestamp'1998-06-15 12:00:00', timestamp'2001-02-28 00:00:00')) AS asof")
-    seen = versions.observed_asof(t.observations(), F.broadcast(instants), "tie")
+    instants = ["1996-01-31 18:00:00", "1998-06-15 12:00:00", "2001-02-28 00:00:00"]
+    seen = versions.observed_asof(t.observations(), instants, "tie")
     return seen.groupBy("asof", "series_id").agg(F.count("*").alias("n"), F.max("observation_date").alias("last_date"), F.sum("tie").alias("ties"))
 
 
@@ -228,12 +241,25 @@ def e4_alternative_ranking(t: Tables):
 
 
 @query(
-    """SELECT code, series_id, tie FROM (SELECT *, unnest(list_filter([CASE WHEN row_number() OVER (PARTITION BY series_id, observation_date, vintage_start ORDER BY tie) > 1 THEN 'duplicate_observation_vintage' END, CASE WHEN vintage_end < vintage_start THEN 'invalid_vintage_interval' END,
-    CASE WHEN (availability_policy = 'vintage' AND vintage_start IS NULL) OR (availability_policy = 'release' AND release_ts IS NULL) THEN 'policy_field_missing' END, CASE WHEN value IS NULL AND missing_reason IS NULL THEN 'missing_reason_required' END], lambda c: c IS NOT NULL)) AS code FROM observations)""",
+    """, planted AS (SELECT * REPLACE (CASE WHEN tie % 29 <> 0 THEN CASE WHEN tie % 31 = 0 THEN 'guess' ELSE availability_policy END END AS availability_policy, CASE WHEN tie % 37 <> 0 THEN asof_ts END AS asof_ts, CASE WHEN tie % 6 = 2 THEN asof_ts ELSE release_ts END AS release_ts),
+      CASE tie % 41 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'feed' END AS source FROM observations)
+    SELECT code, series_id, tie FROM (SELECT *, unnest(list_filter([
+      CASE WHEN row_number() OVER (PARTITION BY series_id, observation_date, vintage_start ORDER BY tie) > 1 THEN 'duplicate_observation_vintage' END, CASE WHEN vintage_end < vintage_start THEN 'invalid_vintage_interval' END,
+      CASE WHEN availability_policy IS NULL OR availability_policy NOT IN ('vintage', 'release', 'unknown') THEN 'invalid_availability_policy' END,
+      CASE WHEN (availability_policy = 'vintage' AND vintage_start IS NULL) OR (availability_policy = 'release' AND release_ts IS NULL) THEN 'policy_field_missing' END,
+      CASE WHEN availability_policy = 'unknown' AND release_ts IS NOT NULL THEN 'policy_field_forbidden' END, CASE WHEN asof_ts IS NULL THEN 'required_field_missing' END,
+      CASE WHEN source IS NULL OR trim(source) = '' THEN 'source_required' END, CASE WHEN value IS NULL AND missing_reason IS NULL THEN 'missing_reason_required' END], lambda c: c IS NOT NULL)) AS code FROM planted)""",
     "observations",
 )
 def i3_i5_observation_findings(t: Tables):
-    return quality.observation_violations(t.observations(), "tie").select("code", "series_id", "tie")
+    """Observations with planted unknown policies, forbidden releases, and lacking fields and sources."""
+    key = F.col("tie")
+    policy = F.when(key % 29 != 0, F.when(key % 31 == 0, "guess").otherwise(F.col("availability_policy")))
+    planted = t.observations().withColumns({
+        "availability_policy": policy, "asof_ts": F.when(key % 37 != 0, F.col("asof_ts")), "release_ts": F.when(key % 6 == 2, F.col("asof_ts")).otherwise(F.col("release_ts")),
+        "source": F.when(key % 41 == 1, " ").when(key % 41 != 0, "feed"),
+    })
+    return quality.observation_violations(planted, "tie", "source").select("code", "series_id", "tie")
 
 
 BROKEN = ", broken AS (SELECT * REPLACE (CASE WHEN hour(bar_ts) = 3 THEN high + 1 ELSE low END AS low, CASE WHEN hour(bar_ts) = 5 THEN -volume ELSE volume END AS volume) FROM bars_raw)"
@@ -304,3 +330,82 @@ def e10_first_wins(t: Tables):
     from tidemark.operators.runs import first_wins
 
     return first_wins(t.bars_raw(), ["symbol", "bar_ts"], ["ingest_ts", "source_hash"], F.col("source_hash")).select("symbol", "bar_ts", "open", "close", "conflict")
+
+
+DAILY = """, daily AS (SELECT symbol, asset_class, date_trunc('day', bar_ts) AS bar_ts, first(open ORDER BY bar_ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY bar_ts) AS close,
+    CASE WHEN bool_or(volume IS NULL) THEN NULL ELSE sum(volume) END AS volume, count(*) = 24 AS complete FROM bars GROUP BY ALL)"""
+
+
+@query(DAILY + " SELECT symbol, bar_ts, close, 'ohlcv-1h-1d' AS recipe_id FROM daily WHERE asset_class = 'fx'", "bars")
+def b5_recipe_identity(t: Tables):
+    """One recipe's bars out of a table that holds those of two."""
+    from tidemark.operators import derive
+
+    made = [derive.derive(t.bars(), derive.Recipe(f"ohlcv-1h-{w}", "1h", w, policy="allow"), "s1") for w in ("4h", "1d")]
+    return versions.derived_rows(made[0].unionByName(made[1]), "ohlcv-1h-1d", "1", {"asset_class": "fx"}).select("symbol", "bar_ts", "close", "recipe_id")
+
+
+@query("SELECT count(*) AS rows_scanned, count(*) FILTER (asset_class = 'fx' AND bar_ts >= TIMESTAMP '2024-01-10') AS matched FROM bars", "bars")
+def d26_scan_counts(t: Tables):
+    return versions.scan_counts(t.bars(), (F.col("asset_class") == "fx") & (F.col("bar_ts") >= F.lit("2024-01-10").cast("timestamp")))
+
+
+@query("SELECT symbol, bar_ts, close, (row_number() OVER (ORDER BY bar_ts, asset_class, symbol) - 1) // 250 AS page FROM bars", "bars")
+def f3_page_sequence(t: Tables):
+    """Every page of one fixed set of rows."""
+    return versions.pages(t.bars(), ["bar_ts", "asset_class", "symbol"], 250).select("symbol", "bar_ts", "close", "page")
+
+
+@query(
+    DAILY + """, made AS (SELECT symbol, bar_ts, low > least(open, close) OR high < greatest(open, close) AS inconsistent, dayofmonth(bar_ts) % 6 = 0 AS blank, count(*) OVER (PARTITION BY symbol, bar_ts) > 1 AS doubled
+      FROM (SELECT * FROM (SELECT * REPLACE (CASE WHEN dayofmonth(bar_ts) % 5 = 0 THEN high + 1 ELSE low END AS low) FROM daily) UNION ALL SELECT * FROM daily WHERE dayofmonth(bar_ts) = 11))
+    SELECT symbol, bar_ts, unnest(list_filter([CASE WHEN doubled THEN 'duplicate_key' END, CASE WHEN inconsistent THEN 'ohlc_inconsistent' END, CASE WHEN blank THEN 'lineage_incomplete' END], lambda c: c IS NOT NULL)) AS code FROM made
+    UNION ALL SELECT 'none', NULL, 'empty'""",
+    "bars",
+)
+def i1_i2_market_contract(t: Tables):
+    """Derived days with planted faults: doubled keys, prices, blank lineage, and a series without bars."""
+    from tidemark.operators import derive
+
+    made = derive.derive(t.bars(), derive.Recipe("ohlcv-1h-1d", "1h", "1d", policy="allow"), "s1")
+    day = F.dayofmonth("bar_ts")
+    rows = made.withColumn("low", F.when(day % 5 == 0, F.col("high") + 1).otherwise(F.col("low"))).unionByName(made.where(day == 11))
+    rows = rows.withColumn("input_snapshot_id", F.when(day % 6 != 0, F.col("input_snapshot_id")))
+    found = quality.market_violations(rows, ["symbol", "bar_ts"], ("recipe_id", "recipe_version", "input_snapshot_id", "source_hash")).select("symbol", "bar_ts", "code")
+    expected = t.ranges().select("symbol").unionByName(t.spark.range(1).select(F.lit("none").alias("symbol")))
+    return found.unionByName(quality.empty_series(rows, expected, ["symbol"]).select("symbol", F.lit(None).cast("timestamp").alias("bar_ts"), "code"))
+
+
+@query(
+    MARKED + """, broken AS (SELECT symbol, bar_ts, CASE WHEN hour(bar_ts) = 3 THEN high + 1 ELSE low END AS low, open, high, close, CASE WHEN hour(bar_ts) = 5 THEN -volume ELSE volume END AS volume FROM bars)
+    SELECT symbol, 'error' AS severity, code, count(*) AS n FROM (SELECT symbol, unnest(list_filter([CASE WHEN low > least(open, close) OR high < greatest(open, close) THEN 'ohlc_inconsistent' END, CASE WHEN volume < 0 THEN 'negative_volume' END], lambda c: c IS NOT NULL)) AS code FROM broken) GROUP BY ALL
+    UNION ALL SELECT symbol, 'warning', CASE WHEN count(*) FILTER (seen) = 0 THEN 'coverage_not_ready' ELSE 'coverage_degraded' END, 1 FROM marked WHERE open GROUP BY symbol HAVING count(*) FILTER (NOT seen) > 0""",
+    "bars", "grid",
+)
+def i6_quality_findings(t: Tables):
+    """Broken bars are errors; what the session lacks is a warning."""
+    rows = t.bars().withColumns({"low": F.when(F.hour("bar_ts") == 3, F.col("high") + 1).otherwise(F.col("low")), "volume": F.when(F.hour("bar_ts") == 5, -F.col("volume")).otherwise(F.col("volume"))})
+    wrong = quality.bar_violations(rows, ["symbol", "bar_ts"]).select("symbol", F.lit("error").alias("severity"), "code")
+    weak = coverage.findings(_evaluated(t)[0], ["symbol"]).select("symbol", F.lit("warning").alias("severity"), "code")
+    return wrong.unionByName(weak).groupBy("symbol", "severity", "code").agg(F.count("*").alias("n"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{w}' AS timeframe, symbol, {b} AS bar_ts, first(open ORDER BY m) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY m) AS close FROM minutes GROUP BY ALL"
+        for w, b in (("5m", "time_bucket(INTERVAL 5 MINUTE, m, TIMESTAMP '1970-01-01')"), ("15m", "time_bucket(INTERVAL 15 MINUTE, m, TIMESTAMP '1970-01-01')"), ("30m", "time_bucket(INTERVAL 30 MINUTE, m, TIMESTAMP '1970-01-01')"), ("1h", "date_trunc('hour', m)"), ("4h", "time_bucket(INTERVAL 4 HOUR, m, TIMESTAMP '1970-01-01')"), ("1d", "date_trunc('day', m)"), ("1w", "date_trunc('week', m)"), ("1mo", "date_trunc('month', m)"))
+    ).join([", minutes AS (SELECT symbol, date_trunc('minute', ts) AS m, first(bid ORDER BY ts, event_id) AS open, max(bid) AS high, min(bid) AS low, last(bid ORDER BY ts, event_id) AS close FROM ticks GROUP BY ALL) ", ""]),
+    "ticks",
+)
+def j14_all_targets(t: Tables):
+    """Minutes to six targets, and of these the days to weeks and months."""
+    minutes = bars.tick_bars(t.ticks(), "1m")
+    row = lambda df, w: df.select(F.lit(w).alias("timeframe"), "symbol", F.col("bucket").alias("bar_ts"), "open", "high", "low", "close")
+    up = lambda df, w: bars.rollup(df.withColumn("ingest_ts", F.col("bar_ts")), w, ("symbol",))
+    made = {w: up(minutes, w) for w in ("5m", "15m", "30m", "1h", "4h", "1d")}
+    days = made["1d"].withColumnRenamed("bucket", "bar_ts")
+    made |= {w: up(days, w) for w in ("1w", "1mo")}
+    out = None
+    for w, df in made.items():
+        out = row(df, w) if out is None else out.unionByName(row(df, w))
+    return out

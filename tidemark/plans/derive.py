@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as ftext
 from tidemark.functions import time as ft
 from tidemark.operators import bars as bar_ops
-from tidemark.operators import coverage, derive, versions, windows
-from tidemark.plans.bars import ISLANDS, LOCAL, MARKED, SESSION_SQL
+from tidemark.operators import coverage, derive, planner, quality, runs, versions, windows
+from tidemark.plans.bars import FX_DAYS, ISLANDS, LOCAL, MARKED, SESSION_SQL
 from tidemark.plans.fixtures import Tables, query
+from tidemark.sources import storage
 
 HOURS_TO_DAYS = derive.Recipe("ohlcv-1h-1d", "1h", "1d", symbols=("click", "view", "error"), policy="allow")
 DAYS = """, days AS (SELECT provider, asset_class, symbol, date_trunc('day', bar_ts) AS day, first(open ORDER BY bar_ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY bar_ts) AS close, count(DISTINCT bar_ts) = 24 AS complete FROM bars WHERE symbol IN ('click', 'view', 'error') GROUP BY ALL)"""
@@ -28,6 +29,17 @@ def d4_drop_incomplete(t: Tables):
     return derive.derive(t.bars(), recipe, "s1").select("symbol", "bar_ts", "close")
 
 
+@query(
+    FX_DAYS.format(local=LOCAL.replace("FROM grid", "FROM cells"), fx=SESSION_SQL["fx"]) + """ SELECT symbol, bucket AS bar_ts, min(low) AS low, max(high) AS high, count(*) AS n_source FROM buckets JOIN (SELECT symbol, date_trunc('day', bar_ts) AS bucket, low, high FROM bars) USING (symbol, bucket)
+    WHERE observed = expected AND n = expected GROUP BY ALL""",
+    "bars",
+)
+def d4_session_derive(t: Tables):
+    """Days that hold all bars of their open hours and no others; a day over the weekly close is whole without the closed ones."""
+    out = derive.derive(t.bars(), derive.Recipe("r", "1h", "1d"), "s1", ft.SESSIONS["fx"])
+    return out.select("symbol", "bar_ts", "low", "high", "n_source")
+
+
 @query(
     DAYS + """SELECT symbol, day AS bar_ts, CASE WHEN dayofmonth(day) % 9 = 0 THEN 'parity_missing_outputs' WHEN dayofmonth(day) % 5 = 0 THEN 'lineage_drift' ELSE 'parity_difference' END AS code FROM days WHERE dayofmonth(day) % 9 = 0 OR dayofmonth(day) % 5 = 0 OR dayofmonth(day) % 7 = 0""",
     "bars",
@@ -92,17 +104,18 @@ def b15_b16_single_instrument(t: Tables):
     return t.bars().groupBy("asset_class").agg(n.alias("symbols"), b.alias("bases"), ((n == 1) & (b == 1)).alias("single"))
 
 
-@query("SELECT symbol, bar_ts, close FROM bars WHERE symbol = 'click' AND bar_ts < TIMESTAMP '2024-01-15' ORDER BY bar_ts", "bars")
+@query("SELECT symbol, bar_ts, close, (row_number() OVER (ORDER BY bar_ts) - 1) // 200 AS page FROM bars WHERE symbol = 'click' AND bar_ts < TIMESTAMP '2024-01-15'", "bars")
 def f3_pinned_pages(t: Tables):
-    """Pages of one pinned set of rows, put together."""
-    rows = t.bars().where("symbol = 'click'").where(F.col("bar_ts") < F.lit("2024-01-15").cast("timestamp")).select("symbol", "bar_ts", "close")
-    out, last, more = None, None, True
-    while more:
-        page = versions.page(rows, ["bar_ts"], 200, last)
-        end = page.agg(F.max("bar_ts").alias("t"), F.max("has_more").alias("more")).first()
-        out = page if out is None else out.unionByName(page)
-        last, more = [end.t], bool(end.more)
-    return out.drop("has_more")
+    """Pages over the parts of one manifest: parts that a later run adds never enter the sequence."""
+    root = storage.shared_dir(t.spark)
+    rows = t.bars()
+    schema = rows.withColumn("year", F.year("bar_ts")).withColumn("run_id", F.lit("")).schema
+    storage.write_bars(rows, root, "r1")
+    pinned = storage.build_manifest(t.spark, root, "r1")
+    first = storage.published(t.spark, root, schema, pinned)
+    storage.write_bars(rows.withColumn("close", F.lit(0.0)), root, "r2")
+    some = first.where("symbol = 'click'").where(F.col("bar_ts") < F.lit("2024-01-15").cast("timestamp"))
+    return versions.pages(some, ["bar_ts"], 200).select("symbol", "bar_ts", "close", "page")
 
 
 @query("SELECT s_suppkey, s_nationkey, capacity FROM (SELECT *, lag(capacity) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS previous FROM (SELECT *, CASE WHEN s_acctbal / 10000 < 0.05 THEN 'critical' WHEN s_acctbal / 10000 < 0.15 THEN 'warning' ELSE 'ok' END AS capacity FROM supplier)) WHERE previous IS NULL OR previous <> capacity ORDER BY s_suppkey DESC LIMIT 40")
@@ -136,13 +149,22 @@ def h9_row_identity(t: Tables):
 
 
 @query(
-    """SELECT run_id, CASE WHEN status = 'running' THEN 'running' WHEN error_type IS NOT NULL THEN 'fetch' ELSE 'publish' END AS stage, list_filter([CASE WHEN status = 'failed' THEN 'failed' END, CASE WHEN retry_count > 3 THEN 'many_retries' END, CASE WHEN duration_s > 3000 THEN 'slow' END], lambda x: x IS NOT NULL) AS reasons FROM runs""",
-    "runs",
-)
+    """, told AS (SELECT r.*, f.n AS findings, run_id % 3 AS c, CASE WHEN run_id % 4 <> 0 THEN 1 + run_id % 3 END AS planned FROM runs r LEFT JOIN (SELECT run_id, count(*) AS n FROM findings GROUP BY ALL) f USING (run_id)),
+    why AS (SELECT *, list_distinct(list_filter([CASE WHEN c = 1 THEN 'coverage_degraded' WHEN c = 2 AND retry_count > 3 THEN 'coverage_not_ready' END, CASE WHEN error_type = 'SchemaError' THEN 'session_closed' WHEN error_type = 'TimeoutError' THEN 'provider_gap' END, CASE WHEN status = 'running' AND retry_count > 0 THEN 'retrying' END, CASE WHEN status = 'completed' AND findings > 0 THEN 'findings_recorded' END], lambda x: x IS NOT NULL)) AS raw FROM told)
+    SELECT run_id, CASE WHEN status = 'running' THEN 'running' WHEN status = 'completed' THEN CASE run_kind WHEN 'ingest' THEN 'published' ELSE 'verified' END ELSE CASE WHEN run_id % 2 = 0 THEN 'fetch' ELSE 'execute' END END AS stage,
+      CASE WHEN status = 'completed' THEN CASE WHEN len(raw) > 0 THEN 'degraded' ELSE 'pass' END ELSE status END AS outcome, list_sort(raw) AS reasons, coalesce(planned, 1) AS window_count, provider || '/' || dataset_id AS selector FROM why""",
+    "runs", "findings",
+)
 def h15_h16_stage_and_reasons(t: Tables):
-    stage = F.when(F.col("status") == "running", "running").when(F.col("error_type").isNotNull(), "fetch").otherwise("publish")
-    reasons = F.array(F.when(F.col("status") == "failed", "failed"), F.when(F.col("retry_count") > 3, "many_retries"), F.when(F.col("duration_s") > 3000, "slow"))
-    return t.runs().select("run_id", stage.alias("stage"), F.array_distinct(F.filter(reasons, lambda r: r.isNotNull())).alias("reasons"))
+    """Stage, outcome, degraded reasons, number of windows and selector of each run, with its findings counted beside it."""
+    key = F.col("run_id")
+    readiness = F.when(key % 3 == 1, "degraded").when((key % 3 == 2) & (F.col("retry_count") > 3), "not_ready")
+    rows = t.runs().join(t.findings().groupBy("run_id").agg(F.count("*").alias("findings")), "run_id", "left").withColumns({
+        "readiness": readiness, "manifest": F.col("run_kind") == "ingest", "failure_stage": F.when(key % 2 == 0, "fetch"), "planned_windows": F.when(key % 4 != 0, 1 + key % 3),
+        "session_closed": F.col("error_type") == "SchemaError", "provider_gap": F.col("error_type") == "TimeoutError",
+    })
+    out = runs.views(rows, ["provider", "dataset_id"])
+    return out.select("run_id", "stage", "outcome", F.array_sort("reasons").alias("reasons"), "window_count", "selector")
 
 
 @query("SELECT s_suppkey, regexp_extract('/data/provider=p' || (s_suppkey % 3) || '/symbol=S' || s_suppkey || '/year=2024/part.parquet', '(?:^|/)symbol=([^/]*)', 1) AS symbol FROM supplier")
@@ -175,12 +197,69 @@ def j10_session_days(t: Tables):
     return grid.groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.bool_or("open").alias("opens"))
 
 
-@query(MARKED + """, gaps AS (""" + ISLANDS.format(rows="(SELECT symbol, ts FROM marked WHERE open AND NOT seen)") + """) SELECT symbol, start, "end", n, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, start) AS rank FROM gaps QUALIFY rank <= 20""", "bars", "grid")
+GAPS = ", gaps AS (" + ISLANDS.format(rows="(SELECT symbol, ts FROM marked WHERE open AND NOT seen)") + ")"
+
+
+@query(
+    MARKED + GAPS + """ SELECT symbol, p AS start, least("end", p + INTERVAL 6 HOUR) AS "end", row_number() OVER (PARTITION BY symbol ORDER BY p) - 1 AS ordinal, 'gap_repair' AS reason FROM (SELECT symbol, "end", unnest(generate_series(start, "end" - INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR)) AS p FROM gaps)""",
+    "bars", "grid",
+)
+def j1_repair_windows(t: Tables):
+    """The gaps of each series in its open hours, in windows of six hours at most."""
+    return planner.repair_windows(t.bars(), t.ranges(), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"], "6 hours")
+
+
+TAIL = (
+    """, beyond AS (SELECT symbol, unnest(generate_series(range_end, range_end + INTERVAL 5 DAY - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM ranges WHERE symbol IN (SELECT symbol FROM marked WHERE open AND NOT seen)),
+    tails AS ("""
+    + ISLANDS.format(rows="(SELECT symbol, ts FROM " + LOCAL.replace("FROM grid", "FROM beyond") + " WHERE " + SESSION_SQL["fx"] + ")")
+    + """), shards AS (SELECT symbol, p AS start, least("end", p + INTERVAL 1 DAY) AS "end" FROM (SELECT symbol, "end", unnest(generate_series(start, "end" - INTERVAL 1 MICROSECOND, INTERVAL 1 DAY)) AS p FROM tails))"""
+)
+
+
+def _longer(t: Tables):
+    return t.ranges().withColumn("end", F.col("end") + F.expr("interval 5 day"))
+
+
+def _tails(t: Tables):
+    return planner.tail_windows(t.bars(), _longer(t), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"], "1 day")
+
+
+@query(MARKED + TAIL + """ SELECT symbol, start, "end", row_number() OVER (PARTITION BY symbol ORDER BY start) - 1 AS ordinal, 'tail' AS reason FROM shards""", "bars", "grid")
+def j3_tail_after_gap(t: Tables):
+    """Five days behind the last bar of series with a gap, in open hours only."""
+    return _tails(t)
+
+
+@query(
+    MARKED + GAPS + TAIL + """, fresh AS (SELECT symbol, start, "end" FROM gaps WHERE dayofmonth(start) % 4 <> 0), every AS (SELECT symbol, start, "end", 0 AS priority, 'tail' AS reason FROM shards UNION ALL SELECT *, 1, 'gap_repair' FROM fresh
+      UNION ALL SELECT symbol, range_start - INTERVAL 3 DAY, range_start - INTERVAL 1 DAY, 2, 'carried' FROM ranges)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority, start, "end") AS rank, count(*) OVER (PARTITION BY symbol) > 20 AS truncated FROM every) WHERE rank <= 20""",
+    "bars", "grid",
+)
 def j13_repair_plan(t: Tables):
-    """Gaps of all series at once, the longest first, up to a budget of each series."""
+    """Tails, then gaps that are not in their cooldown, then debt from before the range, up to twenty windows a series."""
     _, missing, _ = coverage.evaluate(t.bars(), t.ranges(), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"])
-    gaps = coverage.islands(missing, ["symbol"], "ts", 3600).withColumn("priority", -F.col("n"))
-    return windows.budgeted(gaps, ["symbol"], 20).select("symbol", "start", "end", "n", "rank")
+    gaps = coverage.islands(missing, ["symbol"], "ts", 3600)
+    day = lambda n: F.expr(f"interval {n} day")
+    old = t.ranges().select("symbol", (F.col("start") - day(3)).alias("start"), (F.col("start") - day(1)).alias("end"))
+    carried = old.unionByName(old.withColumn("start", F.col("start") + day(1)))  # two debts that overlap
+    return planner.repair_plan(_tails(t), gaps, carried, gaps.where(F.dayofmonth("start") % 4 == 0), ["symbol"], 20)
+
+
+@query(
+    MARKED + """, lacking AS (SELECT DISTINCT symbol FROM marked WHERE open AND NOT seen), expected AS (SELECT symbol, unnest(generate_series(date_trunc('day', range_start), date_trunc('day', range_end - INTERVAL 1 HOUR), INTERVAL 1 DAY)) AS day FROM ranges),
+    held AS (SELECT DISTINCT symbol, date_trunc('day', bar_ts) AS day FROM bars WHERE symbol <> 'click' OR dayofmonth(bar_ts) % 9 <> 0), derived AS (SELECT e.symbol, count(*) AS n, count(h.day) AS k FROM expected e LEFT JOIN held h ON h.symbol = e.symbol AND h.day = e.day GROUP BY e.symbol)
+    SELECT symbol, 'error' AS severity, CASE WHEN k = 0 THEN 'coverage_not_ready' ELSE 'coverage_degraded' END AS code FROM derived WHERE k < n UNION ALL SELECT symbol, 'warning', 'source_degraded' FROM derived JOIN lacking USING (symbol) WHERE k = n""",
+    "bars", "grid",
+)
+def i7_derived_coverage(t: Tables):
+    """Derived days against the calendar, and complete ones whose source has gaps."""
+    hours = coverage.evaluate(t.bars(), t.ranges(), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"])[0]
+    days = derive.derive(t.bars(), derive.Recipe("r", "1h", "1d", policy="allow"), "s1").where((F.col("symbol") != "click") | (F.dayofmonth("bar_ts") % 9 != 0))
+    whole = t.ranges().select("symbol", F.date_trunc("day", "start").alias("start"), "end")
+    derived = coverage.evaluate(days, whole, ["symbol"], "bar_ts", 86400, ft.SESSIONS["always"])[0]
+    return quality.parity_coverage(hours, derived, ["symbol"])
 
 
 @query(MARKED + """SELECT symbol, first_missing AS start, coalesce(min(ts) FILTER (seen AND ts > first_missing), max(ts) + INTERVAL 1 HOUR) AS "end" FROM (SELECT *, min(ts) FILTER (NOT seen) OVER (PARTITION BY symbol) AS first_missing FROM marked WHERE open) WHERE first_missing IS NOT NULL GROUP BY symbol, first_missing""", "bars", "grid")

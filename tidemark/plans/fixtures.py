@@ -97,11 +97,13 @@ class Tables:
         return self.table("lineitem").where(F.col("l_discount") >= 0.08).select(code.alias("code"), severity.alias("severity"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").alias("observed_at"), F.col("l_quantity").alias("quantity"))
 
     def windows(self, kind: str) -> DataFrame:
-        """Planned or candidate windows: one or more days from an order's date, for each priority."""
+        """A planned and a candidate window of every order, some days long each, for the customer's task."""
         key = F.col("o_orderkey")
-        rest, days = {"planned": (0, key % 5 + 1), "candidate": (25, key % 9 + 2)}[kind]
-        rows = self.table("orders").where(key % 50 == rest)
-        return rows.select(F.col("o_orderpriority").alias("task_id"), key.alias("window_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.make_dt_interval(days.cast("int"))).alias("end"))
+        late, days = {"planned": (F.lit(0), key % 5 + 1), "candidate": (key % 4 - 1, key % 9 + 2)}[kind]
+        start = F.col("o_orderdate") + F.make_dt_interval(late.cast("int"))
+        rows = self.table("orders").withColumn("start", start)
+        task = F.concat(F.lit("task-"), F.col("o_custkey").cast("string"))
+        return rows.select(task.alias("task_id"), key.alias("window_id"), "start", (F.col("start") + F.make_dt_interval(days.cast("int"))).alias("end"))
 
 
 # The same views in DuckDB SQL; a view may use those before it.
@@ -116,8 +118,8 @@ VIEWS = {
     "observations": "SELECT o_orderpriority AS series_id, o_orderdate::DATE AS observation_date, CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS value, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE + (o_orderkey % 30)::INT END AS vintage_start, CASE WHEN o_orderkey % 13 = 0 THEN o_orderdate::DATE + (o_orderkey % 30)::INT - 2 ELSE o_orderdate::DATE + (o_orderkey % 30)::INT + 30 END AS vintage_end, CASE o_orderkey % 3 WHEN 0 THEN 'vintage' WHEN 1 THEN 'release' ELSE 'unknown' END AS availability_policy, CASE o_orderkey % 5 % 3 WHEN 1 THEN 0 WHEN 2 THEN 2 END AS availability_lag_days, CASE WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE + (o_orderkey % 10)::INT + INTERVAL 12 HOUR END AS release_ts, o_orderdate::DATE + (o_orderkey % 40)::INT + INTERVAL 6 HOUR AS asof_ts, CASE WHEN o_orderkey % 34 = 0 THEN 'holiday' END AS missing_reason, o_orderkey AS tie FROM orders",
     "runs": "SELECT o_orderkey AS run_id, 'ds-' || (o_custkey % 10) AS dataset_id, 'p' || (o_custkey % 4) AS provider, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, CASE o_orderkey % 2 WHEN 0 THEN 'ingest' ELSE 'derive' END AS run_kind, ['manual', 'backfill', 'repair', 'scheduled', 'acceptance'][o_orderkey % 5 + 1] AS run_scope, CASE WHEN o_orderstatus = 'P' THEN ['TimeoutError', 'ValidationError', 'RateLimited', 'SchemaError', 'Other'][o_orderkey % 5 + 1] END AS error_type, o_orderdate + to_minutes(o_orderkey % 1440) AS created_at, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_minutes(o_orderkey % 1440) + to_minutes(o_orderkey % 60) END AS finished_at, o_orderkey % 60 * 60 AS duration_s, k % 5 AS retry_count, CASE WHEN k % 5 <> 1 THEN before END AS retry_of, o_totalprice AS rows_written FROM (SELECT *, row_number() OVER w AS k, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))",
     "findings": "SELECT CASE WHEN l_tax < 0.02 THEN 'missing_bars' WHEN l_tax < 0.04 THEN 'ohlc_inconsistent' WHEN l_tax < 0.06 THEN 'negative_volume' ELSE 'coverage_degraded' END AS code, CASE WHEN l_tax < 0.04 THEN 'error' ELSE 'warning' END AS severity, l_partkey AS part, l_suppkey AS supplier, l_orderkey AS run_id, l_shipdate AS observed_at, l_quantity AS quantity FROM lineitem WHERE l_discount >= 0.08",
-    "planned": "SELECT o_orderpriority AS task_id, o_orderkey AS window_id, o_orderdate AS s, o_orderdate + to_days((o_orderkey % 5 + 1)::INT) AS e FROM orders WHERE o_orderkey % 50 = 0",
-    "candidate": "SELECT o_orderpriority AS task_id, o_orderkey AS window_id, o_orderdate AS s, o_orderdate + to_days((o_orderkey % 9 + 2)::INT) AS e FROM orders WHERE o_orderkey % 50 = 25",
+    "planned": "SELECT 'task-' || o_custkey AS task_id, o_orderkey AS window_id, o_orderdate AS s, o_orderdate + to_days((o_orderkey % 5 + 1)::INT) AS e FROM orders",
+    "candidate": "SELECT *, s + to_days((window_id % 9 + 2)::INT) AS e FROM (SELECT 'task-' || o_custkey AS task_id, o_orderkey AS window_id, o_orderdate + to_days((o_orderkey % 4 - 1)::INT) AS s FROM orders)",
     "busy": "SELECT task_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY task_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY task_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM planned)) GROUP BY task_id, run",
 }
 NEEDS = {"hourly": ["ticks"], "base": ["hourly"], "bars_raw": ["base"], "bars": ["bars_raw"], "ranges": ["bars"], "grid": ["ranges"], "busy": ["planned"]}

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as ftext
 from tidemark.functions import time as ft
-from tidemark.operators import inventory, quality, runs, windows
+from tidemark.operators import inventory, planner, quality, runs, windows
 from tidemark.operators.versions import ranked_first
 from tidemark.plans.fixtures import Tables, query
+from tidemark.sources.storage import shared_dir
 
 NOW = "2001-08-01 12:00:00"
 
@@ -26,6 +27,21 @@ def d14_run_metrics(t: Tables):
     return runs.metrics(t.runs())
 
 
+SHOWN = f""", shown AS (SELECT *, CASE WHEN status = 'running' AND retry_count = 0 THEN 'queued' WHEN status = 'failed' AND retry_count = 4 THEN 'dead_letter' ELSE status END AS state FROM runs)"""
+
+
+@query(
+    SHOWN + f"""SELECT run_scope, count(*) AS runs, count(*) FILTER (state = 'queued') AS queue_depth, max(epoch(TIMESTAMP '{NOW}' - created_at)::BIGINT) FILTER (state = 'queued') AS oldest_queued_s, count(*) FILTER (error_type = 'TimeoutError') AS timeouts, sum(retry_count)::BIGINT AS retries,
+    count(*) FILTER (state = 'dead_letter') AS dead_letters, count(*) FILTER (state = 'dead_letter' AND run_id % 2 = 0) AS dead_active, count(*) FILTER (state = 'completed') / nullif(count(*) FILTER (state IN ('completed', 'failed', 'dead_letter')), 0) AS success_rate,
+    count(finished_at) AS durations, sum(duration_s) FILTER (finished_at IS NOT NULL)::BIGINT AS duration_sum, max(duration_s) FILTER (finished_at IS NOT NULL) AS duration_max, avg(duration_s) FILTER (finished_at IS NOT NULL) AS duration_mean FROM shown GROUP BY ROLLUP (run_scope)""",
+    "runs",
+)
+def d14_queue_metrics(t: Tables):
+    """Queue, time-outs, dead letters by state, success and durations of each scope, and of all (a null scope)."""
+    state = F.when((F.col("status") == "running") & (F.col("retry_count") == 0), "queued").when((F.col("status") == "failed") & (F.col("retry_count") == 4), "dead_letter").otherwise(F.col("status"))
+    return runs.queue_metrics(t.runs().withColumns({"state": state, "dead_state": F.when(F.col("run_id") % 2 == 0, "active").otherwise("resolved")}), now())
+
+
 @query(
     f"""SELECT w.name AS "window", count(*) FILTER (finished_at >= TIMESTAMP '{NOW}' - to_hours(w.h) AND finished_at <= TIMESTAMP '{NOW}') AS runs, count(*) FILTER (status = 'completed' AND finished_at >= TIMESTAMP '{NOW}' - to_hours(w.h) AND finished_at <= TIMESTAMP '{NOW}') AS passed,
     passed / nullif(count(*) FILTER (finished_at >= TIMESTAMP '{NOW}' - to_hours(w.h) AND finished_at <= TIMESTAMP '{NOW}'), 0) AS success_rate FROM runs, (VALUES ('1h', 1), ('24h', 24), ('7d', 168), ('365d', 8760)) w(name, h) GROUP BY w.name""",
@@ -35,13 +51,14 @@ def d15_success_windows(t: Tables):
     return runs.success_windows(t.runs(), now(), {"1h": 1, "24h": 24, "7d": 168, "365d": 8760})
 
 
-@query("SELECT status, count(*) AS n, min(created_at) AS earliest FROM runs WHERE status <> 'completed' GROUP BY status", "runs")
+@query("SELECT status, provider, count(*) AS n, min(created_at) AS earliest FROM runs WHERE status <> 'completed' GROUP BY GROUPING SETS ((status), (status, provider))", "runs")
 def d16_waiting_work(t: Tables):
-    return t.runs().where("status <> 'completed'").groupBy("status").agg(F.count("*").alias("n"), F.min("created_at").alias("earliest"))
+    """Runs that are not done, by status, and by status and provider."""
+    return runs.waiting(t.runs().where("status <> 'completed'"))
 
 
 @query(
-    """, bad AS (SELECT r.* FROM runs r LEFT JOIN (SELECT dataset_id, max(finished_at) AS last_ok FROM runs WHERE status = 'completed' GROUP BY ALL) o USING (dataset_id) WHERE status = 'failed' AND error_type IN ('TimeoutError', 'ConnectionError', 'RateLimited') AND (last_ok IS NULL OR finished_at > last_ok))
+    """, bad AS (SELECT r.* FROM runs r LEFT JOIN (SELECT dataset_id, max(finished_at) AS last_ok FROM runs WHERE status = 'completed' GROUP BY ALL) o USING (dataset_id) WHERE status = 'failed' AND error_type IN ('TimeoutError', 'ConnectionError') AND (last_ok IS NULL OR finished_at > last_ok))
     SELECT *, last_failure + to_seconds(delay_s) AS retry_at FROM (SELECT dataset_id, count(*) AS streak, max(finished_at) AS last_failure, least(3600.0, 300.0 * pow(2.0, least(count(*) - 1, 30)))::BIGINT AS delay_s FROM bad GROUP BY ALL)""",
     "runs",
 )
@@ -62,11 +79,19 @@ def c6_d19_finding_states(t: Tables):
     return t.findings().join(states, "part", "left").withColumn("state", F.coalesce("state", F.lit("open"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT dataset_id, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'running') > 0 THEN 'running' ELSE 'completed' END AS state, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running FROM runs GROUP BY dataset_id", "runs")
+@query(
+    """, steps AS (SELECT dataset_id || '/' || provider AS step, dataset_id || '/p' || ((substr(provider, 2)::INT + 1) % 4) AS upstream, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running FROM runs WHERE run_kind = 'derive' AND created_at < TIMESTAMP '1995-03-01' GROUP BY ALL)
+    SELECT s.step, s.upstream, coalesce(s.completed, 0) AS completed, coalesce(s.failed, 0) AS failed, coalesce(s.running, 0) AS running, CASE WHEN s.failed > 0 THEN 'failed' WHEN s.running > 0 THEN 'running' WHEN s.completed > 0 AND coalesce(u.failed, 0) = 0 THEN 'completed' WHEN coalesce(u.failed, 0) > 0 THEN 'blocked' ELSE 'skipped' END AS state,
+      CASE WHEN NOT (s.failed > 0 OR s.running > 0) AND coalesce(u.failed, 0) > 0 THEN 'upstream_failed' WHEN s.failed = 0 AND s.running = 0 AND s.completed = 0 THEN 'no_runs' END AS reason
+    FROM steps s LEFT JOIN steps u ON u.step = s.upstream""",
+    "runs",
+)
 def d20_step_states(t: Tables):
-    n = {s: F.count_if(F.col("status") == s) for s in ("completed", "failed", "running")}
-    state = F.when(n["failed"] > 0, "failed").when(n["running"] > 0, "running").otherwise("completed")
-    return t.runs().groupBy("dataset_id").agg(state.alias("state"), *[c.alias(s) for s, c in n.items()])
+    """Steps of a plan with the step that each waits for: a failure upstream blocks one that has not failed itself."""
+    some = t.runs().where((F.col("run_kind") == "derive") & (F.col("created_at") < F.lit("1995-03-01").cast("timestamp")))
+    number = (F.substring("provider", 2, 9).cast("int") + 1) % 4
+    rows = some.select(F.concat_ws("/", "dataset_id", "provider").alias("step"), F.concat(F.col("dataset_id"), F.lit("/p"), number.cast("string")).alias("upstream"), "status")
+    return runs.step_states(rows.select("step", "upstream").distinct(), rows.select("step", "status"))
 
 
 @query("SELECT dataset_id, max(finished_at) FILTER (status = 'completed' AND run_kind = 'ingest') AS boundary FROM runs GROUP BY dataset_id", "runs")
@@ -116,11 +141,11 @@ def b14_finding_filter(t: Tables):
 
 
 @query(
-    """, RECURSIVE chain AS (SELECT run_id, run_id AS root, 0 AS depth FROM runs WHERE retry_of IS NULL UNION ALL SELECT r.run_id, c.root, c.depth + 1 FROM runs r JOIN chain c ON r.retry_of = c.run_id) SELECT run_id, root, depth FROM chain""",
+    """, RECURSIVE chain AS (SELECT run_id, run_id AS root, 0 AS depth FROM runs WHERE retry_of IS NULL UNION ALL SELECT r.run_id, c.root, c.depth + 1 FROM runs r JOIN chain c ON r.retry_of = c.run_id) SELECT run_id, root, depth, false AS cycle FROM chain""",
     "runs",
 )
 def c13_retry_chains(t: Tables):
-    return runs.retry_roots(t.spark, t.runs())
+    return runs.retry_roots(t.runs(), shared_dir(t.spark))
 
 
 @query("SELECT run_id, dataset_id FROM runs WHERE status = 'failed' AND run_id NOT IN (SELECT run_id FROM findings)", "runs", "findings")
@@ -163,13 +188,17 @@ def f7_newest_recomputes(t: Tables):
 
 
 @query(
-    """SELECT run_id, CASE WHEN error_type IN ('TimeoutError', 'ConnectionError', 'RateLimited') THEN 'transient' WHEN error_type IN ('ValidationError', 'SchemaError') THEN 'data' ELSE 'permanent' END AS category, coalesce(error_type IN ('TimeoutError', 'ConnectionError', 'RateLimited'), false) AS retryable,
-    CASE WHEN status = 'completed' THEN 'published' WHEN run_kind = 'derive' THEN 'not_applicable' ELSE 'missing' END AS manifest FROM runs WHERE status = 'failed'""",
+    """SELECT run_id, CASE error_type WHEN 'TimeoutError' THEN 'timeout' WHEN 'RateLimited' THEN 'http' WHEN 'ValidationError' THEN 'contract' WHEN 'SchemaError' THEN 'contract' ELSE CASE WHEN http IS NULL THEN 'internal' ELSE 'http' END END AS category,
+    error_type = 'TimeoutError' OR (error_type IN ('RateLimited', 'Other') AND coalesce(http >= 500, false)) AS retryable,
+    CASE WHEN status = 'completed' THEN 'published' WHEN run_kind = 'derive' THEN 'not_applicable' ELSE 'missing' END AS manifest
+    FROM (SELECT *, CASE run_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 503 END AS http FROM runs) WHERE status = 'failed'""",
     "runs",
 )
 def h13_h25_failures(t: Tables):
     manifest = F.when(F.col("status") == "completed", "published").when(F.col("run_kind") == "derive", "not_applicable").otherwise("missing")
-    return t.runs().where("status = 'failed'").select("run_id", ftext.failure_category(F.col("error_type")).alias("category"), ftext.retryable(F.col("error_type")).alias("retryable"), manifest.alias("manifest"))
+    rows = t.runs().where("status = 'failed'").withColumn("http", F.when(F.col("run_id") % 4 == 0, 404).when(F.col("run_id") % 4 == 1, 503))
+    error = F.col("error_type"), F.col("http")
+    return rows.select("run_id", ftext.failure_category(*error).alias("category"), ftext.retryable(*error).alias("retryable"), manifest.alias("manifest"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal / 10000 < 0.05 THEN 'critical' WHEN s_acctbal / 10000 < 0.15 THEN 'warning' ELSE 'ok' END AS capacity FROM supplier")
@@ -177,9 +206,12 @@ def h14_capacity(t: Tables):
     return t.table("supplier").select("s_suppkey", ftext.capacity_class(F.col("s_acctbal") / 10000).alias("capacity"))
 
 
-@query("""SELECT conv_id, turn, left(regexp_replace('token=' || substr(text, 1, 12) || ' ' || text, '(?i)(token|password|secret|api[_-]?key|authorization)(\\s*[=:]\\s*)\\S+', '\\1\\2<redacted>', 'g'), 240) AS summary FROM conversations""")
+@query("""SELECT conv_id, turn, left(CASE turn % 3 WHEN 0 THEN 'failed with token=<redacted> ' WHEN 1 THEN '{"Api-Key": <redacted>, "n": 1} ' ELSE 'Authorization: <redacted> ' END || replace(text, ':', ' '), 240) AS summary FROM conversations""")
 def h12_redaction(t: Tables):
-    text = F.concat(F.lit("token="), F.substring("text", 1, 12), F.lit(" "), F.col("text"))
+    """Secrets after an equals sign, as a quoted value in JSON, and behind the name of their scheme."""
+    value = F.concat(F.lit("x"), F.hash("text").cast("string"))
+    before = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("failed with token="), value, F.lit(" "))).when(F.col("turn") % 3 == 1, F.concat(F.lit('{"Api-Key": "a \\"b, '), value, F.lit('", "n": 1} ')))
+    text = F.concat(F.coalesce(before, F.concat(F.lit("Authorization: Bearer "), value, F.lit(" "))), F.translate("text", ":", " "))
     return t.table("conversations").select("conv_id", "turn", ftext.redact(text).alias("summary"))
 
 
@@ -188,9 +220,9 @@ def h8_config_digest(t: Tables):
     return t.runs().select("run_id", ftext.config_digest({"scope": F.col("run_scope"), "dataset": F.col("dataset_id"), "kind": F.col("run_kind")}).alias("digest"))
 
 
-@query("SELECT dataset_id, CASE WHEN count(DISTINCT error_type) = 0 THEN 'unknown' WHEN count(DISTINCT error_type) = 1 THEN min(error_type) ELSE 'mixed' END AS label FROM runs WHERE retry_count = 4 GROUP BY dataset_id", "runs")
+@query("SELECT dataset_id, run_kind, date_trunc('month', created_at) AS month, CASE WHEN count(DISTINCT error_type) = 0 THEN 'unknown' WHEN count(DISTINCT error_type) = 1 THEN min(error_type) ELSE 'mixed' END AS label FROM runs GROUP BY ALL", "runs")
 def h21_version_label(t: Tables):
-    return t.runs().where("retry_count = 4").groupBy("dataset_id").agg(ftext.label_of(F.collect_set("error_type")).alias("label"))
+    return t.runs().groupBy("dataset_id", "run_kind", F.date_trunc("month", "created_at").alias("month")).agg(ftext.label_of(F.collect_set("error_type")).alias("label"))
 
 
 SYMBOLS = "CASE s_suppkey % 4 WHEN 0 THEN 'eurusd' WHEN 1 THEN ' GBP/JPY ' WHEN 2 THEN 'btc-usd' ELSE 'bad' END"
@@ -241,11 +273,15 @@ def c3_overlap_join(t: Tables):
 
 
 @query(
-    """, parts AS (SELECT task_id, unnest(generate_series(s, e - INTERVAL 1 MICROSECOND, INTERVAL 2 DAY)) AS p, e FROM busy) SELECT task_id, p AS start, least(e, p + INTERVAL 2 DAY) AS "end", row_number() OVER (PARTITION BY task_id ORDER BY p) - 1 AS ordinal FROM parts""",
+    """, parts AS (SELECT task_id, unnest(generate_series(s, e - INTERVAL 1 MICROSECOND, to_days(days))) AS p, e, days FROM (SELECT b.*, least(c_custkey % 3 + 1, 2)::INT AS days FROM busy b JOIN customer ON task_id = 'task-' || c_custkey))
+    SELECT task_id, p AS start, least(e, p + to_days(days)) AS "end", row_number() OVER (PARTITION BY task_id ORDER BY p) - 1 AS ordinal FROM parts""",
     "busy",
 )
-def j1_sharded_windows(t: Tables):
-    return windows.sharded(windows.merged(t.windows("planned"), ["task_id"]), ["task_id"], "2 days")
+def j15_sharded_windows(t: Tables):
+    """Windows no longer than the policy of their task and the provider allow."""
+    key = F.col("c_custkey")
+    limits = t.table("customer").select(F.concat(F.lit("task-"), key.cast("string")).alias("task_id"), (key % 3 + 1).alias("policy_days"), F.lit(2).cast("long").alias("capability_days"))
+    return windows.clamped(windows.merged(t.windows("planned"), ["task_id"]), limits, ["task_id"], ["task_id"])
 
 
 @query("""SELECT task_id, window_id, date_trunc('week', s - INTERVAL 3 DAY) AS start, CASE WHEN date_trunc('week', e) < e THEN date_trunc('week', e) + INTERVAL 7 DAY ELSE e END AS "end" FROM candidate""", "candidate")
@@ -269,20 +305,24 @@ def j11_debt_merge(t: Tables):
     return windows.debt_merge(old, new, ["task_id", "start"])
 
 
-@query('SELECT task_id, window_id, s AS start, e AS "end", priority, rank, truncated FROM (SELECT *, window_id % 4 AS priority, row_number() OVER (PARTITION BY task_id ORDER BY window_id % 4, s, e, window_id) AS rank, count(*) OVER (PARTITION BY task_id) > 25 AS truncated FROM candidate) WHERE rank <= 25', "candidate")
+@query('SELECT task_id, window_id, s AS start, e AS "end", priority, rank, truncated FROM (SELECT *, window_id % 4 AS priority, row_number() OVER (PARTITION BY task_id ORDER BY window_id % 4, s, e, window_id) AS rank, count(*) OVER (PARTITION BY task_id) > 8 AS truncated FROM candidate) WHERE rank <= 8', "candidate")
 def f6_budgeted_windows(t: Tables):
-    return windows.budgeted(t.windows("candidate").withColumn("priority", F.col("window_id") % 4), ["task_id"], 25)
+    return windows.budgeted(t.windows("candidate").withColumn("priority", F.col("window_id") % 4), ["task_id"], 8)
 
 
 @query(
-    """SELECT task_id, bool_or(s < js OR e > je) AS outside, bool_or(s >= e) AS empty, coalesce(bool_or(s < prev), false) AS disordered, bool_or(ordinal <> k) AS ordinals, min(s) > min(js) OR max(e) < max(je) OR coalesce(bool_or(s > prev), false) AS uncovered, NOT (outside OR empty OR disordered OR ordinals OR uncovered) AS valid
-    FROM (SELECT *, row_number() OVER w - 1 AS k, row_number() OVER w - 1 AS ordinal, lag(e) OVER w AS prev, TIMESTAMP '1995-01-01' AS js, TIMESTAMP '2001-09-01' AS je FROM busy WINDOW w AS (PARTITION BY task_id ORDER BY s)) GROUP BY task_id""",
+    """, planted AS (SELECT task_id, s, CASE WHEN dayofmonth(s) = 13 THEN s ELSE e END AS e, row_number() OVER w - 1 + CASE WHEN dayofmonth(s) = 17 THEN 1 ELSE 0 END AS ordinal, min(s) OVER (PARTITION BY task_id) + CASE WHEN length(task_id) = 7 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS js, max(e) OVER (PARTITION BY task_id) AS je, length(task_id) % 2 = 0 AS repair FROM busy WINDOW w AS (PARTITION BY task_id ORDER BY s))
+    SELECT task_id, bool_or(s < js OR e > je) AS outside, bool_or(s >= e) AS empty, coalesce(bool_or(s < prev), false) AS disordered, bool_or(ordinal <> k) AS ordinals, NOT bool_or(repair) AND (min(s) > min(js) OR max(e) < max(je) OR coalesce(bool_or(s > prev), false)) AS uncovered, NOT (outside OR empty OR disordered OR ordinals OR uncovered) AS valid
+    FROM (SELECT *, row_number() OVER w - 1 AS k, lag(e) OVER w AS prev FROM planted WINDOW w AS (PARTITION BY task_id ORDER BY ordinal, s)) GROUP BY task_id""",
     "busy",
 )
 def i9_execution_windows(t: Tables):
+    """Jobs with planted faults: empty windows, ordinals that skip, and jobs that begin after their first window."""
     rows = windows.sharded(windows.merged(t.windows("planned"), ["task_id"]), ["task_id"], "3650 days")
-    stamp = lambda s: F.lit(s).cast("timestamp")
-    return windows.check_execution(rows.withColumns({"job_start": stamp("1995-01-01"), "job_end": stamp("2001-09-01"), "gap_repair": F.lit(False)}), ["task_id"])
+    w, day, length = Window.partitionBy("task_id"), F.dayofmonth("start"), F.length("task_id")
+    bounds = {"job_start": F.min("start").over(w) + F.make_dt_interval(F.when(length == 7, 1).otherwise(0)), "job_end": F.max("end").over(w), "gap_repair": length % 2 == 0}
+    rows = rows.withColumns(bounds).withColumns({"end": F.when(day == 13, F.col("start")).otherwise(F.col("end")), "ordinal": F.col("ordinal") + F.when(day == 17, 1).otherwise(0)})
+    return windows.check_execution(rows, ["task_id"])
 
 
 @query(
@@ -302,36 +342,68 @@ def c11_availability_matrix(t: Tables):
 
 
 @query(
-    """SELECT symbol, CASE WHEN len(p) > 1 THEN 'skip_mixed_prices' WHEN d > 0 THEN 'deduplicate_first' WHEN a > TIMESTAMP '2024-01-01 01:00:00' THEN 'starts_late' WHEN z < TIMESTAMP '2024-01-30 00:00:00' THEN 'ends_early' WHEN g > 0 THEN 'repair_gaps' ELSE 'migrate' END AS decision
-    FROM (SELECT symbol, list(DISTINCT price_type) AS p, count(*) - count(DISTINCT bar_ts) AS d, min(bar_ts) AS a, max(bar_ts) AS z, 1 AS g FROM bars GROUP BY symbol)""",
-    "bars",
+    """SELECT p_partkey, CASE WHEN days <= 0 THEN 'invalid_window' WHEN days > 31 THEN 'window_exceeds_31_days' WHEN free IS NOT NULL AND free < 0.15 THEN 'capacity_not_ok' WHEN p_partkey % 7 = 0 THEN 'bid_provenance_unconfirmed' WHEN p_partkey % 11 IN (0, 1) THEN 'legacy_price_basis_not_bid' WHEN p_partkey % 13 = 0 THEN 'duplicate_timestamps' WHEN p_partkey % 17 = 0 THEN 'invalid_timestamps' ELSE 'all_migration_gates_pass' END AS decision,
+    CASE WHEN days BETWEEN 1 AND 31 AND (free IS NULL OR free >= 0.15) AND p_partkey % 7 <> 0 AND p_partkey % 11 > 1 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN 'ready' ELSE 'rejected' END AS state
+    FROM (SELECT p_partkey, p_size - 3 AS days, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 100) / 100.0 END AS free FROM part)"""
 )
 def h18_migration_decisions(t: Tables):
-    rows = inventory.inventory(t.bars(), ["symbol"], "bar_ts")
-    decided = inventory.migration_decision(*[F.col(c) for c in ("row_count", "duplicates", "gaps", "price_types", "min_ts", "max_ts")], "2024-01-01 01:00:00", "2024-01-30 00:00:00")
-    return rows.select("symbol", decided.alias("decision"))
+    """Seven gates in their order for an item and a window each."""
+    key, start = F.col("p_partkey"), F.lit("2024-01-01").cast("date")
+    types = F.when(key % 11 == 0, F.array(F.lit("ask"))).when(key % 11 == 1, F.array(F.lit("ask"), F.lit("bid"))).otherwise(F.array(F.lit("bid")))
+    count = lambda m: F.when(key % m == 0, 2).otherwise(0)
+    decision = inventory.migration_decision(start, F.date_add(start, (F.col("p_size") - 3).cast("int")), F.when(key % 5 != 0, key % 100 / 100.0), key % 7 != 0, types, count(13), count(17))
+    return t.table("part").select("p_partkey", decision.alias("decision"), F.when(decision == "all_migration_gates_pass", "ready").otherwise("rejected").alias("state"))
 
 
-@query("SELECT symbol, sha256(symbol || '|' || count(*)) AS attestation FROM bars GROUP BY symbol", "bars")
+@query(
+    """SELECT symbol, n, CASE WHEN symbol <> 'click' AND symbol <> 'view' THEN sha256(symbol || '|' || n || '|bid|ledger|ann|2024-01-01') END AS attestation, CASE symbol WHEN 'click' THEN 'basis_not_bid' WHEN 'view' THEN 'incomplete' ELSE 'attested' END AS state FROM (SELECT symbol, count(*)::VARCHAR AS n FROM bars GROUP BY symbol)""",
+    "bars",
+)
 def h19_attestation(t: Tables):
-    return t.bars().groupBy("symbol").agg(F.count("*").cast("string").alias("n")).select("symbol", inventory.attestation(["symbol"], F.col("n")).alias("attestation"))
+    """An attestation counts only when it is complete and of bid prices."""
+    rows = t.bars().groupBy("symbol").agg(F.count("*").cast("string").alias("n"))
+    by = {"basis": F.when(F.col("symbol") == "click", "ask").otherwise("bid"), "method": F.lit("ledger"), "attested_by": F.when(F.col("symbol") != "view", "ann"), "attested_at": F.lit("2024-01-01")}
+    return rows.withColumns(by).select("symbol", "n", inventory.attestation(["symbol", "n"]).alias("attestation"), inventory.attestation_state().alias("state"))
 
 
-@query("SELECT task_id, max(e) AS watermark, coalesce(max(e), TIMESTAMP '2001-01-01') AS start, TIMESTAMP '2001-09-01' AS \"end\" FROM planned GROUP BY task_id", "planned")
+@query(
+    f"""SELECT * FROM (SELECT task_id, watermark, greatest(coalesce(watermark, TIMESTAMP '{NOW}' - INTERVAL 30 DAY), TIMESTAMP '{NOW}' - INTERVAL 180 MINUTE - INTERVAL 400 DAY) AS start, TIMESTAMP '{NOW}' - INTERVAL 180 MINUTE AS "end"
+      FROM (SELECT 'task-' || c_custkey AS task_id, max(e) AS watermark FROM customer LEFT JOIN planned ON task_id = 'task-' || c_custkey GROUP BY ALL)) WHERE start < "end\"""",
+    "planned",
+)
 def j2_tail_windows(t: Tables):
-    """From the watermark of each task, or some days back without one, to now."""
-    w = t.windows("planned").groupBy("task_id").agg(F.max("end").alias("watermark"))
-    stamp = lambda s: F.lit(s).cast("timestamp")
-    return w.select("task_id", "watermark", F.coalesce("watermark", stamp("2001-01-01")).alias("start"), stamp("2001-09-01").alias("end"))
+    """From each task's watermark, or some days back for customers without orders, clamped to a longest window and the closed lag."""
+    tasks = t.table("customer").select(F.concat(F.lit("task-"), F.col("c_custkey").cast("string")).alias("task_id"))
+    marks = tasks.join(t.windows("planned").groupBy("task_id").agg(F.max("end").alias("watermark")), "task_id", "left")
+    return planner.bounded_tail(marks, now(), 30, "180 minute", "400 day")
 
 
-@query(
-    """SELECT p.task_id, p.window_id, p.s AS start, p.e AS "end", r.status FROM planned p JOIN runs r ON r.run_id = p.window_id WHERE r.status = 'failed' AND r.finished_at < TIMESTAMP '2001-07-01'""", "planned", "runs"
-)
-def j5_j6_gap_debt(t: Tables):
-    """Windows that failed runs still owe, without those of runs in the cooldown."""
-    failed = t.runs().where((F.col("status") == "failed") & (F.col("finished_at") < F.lit("2001-07-01").cast("timestamp"))).select(F.col("run_id").alias("window_id"), "status")
-    return t.windows("planned").join(failed, "window_id").select("task_id", "window_id", "start", "end", "status")
+DEBT = """, failed AS (SELECT c.*, CASE error_type WHEN 'TimeoutError' THEN 'gap' WHEN 'ValidationError' THEN 'coverage' WHEN 'Other' THEN 'coverage' ELSE 'none' END AS error, finished_at FROM candidate c JOIN runs ON run_id = window_id WHERE status = 'failed'),
+    ready AS (SELECT task_id, s, e FROM planned JOIN runs ON run_id = window_id WHERE status = 'completed'),
+    merged AS (SELECT task_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY task_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY task_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM ready)) GROUP BY task_id, run),
+    pieces AS (SELECT c.task_id, c.window_id, c.s, c.e, b.s AS bs, b.e AS be FROM failed c LEFT JOIN merged b ON b.task_id = c.task_id AND b.s < c.e AND c.s < b.e WHERE error = 'coverage'),
+    cuts AS (SELECT task_id, window_id, coalesce(lag(be) OVER (PARTITION BY task_id, window_id ORDER BY bs), s) AS f, coalesce(bs, e) AS u FROM pieces UNION ALL SELECT task_id, window_id, max(be) AS f, any_value(e) AS u FROM pieces WHERE be IS NOT NULL GROUP BY task_id, window_id),
+    debt AS (SELECT task_id, window_id, f AS start, u AS "end" FROM cuts WHERE f < u UNION SELECT task_id, window_id, s, e FROM failed WHERE error = 'gap')"""
+
+
+def _debt(t: Tables):
+    run = t.runs().select(F.col("run_id").alias("window_id"), "status", "error_type", "finished_at")
+    error = F.when(F.col("error_type") == "TimeoutError", "gap").when(F.col("error_type").isin("ValidationError", "Other"), "coverage").otherwise("none")
+    failed = t.windows("candidate").join(run.where("status = 'failed'"), "window_id").withColumn("error", error)
+    ready = t.windows("planned").join(run.where("status = 'completed'"), "window_id", "left_semi")
+    return windows.gap_debt(failed, ready, ["task_id"], ["window_id"]).join(run.select("window_id", "finished_at"), "window_id")
+
+
+@query(DEBT + ' SELECT task_id, window_id, start, "end" FROM debt', "planned", "candidate", "runs")
+def j5_gap_debt(t: Tables):
+    """What failed runs owe: all of a provider's gaps, and of coverage findings what no completed run of the task holds."""
+    return _debt(t).select("task_id", "window_id", "start", "end")
+
+
+@query(DEBT + f""" SELECT task_id, window_id, start, "end" FROM debt JOIN runs ON run_id = window_id WHERE finished_at >= TIMESTAMP '{NOW}' - to_minutes(525600)""", "planned", "candidate", "runs")
+def j6_cooldown(t: Tables):
+    """The debt of runs that ended within the last year: too fresh to be tried again."""
+    return windows.cooling(_debt(t), "finished_at", now(), 525_600).select("task_id", "window_id", "start", "end")
 
 
 @query("SELECT symbol, bar_ts, 'lineage_incomplete' AS code FROM bars WHERE hour(bar_ts) % 6 = 0", "bars")

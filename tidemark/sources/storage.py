@@ -11,14 +11,22 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one only on one machine where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/data-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, root: str, name: str) -> DataFrame:
+    """``df`` written below a shared folder and read back: its lineage ends there."""
+    df.write.parquet(f"{root}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+
+
 def file_path() -> Column:
     return F.col("_metadata.file_path")
 
@@ -71,8 +79,12 @@ def verify(spark: SparkSession, root: str, manifests: DataFrame) -> DataFrame:
 
 
 def published(spark: SparkSession, root: str, schema: StructType, manifests: DataFrame) -> DataFrame:
-    """Rows of parts that a manifest lists, and of no others."""
-    return scan(spark, root, schema).join(parts_of(manifests).select("path").distinct(), "path", "left_semi")
+    """Rows of parts that a manifest lists, and of no others: the reader gets the listed paths, so other files are never opened."""
+    paths = [r.path for r in parts_of(manifests).select("path").distinct().collect()]  # metadata, one entry a file
+    if not paths:
+        return spark.createDataFrame([], schema)
+    scheme = "file://" if root.startswith("file:") else ""
+    return spark.read.schema(schema).option("basePath", root).parquet(*[scheme + p if p.startswith("/") else p for p in paths])
 
 
 def snapshot_id(manifests: DataFrame) -> DataFrame:
