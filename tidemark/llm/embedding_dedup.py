@@ -1,11 +1,12 @@
 """Embedding near-dedup by hierarchical navigable small-world graphs, one for each shard.
 
 Vectors are made unit vectors in double precision; equal vectors become one node with their number. Nodes are dealt to
-shards by hash. A task reads its shard's nodes, builds the graph, and then streams all nodes past it as queries, in
-blocks: a greedy descent through the upper layers, then a beam search in the lowest. A query whose beam is full of links
-gets a wider beam, until it is not, or the beam is the shard. Some queries of each block are audited against the
-whole shard; while one of their links is missing, the block is searched again with a wider beam. What the search finds is
-verified by cosine in double precision. Links are counted and, within a block, joined to a spanning forest, so a group of
+shards by hash, and each shard is a task of its own. It reads its nodes, builds the graph, and then streams all nodes past
+it as queries, in blocks: a greedy descent through the upper layers, then a beam search in the lowest. A query whose beam is
+full of links gets a wider beam, until it is not, or the beam is the shard. Before any query, nodes of the shard that are
+known to have links there, from a comparison of some nodes with the whole shard, are searched with ever wider beams until
+none of their links is missing: that width serves the whole shard. Some queries of each block are audited in the same way;
+where one misses a link, its block and all later ones are searched with a wider beam. What the search finds is verified by cosine in double precision. Links are counted and, within a block, joined to a spanning forest, so a group of
 n near-copies gives n edges and not n squared. The forests are united by distributed components.
 
 Null, zero, empty and non-finite vectors and vectors with null components link with nothing, nor do vectors of other
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, components
@@ -30,6 +31,7 @@ SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 32_768, 64 << 20, 8
 NEIGHBOURS = 16  #: of a node when it is inserted; twice as many at most
 BUILD_BEAM, BEAM, DESCENT = 48, 24, 4
 BLOCK, AUDITS, RECALL = 512, 8, 1.0
+TOLD, LOOKED = 64, 1024  #: nodes with links that tell a shard's beam, and nodes looked at for them
 FAN = 16  #: nodes of a layer for each node of the layer above
 
 
@@ -137,7 +139,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray):
         self.x = vectors.astype(np.float32)
-        self.n = len(vectors)
+        self.n, self.beam = len(vectors), None
         sizes = [self.n]
         while sizes[-1] // FAN >= FAN:
             sizes.append(sizes[-1] // FAN)
@@ -164,11 +166,32 @@ class Graph:
             entry = layer.search(q, entry, DESCENT, layer.n)[0][:, 0]
         return self.layers[-1].search(q, entry, beam, self.n)
 
+    def settle(self, least: float) -> float:
+        """Widen the shard's beam until nodes that have links find all of them; the share that the first width found."""
+        look = np.unique(np.linspace(0, self.n - 1, min(LOOKED, self.n)).astype(int))
+        truth = np.concatenate([self.x[look[i : i + 128]] @ self.x.T >= least for i in range(0, len(look), 128)])
+        have = np.flatnonzero(truth.sum(axis=1) > 1)[:TOLD]  # each finds itself
+        look, truth, first = look[have], truth[have].sum(axis=1), 1.0
+        while len(look) and self.beam < self.n:
+            _, sims = self.search(self.x[look], self.beam)
+            hit = (sims >= least).sum(axis=1)
+            full = hit == self.beam  # such queries are widened anyway
+            share = float(hit[~full].sum() / max(1, truth[~full].sum()))
+            first = min(first, share) if self.beam == BEAM else first
+            if share >= RECALL:
+                break
+            self.beam *= 2
+        self.beam = min(self.beam, self.n)
+        return first
+
     def linked(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of all that the widened and audited search finds at similarity ``least`` or more, with a margin for rounding."""
         least = least - 1e-5
+        if self.beam is None:
+            self.beam = min(BEAM, self.n)
+            self.settle(least)
         q32 = q.astype(np.float32)
-        beam, todo, out_q, out_n = min(BEAM, self.n), np.arange(len(q)), [], []
+        beam, todo, out_q, out_n = self.beam, np.arange(len(q)), [], []
         audit = np.linspace(0, len(q) - 1, min(AUDITS, len(q))).astype(int)
         truth = q32[audit] @ self.x.T >= least
         while True:
@@ -186,6 +209,8 @@ class Graph:
                 missed += truth[np.searchsorted(audit, todo[k])].sum() > hit[k].sum()
             if missed > (1 - RECALL) * max(1, audited.sum()):
                 beam *= 2
+                if len(todo) == len(q):  # for the blocks to come as well
+                    self.beam = beam
                 continue
             full = hit[:, -1]
             a, b = np.nonzero(hit & ~full[:, None])
@@ -284,13 +309,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = scratch.table(nodes.withColumn("bytes", F.length("unit")), "nodes")
     sizes = nodes.groupBy("bytes").agg(F.count("*").alias("rows"))
     sizes = sizes.select("bytes", F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("rows") / F.least(F.lit(SHARD_ROWS), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / F.col("bytes"))))).cast("int")).alias("shards"))
+    # shards of all lengths are numbered through: a row for each length
+    sizes = scratch.table(sizes.withColumn("first", (F.sum("shards").over(Window.orderBy("bytes")) - F.col("shards")).cast("int")), "shards")
     dealt = nodes.join(sizes, "bytes").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
-    shard = lambda n: F.xxhash64("bytes", n)
+    shard = lambda n: (F.col("first") + F.col(n)).cast("int")
     stored = dealt.select(shard("shard").alias("shard"), F.lit(False).alias("query"), "id", "copies", "unit", F.xxhash64("id").alias("tie"))
-    asked = dealt.select("bytes", "id", "copies", "unit", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"))
+    asked = dealt.select("bytes", "id", "copies", "unit", "first", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"))
     asked = asked.select(shard("s").alias("shard"), F.lit(True).alias("query"), "id", "copies", "unit", F.xxhash64("id").alias("tie"))
     n = sizes.agg(F.sum("shards")).first()[0] or 1
-    placed = stored.unionByName(asked).repartition(int(4 * n), "shard").sortWithinPartitions("shard", "query", "tie")
+    placed = stored.unionByName(asked).repartitionById(int(n), "shard").sortWithinPartitions("shard", "query", "tie")
     found = scratch.table(placed.drop("tie").mapInArrow(_searched(threshold), "a long, b long, n long"), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     edges = found.where("a <> b").select("a", "b").distinct()
