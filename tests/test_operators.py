@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, time
-from tidemark.operators import bars, coverage, quality, versions, windows
+from tidemark.operators import bars, coverage, derive, planner, quality, runs, versions, windows
 from tidemark.sources import providers, storage
 from tidemark.streaming import bars as streaming
 
@@ -53,7 +53,7 @@ def test_latest_version_wins(spark):
 def test_release_lag_hides_an_observation(spark):
     obs = spark.createDataFrame([("x", at("2026-01-01").date(), 1.0, None, "release", 2, at("2026-01-05"), at("2026-01-05"), 1)], "series_id string, observation_date date, value double, vintage_start date, availability_policy string, availability_lag_days int, release_ts timestamp, asof_ts timestamp, tie long")
     for instant, n in (("2026-01-06 23:59:00", 0), ("2026-01-07 00:00:00", 1)):
-        assert versions.observed_asof(obs, spark.range(1).select(stamp(instant).alias("asof")), "tie").count() == n
+        assert versions.observed_asof(obs, [instant], "tie").count() == n
 
 
 def test_ten_minutes_make_two_bars(spark):
@@ -121,6 +121,12 @@ def test_violations_name_each_rule(spark):
 
 def test_scalars(spark):
     assert one(spark, text.redact(F.lit("password: abc rest"))) == "password: <redacted> rest"
+    for given, masked in (
+        ('{"token": "abc123", "n": 1}', '{"token": <redacted>, "n": 1}'), ("Authorization: Bearer a.b.c next", "Authorization: <redacted> next"), ("api_key='x y' rest", "api_key=<redacted> rest"),
+        ("passwords: one, two", "passwords: <redacted>, two"), ("tokens of a text", "tokens of a text"), ('"secret":"a\\"b" end', '"secret":<redacted> end'),
+    ):
+        assert one(spark, text.redact(F.lit(given))) == masked
+    assert one(spark, text.retryable(F.lit("HTTPError"), F.lit(503))) and not one(spark, text.retryable(F.lit("HTTPError"), F.lit(404)))
     assert one(spark, text.split_symbol(F.lit("eur/usd"))[1]) == "USD"
     assert one(spark, text.capacity_class(F.lit(0.1))) == "warning"
     assert one(spark, text.capacity_class(F.lit(None).cast("double"))) == "unknown"
@@ -166,3 +172,66 @@ def test_state_changes_of_one_name_over_many_ranges(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     ranges = spark.read.parquet(f"{tmp_path}/out-ranges").where("name = 'hot'").groupBy("batch", "part").count().collect()
     assert len(ranges) > 4 and max(r["count"] for r in ranges) <= 150
+
+
+def test_retry_chains_of_any_depth_and_cycles(spark, tmp_path):
+    rows = [(k, k - 1 if k else None) for k in range(120)] + [(200, 202), (201, 200), (202, 201), (203, 200), (300, 999), (301, 300)]
+    got = {r.run_id: (r.root, r.depth, r.cycle) for r in runs.retry_roots(spark.createDataFrame(rows, "run_id long, retry_of long"), f"file://{tmp_path}/chains").collect()}
+    assert len(got) == len(rows) and all(got[k] == (0, k, False) for k in range(120))
+    assert all(got[k] == (None, None, True) for k in (200, 201, 202, 203))
+    assert got[300] == (300, 0, False) and got[301] == (300, 1, False)
+
+
+def test_a_day_is_complete_without_its_closed_hours(spark):
+    fx = time.SESSIONS["fx"]
+    hours = spark.range(24).select(F.lit("p").alias("provider"), F.lit("fx").alias("asset_class"), F.lit("s").alias("symbol"), (stamp("2026-01-07") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("bar_ts"))
+    open_ = hours.where(fx.is_open(F.col("bar_ts")))
+    row = lambda df, session: bars.completeness(df, "1h", "1d", session=session).first()
+    assert open_.count() == 23
+    assert row(open_, fx).complete and row(open_, fx).expected == 23
+    assert not row(open_, None).complete and row(hours, None).complete
+    assert not row(hours, fx).complete  # a bar in closed hours
+    assert not row(open_.limit(22), fx).complete
+    # the whole range of a day that opens in the evening
+    sunday = spark.range(24).select(F.lit("p").alias("provider"), F.lit("fx").alias("asset_class"), F.lit("s").alias("symbol"), (stamp("2026-01-04") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("bar_ts"))
+    assert row(sunday.where(fx.is_open(F.col("bar_ts"))), fx).complete
+
+
+def test_gap_debt_owes_what_no_run_holds(spark):
+    schema = "task string, id long, start timestamp, end timestamp, error string"
+    failed = spark.createDataFrame([("t", 1, at("2026-01-01"), at("2026-01-05"), "coverage"), ("t", 2, at("2026-01-10"), at("2026-01-12"), "gap"), ("t", 3, at("2026-01-20"), at("2026-01-21"), "none"), ("t", 4, at("2026-01-22"), at("2026-01-22"), "gap")], schema)
+    ready = spark.createDataFrame([("t", at("2026-01-02"), at("2026-01-03")), ("t", at("2026-01-10"), at("2026-01-20"))], "task string, start timestamp, end timestamp")
+    got = windows.gap_debt(failed, ready, ["task"], ["id"]).collect()
+    assert sorted((r.id, r.start.day, r.end.day) for r in got) == [(1, 1, 2), (1, 3, 5), (2, 10, 12)]
+
+
+def test_repair_and_tail_windows(spark):
+    rows = spark.createDataFrame([("a", at(f"2026-01-05 0{h}:00:00")) for h in (0, 1, 4)] + [("b", at(f"2026-01-05 0{h}:00:00")) for h in (0, 1, 2)], "symbol string, bar_ts timestamp")
+    ranges = spark.createDataFrame([("a", at("2026-01-05"), at("2026-01-05 08:00:00")), ("b", at("2026-01-05"), at("2026-01-05 03:00:00"))], "symbol string, start timestamp, end timestamp")
+    args = ["symbol"], "bar_ts", 3600, time.SESSIONS["always"]
+    got = planner.repair_windows(rows, ranges, *args, "1 hour").collect()
+    assert sorted((r.symbol, r.start.hour, r.end.hour, r.ordinal) for r in got) == [("a", 2, 3, 0), ("a", 3, 4, 1), ("a", 5, 6, 2), ("a", 6, 7, 3), ("a", 7, 8, 4)]
+    tail = planner.tail_windows(rows, ranges, *args, "2 hours").collect()  # b lacks nothing, so its tail is no recovery
+    assert sorted((r.symbol, r.start.hour, r.end.hour, r.ordinal) for r in tail) == [("a", 5, 7, 0), ("a", 7, 8, 1)]
+
+
+def test_islands_go_over_days(spark):
+    rows = spark.range(50).where("id not in (10, 30)").select(F.lit("s").alias("symbol"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"))
+    got = coverage.islands(rows, ["symbol"], "ts", 3600).orderBy("start").collect()
+    assert [r.n for r in got] == [10, 19, 19]
+    assert [r.seconds for r in coverage.lag_gaps(rows, ["symbol"], "ts", 3600).collect()] == [7200, 7200]
+
+
+def test_multisets_and_recipes(spark):
+    left, right = (spark.createDataFrame([(x, None) for x in xs], "a long, b string") for xs in ([1, 1, 2], [1, 2, 2, 3]))
+    assert tuple(quality.equal_sets(left, right).first()) == (1, 2, False)
+    assert tuple(quality.equal_sets(left, left).first()) == (0, 0, True)
+    with pytest.raises(ValueError):
+        versions.derived_rows(left, "", "1")
+
+
+def test_a_connector_fetches_its_range(spark):
+    payloads = lambda job: spark.createDataFrame([("s", "[[1767225600000,1,2,0.5,1.5,10],[1767312000000,1,2,0.5,1.5,10]]"), ("t", "[[1767225600000,1,2,0.5,1.5,10]]")], "symbol string, payload string")
+    made = derive.register_connector(derive.Connector("feed", payloads, lambda df: providers.klines(df, "payload", "symbol")))
+    got = made.fetch_bars({"symbol": "s", "start": "2026-01-01", "end": "2026-01-02"}).collect()
+    assert [(r.provider, r.symbol, r.bar_ts) for r in got] == [("feed", "s", at("2026-01-01"))] and derive.CONNECTORS["feed"] is made

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import shared_dir, written
+
 BAR_KEYS = ("provider", "asset_class", "symbol", "timeframe", "bar_ts")
 
 
@@ -100,11 +102,11 @@ def page(df: DataFrame, keys: list[str], size: int, last: list | None = None) ->
 def pages(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     """All pages of one fixed set of rows: each row with the number of its page, from 0; ``df`` is read once.
 
-    Rows are numbered by ranges of the keys, so no task holds more than one range.
+    Rows are written in ranges of the keys and numbered by these, so no task holds more than one range.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    ranged = written(ranged.withColumn("_part", F.shiftright("_at", 33)), shared_dir(df.sparkSession), "pages")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_k"))  # a row for each range
     before = sizes.select("_part", (F.sum("_k").over(Window.orderBy("_part")) - F.col("_k")).alias("_before"))
     place = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)
