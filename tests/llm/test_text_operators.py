@@ -370,6 +370,21 @@ def test_four_holders_of_parts_of_a_passage_all_link(spark):
     assert {(r.start_word, r.end_word) for r in found if r.doc_id == 602} == {(0, 66), (136, 202)}
 
 
+def test_a_repeated_phrase_is_covered_once(spark):
+    found = [(0, 50, 1, 51, 50), (2, 52, 0, 50, 50), (4, 54, 0, 50, 50), (40, 90, 0, 50, 50), (60, 110, 0, 50, 50), (95, 140, 0, 45, 45), (300, 350, 0, 50, 50), (300, 340, 0, 40, 40)]
+    kept = substring_dedup.covering(found)
+    every = lambda ps: {w for p in ps for w in range(p[0], p[1])}
+    assert every(kept) == every(found) and len(kept) == 5 and set(kept) <= set(found)
+    assert substring_dedup.covering([]) == []
+    phrase = "one two " * 200
+    rows = [(k, words(60, 9970 + k) + " " + phrase + words(60, 9980 + k)) for k in range(6)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for k in range(1, 6):
+        covered = {w for r in got if r.doc_id == k for w in range(r.start_word, r.end_word)}
+        assert covered >= set(range(60, 460))
+    assert len(got) < 200
+
+
 def test_texts_of_one_id_are_cut_apart_and_ids_can_be_strings(spark):
     shared = words(70, 9960)
     rows = [("a", shared + " " + words(60, 9961)), ("b", words(60, 9962)), ("b", shared + " " + words(60, 9963)), (None, shared), ("c", words(60, 9962))]
