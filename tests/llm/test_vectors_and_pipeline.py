@@ -101,3 +101,23 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, small):
     assert 90_001 not in left and 90_002 not in left and counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0]
     assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "bpe"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_awkward_tables(spark, small):
+    """Null, empty, repeated and clashing rows and columns go through every filtering stage; so does an empty table."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    long = docs.where("length(text) > 600").orderBy("doc_id").first().text
+    benchmark = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    rows = [(80_001, None, "k"), (80_002, "", "k"), (None, long, "k"), (None, benchmark, "k"), (80_003, "a short clean text", "k"), (80_003, "a short clean text", "k"), (80_003, "another clean text", "k"), (80_004, " \n", "k"), (80_005, "w" * 200_000, "k")]
+    schema = "doc_id long, text string, node string, key string, row string, id string, a long, _spans string"
+    odd = spark.createDataFrame([(i, t, "n", k, "r", "i", 1, "s") for i, t, k in rows], schema)
+    now, none = odd, odd.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now, none = stage(spark, now, small), stage(spark, none, small)
+        assert now.columns == none.columns == odd.columns and none.count() == 0
+        now = now.cache()
+    left = sorted((r.doc_id or 0, (r.text or "")[:12]) for r in now.collect())
+    # of equal rows one is left, with or without an id; a row without an id that holds a benchmark item goes; wordless rows stay
+    assert left == sorted([(80_001, ""), (80_002, ""), (0, long[:12]), (80_003, "a short clea"), (80_003, "another clea"), (80_004, " \n"), (80_005, "w" * 12)])
+    last = corpus_pipeline.STAGES[-1][1](spark, now, small)
+    assert last.count() == len(left) and corpus_pipeline.STAGES[-1][1](spark, none, small).count() == 0

@@ -6,7 +6,8 @@ part of it that is to be learned, which is what the participant says, with the e
 concatenation of its rows in order of ``position``; ``render`` makes it for dialogues of bounded length.
 
 System turns belong to no participant and are rendered as such. A null or blank role is the participant ``unknown``; a
-null text is empty. Turns are ordered by number (nulls first), then role and text, so ties have a defined order; repeated
+null text is empty. No text or role can forge a mark: a mark inside a text gets a space behind its bar, and in a role marks
+and line ends become spaces. Turns are ordered by number (nulls first), then role and text, so ties have a defined order; repeated
 rows are turns of their own. A dialogue of system turns alone has no perspective. Null dialogue ids are one dialogue.
 """
 
@@ -18,13 +19,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, ordered_parts
 
 START, END = "<|im_start|>", "<|im_end|>"  #: fixed marks of the chat format
+FORGED, FORGED_ROLE = r"<\|(im_start|im_end)\|>", r"<\|im_start\|>|<\|im_end\|>|[\r\n]+"
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Rows (conversation, perspective, position, turn, speaker, rendered, char_start, char_end, learn_start, learn_end)."""
     scratch = Scratch(turns.sparkSession, "perspectives")
-    speaker = F.coalesce(F.nullif(F.trim(F.col(role_col)), F.lit("")), F.lit("unknown"))
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), speaker.alias("speaker"), F.coalesce(text_col, F.lit("")).alias("text"))
+    name = F.trim(F.regexp_replace(role_col, FORGED_ROLE, " "))
+    speaker = F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown"))
+    text = F.regexp_replace(F.coalesce(text_col, F.lit("")), FORGED, "<| $1|>")
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), speaker.alias("speaker"), text.alias("text"))
     order = ["turn", "speaker", "text"]
     # parts of the ordered turns keep running totals out of single tasks, however long a dialogue is
     placed = ordered_parts(scratch, rows, "conv", *order)

@@ -79,7 +79,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op10_perspectives"] = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(nullif(trim(regexp_replace(role, '<\|im_start\|>|<\|im_end\|>|[\r\n]+', ' ', 'g')), ''), 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1|>', 'g') AS text FROM conversations
 ), seen AS (
   SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM turns WHERE speaker <> 'system'
 ), every AS (
