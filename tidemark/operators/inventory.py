@@ -49,3 +49,9 @@ def attestation(keys: list[str]) -> Column:
 def unlisted(files: DataFrame, manifest_parts: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
     """(files in no manifest, files in one)."""
     return files.join(manifest_parts.select(path), path, "left_anti"), files.join(manifest_parts.select(path), path, "left_semi")
+
+
+def new_parts(parts: DataFrame, remembered: DataFrame, path: str = "path") -> DataFrame:
+    """Parts that are not remembered yet. At first sight, with nothing remembered, all are the baseline and none is new."""
+    fresh = parts.join(remembered.select(path).distinct(), path, "left_anti")
+    return fresh if not remembered.isEmpty() else fresh.limit(0)

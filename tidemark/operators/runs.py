@@ -71,11 +71,19 @@ def dedupe_findings(findings: DataFrame, identity: list[str], ts: str, order: st
     return findings.groupBy(*identity).agg(F.count("*").alias("occurrence_count"), F.min(ts).alias("first_observed_at"), F.max(ts).alias("last_observed_at"), F.min_by("run_id", F.struct(ts, order)).alias("first_run_id"))
 
 
-def transitions(samples: DataFrame, keys: list[str], ts: str, state: str) -> DataFrame:
-    """Samples whose state differs from the one before, with a generation count from 1."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    changed = samples.withColumn("previous", F.lag(state).over(w)).where(F.col("previous").isNull() | (F.col("previous") != F.col(state)))
-    return changed.withColumn("generation", F.row_number().over(w).cast("long"))
+def transitions(samples: DataFrame, keys: list[str], ts: str, state: str, by: str) -> DataFrame:
+    """Samples whose state differs from the one before, with a generation count from 1.
+
+    ``by`` is a coarser column that never falls as ``ts`` rises, such as the date: changes are found inside its values, and
+    only one row for each of them goes through a whole key's window.
+    """
+    inside, whole = Window.partitionBy(*keys, by).orderBy(ts), Window.partitionBy(*keys).orderBy(by)
+    ends = samples.groupBy(*keys, by).agg(F.max_by(state, ts).alias("_last")).withColumn("_entry", F.lag("_last").over(whole)).drop("_last")
+    marked = samples.withColumns({"_at": F.row_number().over(inside), "_in": F.lag(state).over(inside)}).join(ends, [*keys, by])
+    previous = F.when(F.col("_at") == 1, F.col("_entry")).otherwise(F.col("_in"))
+    changed = marked.withColumn("previous", previous).where(F.col("previous").isNull() | (F.col("previous") != F.col(state))).drop("_at", "_in", "_entry")
+    counts = changed.groupBy(*keys, by).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(whole) - F.col("_n")).drop("_n")
+    return changed.withColumn("_nth", F.row_number().over(inside)).join(counts, [*keys, by]).withColumn("generation", (F.col("_before") + F.col("_nth")).cast("long")).drop("_nth", "_before")
 
 
 def retry_roots(runs: DataFrame, root: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as ftext
 from tidemark.functions import time as ft
-from tidemark.operators import inventory, planner, quality, runs, windows
+from tidemark.operators import derive, inventory, planner, quality, runs, windows
 from tidemark.operators.versions import ranked_first
 from tidemark.plans.fixtures import Tables, query
 from tidemark.sources.storage import shared_dir
@@ -156,8 +156,8 @@ def c7_undelivered(t: Tables):
 
 @query("SELECT dataset_id, created_at, run_id, status, generation FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at, run_id) AS generation FROM (SELECT *, lag(status) OVER (PARTITION BY dataset_id ORDER BY created_at, run_id) AS previous FROM runs) WHERE previous IS NULL OR previous <> status)", "runs")
 def e9_transitions(t: Tables):
-    rows = t.runs().withColumn("at", F.struct("created_at", "run_id"))
-    return runs.transitions(rows, ["dataset_id"], "at", "status").select("dataset_id", "created_at", "run_id", "status", "generation")
+    rows = t.runs().withColumns({"at": F.struct("created_at", "run_id"), "day": F.to_date("created_at")})
+    return runs.transitions(rows, ["dataset_id"], "at", "status", "day").select("dataset_id", "created_at", "run_id", "status", "generation")
 
 
 @query("SELECT dataset_id, run_id, created_at, status, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, run_id DESC) AS rank FROM runs) WHERE rank <= 5", "runs")
@@ -326,19 +326,24 @@ def i9_execution_windows(t: Tables):
 
 
 @query(
-    """SELECT n_name AS nation, s.symbol, CASE WHEN b.n IS NULL THEN 'unavailable' WHEN o.owners IS NULL THEN 'unplanned' WHEN o.owners > 5 THEN 'config_drift' ELSE 'planned' END AS status, coalesce(b.n, 0) AS bars, coalesce(o.owners, 0) AS owners
-    FROM nation CROSS JOIN (SELECT DISTINCT symbol FROM bars UNION SELECT 'none') s LEFT JOIN (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol) b ON b.symbol = s.symbol
+    """SELECT n_name AS nation, s.symbol, timeframe, basis, CASE WHEN b.n IS NULL OR basis <> 'bid' OR timeframe = '15m' THEN 'unavailable' WHEN o.owners IS NULL THEN 'unplanned' WHEN o.owners > 5 THEN 'config_drift' ELSE 'planned' END AS status,
+    CASE WHEN b.n IS NULL THEN 'no_bars' WHEN basis <> 'bid' THEN 'basis_not_held' WHEN timeframe = '15m' THEN 'no_recipe' END AS reason, coalesce(b.n, 0) AS bars, coalesce(o.owners, 0) AS owners
+    FROM nation, (SELECT DISTINCT symbol FROM bars UNION SELECT 'none') s, (VALUES ('1h'), ('1d'), ('15m')) f(timeframe), (VALUES ('bid'), ('ask')) p(basis) LEFT JOIN (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol) b ON b.symbol = s.symbol
     LEFT JOIN (SELECT s_nationkey, count(*) AS owners FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL) o ON o.s_nationkey = n_nationkey""",
     "bars",
 )
 def c11_availability_matrix(t: Tables):
-    """Dimensions crossed, joined to what the bars hold and to their owners."""
+    """Every cell of a few small dimensions, joined to what the bars hold, which recipes reach, and who owns it."""
     held = t.bars().groupBy("symbol").agg(F.count("*").alias("n"))
     symbols = held.select("symbol").unionByName(t.spark.range(1).select(F.lit("none").alias("symbol")))
     owners = t.table("supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("owners"))
-    cells = t.table("nation").crossJoin(F.broadcast(symbols)).join(held, "symbol", "left").join(owners, "n_nationkey", "left")
-    status = F.when(F.col("n").isNull(), "unavailable").when(F.col("owners").isNull(), "unplanned").when(F.col("owners") > 5, "config_drift").otherwise("planned")
-    return cells.select(F.col("n_name").alias("nation"), "symbol", status.alias("status"), F.coalesce("n", F.lit(0)).alias("bars"), F.coalesce("owners", F.lit(0)).alias("owners"))
+    made = ["1h", *[r.target for r in derive.RECIPES.values() if r.source == "1h"]]
+    some = lambda *xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    cells = t.table("nation").crossJoin(symbols).withColumn("timeframe", some("1h", "1d", "15m")).withColumn("basis", some("bid", "ask"))
+    cells = cells.join(held, "symbol", "left").join(owners, "n_nationkey", "left")
+    reason = F.when(F.col("n").isNull(), "no_bars").when(F.col("basis") != "bid", "basis_not_held").when(~F.col("timeframe").isin(made), "no_recipe")
+    status = F.when(reason.isNotNull(), "unavailable").when(F.col("owners").isNull(), "unplanned").when(F.col("owners") > 5, "config_drift").otherwise("planned")
+    return cells.select(F.col("n_name").alias("nation"), "symbol", "timeframe", "basis", status.alias("status"), reason.alias("reason"), F.coalesce("n", F.lit(0)).alias("bars"), F.coalesce("owners", F.lit(0)).alias("owners"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import path_value
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import inventory
 from tidemark.plans.fixtures import Tables, query
@@ -21,7 +22,7 @@ def _published(t: Tables):
     storage.write_bars(rows, root, "r1")
     storage.write_bars(rows.where("symbol = 'click'"), root, "r2")
     schema = rows.withColumn("year", F.year("bar_ts")).withColumn("run_id", F.lit("")).schema
-    return root, schema, storage.build_manifest(t.spark, root, "r1")
+    return root, schema, storage.build_manifest(t.spark, root, "r1", quality="pass")
 
 
 @query("SELECT symbol, bar_ts, open, high, low, close, volume FROM bars", "bars")
@@ -41,16 +42,24 @@ def a3_a4_pruned_scan(t: Tables):
 PARTS = "(SELECT DISTINCT provider, asset_class, symbol, timeframe, year(bar_ts) AS year FROM bars WHERE {where})"
 
 
-@query("SELECT 'unlisted_part' AS finding, count(*) AS parts FROM " + PARTS.format(where="symbol = 'click'"), "bars")
+@query(
+    "SELECT CASE symbol WHEN 'view' THEN 'count_mismatch' ELSE 'schema_mismatch' END AS finding, count(*) AS parts FROM " + PARTS.format(where="symbol IN ('view', 'error')") + " GROUP BY symbol"
+    " UNION ALL SELECT 'unlisted_part', count(*) FROM " + PARTS.format(where="symbol = 'click'") + " UNION ALL SELECT 'totals_mismatch', count(DISTINCT 'r1') FROM bars",
+    "bars",
+)
 def a7_a8_verify_manifest(t: Tables):
+    """A manifest with planted row counts and schemas, whose totals then differ, beside parts of a run that has none."""
     root, _, manifest = _published(t)
-    return storage.verify(t.spark, root, manifest).groupBy("finding").agg(F.count("*").alias("parts"))
+    of = lambda p, s: p.path.contains(f"symbol={s}/")
+    planted = F.transform("parts", lambda p: p.withField("row_count", p.row_count + F.when(of(p, "view"), 1).otherwise(0)).withField("schema", F.when(of(p, "error"), "other").otherwise(p.schema)))
+    return storage.verify(t.spark, root, manifest.withColumn("parts", planted)).groupBy("finding").agg(F.count("*").alias("parts"))
 
 
-@query("SELECT 'r1' AS run_id, (SELECT count(*) FROM bars) AS row_count, count(*) AS parts FROM " + PARTS.format(where="true"), "bars")
+@query("SELECT 'r1' AS run_id, (SELECT count(*) FROM bars) AS row_count, count(*) AS parts, count(DISTINCT 1) AS schemas, 'pass' AS quality FROM " + PARTS.format(where="true"), "bars")
 def a7_manifest_totals(t: Tables):
     _, _, manifest = _published(t)
-    return manifest.select("run_id", "row_count", F.size("parts").cast("long").alias("parts"))
+    schemas = F.size(F.array_distinct(F.transform("parts", lambda p: p.schema)))
+    return manifest.select("run_id", "row_count", F.size("parts").cast("long").alias("parts"), schemas.cast("long").alias("schemas"), "quality")
 
 
 @query("SELECT 'excluded' AS side, count(*) AS files FROM " + PARTS.format(where="true"), "bars")
@@ -61,6 +70,32 @@ def c2_c14_unlisted_files(t: Tables):
     return listed.agg(F.count("*").alias("files")).select(F.lit("excluded").alias("side"), "files")
 
 
+@query("SELECT symbol, count(*) AS parts FROM " + PARTS.format(where="symbol IN ('view', 'error')") + " GROUP BY symbol", "bars")
+def c14_new_parts(t: Tables):
+    """Parts that the last look did not see, by series; a first look finds none."""
+    _, _, manifest = _published(t)
+    parts = storage.parts_of(manifest)
+    symbol = path_value(F.col("path"), "symbol")
+    remembered = parts.where(~symbol.isin("view", "error"))
+    found = inventory.new_parts(parts, remembered).unionByName(inventory.new_parts(parts, parts.limit(0)))
+    return found.groupBy(symbol.alias("symbol")).agg(F.count("*").alias("parts"))
+
+
+@query(
+    "SELECT symbol, bar_ts, 'duplicate' AS code FROM bars WHERE hour(bar_ts) = 4 UNION ALL SELECT symbol, bar_ts, 'unsorted' FROM bars WHERE symbol = 'view' QUALIFY bar_ts <> max(bar_ts) OVER (PARTITION BY symbol) UNION ALL SELECT symbol, bar_ts, 'row' FROM bars WHERE hour(bar_ts) <> 4 AND bar_ts >= TIMESTAMP '2024-01-05' AND bar_ts < TIMESTAMP '2024-01-09'",
+    "bars",
+)
+def a13_provider_frame(t: Tables):
+    """A frame with upper-case names, doubled stamps and a series that runs backwards."""
+    rows = t.bars().select(*PRICES)
+    back = F.when(F.col("symbol") == "view", -F.unix_timestamp("bar_ts")).otherwise(F.unix_timestamp("bar_ts"))
+    frame = rows.unionByName(rows.where(F.hour("bar_ts") == 4)).withColumn("at", back)
+    frame = frame.select(*[F.col(c).alias(c.upper()) for c in frame.columns])
+    good, rejected = providers.normalize_frame(frame, F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-09").cast("timestamp"), ["symbol"], "at")
+    once = good.where(F.hour("bar_ts") != 4).select("symbol", "bar_ts", F.lit("row").alias("code"))
+    return rejected.unionByName(once)
+
+
 @query("SELECT symbol, bar_ts, close, CASE WHEN asset_class = 'fx' THEN source_hash END AS source_hash FROM bars", "bars")
 def a2_schema_union(t: Tables):
     """Parts with typed stamps and with stamps as text and fewer columns, read together."""

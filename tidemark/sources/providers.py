@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.runs import first_wins
@@ -69,12 +69,24 @@ def encode_ticks(rows: list[tuple[int, float, float, float, float]]) -> bytes:
     return lzma.compress(b"".join(struct.pack(">IIIff", ms, round(ask * PRICE_UNIT), round(bid * PRICE_UNIT), av, bv) for ms, ask, bid, av, bv in rows))
 
 
-def normalize_frame(df: DataFrame, start, end, keys: list[str]) -> DataFrame:
-    """Provider rows with lower-case names, inside ``[start, end)``, doubled stamps marked, and a hash of each row's fields."""
+FRAME = ("bar_ts", "open", "high", "low", "close", "volume")  #: columns that a provider's frame has to have
+
+
+def normalize_frame(df: DataFrame, start, end, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejections) of a provider's frame whose rows come in ``order``; a column that lacks is an error.
+
+    Rows have lower-case names, lie inside ``[start, end)`` and have a hash of their fields. Rejections (keys, bar_ts, code)
+    tell of stamps that come twice or before the one in front of them; a frame that has any is not to be published.
+    """
     rows = df.select(*[F.col(c).alias(c.lower()) for c in df.columns])
-    n = rows.groupBy(*keys, "bar_ts").agg(F.count("*").alias("copies"))
-    fields = [*keys, "bar_ts", "open", "high", "low", "close", "volume"]
-    return rows.where((F.col("bar_ts") >= start) & (F.col("bar_ts") < end)).join(n, [*keys, "bar_ts"]).withColumn("source_hash", F.sha2(F.to_json(F.struct(*sorted(fields))), 256))
+    lacking = [c for c in (*keys, *FRAME, order) if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"the frame lacks {', '.join(lacking)}")
+    back = rows.withColumn("_back", F.col("bar_ts") < F.lag("bar_ts").over(Window.partitionBy(*keys).orderBy(order))).where("_back")
+    twice = rows.groupBy(*keys, "bar_ts").agg(F.count("*").alias("_n")).where("_n > 1")
+    code = lambda d, c: d.select(*keys, "bar_ts", F.lit(c).alias("code"))
+    clipped = rows.where((F.col("bar_ts") >= start) & (F.col("bar_ts") < end)).drop(order)
+    return clipped.withColumn("source_hash", F.sha2(F.to_json(F.struct(*sorted([*keys, *FRAME]))), 256)), code(back, "unsorted").unionByName(code(twice, "duplicate"))
 
 
 def merge_windows(bars: DataFrame, windows: DataFrame, keys: list[str], identity: list[str], owner: str) -> DataFrame:

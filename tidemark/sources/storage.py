@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,10 +48,31 @@ def write_observations(obs: DataFrame, root: str, run_id: str) -> None:
 
 
 def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """The data files below a folder: path, bytes, modification time, and the content's hash if asked for."""
+    """The data files below a folder: path, bytes, modification time; if asked for also the content's hash, and the schema and rows that the footer tells.
+
+    A file's content is one value, so parts have to stay below 2 GB. A broken footer gives a null schema and null rows.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
     columns = [F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
-    return found.select(*columns, *([F.sha2("content", 256).alias("sha256")] if content else []))
+    if not content:
+        return found.select(*columns)
+    read = found.select(*columns, "content").mapInArrow(_footers, "path string, bytes long, modified timestamp, sha256 string, schema string, row_count long")
+    return read
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, schemas, rows = [], [], []
+        for data in batch.column(3):
+            raw = memoryview(data.as_buffer())
+            hashes.append(hashlib.sha256(raw).hexdigest())
+            try:
+                footer = pq.ParquetFile(pa.BufferReader(raw))
+                schemas.append(", ".join(f"{f.name}: {f.type}" for f in footer.schema_arrow))
+                rows.append(footer.metadata.num_rows)
+            except pa.ArrowInvalid:
+                schemas.append(None), rows.append(None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes), pa.array(schemas, pa.string()), pa.array(rows, pa.int64())], names=["path", "bytes", "modified", "sha256", "schema", "row_count"])
 
 
 def scan(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
@@ -56,12 +81,12 @@ def scan(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     return rows.withColumn("path", F.regexp_replace(file_path(), "^file:/+", "/"))
 
 
-def build_manifest(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """One row for a run: its parts with bytes, hash and rows, and their totals. Files are hashed on the executors."""
-    path = f"{root}/run_id={run_id}"
-    counts = spark.read.parquet(path).groupBy(F.regexp_replace(file_path(), "^file:/+", "/").alias("path")).agg(F.count("*").alias("row_count"))
-    parts = files(spark, path, content=True).join(counts, "path", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
-    return parts.groupBy(F.lit(run_id).alias("run_id")).agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256", "row_count"))).alias("parts"), F.sum("row_count").alias("row_count"), F.sum("bytes").alias("bytes"))
+def build_manifest(spark: SparkSession, root: str, run_id: str, quality: str = "unknown", lineage: str | None = None) -> DataFrame:
+    """One row for a run: its parts with bytes, hash, schema and rows, their totals, its quality and the snapshot it was made from. Files are read on the executors."""
+    parts = files(spark, f"{root}/run_id={run_id}", content=True)
+    every = F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256", "schema", "row_count")))  # metadata, one entry a file
+    out = parts.groupBy(F.lit(run_id).alias("run_id")).agg(every.alias("parts"), F.sum("row_count").alias("row_count"), F.sum("bytes").alias("bytes"))
+    return out.withColumns({"quality": F.lit(quality), "input_snapshot_id": F.lit(lineage).cast("string")})
 
 
 def parts_of(manifests: DataFrame) -> DataFrame:
@@ -69,13 +94,19 @@ def parts_of(manifests: DataFrame) -> DataFrame:
 
 
 def verify(spark: SparkSession, root: str, manifests: DataFrame) -> DataFrame:
-    """Findings of declared parts against files: missing, unlisted, changed or doubled, and paths outside the root."""
-    seen = files(spark, root, content=True).select("path", F.col("bytes").alias("now_bytes"), F.col("sha256").alias("now_sha256"))
-    declared = parts_of(manifests).groupBy("path").agg(F.count("*").alias("times"), F.first("bytes").alias("bytes"), F.first("sha256").alias("sha256"))
-    both = declared.join(seen, "path", "full_outer")
+    """Findings of declared parts against files: doubled, outside the root, missing, unlisted, changed, or of another schema or number of rows; and runs whose totals are not their parts'."""
+    seen = files(spark, root, content=True).select("path", *[F.col(c).alias(f"now_{c}") for c in ("bytes", "sha256", "schema", "row_count")])
+    first = [F.first(c).alias(c) for c in ("bytes", "sha256", "schema", "row_count")]
+    both = parts_of(manifests).groupBy("path").agg(F.count("*").alias("times"), *first).join(seen, "path", "full_outer")
     plain = root.removeprefix("file://")
-    state = F.when(F.col("times") > 1, "duplicate_part").when(~F.col("path").startswith(plain) | F.col("path").contains("/../"), "unsafe_path").when(F.col("now_bytes").isNull(), "missing_part").when(F.col("times").isNull(), "unlisted_part").when((F.col("bytes") != F.col("now_bytes")) | (F.col("sha256") != F.col("now_sha256")), "changed_part")
-    return both.select("path", state.alias("finding")).where("finding is not null")
+    other = lambda c: ~F.col(c).eqNullSafe(F.col(f"now_{c}"))
+    state = (
+        F.when(F.col("times") > 1, "duplicate_part").when(~F.col("path").startswith(plain) | F.col("path").contains("/../"), "unsafe_path").when(F.col("now_bytes").isNull(), "missing_part")
+        .when(F.col("times").isNull(), "unlisted_part").when(other("bytes") | other("sha256"), "changed_part").when(other("schema"), "schema_mismatch").when(other("row_count"), "count_mismatch")
+    )
+    declared = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.coalesce(p.row_count, F.lit(0)))
+    totals = manifests.where(F.col("row_count") != declared).select(F.col("run_id").alias("path"), F.lit("totals_mismatch").alias("finding"))
+    return both.select("path", state.alias("finding")).where("finding is not null").unionByName(totals)
 
 
 def published(spark: SparkSession, root: str, schema: StructType, manifests: DataFrame) -> DataFrame:

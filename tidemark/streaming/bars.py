@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
+from tidemark.functions.time import next_bucket
 from tidemark.operators import bars as bar_ops
 from tidemark.operators.versions import ranked_first
 
@@ -34,16 +35,21 @@ def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
 def repair(ticks: DataFrame, raw: str, versions: str, checkpoint: str, timeframe: str = "1h") -> None:
     """Keep every batch's ticks, and derive the buckets that a batch touches again as a newer version.
 
-    Both writes go to a folder of the batch's number and replace it, so a batch that is run again changes nothing.
+    Ticks are kept by day, so a batch reads the days of the buckets that it touches and no others. Both writes go to a folder
+    of the batch's number and replace it, so a batch that is run again changes nothing.
     """
     spark = ticks.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{raw}/batch={number}")
-        touched = df.select("symbol", bar_ops.bucket(F.col("ts"), timeframe).alias("bar_ts")).distinct()
-        every = spark.read.schema(ticks.schema).parquet(*[f"{raw}/batch={k}" for k in range(number + 1)])
-        derived = bar_ops.tick_bars(every.join(touched, (every.symbol == touched.symbol) & (bar_ops.bucket(every.ts, timeframe) == touched.bar_ts), "left_semi"), timeframe)
-        derived.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{versions}/batch={number}")
+        df.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{raw}/batch={number}")
+        start = bar_ops.bucket(F.col("ts"), timeframe)
+        touched = df.select("symbol", start.alias("bar_ts")).distinct()
+        span = F.sequence(F.to_date("bar_ts"), F.to_date(next_bucket(F.col("bar_ts"), timeframe) - F.expr("interval 1 second")), F.expr("interval 1 day"))
+        days = [r.day for r in touched.select(F.explode(span).alias("day")).distinct().collect()]  # calendar days
+        kept = StructType([*ticks.schema.fields, StructField("batch", IntegerType()), StructField("day", DateType())])
+        every = spark.read.schema(kept).option("basePath", raw).parquet(raw).where((F.col("batch") <= number) & F.col("day").isin(days))
+        again = every.withColumn("bar_ts", bar_ops.bucket(F.col("ts"), timeframe)).join(touched, ["symbol", "bar_ts"], "left_semi")
+        bar_ops.tick_bars(again, timeframe).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{versions}/batch={number}")
 
     ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
