@@ -454,6 +454,22 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_labels_that_disagree_and_clashing_columns(spark):
+    """Equal texts with unlike labels count as toxic whatever the order of rows; columns of the operator's own names stay."""
+    rows, labels = [], []
+    for k in range(300):
+        toxic = k % 3 == 0
+        rows.append((k, words(12, 400 + k // 2 * 2) + (" grunkle" if toxic else " plain"), "a", "b", 0.25))
+        labels += [(k, 1, int(toxic)), (k, 1, 0)]
+    rows += [(900, "the tied grunkle", "a", "b", 0.5), (901, "the tied grunkle", "a", "b", 0.5), (None, "grunkle", "a", "b", None), (902, None, "a", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, top string, score double")
+    marked = spark.createDataFrame([*labels, (900, 1, 1), (901, 1, 0)], "doc_id long, quality int, toxic int")
+    one, two = toxicity.learn(docs, marked), toxicity.learn(docs.orderBy(F.desc("doc_id")), marked.orderBy(F.desc("doc_id")))
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.scale, two.scale)
+    kept = toxicity.drop_toxic(docs, one)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k in range(300) if k % 3} | {902}
+
+
 def test_kernel_folding_equals_the_kernel():
     tokens = ["idiot", "id.iot", "idea", "banana", "x"]
     of, sub, w = toxicity.subsequences(tokens)

@@ -51,6 +51,15 @@ def test_graph_recall(monkeypatch):
     assert len(want & found) >= 0.9 * len(want)
 
 
+def test_very_long_vectors_and_a_settled_beam(spark):
+    x = vectors(120, 5, groups=6, size=5, d=6000)
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(rows).collect()} == plain(x, list(range(120)))
+    graph = embedding_dedup.Graph(vectors(6000, 6, groups=60, size=40, d=32))
+    graph.linked(graph.x[:8].astype(float), 0.95)
+    assert embedding_dedup.BEAM <= graph.beam <= graph.n
+
+
 def test_awkward_vectors(spark):
     one = [1.0, 0.0, 0.0]
     rows = [(1, one), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.01, 0.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 0.0]), (8, [float("nan"), 0.0, 0.0]), (9, [float("inf"), 0.0, 0.0]), (10, [1.0, 0.0]), (None, one), (3, one)]
