@@ -48,8 +48,12 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        self.free()
+
+    def free(self) -> None:
+        """Let Spark's cleaner take the shuffle files of finished jobs: it waits for the driver's garbage to be collected."""
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def vocabulary(path: str) -> str:
