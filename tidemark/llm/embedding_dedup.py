@@ -3,7 +3,7 @@
 Vectors are made unit vectors in double precision; equal vectors become one node with their number. Nodes are dealt to
 shards by hash, and each shard is a task of its own. It reads its nodes, builds the graph, and then streams all nodes past
 it as queries, in blocks: a greedy descent through the upper layers, then a beam search in the lowest. A query whose beam is
-full of links gets a wider beam, until it is not, or the beam is the shard. Before any query, nodes of the shard that are
+full of links has more of them than that: it is compared with the whole shard. Before any query, nodes of the shard that are
 known to have links there, from a comparison of some nodes with the whole shard, are searched with ever wider beams until
 none of their links is missing: that width serves the whole shard. Some queries of each block are audited in the same way;
 where one misses a link, its block and all later ones are searched with a wider beam. What the search finds is verified by cosine in double precision. Links are counted and, within a block, joined to a spanning forest, so a group of
@@ -219,7 +219,7 @@ class Graph:
             todo = todo[full]
             if not len(todo):
                 break
-            beam *= 4
+            beam = self.n  # of a group larger than the beam only the whole shard has all links
         return np.concatenate(out_q), np.concatenate(out_n)
 
 
