@@ -71,25 +71,9 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash, for one task: ``most`` words of at most ``LONGEST`` bytes are kept, then it starts anew."""
-
-    LONGEST = 64
-
-    def __init__(self, most: int = 100_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most and len(word) <= self.LONGEST:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) >= self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word; to hash each anew costs less than to look up the many words that are rare."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def lots(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -155,6 +139,31 @@ def ordered_parts(scratch: Scratch, df: DataFrame, *columns: str) -> DataFrame:
     return scratch.table(dealt.withColumn("part", F.spark_partition_id()), "ordered")
 
 
+_POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``n`` powers of an odd number and of its inverse, modulo 2**64."""
+    global _POWERS
+    if n > len(_POWERS[0]):
+        most = 1 << max(16, n.bit_length())
+        base, inverse = np.full(most, _M1), np.full(most, np.uint64(pow(int(_M1), -1, 1 << 64)))
+        base[0] = inverse[0] = 1
+        _POWERS = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+    return _POWERS
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """One hash for every run of ``width`` words, however wide, by differences of running sums; none with fewer words."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return words[:0]
+    power, inverse = _powers(len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return mix((sums[width:] - sums[:n]) * inverse[:n])
+
+
 def text_key(text_col: str):
     """What equal texts share, 16 bytes; null for texts without a word."""
     return F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.col(text_col).cast("binary"))))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, lots, shingle_hashes
+from tidemark.llm.common import lots, shingle_hashes, word_hashes
 
 MOST_ITEM_BYTES = 32_000_000  #: items beyond this size are searched in several passes over the documents
 
@@ -45,14 +45,14 @@ class Sketches:
     """Bottom-k sketches of items by width of their shingles and by size class."""
 
     def __init__(self, items: list[tuple], width: int, threshold: float):
-        self.items, by, self.hashes = [], defaultdict(list), WordHashes()
+        self.items, by = [], defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
             own = shingles(words, width)
             if own:
                 used = min(width, len(words))
                 need = math.ceil(threshold * len(own) - 1e-9)
-                low = np.sort(np.unique(shingle_hashes(self.hashes.of(words), used)))[: len(own) - need + 1]
+                low = np.sort(np.unique(shingle_hashes(word_hashes(words), used)))[: len(own) - need + 1]
                 by[used, int(math.log2(len(own)))] += [(int(h), len(self.items)) for h in low]
                 self.items.append((item_id, own, used, need))
         # of each width and size class: sorted hashes, the items of each, and a filter of the hashes' top bits
@@ -69,7 +69,7 @@ class Sketches:
 
     def candidates(self, words: list[bytes]) -> set[int]:
         found: set[int] = set()
-        of, made = self.hashes.of(words), {}
+        of, made = word_hashes(words), {}
         for used, least, keys, owner, mask in self.classes:
             if len(words) - used + 1 >= least:
                 if used not in made:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, WordHashes, components, distinct_texts, lots, shingle_hashes, text_key
+from tidemark.llm.common import Scratch, components, distinct_texts, lots, shingle_hashes, text_key, word_hashes
 
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
@@ -54,9 +54,9 @@ def shingle_set(text: str, width: int) -> set:
     return set(zip(*[words[i : len(words) - n + 1 + i] for i in range(n)], strict=True))
 
 
-def hashed_set(text: str, width: int, hashes: WordHashes) -> np.ndarray:
+def hashed_set(text: str, width: int) -> np.ndarray:
     """The sorted distinct 64-bit shingle hashes of a text, for sketches."""
-    return np.unique(shingle_hashes(hashes.of(words_of(text)), width))
+    return np.unique(shingle_hashes(word_hashes(words_of(text)), width))
 
 
 def _least(sets: list[np.ndarray], which: slice) -> np.ndarray:
@@ -112,9 +112,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bas
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in lots(batches, 64):
-            sets = [hashed_set(t, width, hashes) for t in batch.column(1).to_pylist()]
+            sets = [hashed_set(t, width) for t in batch.column(1).to_pylist()]
             if sets:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in registers(sets)], pa.binary())], names=["node", "n", "sketch"])
 
@@ -166,9 +165,8 @@ def _fine(width: int):
     """The second sketch, followed by 32 bits of each band's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in lots(batches, 16):
-            sets = [hashed_set(t, width, hashes) for t in batch.column(1).to_pylist()]
+            sets = [hashed_set(t, width) for t in batch.column(1).to_pylist()]
             if sets:
                 tags = (band_keys(registers(sets)).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() + t.tobytes() for r, t in zip(fine_registers(sets), tags, strict=True)], pa.binary())], names=["node", "fine"])
