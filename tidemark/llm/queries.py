@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontaminate, embedding_dedup, licenses, near_dedup, perspectives, sharding, substring_dedup, token_counts, toxicity
+from tidemark.llm import (
+    bpe,
+    common,
+    conversation_trie,
+    decontaminate,
+    embedding_dedup,
+    licenses,
+    near_dedup,
+    packing,
+    perspectives,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,7 +31,7 @@ def query(f):
 
 
 #: Vocabulary files of public tokenizers; parameters, never copied here.
-BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BPE, PIECES, WORDS = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 @query
@@ -157,3 +171,18 @@ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), {REACH}
 SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM nodes JOIN component ON node = id LEFT JOIN sizes ON doc_id = id"""
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations, with totals over subtrees."""
+    return conversation_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
+ORACLE_SQL["op11_conversation_trie"] = conversation_trie.ORACLE_SQL
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences of at most 2048 tokens."""
+    return packing.pack(common.documents(spark, sf_dir, "doc_id", "text"), WORDS, size=2048, end=0)
