@@ -19,6 +19,7 @@ from tidemark.llm import (
     substring_dedup,
     token_counts,
     toxicity,
+    vector_codes,
 )
 
 QUERIES: dict = {}
@@ -186,3 +187,13 @@ ORACLE_SQL["op11_conversation_trie"] = conversation_trie.ORACLE_SQL
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, packed into sequences of at most 2048 tokens."""
     return packing.pack(common.documents(spark, sf_dir, "doc_id", "text"), WORDS, size=2048, end=0)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 16 parts, 64 entries, two rounds."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    return vector_codes.with_label_errors(vector_codes.compress(vectors, parts=16, entries=64, rounds=2, scale=256))
+
+
+ORACLE_SQL["op13_vector_codes"] = vector_codes.ORACLE_SQL
