@@ -247,7 +247,8 @@ def placed(scratch: Scratch, made: DataFrame, size: int = SIZE) -> DataFrame:
     places = Places(plan(histogram, size))
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "part", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("before"))
-    ranked = made.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "part")
+    # as many rows before as tasks have lengths, so they are not broadcast
+    ranked = made.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "part")
     kept = [c for c in ranked.columns if c != "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
