@@ -53,7 +53,8 @@ def test_latest_version_wins(spark):
 def test_release_lag_hides_an_observation(spark):
     obs = spark.createDataFrame([("x", at("2026-01-01").date(), 1.0, None, "release", 2, at("2026-01-05"), at("2026-01-05"), 1)], "series_id string, observation_date date, value double, vintage_start date, availability_policy string, availability_lag_days int, release_ts timestamp, asof_ts timestamp, tie long")
     for instant, n in (("2026-01-06 23:59:00", 0), ("2026-01-07 00:00:00", 1)):
-        assert versions.observed_asof(obs, [instant], "tie").count() == n
+        assert versions.observed_at(obs, instant, "tie").count() == n
+        assert versions.observed_asof(obs, spark.createDataFrame([(at(instant),)], "asof timestamp"), "tie").count() == n
 
 
 def test_ten_minutes_make_two_bars(spark):
@@ -68,24 +69,25 @@ def test_ten_minutes_make_two_bars(spark):
 def test_weekend_is_closed_and_range_is_ready(spark):
     rows = spark.createDataFrame([("s", at("2026-01-02 23:59:00")), ("s", at("2026-01-05 00:00:00"))], "symbol string, bar_ts timestamp")
     ranges = spark.createDataFrame([("s", at("2026-01-02 23:59:00"), at("2026-01-05 00:01:00"))], "symbol string, start timestamp, end timestamp")
-    got, missing, ready = coverage.evaluate(rows, ranges, ["symbol"], "bar_ts", 60, time.SESSIONS["weekdays"])
-    row = got.first()
+    found = coverage.evaluate(rows, ranges, ["symbol"], "bar_ts", 60, time.SESSIONS["weekdays"])
+    row = found.summary.first()
     assert (row.readiness, row.expected, row.closed, row.missing) == ("ready", 2, 2880, 0)
-    assert missing.count() == 0 and ready.count() == 1
+    assert found.missing.count() == 0 and found.ready.count() == 2  # the session closes in between
 
 
 def test_ready_and_missing_make_up_the_open_grid(spark):
     rows = spark.range(48).where("id % 7 <> 3").select(F.lit("s").alias("symbol"), F.timestamp_seconds(F.col("id") * 3600).alias("bar_ts"))
     ranges = spark.createDataFrame([("s", at("1970-01-01"), at("1970-01-03"))], "symbol string, start timestamp, end timestamp")
-    got, missing, ready = coverage.evaluate(rows, ranges, ["symbol"], "bar_ts", 3600, time.SESSIONS["always"])
-    assert missing.count() + ready.agg(F.sum("n")).first()[0] == 48 == got.first().expected
-    assert got.first().readiness == "degraded"
+    found = coverage.evaluate(rows, ranges, ["symbol"], "bar_ts", 3600, time.SESSIONS["always"])
+    assert found.missing.count() + found.ready.agg(F.sum("n")).first()[0] == 48 == found.summary.first().expected
+    assert found.summary.first().readiness == "degraded"
+    assert found.boundary.first().latest_complete == at("1970-01-01 02:00:00")
 
 
 def test_no_bars_are_not_ready(spark):
     rows = spark.createDataFrame([], "symbol string, bar_ts timestamp")
     ranges = spark.createDataFrame([("s", at("2026-01-01"), at("2026-01-01 01:00:00"))], "symbol string, start timestamp, end timestamp")
-    row = coverage.evaluate(rows, ranges, ["symbol"], "bar_ts", 60, time.SESSIONS["always"])[0].first()
+    row = coverage.evaluate(rows, ranges, ["symbol"], "bar_ts", 60, time.SESSIONS["always"]).summary.first()
     assert (row.readiness, row.row_count, row.missing, row.first_missing) == ("not_ready", 0, 60, at("2026-01-01"))
 
 
@@ -190,7 +192,7 @@ def test_a_day_is_complete_without_its_closed_hours(spark):
     assert open_.count() == 23
     assert row(open_, fx).complete and row(open_, fx).expected == 23
     assert not row(open_, None).complete and row(hours, None).complete
-    assert not row(hours, fx).complete  # a bar in closed hours
+    assert row(hours, fx).complete and row(hours, fx).observed == 23  # the bar in closed hours counts for nothing
     assert not row(open_.limit(22), fx).complete
     # the whole range of a day that opens in the evening
     sunday = spark.range(24).select(F.lit("p").alias("provider"), F.lit("fx").alias("asset_class"), F.lit("s").alias("symbol"), (stamp("2026-01-04") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("bar_ts"))
@@ -208,10 +210,10 @@ def test_gap_debt_owes_what_no_run_holds(spark):
 def test_repair_and_tail_windows(spark):
     rows = spark.createDataFrame([("a", at(f"2026-01-05 0{h}:00:00")) for h in (0, 1, 4)] + [("b", at(f"2026-01-05 0{h}:00:00")) for h in (0, 1, 2)], "symbol string, bar_ts timestamp")
     ranges = spark.createDataFrame([("a", at("2026-01-05"), at("2026-01-05 08:00:00")), ("b", at("2026-01-05"), at("2026-01-05 03:00:00"))], "symbol string, start timestamp, end timestamp")
-    args = ["symbol"], "bar_ts", 3600, time.SESSIONS["always"]
-    got = planner.repair_windows(rows, ranges, *args, "1 hour").collect()
+    found = coverage.evaluate(rows, ranges, ["symbol"], "bar_ts", 3600, time.SESSIONS["always"])
+    got = planner.repair_windows(found, "1 hour").collect()
     assert sorted((r.symbol, r.start.hour, r.end.hour, r.ordinal) for r in got) == [("a", 2, 3, 0), ("a", 3, 4, 1), ("a", 5, 6, 2), ("a", 6, 7, 3), ("a", 7, 8, 4)]
-    tail = planner.tail_windows(rows, ranges, *args, "2 hours").collect()  # b lacks nothing, so its tail is no recovery
+    tail = planner.tail_windows(found, ranges, time.SESSIONS["always"], "2 hours").collect()  # b lacks nothing, so its tail is no recovery
     assert sorted((r.symbol, r.start.hour, r.end.hour, r.ordinal) for r in tail) == [("a", 5, 7, 0), ("a", 7, 8, 1)]
 
 

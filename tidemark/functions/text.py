@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, StructType
 
 #: Names that a value which nobody should read stands after.
 SECRET_NAMES = ("access key", "api key", "authorization", "bearer", "cookie", "credential", "passphrase", "passwd", "password", "private key", "secret", "session id", "token")
@@ -50,10 +53,54 @@ def capacity_class(free_ratio: Column) -> Column:
     return F.when(free_ratio.isNull() | F.isnan(free_ratio), "unknown").when(free_ratio < 0.05, "critical").when(free_ratio < 0.15, "warning").otherwise("ok")
 
 
-def config_digest(fields: dict[str, Column]) -> Column:
-    """Hash of canonical JSON: keys in order, no blanks, string values."""
-    parts = [F.concat(F.lit(f'"{k}":"'), F.coalesce(v.cast("string"), F.lit("")), F.lit('"')) for k, v in sorted(fields.items())]
-    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+# JSON text of each ASCII character inside a string.
+_ASCII = [json.dumps(chr(i))[1:-1] for i in range(128)]
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII: quotes, backslashes and control characters are escaped, and so is all beyond ASCII, in UTF-16 units."""
+    plain = F.concat(F.lit('"'), text, F.lit('"'))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    table = F.array(*[F.lit(x) for x in _ASCII])
+    escaped = F.transform(units, lambda u: F.when(u < "0080", F.element_at(table, F.conv(u, 16, 10).cast("int") + 1)).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(text.rlike(r'^[ !#-\[\]-~\x7F]*$'), plain).otherwise(F.concat(F.lit('"'), F.array_join(escaped, ""), F.lit('"')))
+
+
+def json_double(x: Column) -> Column:
+    """A double as the shortest decimal that tells it: with an exponent below 1e-4 and from 1e16 on."""
+    s = F.abs(x).cast("string")
+    sign = F.when(s.startswith("-") | (x < 0) | x.cast("string").startswith("-"), "-").otherwise("")
+    n, whole = F.substring_index(s, "E", -1).cast("int"), F.substring_index(s, "E", 1)
+    digits = F.regexp_replace(F.regexp_replace(whole, r"\.0$", ""), r"\.", "")
+    size = F.length(digits)
+    power = F.concat(F.when(n < 0, "e-").otherwise("e+"), F.lpad(F.abs(n).cast("string"), 2, "0"))
+    point = F.when(size > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), digits.substr(F.lit(2), size))).otherwise(digits)
+    large = F.concat(F.rpad(digits, 32, "0").substr(F.lit(1), n + 1), F.lit("."), F.when(size > n + 1, digits.substr(n + 2, size)).otherwise("0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)
+    written = F.when((n >= 16) | (n < -4), F.concat(point, power)).when(n > 0, large).otherwise(small)
+    finite = F.concat(sign, F.when(s.contains("E"), written).otherwise(s))
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(finite)
+
+
+def canonical_json(value: Column, kind: DataType) -> Column:
+    """JSON without blanks, with the keys of all structures in order; null is null. Kinds that JSON lacks become strings."""
+    if isinstance(kind, StructType):
+        parts = [F.concat(F.lit(json.dumps(f.name) + ":"), canonical_json(value.getField(f.name), f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, BooleanType | IntegralType):
+        out = value.cast("string")
+    elif isinstance(kind, DoubleType | FloatType):
+        out = json_double(value.cast("double"))
+    else:
+        out = json_string(value.cast("string"))
+    return F.coalesce(out, F.lit("null"))
+
+
+def config_digest(value: Column, kind: DataType) -> Column:
+    """SHA-256 of a value's canonical JSON."""
+    return F.sha2(canonical_json(value, kind), 256)
 
 
 def label_of(values: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import TIMEFRAMES, SessionProfile, bucket, next_bucket
 from tidemark.operators import coverage
+from tidemark.sources.storage import shared_dir, written
 
 SERIES = ("provider", "asset_class", "symbol")
 
@@ -24,42 +25,62 @@ def tick_bars(ticks: DataFrame, timeframe: str, keys: tuple[str, ...] = ("symbol
     )
 
 
-def rollup(bars: DataFrame, timeframe: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """Coarser bars; volume is null if any input's is, and the newest ingestion counts."""
-    return bars.groupBy(*keys, bucket(F.col("bar_ts"), timeframe).alias("bucket")).agg(
+def rolled() -> list[Column]:
+    """A coarser bar's prices, volume (null if any input's is), newest ingestion and number of inputs."""
+    return [
         F.min_by("open", "bar_ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar_ts").alias("close"),
         sum_or_null("volume").alias("volume"), F.max("ingest_ts").alias("ingest_ts"), F.count("*").alias("n_source"),
-    )
+    ]
+
+
+def rollup(bars: DataFrame, timeframe: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """Coarser bars."""
+    return bars.groupBy(*keys, bucket(F.col("bar_ts"), timeframe).alias("bucket")).agg(*rolled())
+
+
+def on_cadence(ts: Column, step: int) -> Column:
+    return F.unix_micros(ts) % (step * 1_000_000) == 0
+
+
+def with_completeness(buckets: DataFrame, source: str, target: str, session: SessionProfile | None) -> DataFrame:
+    """Buckets (bucket, observed, regular) with ``expected`` and ``complete``: all open stamps of the source are there, and no others."""
+    rows = buckets.withColumns({"start": F.col("bucket"), "end": next_bucket(F.col("bucket"), target)})
+    if session is not None:
+        rows = written(rows, shared_dir(buckets.sparkSession), "buckets")
+    out = coverage.with_expected(rows, TIMEFRAMES[source], session).drop("start", "end")
+    return out.withColumn("complete", (F.col("observed") == F.col("expected")) & F.col("regular")).drop("regular")
 
 
 def completeness(bars: DataFrame, source: str, target: str, keys: tuple[str, ...] = SERIES, require_contiguous: bool = False, session: SessionProfile | None = None) -> DataFrame:
     """For each target bucket with bars: observed and expected source stamps, and whether both are the same set.
 
-    Expected are the bucket's stamps inside the session, all of them without one; a stamp off the source's cadence or in
-    closed hours makes a bucket incomplete. With ``require_contiguous`` neighbours also have to be exactly one step apart.
+    With a session, bars of closed hours count for nothing, and expected are the bucket's stamps inside the session; without
+    one, all of its stamps. A stamp off the source's cadence makes a bucket incomplete. With ``require_contiguous``
+    neighbours also have to be exactly one step apart.
     """
     step = TIMEFRAMES[source]
-    seen = bars.select(*keys, F.col("bar_ts").alias("ts")).distinct().withColumn("bucket", bucket(F.col("ts"), target))
-    buckets = seen.select(*keys, "bucket").distinct()
-    spans = buckets.select(*keys, F.col("bucket").alias("start"), next_bucket(F.col("bucket"), target).alias("end"))
-    expected = coverage.grid(spans, list(keys), step, session).where("open").select(*keys, "ts", F.lit(True).alias("expected"))
-    both = seen.withColumn("observed", F.lit(True)).drop("bucket").join(expected, [*keys, "ts"], "full_outer").withColumn("bucket", bucket(F.col("ts"), target))
-    w = Window.partitionBy(*keys, "bucket").orderBy("ts")
-    gap = F.when(F.col("observed"), F.unix_timestamp("ts")) - F.last(F.when(F.col("observed"), F.unix_timestamp("ts")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = both.withColumn("gap", gap) if require_contiguous else both.withColumn("gap", F.lit(None).cast("long"))
-    out = rows.groupBy(*keys, "bucket").agg(
-        F.count("observed").alias("observed"), F.count("expected").alias("expected"), F.count(F.when(F.col("observed") & F.col("expected"), True)).alias("_both"),
-        F.coalesce(F.bool_and(F.col("gap") == step), F.lit(True)).alias("contiguous"),
-    )
-    same = (F.col("observed") == F.col("expected")) & (F.col("_both") == F.col("expected"))
-    return out.withColumn("complete", same & F.col("contiguous")).drop("_both")
+    seen = bars.select(*keys, F.col("bar_ts").alias("ts")).distinct()
+    seen = (seen if session is None else seen.where(session.is_open(F.col("ts")))).withColumn("bucket", bucket(F.col("ts"), target))
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy(*keys, "bucket").orderBy("ts")))
+    rows = seen.withColumn("gap", gap) if require_contiguous else seen.withColumn("gap", F.lit(None).cast("long"))
+    regular = F.bool_and(on_cadence(F.col("ts"), step)).alias("regular")
+    counts = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("observed"), regular, F.coalesce(F.bool_and(F.col("gap") == step), F.lit(True)).alias("contiguous"))
+    out = with_completeness(counts, source, target, session)
+    return out.withColumn("complete", F.col("complete") & F.col("contiguous"))
+
+
+def _quoted(hashes: Column) -> Column:
+    return F.concat(F.lit('["'), F.array_join(hashes, '","'), F.lit('"]'))
+
+
+def in_order(rows: Column) -> Column:
+    """The hash of the source hashes of (bar_ts, source_hash), in time order."""
+    return F.sha2(_quoted(F.transform(F.array_sort(rows), lambda x: x.source_hash)), 256)
 
 
 def lineage(bars: DataFrame, timeframe: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """For each bucket the hash of its source hashes in time order, and the digest of the distinct ones."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bar_ts", "source_hash"))), lambda x: x.source_hash)
     distinct = F.array_sort(F.collect_set("source_hash"))
-    quoted = lambda a: F.concat(F.lit('["'), F.array_join(a, '","'), F.lit('"]'))
     return bars.groupBy(*keys, bucket(F.col("bar_ts"), timeframe).alias("bucket")).agg(
-        F.sha2(quoted(ordered), 256).alias("lineage_hash"), F.size(distinct).cast("long").alias("hash_count"), F.sha2(quoted(distinct), 256).alias("hash_digest"), F.min("source_hash").alias("first_hash"), F.max("source_hash").alias("last_hash")
+        in_order(F.collect_list(F.struct("bar_ts", "source_hash"))).alias("lineage_hash"), F.size(distinct).cast("long").alias("hash_count"), F.sha2(_quoted(distinct), 256).alias("hash_digest"), F.min("source_hash").alias("first_hash"), F.max("source_hash").alias("last_hash")
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import SessionProfile
+from tidemark.sources.storage import shared_dir, written
 
 
 def grid(ranges: DataFrame, keys: list[str], step: int, session: SessionProfile | None = None) -> DataFrame:
@@ -18,6 +21,79 @@ def grid(ranges: DataFrame, keys: list[str], step: int, session: SessionProfile
     return out.withColumn("open", session.is_open(F.col("ts")) if session else F.lit(True))
 
 
+def _ahead(ts: Column, start: Column, step: int) -> Column:
+    """How many stamps, a step apart from ``start`` (in seconds) on, lie before an instant."""
+    return F.ceil((F.unix_micros(ts) - start * 1_000_000) / F.lit(step * 1_000_000)).cast("long")
+
+
+def calendar(spans: DataFrame, step: int, session: SessionProfile | None = None) -> DataFrame:
+    """(day, before, n, runs) for all days that any of the spans (start, end) touches; at most 366 rows a year, for any number of series.
+
+    ``runs`` are the day's runs of open stamps (start in seconds, n, before: open stamps of the day ahead of it), ``n`` its
+    open stamps and ``before`` those of all earlier days: sums from which ordinals and expected counts are differences.
+    """
+    bounds = spans.agg(F.min("start").alias("low"), F.max("end").alias("high"))
+    days = bounds.select(F.explode(F.sequence(F.to_date("low"), F.to_date("high"), F.expr("interval 1 day"))).alias("day"))
+    first = (F.ceil(F.unix_timestamp(F.col("day").cast("timestamp")) / step) * step).cast("long")
+    last = F.unix_timestamp(F.date_add("day", 1).cast("timestamp")) - 1
+    stamps = days.withColumns({"_first": first, "_last": last}).where("_first <= _last").select("day", F.explode(F.sequence("_first", "_last", F.lit(step).cast("long"))).alias("s"))
+    if session is not None:
+        stamps = stamps.where(session.is_open(F.timestamp_seconds("s")))
+    w = Window.partitionBy("day").orderBy("s")
+    marked = stamps.withColumn("_new", F.coalesce((F.col("s") - F.lag("s").over(w) > step).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    runs = marked.groupBy("day", "_run").agg(F.min("s").alias("start"), F.count("*").alias("n"))
+    runs = runs.withColumn("before", F.sum("n").over(Window.partitionBy("day").orderBy("start")) - F.col("n"))
+    of = runs.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("start", "n", "before"))).alias("runs"), F.sum("n").alias("n"))
+    none = F.array().cast("array<struct<start:bigint,n:bigint,before:bigint>>")
+    whole = days.join(of, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("runs", none).alias("runs"))
+    return whole.withColumn("before", F.sum("n").over(Window.orderBy("day")) - F.col("n"))  # days of one calendar
+
+
+def with_ordinal(rows: DataFrame, cal: DataFrame, ts: str, step: int, ordinal: str, is_open: str | None = None) -> DataFrame:
+    """``rows`` with the number of open stamps ahead of an instant, and whether it is an open stamp itself."""
+    found = rows.join(F.broadcast(cal.select(F.col("day").alias("_day"), "before", "runs")), F.to_date(ts) == F.col("_day"), "left")
+    count = F.aggregate("runs", F.col("before"), lambda n, r: n + F.least(r["n"], F.greatest(F.lit(0), _ahead(F.col(ts), r["start"], step))))
+    hit = F.exists("runs", lambda r: ((F.unix_micros(ts) - r["start"] * 1_000_000) % (step * 1_000_000) == 0) & _ahead(F.col(ts), r["start"], step).between(0, r["n"] - 1))
+    out = found.withColumn(ordinal, count)
+    return (out.withColumn(is_open, F.coalesce(hit, F.lit(False))) if is_open else out).drop("_day", "before", "runs")
+
+
+def with_expected(rows: DataFrame, step: int, session: SessionProfile | None, name: str = "expected") -> DataFrame:
+    """Rows (start, end, ...) with the number of open stamps in each; rows are read twice where there is a session."""
+    edge = lambda c: F.ceil(F.unix_micros(c) / F.lit(step * 1_000_000)).cast("long")
+    if session is None:
+        return rows.withColumn(name, edge("end") - edge("start"))
+    cal = calendar(rows, step, session)
+    both = with_ordinal(with_ordinal(rows, cal, "start", step, "_low"), cal, "end", step, "_high")
+    return both.withColumn(name, F.col("_high") - F.col("_low")).drop("_low", "_high")
+
+
+def _pieces(spans: DataFrame, keys: list[str], cal: DataFrame, step: int) -> DataFrame:
+    """The open stamps of spans (keys, start, end) as runs within days (keys, day, start, end, n)."""
+    days = F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 microsecond")), F.expr("interval 1 day"))
+    rows = spans.where("start < end").select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(days).alias("day"))
+    rows = rows.join(F.broadcast(cal.select("day", "runs")), "day").select(*keys, "_s", "_e", "day", F.explode("runs").alias("r"))
+    low, high = F.greatest(F.lit(0), _ahead(F.col("_s"), F.col("r.start"), step)), F.least(F.col("r.n"), _ahead(F.col("_e"), F.col("r.start"), step))
+    at = lambda k: F.timestamp_seconds(F.col("r.start") + F.col(k) * step)
+    return rows.withColumns({"_low": low, "_high": high}).where("_low < _high").select(*keys, "day", at("_low").alias("start"), at("_high").alias("end"), (F.col("_high") - F.col("_low")).alias("n"))
+
+
+def open_ranges(spans: DataFrame, keys: list[str], cal: DataFrame, step: int) -> DataFrame:
+    """Runs of open stamps inside spans: (keys, start, end, n). Those of a day come from the calendar, and no stamp is made."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    new = F.coalesce((F.col("start") > F.lag("end").over(w)).cast("int"), F.lit(1))
+    rows = _pieces(spans, keys, cal, step).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    return rows.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_run")
+
+
+def open_days(spans: DataFrame, keys: list[str], cal: DataFrame, step: int) -> DataFrame:
+    """For each day of each span (keys, start, end) whether it has an open stamp inside: (keys, day, opens)."""
+    days = F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 microsecond")), F.expr("interval 1 day"))
+    every = spans.where("start < end").select(*keys, F.explode(days).alias("day")).distinct()
+    some = _pieces(spans, keys, cal, step).select(*keys, "day", F.lit(True).alias("opens")).distinct()
+    return every.join(some, [*keys, "day"], "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
+
+
 def _day(ts: str) -> Column:
     return F.to_date(ts).alias("_day")
 
@@ -37,31 +113,23 @@ def islands(df: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
     return whole.groupBy(*keys, "_run").agg(F.min("start").alias("start"), (F.max("last") + F.expr(f"interval {step} second")).alias("end"), F.sum("n").alias("n")).drop("_run")
 
 
-def calendar_islands(stamps: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Runs of stamps with a true flag, unbroken by flagged-false ones between: closed times, absent here, break nothing.
-
-    Breaks are counted day by day; a series' running count is over its days.
-    """
-    breaks = (~F.col(flag)).cast("int")
-    rows = stamps.withColumn("_day", _day("ts"))
-    days = rows.groupBy(*keys, "_day").agg(F.sum(breaks).alias("_k"))
-    days = days.select(*keys, "_day", (F.sum("_k").over(Window.partitionBy(*keys).orderBy("_day")) - F.col("_k")).alias("_before"))
-    inside = F.sum(breaks).over(Window.partitionBy(*keys, "_day").orderBy("ts"))
-    runs = rows.withColumn("_in", inside).where(flag).join(days, [*keys, "_day"]).withColumn("_run", F.col("_before") + F.col("_in"))
-    return runs.groupBy(*keys, "_run").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("_run")
-
-
-def lag_gaps(df: DataFrame, keys: list[str], ts: str, step: Column | int) -> DataFrame:
-    """Distinct stamps whose distance to the one before exceeds the step: (keys, previous, ts, seconds).
+def steps(df: DataFrame, keys: list[str], ts: str, *more: str) -> DataFrame:
+    """Distinct stamps with the one before and the seconds between: (keys, previous, ts, seconds); of ``more`` columns the least.
 
-    The stamp before a day's first one comes from a table of the days.
+    The stamp before a day's first one comes from a table of the days, so no series is in one task.
     """
-    rows = df.select(*keys, ts).distinct().withColumn("_day", _day(ts))
+    rows = df.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(*[F.min(c).alias(c) for c in more]) if more else df.select(*keys, ts).where(F.col(ts).isNotNull()).distinct()
+    rows = rows.withColumn("_day", _day(ts))
     days = rows.groupBy(*keys, "_day").agg(F.max(ts).alias("_last"))
     days = days.select(*keys, "_day", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("_entry"))
     inside = F.lag(ts).over(Window.partitionBy(*keys, "_day").orderBy(ts))
     out = rows.withColumn("_in", inside).join(days, [*keys, "_day"]).withColumn("previous", F.coalesce("_in", "_entry")).drop("_day", "_in", "_entry")
-    return out.withColumn("seconds", F.unix_timestamp(ts) - F.unix_timestamp("previous")).where(F.col("seconds") > step)
+    return out.withColumn("seconds", F.unix_timestamp(ts) - F.unix_timestamp("previous"))
+
+
+def lag_gaps(df: DataFrame, keys: list[str], ts: str, step: Column | int) -> DataFrame:
+    """Distinct stamps whose distance to the one before exceeds the step: (keys, previous, ts, seconds)."""
+    return steps(df, keys, ts).where(F.col("seconds") > step)
 
 
 def summary(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -69,31 +137,72 @@ def summary(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("row_count"), (F.count("*") - F.count_distinct(ts)).alias("duplicates"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
 
 
-def evaluate(bars: DataFrame, ranges: DataFrame, keys: list[str], ts: str, step: int, session: SessionProfile) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summary, missing, ready intervals) of each series over its requested range.
+@dataclass
+class Coverage:
+    """An evaluation: one summary a series, the runs of missing stamps, the ready intervals, and the expected stamps that were seen."""
+
+    summary: DataFrame
+    gaps: DataFrame  #: keys, start, end, n
+    ready: DataFrame  #: keys, start, end, n
+    seen: DataFrame  #: keys, ts
+    keys: list[str]
+    step: int
+
+    @property
+    def missing(self) -> DataFrame:
+        """(keys, ts): every missing stamp."""
+        return self.gaps.select(*self.keys, F.explode(F.sequence("start", F.col("end") - F.expr("interval 1 second"), F.expr(f"interval {self.step} second"))).alias("ts"))
+
+    @property
+    def boundary(self) -> DataFrame:
+        """(keys, latest_complete): the last stamp before the first missing one; null if that is the first of all."""
+        hole = self.gaps.groupBy(*self.keys).agg(F.min("start").alias("_hole"))
+        early = F.when(F.col("_hole").isNull() | (F.col("ts") < F.col("_hole")), F.col("ts"))
+        return self.seen.join(hole, self.keys, "left").groupBy(*self.keys).agg(F.max(early).alias("latest_complete"))
+
+
+def evaluate(bars: DataFrame, ranges: DataFrame, keys: list[str], ts: str, step: int, session: SessionProfile, quality: DataFrame | None = None) -> Coverage:
+    """Coverage of each series over its requested ranges (keys, start, end), which don't overlap.
+
+    Counts of rows hold all supplied bars that have a stamp; what is expected lies inside the ranges and the session. Not
+    ready if there are no bars or duplicates, or ``quality`` (keys, quality_status) says other than pass; ready without gaps;
+    degraded with any ready interval, else not ready. A ready interval ends where its next stamp is lacking or the session
+    closes.
 
-    A row's counts hold all supplied bars; missing stamps lie inside the range and the session. Not ready if there are no
-    bars or duplicates, ready without gaps, degraded with any ready interval, else not ready.
+    Stamps, ranges and the calendar are written once. What is expected is a difference of ordinals, and a gap is a jump of
+    the ordinal from one seen stamp to the next: no grid of stamps is made.
     """
-    expected = grid(ranges, keys, step, session)
-    seen = bars.select(*keys, F.col(ts).alias("ts")).distinct().withColumn("seen", F.lit(True))
-    marked = expected.join(seen, [*keys, "ts"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    open_ = marked.where("open")
-    missing = open_.where("not seen").select(*keys, "ts")
-    ready = calendar_islands(open_.select(*keys, "ts", "seen"), keys, "seen")
-    ready = ready.select(*keys, "start", (F.col("last") + F.expr(f"interval {step} second")).alias("end"), "n")
-    counts = marked.groupBy(*keys).agg(F.count_if("open").alias("expected"), F.count_if(~F.col("open")).alias("closed"), F.count_if(F.col("open") & ~F.col("seen")).alias("missing"), F.min(F.when(F.col("open") & ~F.col("seen"), F.col("ts"))).alias("first_missing"))
-    out = ranges.select(*keys).distinct().join(summary(bars, keys, ts), keys, "left").join(counts, keys, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = out.withColumns({c: zero(c) for c in ("row_count", "duplicates", "expected", "closed", "missing")})
-    state = F.when((F.col("row_count") == 0) | (F.col("duplicates") > 0), "not_ready").when(F.col("missing") == 0, "ready").when(F.col("missing") < F.col("expected"), "degraded").otherwise("not_ready")
-    return out.withColumn("readiness", state), missing, ready
-
-
-def prefix_boundary(marked: DataFrame, keys: list[str]) -> DataFrame:
-    """The last seen stamp before the first hole of each series; null if the first stamp is missing."""
-    first = marked.groupBy(*keys).agg(F.min(F.when(~F.col("seen"), F.col("ts"))).alias("hole"))
-    return marked.where("seen").join(first, keys, "right").groupBy(*keys).agg(F.max(F.when(F.col("hole").isNull() | (F.col("ts") < F.col("hole")), F.col("ts"))).alias("latest_complete"))
+    root = shared_dir(bars.sparkSession)
+    stamps = written(bars.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("ts")).agg(F.count("*").alias("k")), root, "stamps")
+    spans = written(ranges.select(*keys, "start", "end").where("start < end").distinct(), root, "spans")
+    cal = written(calendar(spans, step, session), root, "calendar")
+    sized = with_ordinal(with_ordinal(spans, cal, "start", step, "low"), cal, "end", step, "high")
+    inside = stamps.join(spans, keys).where("start <= ts and ts < end").select(*keys, "start", "ts")
+    seen = with_ordinal(inside, cal, "ts", step, "o", "open").where("open").select(*keys, "start", "ts", "o")
+    # stamps between the ends of their range, and what each comes after; that of a day's first one is found among days
+    end = lambda c, o, kind: sized.select(*keys, "start", F.col(c).alias("ts"), o.alias("o"), F.lit(kind).alias("kind"))
+    marks = seen.withColumn("kind", F.lit(1)).unionByName(end("start", F.col("low") - 1, 0)).unionByName(end("end", F.col("high"), 2))
+    marks = marks.withColumns({"_day": F.to_date("ts"), "at": F.struct("o", "kind", "ts")})
+    days = marks.groupBy(*keys, "start", "_day").agg(F.max("at").alias("_last"))
+    days = days.select(*keys, "start", "_day", F.lag("_last").over(Window.partitionBy(*keys, "start").orderBy("_day")).alias("_entry"))
+    here = F.lag("at").over(Window.partitionBy(*keys, "start", "_day").orderBy("at"))
+    jumps = marks.withColumn("_here", here).join(days, [*keys, "start", "_day"]).withColumn("prev", F.coalesce("_here", "_entry")).where(F.col("o") - F.col("prev.o") > 1)
+    low = F.when(F.col("prev.kind") == 0, F.col("prev.ts")).otherwise(F.col("prev.ts") + F.expr(f"interval {step} second"))
+    gaps = written(open_ranges(jumps.select(*keys, low.alias("start"), F.col("ts").alias("end")), keys, cal, step), root, "gaps")
+    edge = lambda c: F.ceil(F.unix_micros(c) / F.lit(step * 1_000_000)).cast("long")
+    counts = sized.groupBy(*keys).agg(F.sum(F.col("high") - F.col("low")).alias("expected"), F.sum(edge("end") - edge("start")).alias("_all"))
+    lacking = gaps.groupBy(*keys).agg(F.sum("n").alias("missing"), F.min("start").alias("first_missing"))
+    rows = stamps.groupBy(*keys).agg(F.sum("k").alias("row_count"), (F.sum("k") - F.count("*")).alias("duplicates"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
+    out = ranges.select(*keys).distinct().join(rows, keys, "left").join(counts, keys, "left").join(lacking, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = out.withColumns({c: zero(c) for c in ("row_count", "duplicates", "expected", "missing", "_all")}).withColumn("closed", F.col("_all") - F.col("expected")).drop("_all")
+    bad = (F.col("row_count") == 0) | (F.col("duplicates") > 0)
+    if quality is not None:
+        out = out.join(quality.select(*keys, "quality_status"), keys, "left")
+        bad = bad | (F.col("quality_status") != "pass")
+    state = F.when(bad, "not_ready").when(F.col("missing") == 0, "ready").when(F.col("missing") < F.col("expected"), "degraded").otherwise("not_ready")
+    own = seen.select(*keys, "ts").distinct()
+    return Coverage(out.withColumn("readiness", state), gaps, islands(own, keys, "ts", step), own, keys, step)
 
 
 def findings(summaries: DataFrame, keys: list[str]) -> DataFrame:

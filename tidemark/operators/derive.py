@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.time import TIMEFRAMES, SessionProfile, bucket, bucket_window, next_bucket
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import coverage, versions, windows
+from tidemark.sources.storage import shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -88,33 +89,46 @@ def chain(recipe_id: str) -> list[Recipe]:
 def derive(rows: DataFrame, recipe: Recipe, snapshot: str, session: SessionProfile | None = None) -> DataFrame:
     """Derived bars with their lineage; rows that the recipe does not allow are left out, and so are incomplete buckets under 'drop'.
 
-    With a session, a bucket is complete when it has all bars of its open hours and no others.
+    With a session, bars of its closed hours are left out first, so they reach no price, volume or hash; a bucket is complete
+    when it has all bars of its open hours. Prices, lineage and counts come from one aggregation.
     """
-    keys = list(bar_ops.SERIES)
     allowed = rows.where(recipe.allows())
-    out = bar_ops.rollup(allowed, recipe.target).withColumnRenamed("bucket", "bar_ts")
-    complete = bar_ops.completeness(allowed, recipe.source, recipe.target, session=session).select(*keys, F.col("bucket").alias("bar_ts"), "complete")
-    out = out.join(complete, [*keys, "bar_ts"])
+    allowed = allowed if session is None else allowed.where(session.is_open(F.col("bar_ts")))
+    parts = F.collect_list(F.struct("bar_ts", "source_hash"))  # the rows of one bucket
+    one = allowed.groupBy(*bar_ops.SERIES, bucket(F.col("bar_ts"), recipe.target).alias("bucket")).agg(*bar_ops.rolled(), parts.alias("_rows"))
+    step = TIMEFRAMES[recipe.source]
+    stamps = F.array_distinct(F.transform("_rows", lambda r: r.bar_ts))
+    counted = {"observed": F.size(stamps).cast("long"), "regular": F.forall(stamps, lambda x: bar_ops.on_cadence(x, step)), "source_hash": bar_ops.in_order(F.col("_rows"))}
+    out = bar_ops.with_completeness(one.withColumns(counted).drop("_rows"), recipe.source, recipe.target, session).drop("observed", "expected")
     if recipe.policy == "drop":
         out = out.where("complete")
     elif recipe.policy == "fail":
-        bad = F.max(~F.col("complete")).over(Window.partitionBy(*keys))
-        out = out.withColumn("complete", F.when(~bad, True).otherwise(F.raise_error(F.lit("a bucket is not complete")).cast("boolean")))
-    hashes = bar_ops.lineage(allowed, recipe.target).select(*keys, F.col("bucket").alias("bar_ts"), F.col("lineage_hash").alias("source_hash"))
-    return out.join(hashes, [*keys, "bar_ts"]).withColumns({"timeframe": F.lit(recipe.target), "recipe_id": F.lit(recipe.recipe_id), "recipe_version": F.lit(recipe.version), "input_snapshot_id": F.lit(snapshot)})
+        out = out.withColumn("complete", F.when(F.col("complete"), True).otherwise(F.raise_error(F.lit("a bucket is not complete")).cast("boolean")))
+    made = {"timeframe": recipe.target, "recipe_id": recipe.recipe_id, "recipe_version": recipe.version, "input_snapshot_id": snapshot}
+    return out.withColumnRenamed("bucket", "bar_ts").withColumns({k: F.lit(v) for k, v in made.items()})
 
 
 def bucket_runs(rows: DataFrame, ranges: DataFrame, keys: list[str], recipe: Recipe, session: SessionProfile, most: int = 12) -> DataFrame:
-    """Runs of neighbouring target buckets that are ready (all open source stamps seen) or blocked; the first ``most`` of each kind."""
+    """Runs of neighbouring target buckets that are ready (all open source stamps seen) or blocked, over the whole buckets of each range.
+
+    A bucket without open stamps is blocked. Ready runs beyond the first ``most`` are ``deferred``: they wait for a later pass.
+    """
     step = TIMEFRAMES[recipe.source]
-    seen = rows.select(*keys, F.col("bar_ts").alias("ts")).distinct().withColumn("seen", F.lit(True))
-    marked = coverage.grid(ranges, keys, step, session).where("open").join(seen, [*keys, "ts"], "left")
-    of = marked.groupBy(*keys, bucket(F.col("ts"), recipe.target).alias("bucket")).agg(F.bool_and(F.coalesce("seen", F.lit(False))).alias("ready"))
-    w = Window.partitionBy(*keys).orderBy("bucket")
-    new = F.coalesce((F.col("ready") != F.lag("ready").over(w)).cast("int"), F.lit(1))
-    runs = of.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).groupBy(*keys, "_run", "ready").agg(F.min("bucket").alias("start"), F.max("bucket").alias("last"), F.count("*").alias("buckets"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "ready").orderBy("start"))
-    return runs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select(*keys, "ready", "start", next_bucket(F.col("last"), recipe.target).alias("end"), "buckets", "rank")
+    low, high = bucket_window(F.col("start"), F.col("end"), recipe.target)
+    wide = F.expr("interval 1 month" if recipe.target == "1mo" else f"interval {TIMEFRAMES[recipe.target]} second")
+    every = F.sequence(low, high - F.expr("interval 1 microsecond"), wide)
+    spans = ranges.where(low.isNotNull()).select(*keys, F.explode(every).alias("start")).withColumn("end", next_bucket(F.col("start"), recipe.target))
+    asked = coverage.with_expected(written(spans, shared_dir(rows.sparkSession), "buckets"), step, session)
+    seen = rows.where(session.is_open(F.col("bar_ts")) & bar_ops.on_cadence(F.col("bar_ts"), step)).select(*keys, "bar_ts").distinct()
+    counts = seen.groupBy(*keys, bucket(F.col("bar_ts"), recipe.target).alias("start")).agg(F.count("*").alias("observed"))
+    ready = (F.col("expected") > 0) & (F.coalesce("observed", F.lit(0)) == F.col("expected"))
+    of = asked.join(counts, [*keys, "start"], "left").select(*keys, "start", "end", ready.alias("ready"))
+    w = Window.partitionBy(*keys).orderBy("start")  # over buckets, not stamps
+    new = F.coalesce(((F.col("ready") != F.lag("ready").over(w)) | (F.lag("end").over(w) != F.col("start"))).cast("int"), F.lit(1))
+    marked = of.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    runs = marked.groupBy(*keys, "_run", "ready").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("buckets"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "ready").orderBy("start")).cast("long")
+    return runs.withColumn("rank", rank).select(*keys, "ready", "start", "end", "buckets", "rank", (F.col("ready") & (F.col("rank") > most)).alias("deferred"))
 
 
 def plan(requests: DataFrame, published: DataFrame, keys: list[str], target: str, opens: Column) -> DataFrame:
@@ -122,7 +136,7 @@ def plan(requests: DataFrame, published: DataFrame, keys: list[str], target: str
     low, high = bucket_window(F.col("start"), F.col("end"), target)
     rows = requests.withColumns({"low": low, "high": high, "opens": opens})
     whole = rows.where("low is not null").select(*keys, F.col("low").alias("start"), F.col("high").alias("end")).distinct()
-    done = windows.contained(whole, published, keys, []).select(*keys, F.col("start").alias("low"), F.col("end").alias("high"), F.lit(True).alias("done"))
+    done = windows.contained(whole, published, keys, []).select(*keys, F.col("start").alias("low"), F.col("end").alias("high"), F.lit(True).alias("done")).distinct()
     marked = rows.join(done, [*keys, "low", "high"], "left")
     state = F.when(F.col("low").isNull(), "not_ready").when(~F.col("opens"), "skipped").when(F.col("done"), "already_materialized").otherwise("planned")
     return marked.select(*keys, "start", "end", "low", "high", state.alias("state"))
@@ -174,4 +188,4 @@ def observations(spark, path: str, schema, tie: str, asof=None) -> DataFrame:
     rows = spark.read.schema(schema).parquet(path)
     if asof is None:
         return versions.current_observations(rows, tie)
-    return versions.observed_asof(rows, [asof], tie)
+    return versions.observed_at(rows, asof, tie)

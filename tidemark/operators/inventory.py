@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import capacity_class
 from tidemark.functions.time import timeframe_seconds
+from tidemark.operators import coverage
 
 
 def inventory(rows: DataFrame, keys: list[str], ts: str, timeframe: str = "timeframe", price_type: str = "price_type") -> DataFrame:
     """Rows, doubled stamps, first and last stamp, price types, gaps beyond the timeframe's cadence and the longest distance of each series."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    step = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))
-    steps = rows.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.min(timeframe).alias("tf")).withColumn("step", step)
-    gaps = steps.groupBy(*keys).agg(F.count_if(F.col("step") > timeframe_seconds(F.col("tf"))).alias("gaps"), F.max("step").alias("longest_gap_s"))
+    steps = coverage.steps(rows, keys, ts, timeframe)
+    gaps = steps.groupBy(*keys).agg(F.count_if(F.col("seconds") > timeframe_seconds(F.col(timeframe))).alias("gaps"), F.max("seconds").alias("longest_gap_s"))
     base = rows.groupBy(*keys).agg(F.count("*").alias("row_count"), (F.count("*") - F.count_distinct(ts)).alias("duplicates"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"), F.array_sort(F.collect_set(price_type)).alias("price_types"))
     return base.join(gaps, keys, "left")
 

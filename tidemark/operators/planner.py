@@ -7,32 +7,32 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import SessionProfile
 from tidemark.operators import coverage, windows
+from tidemark.sources.storage import shared_dir, written
 
 
-def repair_windows(bars: DataFrame, ranges: DataFrame, keys: list[str], ts: str, step: int, session: SessionProfile, shard: str) -> DataFrame:
-    """Windows that close the gaps of each series inside its range, with ordinals; a series that is ready has none.
+def repair_windows(found: coverage.Coverage, shard: str) -> DataFrame:
+    """Windows that close the gaps of each evaluated series, with ordinals; a series that is ready has none.
 
     Missing stamps lie in the session, so their runs end where it closes; each run is cut into shards.
     """
-    _, missing, _ = coverage.evaluate(bars, ranges, keys, ts, step, session)
-    gaps = coverage.islands(missing, keys, "ts", step)
-    return windows.sharded(gaps.select(*keys, "start", "end"), keys, shard).withColumn("reason", F.lit("gap_repair"))
+    return windows.sharded(found.gaps.select(*found.keys, "start", "end"), found.keys, shard).withColumn("reason", F.lit("gap_repair"))
 
 
-def tail_windows(bars: DataFrame, ranges: DataFrame, keys: list[str], ts: str, step: int, session: SessionProfile, shard: str, after_gap: bool = True) -> DataFrame:
+def tail_windows(found: coverage.Coverage, ranges: DataFrame, session: SessionProfile, shard: str, after_gap: bool = True) -> DataFrame:
     """Windows from behind a series' last bar to its range's end, in the session's open hours, with ordinals.
 
     With ``after_gap`` only for series that lack a stamp before their last bar: there repair alone would never go on to the
     tail. They start strictly after the last bar, so they never hold the gap. Series without bars have no tail.
     """
-    known = bars.groupBy(*keys).agg(F.max(ts).alias("last"))
+    keys, step = found.keys, found.step
+    known = found.summary.where("max_ts is not null").select(*keys, F.col("max_ts").alias("last"))
     if after_gap:
-        _, missing, _ = coverage.evaluate(bars, ranges, keys, ts, step, session)
-        inner = missing.join(known, keys).where("ts <= last").select(*keys).distinct()
+        inner = found.gaps.join(known, keys).where("start <= last").select(*keys).distinct()
         known = known.join(inner, keys, "left_semi")
     spans = ranges.join(known, keys).select(*keys, F.greatest("start", F.col("last") + F.expr(f"interval {step} second")).alias("start"), "end").where("start < end")
-    open_ = coverage.grid(spans, keys, step, session).where("open")
-    return windows.sharded(coverage.islands(open_, keys, "ts", step).select(*keys, "start", "end"), keys, shard).withColumn("reason", F.lit("tail"))
+    spans = written(spans, shared_dir(ranges.sparkSession), "tails")
+    open_ = coverage.open_ranges(spans, keys, coverage.calendar(spans, step, session), step)
+    return windows.sharded(open_.select(*keys, "start", "end"), keys, shard).withColumn("reason", F.lit("tail"))
 
 
 def bounded_tail(watermarks: DataFrame, now, days: int, lag: str, most: str) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import each_number, in_ranges, running
 from tidemark.sources.storage import shared_dir, written
 
+FOREVER = "9999-12-31 23:59:59"  #: where a validity without an end is put
 BAR_KEYS = ("provider", "asset_class", "symbol", "timeframe", "bar_ts")
 
 
@@ -29,14 +31,6 @@ def current_observations(obs: DataFrame, tie: str) -> DataFrame:
     return ranked_first(obs, ["series_id", "observation_date"], order)
 
 
-def visible_at(asof: Column) -> Column:
-    """Whether an observation was public at an instant: by its vintage date, or by its release, plus a lag of days; unknown policies never."""
-    lag = F.coalesce("availability_lag_days", F.lit(0))
-    by_vintage = (F.col("availability_policy") == "vintage") & (F.date_add("vintage_start", lag) <= F.to_date(asof))
-    by_release = (F.col("availability_policy") == "release") & (F.col("release_ts") + F.make_dt_interval(lag) <= asof)
-    return (F.col("asof_ts") <= asof) & (by_vintage | by_release)
-
-
 def visible_from() -> Column:
     """The first instant at which an observation is public; null for unknown policies, which never are."""
     lag = F.coalesce("availability_lag_days", F.lit(0))
@@ -45,23 +39,72 @@ def visible_from() -> Column:
     return F.when(policy.isNotNull() & F.col("asof_ts").isNotNull(), F.greatest(policy, F.col("asof_ts")))
 
 
-def observed_asof(obs: DataFrame, instants: list, tie: str) -> DataFrame:
-    """For each instant (asof), the latest visible version of each observation.
+def vintage_order(tie: str) -> Column:
+    """What ranks the versions of one observation that are public: vintage or release, then as-of time, then the tie."""
+    first = F.when(F.col("availability_policy") == "vintage", F.col("vintage_start").cast("timestamp")).otherwise(F.col("release_ts"))
+    return F.struct(first.alias("o1"), F.col("asof_ts").alias("o2"), F.col(tie).alias("o3"))
+
+
+def observed_at(obs: DataFrame, instant, tie: str) -> DataFrame:
+    """The latest version of each observation that is public at one instant."""
+    seen = obs.where(visible_from() <= F.lit(instant).cast("timestamp"))
+    return ranked_first(seen, ["series_id", "observation_date"], [vintage_order(tie).desc()])
+
 
-    ``instants`` are the caller's query set, a list of timestamps (or their texts). A version counts from the first of them
-    that sees it; of each such step one version of an observation is left, and only these are given to the later instants.
-    So there is no join, and a row for each observation and instant at most.
+def validity(obs: DataFrame, tie: str) -> DataFrame:
+    """Versions with the half-open interval (valid_from, valid_to) in which each is the latest public one of its observation.
+
+    A version counts from where it is public, if it outranks all that were public before, to where the next such one is; of
+    those public from one instant on the highest counts. Without a later one ``valid_to`` is null.
     """
-    marks = F.array_sort(F.array_distinct(F.array(*[F.lit(i).cast("timestamp") for i in instants])))
-    order = F.struct(
-        F.when(F.col("availability_policy") == "vintage", F.col("vintage_start").cast("timestamp")).otherwise(F.col("release_ts")).alias("o1"),
-        F.col("asof_ts").alias("o2"), F.col(tie).alias("o3"),
-    )
     row = F.struct(*[F.col(c) for c in obs.columns])
-    seen = obs.select("series_id", "observation_date", order.alias("o"), row.alias("row"), F.filter(marks, lambda a: a >= visible_from()).alias("later")).where(F.size("later") > 0)
-    step = seen.groupBy("series_id", "observation_date", "later").agg(F.max_by("row", "o").alias("row"), F.max("o").alias("o"))
-    out = step.select("series_id", "observation_date", "o", "row", F.explode("later").alias("asof"))
-    return out.groupBy("series_id", "observation_date", "asof").agg(F.max_by("row", "o").alias("row")).select("asof", "row.*")
+    keys = ["series_id", "observation_date"]
+    seen = obs.select(*keys, visible_from().alias("valid_from"), vintage_order(tie).alias("_o"), row.alias("_row")).where("valid_from is not null")
+    one = seen.groupBy(*keys, "valid_from").agg(F.max_by("_row", "_o").alias("_row"), F.max("_o").alias("_o"))
+    w = Window.partitionBy(*keys).orderBy("valid_from")  # over the versions of one observation
+    best = F.max("_o").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    kept = one.withColumn("_best", best).where(F.col("_best").isNull() | (F.col("_o") > F.col("_best")))
+    return kept.withColumn("valid_to", F.lead("valid_from").over(w)).select("_row.*", "valid_from", "valid_to")
+
+
+def observed_asof(obs: DataFrame, instants: DataFrame, tie: str) -> DataFrame:
+    """For each instant of a table (asof), the latest public version of each observation.
+
+    Instants and the ends of the versions' validity are merged in one sweep, which numbers the instants; a version then has a
+    run of numbers and meets the instants by equality. Work is linear in versions, instants and what is returned.
+    """
+    marks = instants.select(F.col("asof").cast("timestamp").alias("_t")).where("_t is not null").distinct()
+    rows = validity(obs, tie).select(F.monotonically_increasing_id().alias("_id"), F.struct(*[F.col(c) for c in obs.columns]).alias("_row"), "valid_from", "valid_to")
+    ends = F.array(F.struct(F.col("valid_from").alias("t"), F.lit(True).alias("first")), F.struct(F.coalesce("valid_to", F.lit(FOREVER).cast("timestamp")).alias("t"), F.lit(False).alias("first")))
+    asked = rows.select("_id", "_row", F.explode(ends).alias("_e")).select(F.col("_e.t").alias("_t"), F.lit(0).alias("_kind"), "_id", F.when(F.col("_e.first"), F.col("_row")).alias("_row"), F.col("_e.first").alias("_first"))
+    # an instant at an end comes after it: it sees what begins there and no longer what ends there
+    parts = in_ranges(asked.unionByName(marks.withColumn("_kind", F.lit(1)), allowMissingColumns=True), [], ["_t", "_kind"])
+    swept = running(parts, [], ["_t", "_kind"], {"_n": ("sum", F.col("_kind").cast("long"))})
+    numbers = swept.where("_kind = 1").select(F.col("_n").alias("_at"), F.col("_t").alias("asof"))
+    spans = swept.where("_kind = 0").groupBy("_id").agg((F.max(F.when(F.col("_first"), F.col("_n"))) + 1).alias("_low"), F.max(F.when(~F.col("_first"), F.col("_n"))).alias("_high"), F.first("_row", ignorenulls=True).alias("_row"))
+    names = [F.col(f"_row.{c}").alias(c) for c in obs.columns]
+    flat = spans.select("_low", "_high", *names)  # Spark 4.1 can't bind a struct's fields behind two generators
+    return each_number(flat, "_low", "_high", "_at").join(numbers, "_at").select("asof", *obs.columns)
+
+
+def asof_totals(obs: DataFrame, instants: DataFrame, tie: str, keys: list[str], sums: dict[str, Column], greatest: dict[str, Column]) -> DataFrame:
+    """For each key and instant of a table (key columns, asof): sums and maxima over what is public then, and its number n.
+
+    A version adds where its validity begins and takes away where it ends; both run on over the instants between them, so no
+    version is given to any instant. Maxima may only be of what all versions of an observation share, as it stays public.
+    """
+    rows = validity(obs, tie)
+    sums = {"n": F.lit(1).cast("long"), **sums}
+    begin = [*[v.alias(k) for k, v in sums.items()], *[v.alias(k) for k, v in greatest.items()]]
+    end = [*[(-v).alias(k) for k, v in sums.items()], *[v.alias(k) for k, v in greatest.items()]]
+    moves = rows.select(*keys, F.col("valid_from").alias("_t"), *begin).unionByName(rows.where("valid_to is not null").select(*keys, F.col("valid_to").alias("_t"), *end))
+    moves = moves.groupBy(*keys, "_t").agg(*[F.sum(k).alias(k) for k in sums], *[F.max(k).alias(k) for k in greatest]).withColumn("_kind", F.lit(0))
+    marks = instants.select(*keys, F.col("asof").cast("timestamp").alias("_t")).where("_t is not null").distinct().withColumn("_kind", F.lit(1))
+    parts = in_ranges(moves.unionByName(marks, allowMissingColumns=True), keys, ["_t", "_kind"])
+    totals = {**{k: ("sum", F.coalesce(F.col(k), F.lit(0))) for k in sums}, **{k: ("max", F.col(k)) for k in greatest}}
+    renamed = {f"_r_{k}": v for k, v in totals.items()}
+    swept = running(parts, keys, ["_t", "_kind"], renamed).where("_kind = 1 and _r_n > 0")
+    return swept.select(*keys, F.col("_t").alias("asof"), *[F.col(f"_r_{k}").alias(k) for k in totals])
 
 
 def in_range(ts: str, start, end) -> Column:

@@ -2,50 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import bucket, ceil_bucket
+from tidemark.operators.ranges import each_number, in_ranges, numbered, running
+
+
+def _runs(parts: DataFrame, keys: list[str], order: list[str], start: Column, end: Column) -> DataFrame:
+    """``parts`` with ``_reach``, the furthest end of intervals ahead of a row, and ``_run``, the number of merged intervals begun so far."""
+    rows = running(parts, keys, order, {"_reach": ("max", end)}, before=True)
+    new = (start.isNotNull() & (F.col("_reach").isNull() | (start > F.col("_reach")))).cast("long")
+    return running(rows, keys, order, {"_run": ("sum", new)}, peers=True)
 
 
 def merged(df: DataFrame, keys: list[str]) -> DataFrame:
     """Unions of overlapping or touching intervals."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.select(*keys, "start", "end").where("start < end").withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-    return rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    parts = in_ranges(df.select(*keys, "start", "end").where("start < end"), keys, ["start", "end"])
+    rows = _runs(parts, keys, ["start", "end"], F.col("start"), F.col("end"))
+    return rows.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
-def by_day(df: DataFrame) -> DataFrame:
-    """A row for each day that an interval touches: the equality that overlap joins shuffle on."""
-    return df.withColumn("_day", F.explode(F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 microsecond")), F.expr("interval 1 day"))))
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of overlapping intervals of one key, each pair once; the right side's other columns come as r_start, r_end, r_....
 
+    One sweep over the ends of both sides numbers each side's starts and counts the other side's. Of two that overlap, either
+    the right one starts within the left one, or the left one after the right one's start and within it: both are a run of
+    numbers, so work is linear in intervals and pairs, however long an interval is.
+    """
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], id_cols: list[str]) -> DataFrame:
-    """Pairs of overlapping intervals of one key, with the right side's as r_start and r_end; each pair once."""
-    other = by_day(right.select(*keys, F.col("start").alias("start"), F.col("end").alias("end"))).select(*keys, "_day", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    hit = by_day(left).join(other, [*keys, "_day"]).where("start < r_end and r_start < end")
-    # a pair meets on several days; it counts on the first
-    return hit.where(F.col("_day") == F.to_date(F.greatest("start", "r_start"))).drop("_day")
+    def ends(df: DataFrame, own: list[str], side: int) -> DataFrame:
+        row = F.struct("start", "end", *own)
+        rows = df.where("start < end").select(*keys, F.monotonically_increasing_id().alias("_id"), row.alias("_row"))
+        at = F.array(F.struct(F.col("_row.start").alias("t"), F.lit(side).alias("kind")), F.struct(F.col("_row.end").alias("t"), F.lit(0).alias("kind")))
+        rows = rows.select(*keys, "_id", "_row", F.explode(at).alias("_at"))
+        return rows.select(*keys, "_id", F.lit(side).alias("_side"), F.col("_at.t").alias("_t"), F.col("_at.kind").alias("_kind"), F.when(F.col("_at.kind") > 0, F.col("_row")).alias(f"_row{side}"))
+
+    own = [[c for c in df.columns if c not in (*keys, "start", "end")] for df in (left, right)]
+    # at one instant ends come first, then left starts, then right starts
+    parts = in_ranges(ends(left, own[0], 1).unionByName(ends(right, own[1], 2), allowMissingColumns=True), keys, ["_t", "_kind"])
+    begun = {f"_n{k}": ("sum", (F.col("_kind") == k).cast("long")) for k in (1, 2)}
+    rows = running(parts, keys, ["_t", "_kind"], begun)
+
+    def side(k: int, other: int) -> DataFrame:
+        first = F.col("_kind") == k
+        some = rows.where(F.col("_side") == k).groupBy(*keys, "_id")
+        return some.agg(
+            F.max(F.when(first, F.col(f"_n{k}"))).alias("_rank"), F.max(F.when(first, F.col(f"_n{other}") + 1)).alias("_low"), F.max(F.when(~first, F.col(f"_n{other}"))).alias("_high"), F.first(f"_row{k}", ignorenulls=True).alias(f"_row{k}")
+        )
+
+    l, r = side(1, 2), side(2, 1)  # noqa: E741
+    within = each_number(l, "_low", "_high", "_at").join(r.select(*keys, F.col("_rank").alias("_at"), "_row2"), [*keys, "_at"])
+    around = each_number(r, "_low", "_high", "_at").join(l.select(*keys, F.col("_rank").alias("_at"), "_row1"), [*keys, "_at"])
+    both = within.select(*keys, "_row1", "_row2").unionByName(around.select(*keys, "_row1", "_row2"))
+    return both.select(*keys, *[F.col(f"_row1.{c}").alias(c) for c in ("start", "end", *own[0])], *[F.col(f"_row2.{c}").alias(f"r_{c}") for c in ("start", "end", *own[1])])
 
 
 def subtract(candidates: DataFrame, occupied: DataFrame, keys: list[str], id_cols: list[str]) -> DataFrame:
-    """What of each candidate no occupied interval covers, in pieces with ordinals from 0 for each key."""
-    busy = merged(occupied, keys)
-    hit = overlapping(candidates, busy, keys, id_cols).select(*keys, *id_cols, "start", "end", F.greatest("start", "r_start").alias("b"), F.least("end", "r_end").alias("e"))
-    w = Window.partitionBy(*keys, *id_cols, "start", "end").orderBy("b")
-    before = hit.select(*keys, *id_cols, F.coalesce(F.lag("e").over(w), F.col("start")).alias("from"), F.col("b").alias("to"))
-    tail = hit.groupBy(*keys, *id_cols, "start", "end").agg(F.max("e").alias("from")).select(*keys, *id_cols, "from", F.col("end").alias("to"))
-    whole = candidates.join(hit.select(*keys, *id_cols, "start", "end").distinct(), [*keys, *id_cols, "start", "end"], "left_anti").select(*keys, *id_cols, F.col("start").alias("from"), F.col("end").alias("to"))
-    out = before.unionByName(tail).unionByName(whole).where("from < to")
-    w = Window.partitionBy(*keys).orderBy("from", "to", *id_cols)
-    return out.select(*keys, *id_cols, F.col("from").alias("start"), F.col("to").alias("end"), (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+    """What of each candidate no occupied interval covers, in pieces with ordinals from 0 for each key.
+
+    One sweep over occupied intervals and the candidates' ends tells how many merged intervals have begun at either end: the
+    free gaps between them are numbered, and a candidate meets those of its numbers.
+    """
+    ids, cut = F.struct(*id_cols) if id_cols else F.lit(None).cast("struct<none:int>"), ["_t", "_kind"]
+    busy = occupied.where("start < end").select(*keys, F.col("start").alias("_t"), F.lit(1).alias("_kind"), F.col("start").alias("_from"), F.col("end").alias("_to"))
+    rows = candidates.where("start < end").select(*keys, F.monotonically_increasing_id().alias("_id"), ids.alias("_ids"), "start", "end")
+    at = F.array(F.struct(F.col("start").alias("t"), F.lit(2).alias("kind")), F.struct(F.col("end").alias("t"), F.lit(0).alias("kind")))
+    asked = rows.withColumn("_at", F.explode(at)).select("*", F.col("_at.t").alias("_t"), F.col("_at.kind").alias("_kind")).drop("_at")
+    swept = _runs(in_ranges(busy.unionByName(asked, allowMissingColumns=True), keys, cut), keys, cut, F.col("_from"), F.col("_to"))
+    runs = swept.where("_kind = 1").groupBy(*keys, "_run").agg(F.min("_from").alias("_until"), F.max("_to").alias("_after"))
+    # gap k lies between merged intervals k and k + 1
+    none = F.lit(None).cast("timestamp")
+    gaps = runs.select(*keys, F.col("_run").alias("_gap"), "_after", none.alias("_until")).unionByName(runs.select(*keys, (F.col("_run") - 1).alias("_gap"), none.alias("_after"), "_until"))
+    gaps = gaps.groupBy(*keys, "_gap").agg(F.max("_after").alias("_after"), F.max("_until").alias("_until"))
+    kind = lambda k, c: F.max(F.when(F.col("_kind") == k, F.col(c)))
+    spans = swept.where("_kind <> 1").groupBy(*keys, "_id").agg(kind(2, "_run").alias("_low"), kind(0, "_run").alias("_high"), *[F.first(c).alias(c) for c in ("_ids", "start", "end")])
+    met = each_number(spans, "_low", "_high", "_gap").join(gaps, [*keys, "_gap"], "left")
+    low, high = F.greatest("start", "_after"), F.least("end", "_until")  # greatest() and least() pass over nulls
+    out = met.select(*keys, *[F.col(f"_ids.{c}").alias(c) for c in id_cols], low.alias("start"), high.alias("end")).where("start < end")
+    return numbered(out, keys, ["start", "end", *id_cols], "ordinal")
 
 
 def contained(requests: DataFrame, intervals: DataFrame, keys: list[str], id_cols: list[str]) -> DataFrame:
-    """Requests that lie wholly inside one interval."""
-    hit = overlapping(requests, intervals, keys, id_cols).where("r_start <= start and end <= r_end")
-    return hit.select(*keys, *id_cols, "start", "end").distinct()
+    """Requests that lie wholly inside one interval: the furthest end of those that have begun tells, and nothing is paired."""
+    some = intervals.where("start < end").select(*keys, F.col("start").alias("_t"), F.lit(0).alias("_kind"), F.col("end").alias("_to"))
+    asked = requests.select(*keys, *id_cols, "start", "end", F.col("start").alias("_t"), F.lit(1).alias("_kind"))
+    parts = in_ranges(some.unionByName(asked, allowMissingColumns=True), keys, ["_t", "_kind"])
+    rows = running(parts, keys, ["_t", "_kind"], {"_reach": ("max", F.col("_to"))})
+    return rows.where("_kind = 1 and end <= _reach").select(*keys, *id_cols, "start", "end")
 
 
 def sharded(df: DataFrame, keys: list[str], step: str | Column) -> DataFrame:
@@ -85,6 +129,22 @@ def debt_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return o.join(n, on, "full_outer").select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys], F.greatest("o.attempts", "n.attempts").alias("attempts"), F.coalesce("n.next_review", "o.next_review").alias("next_review"))
 
 
+def resolved(debt: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Debt without what lies wholly inside a window that is done; debt has the columns keys, start, end and others."""
+    held = contained(debt, done, keys, []).distinct()
+    return debt.join(held, [*keys, "start", "end"], "left_anti")
+
+
+def due(debt: DataFrame, now: Column) -> DataFrame:
+    """Debt to be reviewed: never put off, or put off until now at the latest."""
+    return debt.where(F.col("next_review").isNull() | (F.col("next_review") <= now))
+
+
+def put_off(debt: DataFrame, now: Column) -> DataFrame:
+    """Debt whose review is still to come: its windows are in their cooldown."""
+    return debt.where(F.col("next_review") > now)
+
+
 def check_execution(df: DataFrame, keys: list[str]) -> DataFrame:
     """Jobs' windows (start, end, ordinal, job_start, job_end, gap_repair): which rule each job breaks, if any."""
     w = Window.partitionBy(*keys).orderBy("ordinal", "start")
@@ -98,8 +158,8 @@ def check_execution(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def budgeted(df: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """The first windows of each key by priority and start, up to a budget, and whether any were left out."""
-    w = Window.partitionBy(*keys).orderBy("priority", "start", "end")
+    """The first windows of each key by priority, start, end and all other columns, up to a budget, and whether any were left out."""
+    w = Window.partitionBy(*keys).orderBy("priority", "start", "end", *[c for c in df.columns if c not in (*keys, "priority", "start", "end")])
     n = F.count("*").over(Window.partitionBy(*keys))
     return df.withColumns({"rank": F.row_number().over(w).cast("long"), "truncated": n > budget}).where(F.col("rank") <= budget)
 

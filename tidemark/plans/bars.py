@@ -75,10 +75,13 @@ def d3_null_propagating_sum(t: Tables):
     return rows.groupBy("asset_class", "bar_ts").agg(bars.sum_or_null("volume").alias("volume"))
 
 
-FX_DAYS = """, cells AS (SELECT symbol, unnest(generate_series(day, day + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT symbol, date_trunc('day', bar_ts) AS day FROM bars)),
-    cell AS (SELECT symbol, ts FROM {local} WHERE {fx}),
-    buckets AS (SELECT coalesce(c.symbol, b.symbol) AS symbol, date_trunc('day', coalesce(ts, bar_ts)) AS bucket, count(bar_ts) AS observed, count(ts) AS expected, count(*) FILTER (ts IS NOT NULL AND bar_ts IS NOT NULL) AS n
-      FROM cell c FULL JOIN (SELECT DISTINCT symbol, bar_ts FROM bars) b ON b.symbol = c.symbol AND b.bar_ts = c.ts GROUP BY ALL)"""
+# Bars of open hours only; the days that have any, each with its open hours and those that are there.
+FX_DAYS = (
+    ", hours AS (SELECT symbol, bar_ts AS ts FROM bars), open_bars AS (SELECT symbol, ts FROM " + LOCAL.replace("FROM grid", "FROM hours") + f" WHERE {SESSION_SQL['fx']}),"
+    " cells AS (SELECT symbol, unnest(generate_series(day, day + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT symbol, date_trunc('day', ts) AS day FROM open_bars)),"
+    " cell AS (SELECT symbol, ts FROM " + LOCAL.replace("FROM grid", "FROM cells") + f" WHERE {SESSION_SQL['fx']}),"
+    " buckets AS (SELECT c.symbol, date_trunc('day', c.ts) AS bucket, count(o.ts) AS observed, count(*) AS expected FROM cell c LEFT JOIN open_bars o ON o.symbol = c.symbol AND o.ts = c.ts GROUP BY ALL)"
+)
 ALL_DAYS = """, gaps AS (SELECT symbol, bar_ts, epoch(bar_ts - lag(bar_ts) OVER (PARTITION BY symbol, date_trunc('day', bar_ts) ORDER BY bar_ts)) AS gap FROM bars)"""
 
 
@@ -92,7 +95,7 @@ def d4_contiguous_buckets(t: Tables):
     return bars.completeness(t.bars(), "1h", "1d", require_contiguous=True).select("symbol", "bucket", "observed", "expected", "contiguous", "complete")
 
 
-@query(FX_DAYS.format(local=LOCAL.replace("FROM grid", "FROM cells"), fx=SESSION_SQL["fx"]) + " SELECT symbol, bucket, observed, expected, observed = expected AND n = expected AS complete FROM buckets", "bars")
+@query(FX_DAYS + " SELECT symbol, bucket, observed, expected, observed = expected AS complete FROM buckets", "bars")
 def d4_bucket_completeness(t: Tables):
     """Days against the hours that the session is open, with its daily break and its weekend."""
     return bars.completeness(t.bars(), "1h", "1d", session=ft.SESSIONS["fx"]).select("symbol", "bucket", "observed", "expected", "complete")
@@ -132,7 +135,7 @@ def b6_session_open(t: Tables):
 MARKED = f", marked AS (SELECT g.*, b.bar_ts IS NOT NULL AS seen FROM (SELECT symbol, ts, {SESSION_SQL['fx']} AS open FROM {LOCAL}) g LEFT JOIN bars b ON b.symbol = g.symbol AND b.bar_ts = g.ts)"
 
 
-def _evaluated(t: Tables):
+def evaluated(t: Tables) -> coverage.Coverage:
     return coverage.evaluate(t.bars(), t.ranges(), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"])
 
 
@@ -143,20 +146,12 @@ def _evaluated(t: Tables):
     "bars", "grid",
 )
 def d8_coverage(t: Tables):
-    return _evaluated(t)[0]
+    return evaluated(t).summary
 
 
 @query(MARKED + "SELECT symbol, ts FROM marked WHERE open AND NOT seen", "bars", "grid")
 def c8_missing_stamps(t: Tables):
-    return _evaluated(t)[1]
-
-
-@query(
-    MARKED + """SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(CASE WHEN seen THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts) AS run FROM marked WHERE open) WHERE seen GROUP BY symbol, run""",
-    "bars", "grid",
-)
-def e7_ready_intervals(t: Tables):
-    return _evaluated(t)[2]
+    return evaluated(t).missing
 
 
 ISLANDS = """SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts) AS run FROM (SELECT *, CASE WHEN epoch(ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) <= 3600 THEN 0 ELSE 1 END AS new FROM {rows})) GROUP BY symbol, run"""
@@ -167,14 +162,21 @@ def e7_islands(t: Tables):
     return coverage.islands(t.bars(), ["symbol"], "bar_ts", 3600)
 
 
+@query(MARKED + ISLANDS.format(rows="(SELECT symbol, ts FROM marked WHERE open AND seen)"), "bars", "grid")
+def e7_ready_intervals(t: Tables):
+    """Seen stamps as far as the next is one step on: an interval ends at a gap and where the session closes."""
+    return evaluated(t).ready
+
+
 @query(MARKED + ISLANDS.format(rows="(SELECT symbol, ts FROM marked WHERE open AND NOT seen)"), "bars", "grid")
 def e7_missing_ranges(t: Tables):
-    return coverage.islands(_evaluated(t)[1], ["symbol"], "ts", 3600)
+    return evaluated(t).gaps
 
 
 @query(MARKED + ISLANDS.format(rows="(SELECT symbol, ts FROM marked WHERE open)"), "bars", "grid")
 def e7_session_islands(t: Tables):
-    return coverage.islands(coverage.grid(t.ranges(), ["symbol"], 3600, ft.SESSIONS["fx"]).where("open"), ["symbol"], "ts", 3600)
+    ranges = t.ranges()
+    return coverage.open_ranges(ranges, ["symbol"], coverage.calendar(ranges, 3600, ft.SESSIONS["fx"]), 3600)
 
 
 @query("SELECT symbol, previous, ts, epoch(ts - previous)::BIGINT AS seconds FROM (SELECT symbol, bar_ts AS ts, lag(bar_ts) OVER (PARTITION BY symbol ORDER BY bar_ts) AS previous FROM bars) WHERE epoch(ts - previous) > 3600", "bars")
@@ -184,9 +186,7 @@ def e5_lag_gaps(t: Tables):
 
 @query(MARKED + "SELECT symbol, max(ts) FILTER (seen AND ts < coalesce(hole, TIMESTAMP '9999-01-01')) AS latest_complete FROM (SELECT *, min(ts) FILTER (NOT seen) OVER (PARTITION BY symbol) AS hole FROM marked WHERE open) GROUP BY symbol", "bars", "grid")
 def e8_prefix_boundary(t: Tables):
-    seen = t.bars().select("symbol", F.col("bar_ts").alias("ts"), F.lit(True).alias("seen"))
-    marked = coverage.grid(t.ranges(), ["symbol"], 3600, ft.SESSIONS["fx"]).where("open").join(seen, ["symbol", "ts"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    return coverage.prefix_boundary(marked, ["symbol"])
+    return evaluated(t).boundary
 
 
 @query("SELECT provider, symbol, count(*) AS row_count, 0::BIGINT AS duplicates, min(bar_ts) AS min_ts, max(bar_ts) AS max_ts FROM bars GROUP BY ALL", "bars")
@@ -216,7 +216,7 @@ def e2_current_observations(t: Tables):
 
 @query(PIT.format(cols=OBS, join="", a="TIMESTAMP '1998-06-15 12:00:00'", by=""), "observations")
 def e3_point_in_time(t: Tables):
-    return versions.observed_asof(t.observations(), ["1998-06-15 12:00:00"], "tie").select(*OBS_NAMES)
+    return versions.observed_at(t.observations(), "1998-06-15 12:00:00", "tie").select(*OBS_NAMES)
 
 
 INSTANTS = """, instants AS (SELECT unnest([TIMESTAMP '1996-01-31 18:00:00', TIMESTAMP '1998-06-15 12:00:00', TIMESTAMP '2001-02-28 00:00:00']) AS "asof")"""
@@ -224,11 +224,32 @@ INSTANTS = """, instants AS (SELECT unnest([TIMESTAMP '1996-01-31 18:00:00', TIM
 
 @query(INSTANTS + ' SELECT "asof", series_id, count(*) AS n, max(observation_date) AS last_date, sum(tie) AS ties FROM (' + PIT.format(cols='"asof", o.*', join=", instants", a='"asof"', by='"asof", ') + ") GROUP BY ALL", "observations")
 def c9_asof_join(t: Tables):
-    instants = ["1996-01-31 18:00:00", "1998-06-15 12:00:00", "2001-02-28 00:00:00"]
+    """All that each of three instants sees, joined and then counted."""
+    instants = t.spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in ("1996-01-31 18:00:00", "1998-06-15 12:00:00", "2001-02-28 00:00:00")])).alias("asof"))
     seen = versions.observed_asof(t.observations(), instants, "tie")
     return seen.groupBy("asof", "series_id").agg(F.count("*").alias("n"), F.max("observation_date").alias("last_date"), F.sum("tie").alias("ties"))
 
 
+@query(
+    """, every AS (SELECT *, CASE WHEN availability_policy = 'vintage' THEN vintage_start::TIMESTAMP ELSE release_ts END AS o1,
+      greatest(CASE availability_policy WHEN 'vintage' THEN (vintage_start + coalesce(availability_lag_days, 0))::TIMESTAMP WHEN 'release' THEN release_ts + to_days(coalesce(availability_lag_days, 0)) END, asof_ts) AS seen
+      FROM observations WHERE availability_policy <> 'unknown' AND CASE availability_policy WHEN 'vintage' THEN vintage_start IS NOT NULL ELSE release_ts IS NOT NULL END),
+    best AS (SELECT *, max((o1, asof_ts, tie)) OVER (PARTITION BY series_id, observation_date ORDER BY seen, o1, asof_ts, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM every),
+    steps AS (SELECT * FROM best WHERE top = (o1, asof_ts, tie) QUALIFY row_number() OVER (PARTITION BY series_id, observation_date, seen ORDER BY o1 DESC, asof_ts DESC, tie DESC) = 1),
+    valid AS (SELECT *, lead(seen) OVER (PARTITION BY series_id, observation_date ORDER BY seen) AS until FROM steps),
+    moves AS (SELECT series_id, seen AS t, 1 AS n, tie, observation_date, 0 AS kind FROM valid UNION ALL SELECT series_id, until, -1, -tie, observation_date, 0 FROM valid WHERE until IS NOT NULL
+      UNION ALL SELECT DISTINCT series_id, observation_date + INTERVAL 12 HOUR, 0, 0, NULL, 1 FROM observations)
+    SELECT series_id, t AS "asof", n::BIGINT AS n, ties::BIGINT AS ties, last_date::DATE AS last_date FROM (SELECT series_id, t, kind, sum(n) OVER w AS n, sum(tie) OVER w AS ties, max(observation_date) OVER w AS last_date FROM moves WINDOW w AS (PARTITION BY series_id ORDER BY t, kind)) WHERE kind = 1 AND n > 0""",
+    "observations",
+)
+def c9_asof_totals(t: Tables):
+    """What each series shows at noon of every day that it has: thousands of instants, none of which reads a version."""
+    obs = t.observations()
+    instants = obs.select("series_id", (F.col("observation_date").cast("timestamp") + F.expr("interval 12 hour")).alias("asof"))
+    found = versions.asof_totals(obs, instants, "tie", ["series_id"], {"ties": F.col("tie")}, {"last_date": F.col("observation_date")})
+    return found.select("series_id", "asof", "n", "ties", "last_date")
+
+
 @query(f"SELECT {OBS} FROM observations WHERE observation_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", "observations")
 def b3_inclusive_dates(t: Tables):
     return t.observations().where(F.col("observation_date").between("1997-01-01", "1997-12-31")).select(*OBS_NAMES)
@@ -386,7 +407,7 @@ def i6_quality_findings(t: Tables):
     """Broken bars are errors; what the session lacks is a warning."""
     rows = t.bars().withColumns({"low": F.when(F.hour("bar_ts") == 3, F.col("high") + 1).otherwise(F.col("low")), "volume": F.when(F.hour("bar_ts") == 5, -F.col("volume")).otherwise(F.col("volume"))})
     wrong = quality.bar_violations(rows, ["symbol", "bar_ts"]).select("symbol", F.lit("error").alias("severity"), "code")
-    weak = coverage.findings(_evaluated(t)[0], ["symbol"]).select("symbol", F.lit("warning").alias("severity"), "code")
+    weak = coverage.findings(evaluated(t).summary, ["symbol"]).select("symbol", F.lit("warning").alias("severity"), "code")
     return wrong.unionByName(weak).groupBy("symbol", "severity", "code").agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from tidemark.functions import text as ftext
 from tidemark.functions import time as ft
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import coverage, derive, planner, quality, runs, versions, windows
-from tidemark.plans.bars import FX_DAYS, ISLANDS, LOCAL, MARKED, SESSION_SQL
+from tidemark.plans.bars import FX_DAYS, ISLANDS, LOCAL, MARKED, SESSION_SQL, evaluated
 from tidemark.plans.fixtures import Tables, query
 from tidemark.sources import storage
 
@@ -30,12 +30,13 @@ def d4_drop_incomplete(t: Tables):
 
 
 @query(
-    FX_DAYS.format(local=LOCAL.replace("FROM grid", "FROM cells"), fx=SESSION_SQL["fx"]) + """ SELECT symbol, bucket AS bar_ts, min(low) AS low, max(high) AS high, count(*) AS n_source FROM buckets JOIN (SELECT symbol, date_trunc('day', bar_ts) AS bucket, low, high FROM bars) USING (symbol, bucket)
-    WHERE observed = expected AND n = expected GROUP BY ALL""",
+    FX_DAYS + """ SELECT symbol, bucket AS bar_ts, min(low) AS low, max(high) AS high, count(*) AS n_source
+    FROM buckets JOIN (SELECT symbol, date_trunc('day', ts) AS bucket, low, high FROM open_bars JOIN bars USING (symbol) WHERE bar_ts = ts) USING (symbol, bucket)
+    WHERE observed = expected GROUP BY ALL""",
     "bars",
 )
 def d4_session_derive(t: Tables):
-    """Days that hold all bars of their open hours and no others; a day over the weekly close is whole without the closed ones."""
+    """Days that hold all bars of their open hours; bars of closed hours, of which there are many, are in none of them."""
     out = derive.derive(t.bars(), derive.Recipe("r", "1h", "1d"), "s1", ft.SESSIONS["fx"])
     return out.select("symbol", "bar_ts", "low", "high", "n_source")
 
@@ -53,13 +54,16 @@ def i7_c12_parity(t: Tables):
 
 
 @query(
-    MARKED + """, of AS (SELECT symbol, date_trunc('day', ts) AS bucket, bool_and(seen) AS ready FROM marked WHERE open GROUP BY ALL), runs AS (
-      SELECT symbol, ready, min(bucket) AS start, max(bucket) + INTERVAL 1 DAY AS "end", count(*) AS buckets FROM (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY bucket) AS run FROM (SELECT *, CASE WHEN ready = lag(ready) OVER (PARTITION BY symbol ORDER BY bucket) THEN 0 ELSE 1 END AS new FROM of)) GROUP BY symbol, run, ready)
-    SELECT *, row_number() OVER (PARTITION BY symbol, ready ORDER BY start) AS rank FROM runs QUALIFY rank <= 12""",
+    MARKED + """, cells AS (SELECT symbol, unnest(generate_series(date_trunc('day', range_start + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND), date_trunc('day', range_end) - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS bucket FROM ranges),
+    of AS (SELECT c.symbol, bucket, count(*) FILTER (open) > 0 AND count(*) FILTER (open AND NOT seen) = 0 AS ready FROM cells c LEFT JOIN marked m ON m.symbol = c.symbol AND date_trunc('day', ts) = bucket GROUP BY ALL),
+    changes AS (SELECT *, CASE WHEN ready = lag(ready) OVER (PARTITION BY symbol ORDER BY bucket) THEN 0 ELSE 1 END AS new FROM of),
+    runs AS (SELECT symbol, ready, min(bucket) AS start, max(bucket) + INTERVAL 1 DAY AS "end", count(*) AS buckets FROM (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY bucket) AS run FROM changes) GROUP BY symbol, run, ready)
+    SELECT *, row_number() OVER (PARTITION BY symbol, ready ORDER BY start) AS rank, ready AND rank > 1 AS deferred FROM runs""",
     "bars", "grid",
 )
 def d5_bucket_runs(t: Tables):
-    return derive.bucket_runs(t.bars(), t.ranges(), ["symbol"], HOURS_TO_DAYS, ft.SESSIONS["fx"])
+    """Ready and blocked runs of days; a ready run beyond the first of a series is deferred, and none is left out."""
+    return derive.bucket_runs(t.bars(), t.ranges(), ["symbol"], HOURS_TO_DAYS, ft.SESSIONS["fx"], most=1)
 
 
 @query("SELECT symbol, list_sort(list_distinct(list(snapshot))) AS snapshots, count(DISTINCT snapshot) AS n FROM (SELECT symbol, 's' || (day(bar_ts) % 3) AS snapshot FROM bars) GROUP BY symbol", "bars")
@@ -193,8 +197,9 @@ def j9_derivation_plan(t: Tables):
 
 @query(f"SELECT symbol, date_trunc('day', ts) AS day, bool_or({SESSION_SQL['fx']}) AS opens FROM {LOCAL} GROUP BY ALL", "grid")
 def j10_session_days(t: Tables):
-    grid = coverage.grid(t.ranges(), ["symbol"], 3600, ft.SESSIONS["fx"])
-    return grid.groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.bool_or("open").alias("opens"))
+    ranges = t.ranges()
+    days = coverage.open_days(ranges, ["symbol"], coverage.calendar(ranges, 3600, ft.SESSIONS["fx"]), 3600)
+    return days.select("symbol", F.col("day").cast("timestamp").alias("day"), "opens")
 
 
 GAPS = ", gaps AS (" + ISLANDS.format(rows="(SELECT symbol, ts FROM marked WHERE open AND NOT seen)") + ")"
@@ -206,7 +211,7 @@ GAPS = ", gaps AS (" + ISLANDS.format(rows="(SELECT symbol, ts FROM marked WHERE
 )
 def j1_repair_windows(t: Tables):
     """The gaps of each series in its open hours, in windows of six hours at most."""
-    return planner.repair_windows(t.bars(), t.ranges(), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"], "6 hours")
+    return planner.repair_windows(evaluated(t), "6 hours")
 
 
 TAIL = (
@@ -221,14 +226,14 @@ def _longer(t: Tables):
     return t.ranges().withColumn("end", F.col("end") + F.expr("interval 5 day"))
 
 
-def _tails(t: Tables):
-    return planner.tail_windows(t.bars(), _longer(t), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"], "1 day")
+def _tails(t: Tables, found: coverage.Coverage):
+    return planner.tail_windows(found, _longer(t), ft.SESSIONS["fx"], "1 day")
 
 
 @query(MARKED + TAIL + """ SELECT symbol, start, "end", row_number() OVER (PARTITION BY symbol ORDER BY start) - 1 AS ordinal, 'tail' AS reason FROM shards""", "bars", "grid")
 def j3_tail_after_gap(t: Tables):
     """Five days behind the last bar of series with a gap, in open hours only."""
-    return _tails(t)
+    return _tails(t, evaluated(t))
 
 
 @query(
@@ -239,12 +244,12 @@ def j3_tail_after_gap(t: Tables):
 )
 def j13_repair_plan(t: Tables):
     """Tails, then gaps that are not in their cooldown, then debt from before the range, up to twenty windows a series."""
-    _, missing, _ = coverage.evaluate(t.bars(), t.ranges(), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"])
-    gaps = coverage.islands(missing, ["symbol"], "ts", 3600)
+    found = evaluated(t)
+    gaps = found.gaps
     day = lambda n: F.expr(f"interval {n} day")
     old = t.ranges().select("symbol", (F.col("start") - day(3)).alias("start"), (F.col("start") - day(1)).alias("end"))
     carried = old.unionByName(old.withColumn("start", F.col("start") + day(1)))  # two debts that overlap
-    return planner.repair_plan(_tails(t), gaps, carried, gaps.where(F.dayofmonth("start") % 4 == 0), ["symbol"], 20)
+    return planner.repair_plan(_tails(t, found), gaps, carried, gaps.where(F.dayofmonth("start") % 4 == 0), ["symbol"], 20)
 
 
 @query(
@@ -255,10 +260,10 @@ def j13_repair_plan(t: Tables):
 )
 def i7_derived_coverage(t: Tables):
     """Derived days against the calendar, and complete ones whose source has gaps."""
-    hours = coverage.evaluate(t.bars(), t.ranges(), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"])[0]
+    hours = evaluated(t).summary
     days = derive.derive(t.bars(), derive.Recipe("r", "1h", "1d", policy="allow"), "s1").where((F.col("symbol") != "click") | (F.dayofmonth("bar_ts") % 9 != 0))
     whole = t.ranges().select("symbol", F.date_trunc("day", "start").alias("start"), "end")
-    derived = coverage.evaluate(days, whole, ["symbol"], "bar_ts", 86400, ft.SESSIONS["always"])[0]
+    derived = coverage.evaluate(days, whole, ["symbol"], "bar_ts", 86400, ft.SESSIONS["always"]).summary
     return quality.parity_coverage(hours, derived, ["symbol"])
 
 

@@ -80,24 +80,30 @@ def c6_d19_finding_states(t: Tables):
 
 
 @query(
-    """, steps AS (SELECT dataset_id || '/' || provider AS step, dataset_id || '/p' || ((substr(provider, 2)::INT + 1) % 4) AS upstream, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running FROM runs WHERE run_kind = 'derive' AND created_at < TIMESTAMP '1995-03-01' GROUP BY ALL)
+    """, steps AS (SELECT concat_ws('/', dataset_id, provider, strftime(created_at, '%Y-%m')) AS step, concat_ws('/', dataset_id, 'p' || ((substr(provider, 2)::INT + 1) % 4), strftime(created_at, '%Y-%m')) AS upstream,
+      count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running FROM runs GROUP BY ALL)
     SELECT s.step, s.upstream, coalesce(s.completed, 0) AS completed, coalesce(s.failed, 0) AS failed, coalesce(s.running, 0) AS running, CASE WHEN s.failed > 0 THEN 'failed' WHEN s.running > 0 THEN 'running' WHEN s.completed > 0 AND coalesce(u.failed, 0) = 0 THEN 'completed' WHEN coalesce(u.failed, 0) > 0 THEN 'blocked' ELSE 'skipped' END AS state,
       CASE WHEN NOT (s.failed > 0 OR s.running > 0) AND coalesce(u.failed, 0) > 0 THEN 'upstream_failed' WHEN s.failed = 0 AND s.running = 0 AND s.completed = 0 THEN 'no_runs' END AS reason
     FROM steps s LEFT JOIN steps u ON u.step = s.upstream""",
     "runs",
 )
 def d20_step_states(t: Tables):
-    """Steps of a plan with the step that each waits for: a failure upstream blocks one that has not failed itself."""
-    some = t.runs().where((F.col("run_kind") == "derive") & (F.col("created_at") < F.lit("1995-03-01").cast("timestamp")))
-    number = (F.substring("provider", 2, 9).cast("int") + 1) % 4
-    rows = some.select(F.concat_ws("/", "dataset_id", "provider").alias("step"), F.concat(F.col("dataset_id"), F.lit("/p"), number.cast("string")).alias("upstream"), "status")
+    """Steps of every month's plan with the step that each waits for: a failure upstream blocks one that has not failed itself."""
+    number, month = (F.substring("provider", 2, 9).cast("int") + 1) % 4, F.date_format("created_at", "yyyy-MM")
+    upstream = F.concat_ws("/", "dataset_id", F.concat(F.lit("p"), number.cast("string")), month)
+    rows = t.runs().select(F.concat_ws("/", "dataset_id", "provider", month).alias("step"), upstream.alias("upstream"), "status")
     return runs.step_states(rows.select("step", "upstream").distinct(), rows.select("step", "status"))
 
 
-@query("SELECT dataset_id, max(finished_at) FILTER (status = 'completed' AND run_kind = 'ingest') AS boundary FROM runs GROUP BY dataset_id", "runs")
+@query(
+    """SELECT r.dataset_id, max(w.e) FILTER (status = 'completed' AND run_kind = 'ingest') AS boundary FROM runs r LEFT JOIN planned w ON w.window_id = r.run_id GROUP BY r.dataset_id""",
+    "runs", "planned",
+)
 def d21_publication_boundary(t: Tables):
+    """The furthest end of the windows that completed raw runs have covered."""
+    rows = t.runs().join(t.windows("planned").select(F.col("window_id").alias("run_id"), "end"), "run_id", "left")
     done = (F.col("status") == "completed") & (F.col("run_kind") == "ingest")
-    return t.runs().groupBy("dataset_id").agg(F.max(F.when(done, F.col("finished_at"))).alias("boundary"))
+    return rows.groupBy("dataset_id").agg(F.max(F.when(done, F.col("end"))).alias("boundary"))
 
 
 @query("SELECT run_kind, quantile_cont(duration_s::DOUBLE, 0.95) AS p95, sum(duration_s)::BIGINT AS total, max(duration_s) AS longest FROM runs GROUP BY run_kind", "runs")
@@ -215,9 +221,18 @@ def h12_redaction(t: Tables):
     return t.table("conversations").select("conv_id", "turn", ftext.redact(text).alias("summary"))
 
 
-@query("SELECT run_id, sha256('{\"dataset\":\"' || dataset_id || '\",\"kind\":\"' || run_kind || '\",\"scope\":\"' || run_scope || '\"}') AS digest FROM runs", "runs")
+@query(
+    r"""SELECT run_id, sha256('{"dataset":"' || dataset_id || '\\\"\n","flags":[true,' || (retry_of IS NULL)::VARCHAR || '],"plan":{"attempt":' || retry_count || ',"scope":"' || run_scope || '\u00e9\ud83d\ude42"},"price":' || rows_written || ',"retry_of":' || coalesce(retry_of::VARCHAR, 'null') || '}') AS digest FROM runs""",
+    "runs",
+)
 def h8_config_digest(t: Tables):
-    return t.runs().select("run_id", ftext.config_digest({"scope": F.col("run_scope"), "dataset": F.col("dataset_id"), "kind": F.col("run_kind")}).alias("digest"))
+    """Digests of nested settings with quotes, line ends, characters beyond ASCII, numbers and nulls."""
+    first = F.col("retry_of").isNull()
+    rows = t.runs().select("run_id", F.struct(
+        F.col("rows_written").alias("price"), F.concat("dataset_id", F.lit('\\"\n')).alias("dataset"), F.col("retry_of"), F.array(F.lit(True), first).alias("flags"),
+        F.struct(F.concat("run_scope", F.lit("é🙂")).alias("scope"), F.col("retry_count").alias("attempt")).alias("plan"),
+    ).alias("settings"))
+    return rows.select("run_id", ftext.config_digest(F.col("settings"), rows.schema["settings"].dataType).alias("digest"))
 
 
 @query("SELECT dataset_id, run_kind, date_trunc('month', created_at) AS month, CASE WHEN count(DISTINCT error_type) = 0 THEN 'unknown' WHEN count(DISTINCT error_type) = 1 THEN min(error_type) ELSE 'mixed' END AS label FROM runs GROUP BY ALL", "runs")
@@ -266,9 +281,7 @@ def c4_interval_containment(t: Tables):
 @query('SELECT c.task_id, c.window_id, c.s AS start, c.e AS "end", count(*) AS overlaps FROM candidate c JOIN planned p ON p.task_id = c.task_id AND p.s < c.e AND c.s < p.e AND p.window_id > c.window_id GROUP BY ALL', "planned", "candidate")
 def c3_overlap_join(t: Tables):
     """Derived windows that a later window of the same task overlaps."""
-    later = t.windows("planned")
-    hit = windows.by_day(t.windows("candidate")).join(windows.by_day(later).select("task_id", "_day", F.col("window_id").alias("later_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), ["task_id", "_day"])
-    hit = hit.where("start < r_end and r_start < end and later_id > window_id").where(F.col("_day") == F.to_date(F.greatest("start", "r_start")))
+    hit = windows.overlapping(t.windows("candidate"), t.windows("planned"), ["task_id"]).where("r_window_id > window_id")
     return hit.groupBy("task_id", "window_id", "start", "end").agg(F.count("*").alias("overlaps"))
 
 
@@ -305,6 +318,28 @@ def j11_debt_merge(t: Tables):
     return windows.debt_merge(old, new, ["task_id", "start"])
 
 
+OWED = """, owed AS (SELECT task_id, s, e, max(window_id % 7) AS attempts, max(CASE WHEN window_id % 3 > 0 THEN e END) AS next_review FROM candidate GROUP BY ALL)"""
+
+
+def _owed(t: Tables):
+    review = F.max(F.when(F.col("window_id") % 3 > 0, F.col("end"))).alias("next_review")
+    return t.windows("candidate").groupBy("task_id", "start", "end").agg(F.max(F.col("window_id") % 7).alias("attempts"), review)
+
+
+@query(OWED + """ SELECT task_id, s AS start, e AS "end", attempts, next_review FROM owed o WHERE NOT EXISTS (SELECT 1 FROM planned p WHERE p.task_id = o.task_id AND p.s <= o.s AND o.e <= p.e)""", "planned", "candidate")
+def j11_debt_resolve(t: Tables):
+    """Debt that no window done since holds as a whole."""
+    return windows.resolved(_owed(t), t.windows("planned"), ["task_id"]).select("task_id", "start", "end", "attempts", "next_review")
+
+
+@query(OWED + f""" SELECT task_id, s AS start, e AS "end", CASE WHEN next_review > TIMESTAMP '{NOW}' - INTERVAL 900 DAY THEN 'cooling' ELSE 'due' END AS state FROM owed""", "candidate")
+def j11_debt_due(t: Tables):
+    """Debt that is to be reviewed now, and debt that has been put off."""
+    at, debt = now() - F.expr("interval 900 day"), _owed(t)
+    state = lambda df, s: df.select("task_id", "start", "end", F.lit(s).alias("state"))
+    return state(windows.due(debt, at), "due").unionByName(state(windows.put_off(debt, at), "cooling"))
+
+
 @query('SELECT task_id, window_id, s AS start, e AS "end", priority, rank, truncated FROM (SELECT *, window_id % 4 AS priority, row_number() OVER (PARTITION BY task_id ORDER BY window_id % 4, s, e, window_id) AS rank, count(*) OVER (PARTITION BY task_id) > 8 AS truncated FROM candidate) WHERE rank <= 8', "candidate")
 def f6_budgeted_windows(t: Tables):
     return windows.budgeted(t.windows("candidate").withColumn("priority", F.col("window_id") % 4), ["task_id"], 8)

@@ -82,12 +82,12 @@ def c14_new_parts(t: Tables):
 
 
 @query(
-    "SELECT symbol, bar_ts, 'duplicate' AS code FROM bars WHERE hour(bar_ts) = 4 UNION ALL SELECT symbol, bar_ts, 'unsorted' FROM bars WHERE symbol = 'view' QUALIFY bar_ts <> max(bar_ts) OVER (PARTITION BY symbol) UNION ALL SELECT symbol, bar_ts, 'row' FROM bars WHERE hour(bar_ts) <> 4 AND bar_ts >= TIMESTAMP '2024-01-05' AND bar_ts < TIMESTAMP '2024-01-09'",
+    "SELECT symbol, bar_ts, 'duplicate' AS code FROM bars WHERE hour(bar_ts) = 4 UNION ALL SELECT symbol, bar_ts, 'unsorted' FROM bars WHERE symbol = 'view' QUALIFY bar_ts <> max(bar_ts) OVER (PARTITION BY symbol) UNION ALL SELECT symbol, bar_ts, CASE hour(bar_ts) WHEN 9 THEN 'missing_price' ELSE 'row' END FROM bars WHERE hour(bar_ts) <> 4 AND bar_ts >= TIMESTAMP '2024-01-05' AND bar_ts < TIMESTAMP '2024-01-09' UNION ALL SELECT symbol, bar_ts, 'row' FROM bars WHERE hour(bar_ts) = 9 AND bar_ts >= TIMESTAMP '2024-01-05' AND bar_ts < TIMESTAMP '2024-01-09'",
     "bars",
 )
 def a13_provider_frame(t: Tables):
-    """A frame with upper-case names, doubled stamps and a series that runs backwards."""
-    rows = t.bars().select(*PRICES)
+    """A frame with upper-case names, doubled stamps, missing prices and a series that runs backwards."""
+    rows = t.bars().select(*PRICES).withColumn("close", F.when(F.hour("bar_ts") != 9, F.col("close")))
     back = F.when(F.col("symbol") == "view", -F.unix_timestamp("bar_ts")).otherwise(F.unix_timestamp("bar_ts"))
     frame = rows.unionByName(rows.where(F.hour("bar_ts") == 4)).withColumn("at", back)
     frame = frame.select(*[F.col(c).alias(c.upper()) for c in frame.columns])
@@ -121,13 +121,20 @@ def a10_daily_frame(t: Tables):
     return providers.daily_frame(arrays, "America/New_York", "symbol")
 
 
-@query("SELECT o_orderpriority AS series_id, strftime(o_orderdate, '%Y-%m-%d') AS observation_date, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS value, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS vintage_start, CASE o_orderkey % 2 WHEN 0 THEN 'vintage' ELSE 'unknown' END AS availability_policy, CASE WHEN o_orderkey % 5 = 0 THEN 'not_reported' END AS missing_reason FROM orders")
+@query(
+    """SELECT o_orderpriority AS series_id, strftime(o_orderdate, '%Y-%m-%d') AS observation_date, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS value,
+    CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T12:00:00Z' END AS release_ts, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 'monthly' ELSE 'native' END AS frequency, 'percent' AS units, 'native' AS seasonal_adjustment,
+    CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS vintage_start, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS vintage_end,
+    CASE WHEN o_orderkey % 6 = 0 THEN 'vintage' ELSE 'unknown' END AS availability_policy, CASE WHEN o_orderkey % 5 = 0 THEN 'not_reported' END AS missing_reason FROM orders"""
+)
 def a11_series(t: Tables):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    value = F.when(F.col("o_orderkey") % 5 == 0, ".").otherwise(F.col("o_totalprice").cast("string"))
-    doc = F.to_json(F.array(F.struct(day.alias("date"), value.alias("value"), F.when(F.col("o_orderkey") % 2 == 0, day).alias("realtime_start"))))
-    rows = providers.series(t.table("orders").select(F.col("o_orderpriority").alias("series_id"), doc.alias("payload")), "payload", "series_id")
-    return rows.drop("vintage_end")
+    """Observations with both real-time ends, with one of them or none, some released, of series that say more or less of themselves."""
+    day, key = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey")
+    value = F.when(key % 5 == 0, ".").otherwise(F.col("o_totalprice").cast("string"))
+    ends = [F.when(key % 2 == 0, day).alias("realtime_start"), F.when(key % 3 == 0, day).alias("realtime_end")]
+    doc = F.to_json(F.array(F.struct(day.alias("date"), value.alias("value"), *ends, F.when(key % 7 == 0, F.concat(day, F.lit("T12:00:00Z"))).alias("release_ts"))))
+    frequency = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "monthly").otherwise("").alias("frequency")
+    return providers.series(t.table("orders").select(F.col("o_orderpriority").alias("series_id"), frequency, F.lit("percent").alias("units"), doc.alias("payload")), "payload", "series_id")
 
 
 @query("SELECT symbol, bar_ts, open, high, low, close, volume FROM hourly", "hourly")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import in_ranges, previous
 from tidemark.operators.runs import first_wins
 
 # Fixed format of a tick record: milliseconds of the hour, ask and bid in 1/100000, their volumes; big-endian.
@@ -33,12 +34,24 @@ def daily_frame(df: DataFrame, zone: str, *keep: str) -> DataFrame:
     return rows.dropna(subset=["open", "high", "low", "close"]).select(*keep, day.alias("bar_ts"), *names[1:])
 
 
+SERIES_FIELDS = ("frequency", "units", "seasonal_adjustment")  #: what is said of a whole series
+
+
 def series(df: DataFrame, payload: str, *keep: str) -> DataFrame:
-    """Observation documents to rows: '.' is no value; a realtime start makes a vintage, without one the policy is unknown."""
-    rows = df.select(*keep, F.explode(F.from_json(payload, "array<struct<date:string, value:string, realtime_start:string, realtime_end:string>>")).alias("o"))
+    """Observation documents to rows: '.' is no value; both real-time ends make a vintage, otherwise the policy is unknown.
+
+    A release time comes from the document. What ``df`` says of the series (``SERIES_FIELDS``) goes to each row; what it does
+    not say, or leaves empty, is 'native'.
+    """
+    kind = "array<struct<date:string, value:string, realtime_start:string, realtime_end:string, release_ts:string>>"
+    said = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("native")).alias(c) if c in df.columns else F.lit("native").alias(c) for c in SERIES_FIELDS]
+    rows = df.select(*keep, *said, F.explode(F.from_json(payload, kind)).alias("o"))
+    value = F.nullif(F.col("o.value"), F.lit("."))
+    vintage = (F.coalesce("o.realtime_start", F.lit("")) != "") & (F.coalesce("o.realtime_end", F.lit("")) != "")
     return rows.select(
-        *keep, F.col("o.date").alias("observation_date"), F.nullif(F.col("o.value"), F.lit(".")).try_cast("double").alias("value"), F.col("o.realtime_start").alias("vintage_start"), F.col("o.realtime_end").alias("vintage_end"),
-        F.when(F.col("o.realtime_start").isNotNull(), "vintage").otherwise("unknown").alias("availability_policy"), F.when(F.nullif(F.col("o.value"), F.lit(".")).isNull(), "not_reported").alias("missing_reason"),
+        *keep, F.col("o.date").alias("observation_date"), value.try_cast("double").alias("value"), "o.release_ts", *SERIES_FIELDS,
+        F.col("o.realtime_start").alias("vintage_start"), F.col("o.realtime_end").alias("vintage_end"), F.when(vintage, "vintage").otherwise("unknown").alias("availability_policy"),
+        F.when(value.isNull(), "not_reported").alias("missing_reason"),
     )
 
 
@@ -76,17 +89,21 @@ def normalize_frame(df: DataFrame, start, end, keys: list[str], order: str) -> t
     """(rows, rejections) of a provider's frame whose rows come in ``order``; a column that lacks is an error.
 
     Rows have lower-case names, lie inside ``[start, end)`` and have a hash of their fields. Rejections (keys, bar_ts, code)
-    tell of stamps that come twice or before the one in front of them; a frame that has any is not to be published.
+    tell of stamps that come twice or before the one in front of them, and of rows inside that lack a price; a frame that has
+    any is not to be published. The order is followed in ranges, so no series is in one task.
     """
     rows = df.select(*[F.col(c).alias(c.lower()) for c in df.columns])
     lacking = [c for c in (*keys, *FRAME, order) if c not in rows.columns]
     if lacking:
         raise ValueError(f"the frame lacks {', '.join(lacking)}")
-    back = rows.withColumn("_back", F.col("bar_ts") < F.lag("bar_ts").over(Window.partitionBy(*keys).orderBy(order))).where("_back")
+    parts = in_ranges(rows.select(*keys, "bar_ts", order), keys, [order])
+    back = previous(parts, keys, [order], "bar_ts", "_front").where("bar_ts < _front")
     twice = rows.groupBy(*keys, "bar_ts").agg(F.count("*").alias("_n")).where("_n > 1")
     code = lambda d, c: d.select(*keys, "bar_ts", F.lit(c).alias("code"))
     clipped = rows.where((F.col("bar_ts") >= start) & (F.col("bar_ts") < end)).drop(order)
-    return clipped.withColumn("source_hash", F.sha2(F.to_json(F.struct(*sorted([*keys, *FRAME]))), 256)), code(back, "unsorted").unionByName(code(twice, "duplicate"))
+    blank = clipped.where(" or ".join(f"{c} is null or isnan({c})" for c in ("open", "high", "low", "close")))
+    rejected = code(back, "unsorted").unionByName(code(twice, "duplicate")).unionByName(code(blank, "missing_price"))
+    return clipped.withColumn("source_hash", F.sha2(F.to_json(F.struct(*sorted([*keys, *FRAME]))), 256)), rejected
 
 
 def merge_windows(bars: DataFrame, windows: DataFrame, keys: list[str], identity: list[str], owner: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -14,15 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one only on one machine where that is unset."""
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where that is unset, one of this machine's, and only if Spark runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/data-{uuid.uuid4().hex[:12]}"
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return _own_folder()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/data-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, root: str, name: str) -> DataFrame:
