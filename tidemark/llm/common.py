@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,14 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+from tidemark.sources.storage import shared_root
 
 
 class Scratch:
@@ -29,7 +21,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
