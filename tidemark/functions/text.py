@@ -63,7 +63,7 @@ def json_string(text: Column) -> Column:
     units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
     table = F.array(*[F.lit(x) for x in _ASCII])
     escaped = F.transform(units, lambda u: F.when(u < "0080", F.element_at(table, F.conv(u, 16, 10).cast("int") + 1)).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
-    return F.when(text.rlike(r'^[ !#-\[\]-~\x7F]*$'), plain).otherwise(F.concat(F.lit('"'), F.array_join(escaped, ""), F.lit('"')))
+    return F.when(text.rlike(r'\A[ !#-\[\]-~]*\z'), plain).otherwise(F.concat(F.lit('"'), F.array_join(escaped, ""), F.lit('"')))
 
 
 def json_double(x: Column) -> Column:
@@ -73,7 +73,7 @@ def json_double(x: Column) -> Column:
     n, whole = F.substring_index(s, "E", -1).cast("int"), F.substring_index(s, "E", 1)
     digits = F.regexp_replace(F.regexp_replace(whole, r"\.0$", ""), r"\.", "")
     size = F.length(digits)
-    power = F.concat(F.when(n < 0, "e-").otherwise("e+"), F.lpad(F.abs(n).cast("string"), 2, "0"))
+    power = F.concat(F.when(n < 0, "e-").otherwise("e+"), F.when(F.abs(n) < 10, "0").otherwise(""), F.abs(n).cast("string"))
     point = F.when(size > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), digits.substr(F.lit(2), size))).otherwise(digits)
     large = F.concat(F.rpad(digits, 32, "0").substr(F.lit(1), n + 1), F.lit("."), F.when(size > n + 1, digits.substr(n + 2, size)).otherwise("0"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)

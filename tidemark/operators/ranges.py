@@ -55,5 +55,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 
 def each_number(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
     """A row for each whole number from ``low`` to ``high``, none where that is lower; long ones are made piece by piece."""
-    rows = df.where(F.col(low) <= F.col(high)).withColumn("_from", F.explode(F.sequence(F.col(low), F.col(high), F.lit(STRIDE).cast("long"))))
+    rows = df.where(F.col(low) <= F.col(high)).withColumn("_from", F.explode(F.sequence(F.col(low), F.greatest(low, high), F.lit(STRIDE).cast("long"))))
     return rows.withColumn(name, F.explode(F.sequence("_from", F.least(F.col("_from") + STRIDE - 1, F.col(high))))).drop("_from")
