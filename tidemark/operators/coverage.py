@@ -29,23 +29,26 @@ def _ahead(ts: Column, start: Column, step: int) -> Column:
 def calendar(spans: DataFrame, step: int, session: SessionProfile | None = None) -> DataFrame:
     """(day, before, n, runs) for all days that any of the spans (start, end) touches; at most 366 rows a year, for any number of series.
 
-    ``runs`` are the day's runs of open stamps (start in seconds, n, before: open stamps of the day ahead of it), ``n`` its
+    It is made a day a row, without a shuffle but for the sums. ``runs`` are the day's runs of open stamps (start in seconds, n, before: open stamps of the day ahead of it), ``n`` its
     open stamps and ``before`` those of all earlier days: sums from which ordinals and expected counts are differences.
     """
     bounds = spans.agg(F.min("start").alias("low"), F.max("end").alias("high"))
     days = bounds.select(F.explode(F.sequence(F.to_date("low"), F.to_date("high"), F.expr("interval 1 day"))).alias("day"))
     first = (F.ceil(F.unix_timestamp(F.col("day").cast("timestamp")) / step) * step).cast("long")
     last = F.unix_timestamp(F.date_add("day", 1).cast("timestamp")) - 1
-    stamps = days.withColumns({"_first": first, "_last": last}).where("_first <= _last").select("day", F.explode(F.sequence("_first", "_last", F.lit(step).cast("long"))).alias("s"))
-    if session is not None:
-        stamps = stamps.where(session.is_open(F.timestamp_seconds("s")))
-    w = Window.partitionBy("day").orderBy("s")
-    marked = stamps.withColumn("_new", F.coalesce((F.col("s") - F.lag("s").over(w) > step).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    runs = marked.groupBy("day", "_run").agg(F.min("s").alias("start"), F.count("*").alias("n"))
-    runs = runs.withColumn("before", F.sum("n").over(Window.partitionBy("day").orderBy("start")) - F.col("n"))
-    of = runs.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("start", "n", "before"))).alias("runs"), F.sum("n").alias("n"))
+    every = F.when(first <= last, F.sequence(first, F.greatest(first, last), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    stamps = F.filter(every, lambda s: session.is_open(F.timestamp_seconds(s))) if session is not None else every
+
+    def longer(runs: Column, s: Column) -> Column:
+        """The day's runs with one more stamp: the last run goes on, or a new one begins."""
+        last = F.try_element_at(runs, F.lit(-1))
+        begun = F.coalesce(last["before"] + last["n"], F.lit(0).cast("long"))
+        one = lambda start, n, before: F.array(F.struct(start.alias("start"), n.alias("n"), before.alias("before")))
+        on = F.concat(F.slice(runs, 1, F.size(runs) - 1), one(last["start"], last["n"] + 1, last["before"]))
+        return F.when(last["start"] + last["n"] * step == s, on).otherwise(F.concat(runs, one(s, F.lit(1).cast("long"), begun)))
+
     none = F.array().cast("array<struct<start:bigint,n:bigint,before:bigint>>")
-    whole = days.join(of, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("runs", none).alias("runs"))
+    whole = days.withColumn("_stamps", stamps).select("day", F.size("_stamps").cast("long").alias("n"), F.aggregate("_stamps", none, longer).alias("runs"))
     return whole.withColumn("before", F.sum("n").over(Window.orderBy("day")) - F.col("n"))  # days of one calendar
 
 
@@ -188,7 +191,7 @@ def evaluate(bars: DataFrame, ranges: DataFrame, keys: list[str], ts: str, step:
     here = F.lag("at").over(Window.partitionBy(*keys, "start", "_day").orderBy("at"))
     jumps = marks.withColumn("_here", here).join(days, [*keys, "start", "_day"]).withColumn("prev", F.coalesce("_here", "_entry")).where(F.col("o") - F.col("prev.o") > 1)
     low = F.when(F.col("prev.kind") == 0, F.col("prev.ts")).otherwise(F.col("prev.ts") + F.expr(f"interval {step} second"))
-    gaps = written(open_ranges(jumps.select(*keys, low.alias("start"), F.col("ts").alias("end")), keys, cal, step), root, "gaps")
+    gaps = open_ranges(jumps.select(*keys, low.alias("start"), F.col("ts").alias("end")), keys, cal, step)
     edge = lambda c: F.ceil(F.unix_micros(c) / F.lit(step * 1_000_000)).cast("long")
     counts = sized.groupBy(*keys).agg(F.sum(F.col("high") - F.col("low")).alias("expected"), F.sum(edge("end") - edge("start")).alias("_all"))
     lacking = gaps.groupBy(*keys).agg(F.sum("n").alias("missing"), F.min("start").alias("first_missing"))

@@ -1,4 +1,7 @@
-"""Rows in written ranges of an order, and totals that run on from range to range, so that no key is gathered in one task."""
+"""Rows in ranges of an order, and totals that run on from range to range, so that no key is gathered in one task.
+
+Stamps have runs of days as their ranges, which need no look at the rows; any other order is written in ranges of its values.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.storage import shared_dir, written
 
+MANY = 256  #: days of a range where rows of many keys have few of them each
 STRIDE = 65_536  #: numbers of a long row of numbers that are made at a time
 
 
@@ -20,6 +24,11 @@ def in_ranges(df: DataFrame, keys: list[str], order: list[str], name: str = "ran
     return written(dealt.withColumn("_part", F.spark_partition_id()), shared_dir(df.sparkSession), name)
 
 
+def in_days(df: DataFrame, ts: str, days: int = 1) -> DataFrame:
+    """``df`` with a stamp's day, or the run of so many days that it lies in, as its ``_part``."""
+    return df.withColumn("_part", F.floor(F.unix_date(F.to_date(ts)) / days))
+
+
 def running(parts: DataFrame, keys: list[str], order: list[str], totals: dict[str, tuple[str, Column]], before: bool = False, peers: bool = False) -> DataFrame:
     """``parts`` with totals ('sum' or 'max' of a column) over the key's rows up to each row, or with ``before`` up to the row ahead of it.
 
@@ -48,8 +57,8 @@ def previous(parts: DataFrame, keys: list[str], order: list[str], value: str, na
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """``df`` with the place of each row in its key's order, from 0."""
-    rows = running(in_ranges(df, keys, order), keys, order, {name: ("sum", F.lit(1))})
+    """``df`` with the place of each row in its key's order, from 0; the order begins with a stamp."""
+    rows = running(in_days(df, order[0], MANY), keys, order, {name: ("sum", F.lit(1))})
     return rows.withColumn(name, F.col(name) - 1).drop("_part")
 
 

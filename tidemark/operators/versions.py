@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import each_number, in_ranges, running
+from tidemark.operators.ranges import each_number, in_days, running
 from tidemark.sources.storage import shared_dir, written
 
 FOREVER = "9999-12-31 23:59:59"  #: where a validity without an end is put
@@ -78,7 +78,7 @@ def observed_asof(obs: DataFrame, instants: DataFrame, tie: str) -> DataFrame:
     ends = F.array(F.struct(F.col("valid_from").alias("t"), F.lit(True).alias("first")), F.struct(F.coalesce("valid_to", F.lit(FOREVER).cast("timestamp")).alias("t"), F.lit(False).alias("first")))
     asked = rows.select("_id", "_row", F.explode(ends).alias("_e")).select(F.col("_e.t").alias("_t"), F.lit(0).alias("_kind"), "_id", F.when(F.col("_e.first"), F.col("_row")).alias("_row"), F.col("_e.first").alias("_first"))
     # an instant at an end comes after it: it sees what begins there and no longer what ends there
-    parts = in_ranges(asked.unionByName(marks.withColumn("_kind", F.lit(1)), allowMissingColumns=True), [], ["_t", "_kind"])
+    parts = in_days(asked.unionByName(marks.withColumn("_kind", F.lit(1)), allowMissingColumns=True), "_t")
     swept = running(parts, [], ["_t", "_kind"], {"_n": ("sum", F.col("_kind").cast("long"))})
     numbers = swept.where("_kind = 1").select(F.col("_n").alias("_at"), F.col("_t").alias("asof"))
     spans = swept.where("_kind = 0").groupBy("_id").agg((F.max(F.when(F.col("_first"), F.col("_n"))) + 1).alias("_low"), F.max(F.when(~F.col("_first"), F.col("_n"))).alias("_high"), F.first("_row", ignorenulls=True).alias("_row"))
@@ -100,7 +100,7 @@ def asof_totals(obs: DataFrame, instants: DataFrame, tie: str, keys: list[str],
     moves = rows.select(*keys, F.col("valid_from").alias("_t"), *begin).unionByName(rows.where("valid_to is not null").select(*keys, F.col("valid_to").alias("_t"), *end))
     moves = moves.groupBy(*keys, "_t").agg(*[F.sum(k).alias(k) for k in sums], *[F.max(k).alias(k) for k in greatest]).withColumn("_kind", F.lit(0))
     marks = instants.select(*keys, F.col("asof").cast("timestamp").alias("_t")).where("_t is not null").distinct().withColumn("_kind", F.lit(1))
-    parts = in_ranges(moves.unionByName(marks, allowMissingColumns=True), keys, ["_t", "_kind"])
+    parts = in_days(moves.unionByName(marks, allowMissingColumns=True), "_t")
     totals = {**{k: ("sum", F.coalesce(F.col(k), F.lit(0))) for k in sums}, **{k: ("max", F.col(k)) for k in greatest}}
     renamed = {f"_r_{k}": v for k, v in totals.items()}
     swept = running(parts, keys, ["_t", "_kind"], renamed).where("_kind = 1 and _r_n > 0")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import bucket, ceil_bucket
-from tidemark.operators.ranges import each_number, in_ranges, numbered, running
+from tidemark.operators.ranges import MANY, each_number, in_days, numbered, running
+from tidemark.sources.storage import shared_dir, written
 
 
 def _runs(parts: DataFrame, keys: list[str], order: list[str], start: Column, end: Column) -> DataFrame:
@@ -18,7 +19,7 @@ def _runs(parts: DataFrame, keys: list[str], order: list[str], start: Column, en
 
 def merged(df: DataFrame, keys: list[str]) -> DataFrame:
     """Unions of overlapping or touching intervals."""
-    parts = in_ranges(df.select(*keys, "start", "end").where("start < end"), keys, ["start", "end"])
+    parts = in_days(df.select(*keys, "start", "end").where("start < end"), "start", MANY)
     rows = _runs(parts, keys, ["start", "end"], F.col("start"), F.col("end"))
     return rows.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
@@ -31,31 +32,32 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     numbers, so work is linear in intervals and pairs, however long an interval is.
     """
 
-    def ends(df: DataFrame, own: list[str], side: int) -> DataFrame:
-        row = F.struct("start", "end", *own)
-        rows = df.where("start < end").select(*keys, F.monotonically_increasing_id().alias("_id"), row.alias("_row"))
-        at = F.array(F.struct(F.col("_row.start").alias("t"), F.lit(side).alias("kind")), F.struct(F.col("_row.end").alias("t"), F.lit(0).alias("kind")))
-        rows = rows.select(*keys, "_id", "_row", F.explode(at).alias("_at"))
-        return rows.select(*keys, "_id", F.lit(side).alias("_side"), F.col("_at.t").alias("_t"), F.col("_at.kind").alias("_kind"), F.when(F.col("_at.kind") > 0, F.col("_row")).alias(f"_row{side}"))
+    own = [["start", "end", *[c for c in df.columns if c not in (*keys, "start", "end")]] for df in (left, right)]
+
+    def ends(df: DataFrame, side: int) -> DataFrame:
+        """Both ends of each interval as events; its columns stand beside its start."""
+        at = F.array(F.struct(F.col("start").alias("t"), F.lit(side).alias("kind")), F.struct(F.col("end").alias("t"), F.lit(0).alias("kind")))
+        rows = df.where("start < end").withColumn("_id", F.monotonically_increasing_id()).withColumn("_at", F.explode(at))  # in this order
+        columns = [F.when(F.col("_at.kind") > 0, F.col(c)).alias(f"_{side}_{c}") for c in own[side - 1]]
+        return rows.select(*keys, "_id", F.lit(side).alias("_side"), F.col("_at.t").alias("_t"), F.col("_at.kind").alias("_kind"), *columns)
 
-    own = [[c for c in df.columns if c not in (*keys, "start", "end")] for df in (left, right)]
     # at one instant ends come first, then left starts, then right starts
-    parts = in_ranges(ends(left, own[0], 1).unionByName(ends(right, own[1], 2), allowMissingColumns=True), keys, ["_t", "_kind"])
+    parts = in_days(ends(left, 1).unionByName(ends(right, 2), allowMissingColumns=True), "_t", MANY)
     begun = {f"_n{k}": ("sum", (F.col("_kind") == k).cast("long")) for k in (1, 2)}
     rows = running(parts, keys, ["_t", "_kind"], begun)
 
-    def side(k: int, other: int) -> DataFrame:
-        first = F.col("_kind") == k
-        some = rows.where(F.col("_side") == k).groupBy(*keys, "_id")
-        return some.agg(
-            F.max(F.when(first, F.col(f"_n{k}"))).alias("_rank"), F.max(F.when(first, F.col(f"_n{other}") + 1)).alias("_low"), F.max(F.when(~first, F.col(f"_n{other}"))).alias("_high"), F.first(f"_row{k}", ignorenulls=True).alias(f"_row{k}")
-        )
-
-    l, r = side(1, 2), side(2, 1)  # noqa: E741
-    within = each_number(l, "_low", "_high", "_at").join(r.select(*keys, F.col("_rank").alias("_at"), "_row2"), [*keys, "_at"])
-    around = each_number(r, "_low", "_high", "_at").join(l.select(*keys, F.col("_rank").alias("_at"), "_row1"), [*keys, "_at"])
-    both = within.select(*keys, "_row1", "_row2").unionByName(around.select(*keys, "_row1", "_row2"))
-    return both.select(*keys, *[F.col(f"_row1.{c}").alias(c) for c in ("start", "end", *own[0])], *[F.col(f"_row2.{c}").alias(f"r_{c}") for c in ("start", "end", *own[1])])
+    # each interval again: its number among its side's starts, and the first and last of the other side's starts within it
+    other = F.when(F.col("_side") == 1, F.col("_n2")).otherwise(F.col("_n1"))
+    first, mine = F.col("_kind") > 0, F.when(F.col("_side") == 1, F.col("_n1")).otherwise(F.col("_n2"))
+    bounds = [F.max(F.when(first, mine)).alias("_rank"), F.max(F.when(first, other + 1)).alias("_low"), F.max(F.when(~first, other)).alias("_high")]
+    columns = [F.first(f"_{k}_{c}", ignorenulls=True).alias(f"_{k}_{c}") for k in (1, 2) for c in own[k - 1]]
+    sides = written(rows.groupBy(*keys, "_side", "_id").agg(*bounds, *columns), shared_dir(left.sparkSession), "sides")
+    l, r = (sides.where(F.col("_side") == k).select(*keys, "_rank", "_low", "_high", *[f"_{k}_{c}" for c in own[k - 1]]) for k in (1, 2))  # noqa: E741
+    of = lambda df, k: df.select(*keys, F.col("_rank").alias("_at"), *[f"_{k}_{c}" for c in own[k - 1]])
+    both = [f"_{k}_{c}" for k in (1, 2) for c in own[k - 1]]
+    within = each_number(l, "_low", "_high", "_at").join(of(r, 2), [*keys, "_at"]).select(*keys, *both)
+    around = each_number(r, "_low", "_high", "_at").join(of(l, 1), [*keys, "_at"]).select(*keys, *both)
+    return within.unionByName(around).select(*keys, *[F.col(f"_1_{c}").alias(c) for c in own[0]], *[F.col(f"_2_{c}").alias(f"r_{c}") for c in own[1]])
 
 
 def subtract(candidates: DataFrame, occupied: DataFrame, keys: list[str], id_cols: list[str]) -> DataFrame:
@@ -64,22 +66,23 @@ def subtract(candidates: DataFrame, occupied: DataFrame, keys: list[str], id_col
     One sweep over occupied intervals and the candidates' ends tells how many merged intervals have begun at either end: the
     free gaps between them are numbered, and a candidate meets those of its numbers.
     """
-    ids, cut = F.struct(*id_cols) if id_cols else F.lit(None).cast("struct<none:int>"), ["_t", "_kind"]
+    cut, own = ["_t", "_kind"], ["start", "end", *id_cols]
     busy = occupied.where("start < end").select(*keys, F.col("start").alias("_t"), F.lit(1).alias("_kind"), F.col("start").alias("_from"), F.col("end").alias("_to"))
-    rows = candidates.where("start < end").select(*keys, F.monotonically_increasing_id().alias("_id"), ids.alias("_ids"), "start", "end")
+    rows = candidates.where("start < end").select(*keys, F.monotonically_increasing_id().alias("_id"), *own)
     at = F.array(F.struct(F.col("start").alias("t"), F.lit(2).alias("kind")), F.struct(F.col("end").alias("t"), F.lit(0).alias("kind")))
     asked = rows.withColumn("_at", F.explode(at)).select("*", F.col("_at.t").alias("_t"), F.col("_at.kind").alias("_kind")).drop("_at")
-    swept = _runs(in_ranges(busy.unionByName(asked, allowMissingColumns=True), keys, cut), keys, cut, F.col("_from"), F.col("_to"))
+    swept = _runs(in_days(busy.unionByName(asked, allowMissingColumns=True), "_t", MANY), keys, cut, F.col("_from"), F.col("_to"))
+    swept = written(swept.drop("_part", "_reach"), shared_dir(candidates.sparkSession), "swept")
     runs = swept.where("_kind = 1").groupBy(*keys, "_run").agg(F.min("_from").alias("_until"), F.max("_to").alias("_after"))
     # gap k lies between merged intervals k and k + 1
     none = F.lit(None).cast("timestamp")
     gaps = runs.select(*keys, F.col("_run").alias("_gap"), "_after", none.alias("_until")).unionByName(runs.select(*keys, (F.col("_run") - 1).alias("_gap"), none.alias("_after"), "_until"))
     gaps = gaps.groupBy(*keys, "_gap").agg(F.max("_after").alias("_after"), F.max("_until").alias("_until"))
     kind = lambda k, c: F.max(F.when(F.col("_kind") == k, F.col(c)))
-    spans = swept.where("_kind <> 1").groupBy(*keys, "_id").agg(kind(2, "_run").alias("_low"), kind(0, "_run").alias("_high"), *[F.first(c).alias(c) for c in ("_ids", "start", "end")])
+    spans = swept.where("_kind <> 1").groupBy(*keys, "_id").agg(kind(2, "_run").alias("_low"), kind(0, "_run").alias("_high"), *[F.first(c).alias(c) for c in own])
     met = each_number(spans, "_low", "_high", "_gap").join(gaps, [*keys, "_gap"], "left")
     low, high = F.greatest("start", "_after"), F.least("end", "_until")  # greatest() and least() pass over nulls
-    out = met.select(*keys, *[F.col(f"_ids.{c}").alias(c) for c in id_cols], low.alias("start"), high.alias("end")).where("start < end")
+    out = met.select(*keys, *id_cols, low.alias("start"), high.alias("end")).where("start < end")
     return numbered(out, keys, ["start", "end", *id_cols], "ordinal")
 
 
@@ -87,7 +90,7 @@ def contained(requests: DataFrame, intervals: DataFrame, keys: list[str], id_col
     """Requests that lie wholly inside one interval: the furthest end of those that have begun tells, and nothing is paired."""
     some = intervals.where("start < end").select(*keys, F.col("start").alias("_t"), F.lit(0).alias("_kind"), F.col("end").alias("_to"))
     asked = requests.select(*keys, *id_cols, "start", "end", F.col("start").alias("_t"), F.lit(1).alias("_kind"))
-    parts = in_ranges(some.unionByName(asked, allowMissingColumns=True), keys, ["_t", "_kind"])
+    parts = in_days(some.unionByName(asked, allowMissingColumns=True), "_t", MANY)
     rows = running(parts, keys, ["_t", "_kind"], {"_reach": ("max", F.col("_to"))})
     return rows.where("_kind = 1 and end <= _reach").select(*keys, *id_cols, "start", "end")
 

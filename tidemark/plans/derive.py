@@ -245,7 +245,7 @@ def j3_tail_after_gap(t: Tables):
 def j13_repair_plan(t: Tables):
     """Tails, then gaps that are not in their cooldown, then debt from before the range, up to twenty windows a series."""
     found = evaluated(t)
-    gaps = found.gaps
+    gaps = storage.written(found.gaps, storage.shared_dir(t.spark), "gaps")
     day = lambda n: F.expr(f"interval {n} day")
     old = t.ranges().select("symbol", (F.col("start") - day(3)).alias("start"), (F.col("start") - day(1)).alias("end"))
     carried = old.unionByName(old.withColumn("start", F.col("start") + day(1)))  # two debts that overlap
