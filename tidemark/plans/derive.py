@@ -79,7 +79,9 @@ def d7_input_snapshots(t: Tables):
 def d23_window_checks(t: Tables):
     """Counts of the raw bars in each of some windows; a bar's day is what the join shuffles on."""
     start = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("window_id") * 4).cast("int")).cast("timestamp")
-    spans = windows.by_day(t.spark.range(10).select(F.col("id").alias("window_id"), start.alias("start"), (start + F.expr("interval 2 day")).alias("end")))
+    spans = t.spark.range(10).select(F.col("id").alias("window_id"), start.alias("start"), (start + F.expr("interval 2 day")).alias("end"))
+    days = F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 second")), F.expr("interval 1 day"))
+    spans = spans.withColumn("_day", F.explode(days))  # two days each
     rows = t.bars_raw().withColumn("_day", F.to_date("bar_ts"))
     hit = spans.join(rows, "_day", "left").withColumn("in_", (F.col("bar_ts") >= F.col("start")) & (F.col("bar_ts") < F.col("end")))
     stamp, pair = F.when(F.col("in_"), F.col("bar_ts")), F.when(F.col("in_"), F.struct("symbol", "bar_ts"))
