@@ -3,7 +3,7 @@
 Every row is decided by its own text, whatever its id: null and repeated ids are no special case. Of rows of equal or nearly
 equal text one stays, that with the smallest id (nulls last); rows without words all stay, as do rows without a text. A
 document of which substring dedup leaves nothing goes; rows without an id are not cut, as no id is smaller than theirs. The
-stages keep all columns of their input, whatever these are called. An empty table gives empty results. Without labels of
+stages but the last keep all columns of their input, whatever these are called; the last gives digests. An empty table gives empty results. Without labels of
 both kinds the first stage keeps everything.
 """
 
