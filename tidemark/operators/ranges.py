@@ -66,3 +66,24 @@ def each_number(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
     """A row for each whole number from ``low`` to ``high``, none where that is lower; long ones are made piece by piece."""
     rows = df.where(F.col(low) <= F.col(high)).withColumn("_from", F.explode(F.sequence(F.col(low), F.greatest(low, high), F.lit(STRIDE).cast("long"))))
     return rows.withColumn(name, F.explode(F.sequence("_from", F.least(F.col("_from") + STRIDE - 1, F.col(high))))).drop("_from")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """The interpolated quantile of each key's values, exact, with their number (n); nulls don't count.
+
+    Values are written in ranges of (key, value) and counted there, which tells the two ranges that hold the places sought;
+    only those are numbered, so no buffer holds the values of a key.
+    """
+    rows = in_ranges(df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null"), keys, ["_v"], "quantiles")
+    counts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))  # a row for each key and range
+    ahead, whole = Window.partitionBy(*keys).orderBy("_part"), Window.partitionBy(*keys)
+    counts = counts.withColumns({"_before": F.sum("_n").over(ahead) - F.col("_n"), "n": F.sum("_n").over(whole)})
+    place = F.lit(float(share)) * (F.col("n") - 1)
+    wanted = counts.withColumns({"_low": F.floor(place), "_high": F.ceil(place), "_weight": place - F.floor(place)})
+    inside = lambda c: (F.col(c) >= F.col("_before")) & (F.col(c) < F.col("_before") + F.col("_n"))
+    wanted = wanted.where(inside("_low") | inside("_high")).drop("_n")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_v")) - 1
+    wanted = wanted.select(F.struct(*keys).alias("_key"), F.col("_part").alias("_in"), "_before", "_low", "_high", "_weight", "n")  # null keys have quantiles as well
+    found = rows.join(wanted, (F.col("_in") == F.col("_part")) & F.struct(*keys).eqNullSafe(F.col("_key"))).withColumn("_at", at).where("_at = _low or _at = _high")
+    low, high = F.max(F.when(F.col("_at") == F.col("_low"), F.col("_v"))), F.max(F.when(F.col("_at") == F.col("_high"), F.col("_v")))
+    return found.groupBy(*keys).agg((low + (high - low) * F.max("_weight")).alias("quantile"), F.max("n").alias("n"))

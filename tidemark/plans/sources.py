@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import path_value
 from tidemark.operators import bars as bar_ops
-from tidemark.operators import inventory
+from tidemark.operators import inventory, part_pages
 from tidemark.plans.fixtures import Tables, query
 from tidemark.sources import providers, storage
 from tidemark.streaming import bars as streaming
+from tidemark.streaming import states
 
 PRICES = ["symbol", "bar_ts", "open", "high", "low", "close", "volume"]
 
@@ -31,6 +34,30 @@ def a1_a5_published_scan(t: Tables):
     return storage.published(t.spark, root, schema, manifest).select(*PRICES)
 
 
+@query("SELECT symbol, bar_ts, open, high, low, close, volume FROM bars", "bars")
+def a1_joined_scan(t: Tables):
+    """The same scan as with more parts than a reader is given by name: rows are told by their file."""
+    root, schema, manifest = _published(t)
+    return storage.published(t.spark, root, schema, manifest, most=1).select(*PRICES)
+
+
+@query(
+    "SELECT symbol, bar_ts, close, source_hash, true AS has_more FROM bars WHERE (bar_ts, asset_class, symbol) > (TIMESTAMP '2024-01-10', 'fx', 'error') ORDER BY bar_ts, asset_class, symbol LIMIT 500",
+    "bars",
+)
+def f1_part_page(t: Tables):
+    """A page of current bars out of two runs of versions, a part for each series and day: only parts that can hold its keys are opened."""
+    root, rows, keys = storage.shared_dir(t.spark), t.bars_raw().withColumn("day", F.to_date("bar_ts")), ["bar_ts", "asset_class", "symbol"]
+    second = F.col("ingest_ts") > F.lit("2024-02-01").cast("timestamp")
+    for run, some in (("r1", ~second), ("r2", second)):
+        storage.write_bars(rows.where(some), root, run, partition=("asset_class", "symbol", "day"))
+    schema = rows.withColumn("year", F.year("bar_ts")).withColumn("run_id", F.lit("")).schema
+    parts = storage.written(part_pages.part_ranges(storage.scan(t.spark, root, schema), keys), root + "-parts", "ranges")
+    latest = [F.desc("ingest_ts"), F.desc("source_hash")]
+    page = part_pages.page_of_parts(t.spark, root, schema, parts, keys, 500, [datetime(2024, 1, 10), "fx", "error"], latest)
+    return page.select("symbol", "bar_ts", "close", "source_hash", "has_more")
+
+
 @query("SELECT symbol, bar_ts, close FROM bars WHERE symbol = 'view' AND bar_ts >= TIMESTAMP '2024-01-10' AND bar_ts < TIMESTAMP '2024-01-20'", "bars")
 def a3_a4_pruned_scan(t: Tables):
     root, schema, _ = _published(t)
@@ -219,3 +246,37 @@ def k6_state_changes(t: Tables):
     raw = t.spark.readStream.schema(schema).parquet(f"{root}/in")
     samples = raw.select("event_type", F.when(F.col("value") > 100, "high").otherwise("low").alias("level"), "event_id")
     return streaming.state_changes(samples, "event_type", "level", "event_id", f"{root}/changes", f"{root}/checkpoint")
+
+
+@query("SELECT symbol, bar_ts, close, volume FROM hourly WHERE bar_ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 180 MINUTE FROM ticks)", "hourly")
+def k2_duplicate_ticks(t: Tables):
+    """Ticks delivered again: in the same files, later inside the watermark's delay, and beyond it. Each counts once, as the volumes tell."""
+    root, raw = storage.shared_dir(t.spark), t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    cut = raw.agg((F.max("ts") - F.expr("interval 12 hours")).alias("cut"), F.min("ts").alias("first")).first()
+    early = F.col("ts") < F.lit(cut.cut)
+    near = early & (F.col("ts") >= F.lit(cut.cut) - F.expr("interval 2 hours"))
+    far = F.col("ts") < F.lit(cut.first) + F.expr("interval 1 day")
+    doubled = raw.where(early).unionByName(raw.where(early & (F.col("event_id") % 3 == 0)))
+    for files in (doubled, raw.where(near | (early & far)), raw.where(~early)):
+        files.write.mode("append").parquet(f"{root}/in")
+        ticks = streaming.tick_stream(t.spark, f"{root}/in", raw.schema)
+        out = streaming.run_to_end(streaming.closed_bars(ticks, "1 hour", "180 minutes"), f"{root}/bars", f"{root}/checkpoint")
+    return out.select("symbol", "bar_ts", "close", "volume")
+
+
+@query(
+    """SELECT event_type AS name, ts, event_id AS seq, level AS state, generation FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS generation
+    FROM (SELECT *, lag(level) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS previous FROM (SELECT event_type, ts, event_id, CASE WHEN value > 100 THEN 'high' ELSE 'low' END AS level FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))) WHERE previous IS NULL OR previous <> level)"""
+)
+def k6_state_operator(t: Tables):
+    """State changes by a state operator, delivered in two halves between which the stream ends and starts again."""
+    root, raw = storage.shared_dir(t.spark), t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    cut = raw.agg((F.max("ts") - F.expr("interval 100 hours")).alias("cut")).first().cut
+    for half in (F.col("ts") < F.lit(cut), F.col("ts") >= F.lit(cut)):
+        raw.where(half).write.mode("append").parquet(f"{root}/in")
+        events = t.spark.readStream.schema(raw.schema).parquet(f"{root}/in")
+        state = F.when(F.col("value") > 100, "high").otherwise("low").alias("state")
+        samples = events.select(F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), state)
+        changes = states.span_changes(samples, "1 day", "1 hour", f"{root}/changes", f"{root}/checkpoint")
+    return states.generations(changes)

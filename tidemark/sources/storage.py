@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,16 +43,21 @@ def written(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
 
 
+MOST_PATHS = 4_096  #: parts that a reader is given by name; more are told by a join on the file of each row
+CHUNK = 8 << 20  #: bytes of a file that are in memory while it is hashed
+
+
 def file_path() -> Column:
-    return F.col("_metadata.file_path")
+    """The file of each row as listings name it: without the scheme of local files, nothing escaped."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
 def write_bars(bars: DataFrame, root: str, run_id: str, manifests: DataFrame | None = None, partition: tuple[str, ...] = ("provider", "asset_class", "symbol", "timeframe", "year")) -> None:
-    """Append a run's bars in a folder of its own, one partition a series and year; a run that has a manifest is refused."""
+    """Append a run's bars in a folder of its own, one partition a series and year, in order of time; a run that has a manifest is refused."""
     if manifests is not None and not manifests.where(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"run {run_id} is published already")
     rows = bars.withColumn("year", F.year("bar_ts"))
-    rows.repartition(*partition).write.mode("errorifexists").partitionBy(*partition).parquet(f"{root}/run_id={run_id}")
+    rows.repartition(*partition).sortWithinPartitions(*partition, "bar_ts").write.mode("errorifexists").partitionBy(*partition).parquet(f"{root}/run_id={run_id}")
 
 
 def write_observations(obs: DataFrame, root: str, run_id: str) -> None:
@@ -61,26 +67,37 @@ def write_observations(obs: DataFrame, root: str, run_id: str) -> None:
 def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """The data files below a folder: path, bytes, modification time; if asked for also the content's hash, and the schema and rows that the footer tells.
 
-    A file's content is one value, so parts have to stay below 2 GB. A broken footer gives a null schema and null rows.
+    Files are hashed on the executors, one stream a file of which one chunk is in memory, so a part may have any size. A broken footer gives a null schema and null rows.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
     columns = [F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
     if not content:
         return found.select(*columns)
-    read = found.select(*columns, "content").mapInArrow(_footers, "path string, bytes long, modified timestamp, sha256 string, schema string, row_count long")
-    return read
+    listed = found.select(*columns, F.col("path").alias("uri")).repartition("uri")
+    return listed.mapInArrow(_contents, "path string, bytes long, modified timestamp, sha256 string, schema string, row_count long")
+
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
+    return fs.FileSystem.from_uri(uri)
 
-def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, schemas, rows = [], [], []
-        for data in batch.column(3):
-            raw = memoryview(data.as_buffer())
-            hashes.append(hashlib.sha256(raw).hexdigest())
+        for uri in batch.column(3).to_pylist():
+            system, path = _opened(uri)
+            digest = hashlib.sha256()
+            with system.open_input_stream(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            hashes.append(digest.hexdigest())
             try:
-                footer = pq.ParquetFile(pa.BufferReader(raw))
-                schemas.append(", ".join(f"{f.name}: {f.type}" for f in footer.schema_arrow))
-                rows.append(footer.metadata.num_rows)
+                with system.open_input_file(path) as file:
+                    footer = pq.ParquetFile(file)
+                    schemas.append(", ".join(f"{f.name}: {f.type}" for f in footer.schema_arrow))
+                    rows.append(footer.metadata.num_rows)
             except pa.ArrowInvalid:
                 schemas.append(None), rows.append(None)
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes), pa.array(schemas, pa.string()), pa.array(rows, pa.int64())], names=["path", "bytes", "modified", "sha256", "schema", "row_count"])
@@ -89,7 +106,7 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """All rows below a folder, with partition keys as columns, and the file of each."""
     rows = spark.read.schema(schema).option("basePath", root).parquet(root)
-    return rows.withColumn("path", F.regexp_replace(file_path(), "^file:/+", "/"))
+    return rows.withColumn("path", file_path())
 
 
 def build_manifest(spark: SparkSession, root: str, run_id: str, quality: str = "unknown", lineage: str | None = None) -> DataFrame:
@@ -120,18 +137,44 @@ def verify(spark: SparkSession, root: str, manifests: DataFrame) -> DataFrame:
     return both.select("path", state.alias("finding")).where("finding is not null").unionByName(totals)
 
 
-def published(spark: SparkSession, root: str, schema: StructType, manifests: DataFrame) -> DataFrame:
-    """Rows of parts that a manifest lists, and of no others: the reader gets the listed paths, so other files are never opened."""
-    paths = [r.path for r in parts_of(manifests).select("path").distinct().collect()]  # metadata, one entry a file
+def read_parts(spark: SparkSession, root: str, schema: StructType, parts: DataFrame, most: int = MOST_PATHS) -> DataFrame:
+    """Rows of the parts of a table (path), and of no others.
+
+    At most ``most`` parts are read by their names, so that other files are never opened. Beyond that no list of names is
+    made: files below the root are read and each row is kept if its file is among the parts, a join that Spark broadcasts
+    only if the table of parts is small.
+    """
+    paths = [r.path for r in parts.select("path").distinct().limit(most + 1).collect()]
     if not paths:
         return spark.createDataFrame([], schema)
-    scheme = "file://" if root.startswith("file:") else ""
-    return spark.read.schema(schema).option("basePath", root).parquet(*[scheme + p if p.startswith("/") else p for p in paths])
+    reader = spark.read.schema(schema).option("basePath", root)
+    if len(paths) <= most:
+        scheme = "file://" if root.startswith("file:") else ""
+        return reader.parquet(*[scheme + p if p.startswith("/") else p for p in paths])
+    rows = reader.parquet(root).withColumn("_part_path", file_path())
+    return rows.join(parts.select(F.col("path").alias("_part_path")), "_part_path", "left_semi").drop("_part_path")
+
+
+def published(spark: SparkSession, root: str, schema: StructType, manifests: DataFrame, most: int = MOST_PATHS) -> DataFrame:
+    """Rows of parts that a manifest lists, and of no others."""
+    return read_parts(spark, root, schema, parts_of(manifests), most)
+
+
+def snapshot_of(parts: DataFrame) -> DataFrame:
+    """One row for a table of parts (path, sha256): a hash of its parts whatever their order, and their number.
+
+    Parts are dealt into 4,096 groups by the hash of their path and each group is hashed in order, then the groups, so no
+    value holds more than a group's entries.
+    """
+    entry = F.concat_ws(":", "path", "sha256")
+    groups = parts.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("group")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    every = F.array_sort(F.collect_list(F.concat_ws(":", "group", "digest")))  # at most 4,096
+    return groups.agg(F.sha2(F.array_join(every, "\n"), 256).alias("snapshot_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("parts"))
 
 
 def snapshot_id(manifests: DataFrame) -> DataFrame:
-    """One row: the hash of the sorted list of parts; the list is metadata, one entry a file."""
-    return parts_of(manifests).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n"), 256).alias("snapshot_id"), F.count("*").alias("parts"))
+    """One row: the hash of all parts of all manifests, and their number."""
+    return snapshot_of(parts_of(manifests))
 
 
 def union_versions(*frames: DataFrame, timestamps: tuple[str, ...] = ()) -> DataFrame:

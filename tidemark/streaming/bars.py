@@ -32,22 +32,49 @@ def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
-def repair(ticks: DataFrame, raw: str, versions: str, checkpoint: str, timeframe: str = "1h") -> None:
+HEADS = "day date, batches array<int>"
+
+
+def heads(spark: SparkSession, raw: str, number: int) -> DataFrame:
+    """The folders that hold each day's ticks after a batch: (day, batches), a row a day."""
+    return spark.read.schema(HEADS).parquet(f"{raw}-heads/batch={number}") if number >= 0 else spark.createDataFrame([], HEADS)
+
+
+def repair(ticks: DataFrame, raw: str, versions: str, checkpoint: str, timeframe: str = "1h", fold: int = 8) -> None:
     """Keep every batch's ticks, and derive the buckets that a batch touches again as a newer version.
 
-    Ticks are kept by day, so a batch reads the days of the buckets that it touches and no others. Both writes go to a folder
-    of the batch's number and replace it, so a batch that is run again changes nothing.
+    Ticks are kept by day. A table of heads says which batches' folders hold a day, so a batch opens those of the days that it
+    touches and lists no others. A day that would lie in more than ``fold`` folders is written again as one, beside the
+    batch's own ticks: a batch lists as many folders after a hundred batches as after ten, and a tick is written again once
+    in so many batches. All writes go to folders of the batch's number and replace them, and only the heads of the batch
+    before are read, so a batch that is run again changes nothing.
     """
     spark = ticks.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        df.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{raw}/batch={number}")
         start = bar_ops.bucket(F.col("ts"), timeframe)
         touched = df.select("symbol", start.alias("bar_ts")).distinct()
         span = F.sequence(F.to_date("bar_ts"), F.to_date(next_bucket(F.col("bar_ts"), timeframe) - F.expr("interval 1 second")), F.expr("interval 1 day"))
-        days = [r.day for r in touched.select(F.explode(span).alias("day")).distinct().collect()]  # calendar days
+        days = touched.select(F.explode(span).alias("day")).distinct()
+        before = heads(spark, raw, number - 1)
+        old = before.join(days, "day").collect()  # calendar days of this batch
+        came = df.withColumn("day", F.to_date("ts"))
+        full = [r for r in old if len(r.batches) >= fold]
         kept = StructType([*ticks.schema.fields, StructField("batch", IntegerType()), StructField("day", DateType())])
-        every = spark.read.schema(kept).option("basePath", raw).parquet(raw).where((F.col("batch") <= number) & F.col("day").isin(days))
+
+        def held(rows: list) -> DataFrame:
+            paths = [f"{raw}/batch={b}/day={r.day}" for r in rows for b in r.batches]
+            return (spark.read.schema(kept).option("basePath", raw).parquet(*paths) if paths else spark.createDataFrame([], kept)).drop("batch")
+
+        new_days = came.select("day").distinct().withColumn("new", F.lit(True))
+        full_days = spark.createDataFrame([(r.day, True) for r in full], "day date, full boolean")
+        folded = held(full).join(new_days, "day", "left_semi").select(*came.columns)
+        came.unionByName(folded).write.mode("overwrite").partitionBy("day").parquet(f"{raw}/batch={number}")
+        joined = before.join(new_days, "day", "full_outer").join(F.broadcast(full_days), "day", "left")  # days of this batch
+        own = F.array(F.lit(number))
+        after = F.when(F.col("new").isNull(), F.col("batches")).when(F.col("full") | F.col("batches").isNull(), own).otherwise(F.concat("batches", own))
+        joined.select("day", after.alias("batches")).coalesce(1).write.mode("overwrite").parquet(f"{raw}-heads/batch={number}")
+        every = held(old).select(*came.columns).unionByName(came)
         again = every.withColumn("bar_ts", bar_ops.bucket(F.col("ts"), timeframe)).join(touched, ["symbol", "bar_ts"], "left_semi")
         bar_ops.tick_bars(again, timeframe).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{versions}/batch={number}")
 
