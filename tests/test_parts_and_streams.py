@@ -52,6 +52,14 @@ def test_pages_by_few_looks(spark, numbered, monkeypatch):
     assert [r.k for r in got.orderBy("k").collect()] == list(range(11, 911))
 
 
+def test_a_page_of_too_many_parts_to_name(spark, numbered, monkeypatch):
+    monkeypatch.setattr(part_pages, "FIRST_LOOK", 5)
+    root, schema, parts = numbered
+    got = part_pages.page_of_parts(spark, root, schema, parts, ["k", "j"], 1900, [40, 5], [F.desc("v")], most=1).orderBy("k").collect()
+    assert [r.k for r in got] == list(range(41, 1941))
+    assert got[0].parts_read == 21
+
+
 def test_parts_that_all_overlap(spark, tmp_path):
     root = f"{tmp_path}/data"
     spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 5).alias("p")).repartition("p").write.partitionBy("p").parquet(root)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.versions import page, ranked_first
-from tidemark.sources.storage import read_parts
+from tidemark.sources.storage import MOST_PATHS, read_parts, read_paths
 
 FIRST_LOOK = 64  #: parts whose ranges are looked at first for a page; four times as many each time that these do not decide
 
@@ -39,33 +39,40 @@ def surely_within(parts: Iterable[Row], size: int, last: tuple | None) -> tuple
     return None
 
 
-def parts_of_page(parts: DataFrame, keys: list[str], size: int, last: list | None = None) -> DataFrame:
-    """The parts that can hold a row of the page of ``size`` keys behind ``last``.
+def behind(parts: DataFrame, keys: list[str], last: list | None) -> DataFrame:
+    """Parts with a key behind ``last``."""
+    return parts if last is None else parts.where(F.col("high") > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, last, strict=True)]))
+
+
+def parts_of_page(parts: DataFrame, keys: list[str], size: int, last: list | None = None, most: int = MOST_PATHS) -> list[str] | None:
+    """Paths of the parts that can hold a row of the page of ``size`` keys behind ``last``; None if all behind it can, or more than ``most``.
 
     Parts come by their lowest key. A first few of them mostly tell a key that the page can't reach beyond; if not, more are
-    looked at. Where all overlap none may tell, and then all behind ``last`` are wanted.
+    looked at. Where all overlap none may tell.
     """
-    left = parts
-    if last is not None:
-        left = parts.where(F.col("high") > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, last, strict=True)]))
-    look = FIRST_LOOK
-    while True:
+    left, look = behind(parts, keys, last), FIRST_LOOK
+    while look <= 4 * most:
         seen = left.orderBy("low").limit(look).select("path", "low", "high", "n_keys").collect()
         bound = surely_within(seen, size, tuple(last) if last is not None else None)
         if bound is not None and (len(seen) < look or bound < tuple(seen[-1].low)):
-            return parts.sparkSession.createDataFrame([(p.path,) for p in seen if tuple(p.low) <= bound], "path string")
+            return [p.path for p in seen if tuple(p.low) <= bound]
         if len(seen) < look:
-            return left.select("path")
+            return [p.path for p in seen]
         look *= 4
+    return None
 
 
-def page_of_parts(spark: SparkSession, root: str, schema: StructType, parts: DataFrame, keys: list[str], size: int, last: list | None = None, latest: list[Column] | None = None) -> DataFrame:
+def page_of_parts(spark: SparkSession, root: str, schema: StructType, parts: DataFrame, keys: list[str], size: int, last: list | None = None, latest: list[Column] | None = None, most: int = MOST_PATHS) -> DataFrame:
     """The page behind ``last`` with ``has_more`` and the number of parts that it was read from (``parts_read``).
 
     With ``latest`` only the first row of each key by that order counts; all versions of a key that the page holds are among
     the parts that are read, as a part is left out only if all its keys lie outside the page.
     """
-    chosen = parts_of_page(parts, keys, size, last)
-    rows = read_parts(spark, root, schema, chosen).dropna(subset=keys)
-    n = chosen.distinct().count()
-    return page(ranked_first(rows, keys, latest) if latest else rows, keys, size, last).withColumn("parts_read", F.lit(n))
+    paths = parts_of_page(parts, keys, size, last, most)
+    if paths is None:
+        left = behind(parts, keys, last)
+        rows, n = read_parts(spark, root, schema, left, most), left.count()
+    else:
+        rows, n = read_paths(spark, root, schema, paths), len(paths)
+    rows = rows.dropna(subset=keys)
+    return page(ranked_first(rows, keys, latest) if latest else rows, keys, size, last).withColumn("parts_read", F.lit(n).cast("long"))

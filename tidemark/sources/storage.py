@@ -137,6 +137,14 @@ def verify(spark: SparkSession, root: str, manifests: DataFrame) -> DataFrame:
     return both.select("path", state.alias("finding")).where("finding is not null").unionByName(totals)
 
 
+def read_paths(spark: SparkSession, root: str, schema: StructType, paths: list[str]) -> DataFrame:
+    """Rows of the named parts below a folder; no other file is opened."""
+    if not paths:
+        return spark.createDataFrame([], schema)
+    scheme = "file://" if root.startswith("file:") else ""
+    return spark.read.schema(schema).option("basePath", root).parquet(*[scheme + p if p.startswith("/") else p for p in paths])
+
+
 def read_parts(spark: SparkSession, root: str, schema: StructType, parts: DataFrame, most: int = MOST_PATHS) -> DataFrame:
     """Rows of the parts of a table (path), and of no others.
 
@@ -145,13 +153,9 @@ def read_parts(spark: SparkSession, root: str, schema: StructType, parts: DataFr
     only if the table of parts is small.
     """
     paths = [r.path for r in parts.select("path").distinct().limit(most + 1).collect()]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema).option("basePath", root)
     if len(paths) <= most:
-        scheme = "file://" if root.startswith("file:") else ""
-        return reader.parquet(*[scheme + p if p.startswith("/") else p for p in paths])
-    rows = reader.parquet(root).withColumn("_part_path", file_path())
+        return read_paths(spark, root, schema, paths)
+    rows = spark.read.schema(schema).option("basePath", root).parquet(root).withColumn("_part_path", file_path())
     return rows.join(parts.select(F.col("path").alias("_part_path")), "_part_path", "left_semi").drop("_part_path")
 
 
