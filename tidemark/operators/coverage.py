@@ -21,7 +21,7 @@ def grid(ranges: DataFrame, keys: list[str], step: int, session: SessionProfile
     return out.withColumn("open", session.is_open(F.col("ts")) if session else F.lit(True))
 
 
-def _ahead(ts: Column, start: Column, step: int) -> Column:
+def places_ahead(ts: Column, start: Column, step: int) -> Column:
     """How many stamps, a step apart from ``start`` (in seconds) on, lie before an instant."""
     return F.ceil((F.unix_micros(ts) - start * 1_000_000) / F.lit(step * 1_000_000)).cast("long")
 
@@ -55,8 +55,8 @@ def calendar(spans: DataFrame, step: int, session: SessionProfile | None = None)
 def with_ordinal(rows: DataFrame, cal: DataFrame, ts: str, step: int, ordinal: str, is_open: str | None = None) -> DataFrame:
     """``rows`` with the number of open stamps ahead of an instant, and whether it is an open stamp itself."""
     found = rows.join(F.broadcast(cal.select(F.col("day").alias("_day"), "before", "runs")), F.to_date(ts) == F.col("_day"), "left")
-    count = F.aggregate("runs", F.col("before"), lambda n, r: n + F.least(r["n"], F.greatest(F.lit(0), _ahead(F.col(ts), r["start"], step))))
-    hit = F.exists("runs", lambda r: ((F.unix_micros(ts) - r["start"] * 1_000_000) % (step * 1_000_000) == 0) & _ahead(F.col(ts), r["start"], step).between(0, r["n"] - 1))
+    count = F.aggregate("runs", F.col("before"), lambda n, r: n + F.least(r["n"], F.greatest(F.lit(0), places_ahead(F.col(ts), r["start"], step))))
+    hit = F.exists("runs", lambda r: ((F.unix_micros(ts) - r["start"] * 1_000_000) % (step * 1_000_000) == 0) & places_ahead(F.col(ts), r["start"], step).between(0, r["n"] - 1))
     out = found.withColumn(ordinal, count)
     return (out.withColumn(is_open, F.coalesce(hit, F.lit(False))) if is_open else out).drop("_day", "before", "runs")
 
@@ -76,19 +76,24 @@ def _pieces(spans: DataFrame, keys: list[str], cal: DataFrame, step: int) -> Dat
     days = F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 microsecond")), F.expr("interval 1 day"))
     rows = spans.where("start < end").select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(days).alias("day"))
     rows = rows.join(F.broadcast(cal.select("day", "runs")), "day").select(*keys, "_s", "_e", "day", F.explode("runs").alias("r"))
-    low, high = F.greatest(F.lit(0), _ahead(F.col("_s"), F.col("r.start"), step)), F.least(F.col("r.n"), _ahead(F.col("_e"), F.col("r.start"), step))
+    low, high = F.greatest(F.lit(0), places_ahead(F.col("_s"), F.col("r.start"), step)), F.least(F.col("r.n"), places_ahead(F.col("_e"), F.col("r.start"), step))
     at = lambda k: F.timestamp_seconds(F.col("r.start") + F.col(k) * step)
     return rows.withColumns({"_low": low, "_high": high}).where("_low < _high").select(*keys, "day", at("_low").alias("start"), at("_high").alias("end"), (F.col("_high") - F.col("_low")).alias("n"))
 
 
-def open_ranges(spans: DataFrame, keys: list[str], cal: DataFrame, step: int) -> DataFrame:
-    """Runs of open stamps inside spans: (keys, start, end, n). Those of a day come from the calendar, and no stamp is made."""
+def joined_runs(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs (keys, start, end, n) of which those that touch are one."""
     w = Window.partitionBy(*keys).orderBy("start")
     new = F.coalesce((F.col("start") > F.lag("end").over(w)).cast("int"), F.lit(1))
-    rows = _pieces(spans, keys, cal, step).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    rows = pieces.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
     return rows.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_run")
 
 
+def open_ranges(spans: DataFrame, keys: list[str], cal: DataFrame, step: int) -> DataFrame:
+    """Runs of open stamps inside spans: (keys, start, end, n). Those of a day come from the calendar, and no stamp is made."""
+    return joined_runs(_pieces(spans, keys, cal, step), keys)
+
+
 def open_days(spans: DataFrame, keys: list[str], cal: DataFrame, step: int) -> DataFrame:
     """For each day of each span (keys, start, end) whether it has an open stamp inside: (keys, day, opens)."""
     days = F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 microsecond")), F.expr("interval 1 day"))
@@ -164,6 +169,19 @@ class Coverage:
         return self.seen.join(hole, self.keys, "left").groupBy(*self.keys).agg(F.max(early).alias("latest_complete"))
 
 
+def summaries(ranges: DataFrame, keys: list[str], rows: DataFrame, counts: DataFrame, lacking: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """One row a series of what was seen (row_count, duplicates, min_ts, max_ts), expected (expected, _all) and lacks (missing, first_missing), with its readiness."""
+    out = ranges.select(*keys).distinct().join(rows, keys, "left").join(counts, keys, "left").join(lacking, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = out.withColumns({c: zero(c) for c in ("row_count", "duplicates", "expected", "missing", "_all")}).withColumn("closed", F.col("_all") - F.col("expected")).drop("_all")
+    bad = (F.col("row_count") == 0) | (F.col("duplicates") > 0)
+    if quality is not None:
+        out = out.join(quality.select(*keys, "quality_status"), keys, "left")
+        bad = bad | (F.col("quality_status") != "pass")
+    state = F.when(bad, "not_ready").when(F.col("missing") == 0, "ready").when(F.col("missing") < F.col("expected"), "degraded").otherwise("not_ready")
+    return out.withColumn("readiness", state)
+
+
 def evaluate(bars: DataFrame, ranges: DataFrame, keys: list[str], ts: str, step: int, session: SessionProfile, quality: DataFrame | None = None) -> Coverage:
     """Coverage of each series over its requested ranges (keys, start, end), which don't overlap.
 
@@ -196,16 +214,8 @@ def evaluate(bars: DataFrame, ranges: DataFrame, keys: list[str], ts: str, step:
     counts = sized.groupBy(*keys).agg(F.sum(F.col("high") - F.col("low")).alias("expected"), F.sum(edge("end") - edge("start")).alias("_all"))
     lacking = gaps.groupBy(*keys).agg(F.sum("n").alias("missing"), F.min("start").alias("first_missing"))
     rows = stamps.groupBy(*keys).agg(F.sum("k").alias("row_count"), (F.sum("k") - F.count("*")).alias("duplicates"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
-    out = ranges.select(*keys).distinct().join(rows, keys, "left").join(counts, keys, "left").join(lacking, keys, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    out = out.withColumns({c: zero(c) for c in ("row_count", "duplicates", "expected", "missing", "_all")}).withColumn("closed", F.col("_all") - F.col("expected")).drop("_all")
-    bad = (F.col("row_count") == 0) | (F.col("duplicates") > 0)
-    if quality is not None:
-        out = out.join(quality.select(*keys, "quality_status"), keys, "left")
-        bad = bad | (F.col("quality_status") != "pass")
-    state = F.when(bad, "not_ready").when(F.col("missing") == 0, "ready").when(F.col("missing") < F.col("expected"), "degraded").otherwise("not_ready")
     own = seen.select(*keys, "ts").distinct()
-    return Coverage(out.withColumn("readiness", state), gaps, islands(own, keys, "ts", step), own, keys, step)
+    return Coverage(summaries(ranges, keys, rows, counts, lacking, quality), gaps, islands(own, keys, "ts", step), own, keys, step)
 
 
 def findings(summaries: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.functions import time as ft
-from tidemark.operators import bars, coverage, quality, versions
+from tidemark.operators import bars, coverage, day_coverage, quality, versions
 from tidemark.plans.fixtures import Tables, query
+from tidemark.sources.storage import shared_dir
 
 COLUMNS = "symbol, asset_class, bar_ts, open, high, low, close, volume, ingest_ts, source_hash"
 NAMES = [c.strip() for c in COLUMNS.split(",")]
@@ -149,6 +150,22 @@ def d8_coverage(t: Tables):
     return evaluated(t).summary
 
 
+@query(
+    MARKED + """SELECT s.*, expected, closed, missing, first_missing, CASE WHEN duplicates > 0 OR row_count = 0 THEN 'not_ready' WHEN missing = 0 THEN 'ready' WHEN missing < expected THEN 'degraded' ELSE 'not_ready' END AS readiness
+    FROM (SELECT symbol, count(*) AS row_count, count(*) - count(DISTINCT bar_ts) AS duplicates, min(bar_ts) AS min_ts, max(bar_ts) AS max_ts FROM bars GROUP BY symbol) s
+    JOIN (SELECT symbol, count(*) FILTER (open) AS expected, count(*) FILTER (NOT open) AS closed, count(*) FILTER (open AND NOT seen) AS missing, min(ts) FILTER (open AND NOT seen) AS first_missing FROM marked GROUP BY symbol) c USING (symbol)""",
+    "bars", "grid",
+)
+def d8_day_states(t: Tables):
+    """The same from states of days, of which the last ones are made after the others."""
+    bars, root = t.bars(), shared_dir(t.spark)
+    for some in (F.col("bar_ts") < F.lit("2024-01-20").cast("timestamp"), F.col("bar_ts") >= F.lit("2024-01-20").cast("timestamp")):
+        states = day_coverage.day_states(bars.where(some), ["symbol"], "bar_ts", 3600, ft.SESSIONS["fx"])
+        day_coverage.put_days(states, root)
+    kept = day_coverage.kept_days(t.spark, root, states.schema)
+    return day_coverage.merged(kept, t.ranges(), ["symbol"], 3600, ft.SESSIONS["fx"]).summary
+
+
 @query(MARKED + "SELECT symbol, ts FROM marked WHERE open AND NOT seen", "bars", "grid")
 def c8_missing_stamps(t: Tables):
     return evaluated(t).missing
