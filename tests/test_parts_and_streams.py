@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import part_pages, ranges
+from tidemark.operators import part_pages, ranges, runs
 from tidemark.sources import storage
 from tidemark.streaming import bars as streaming
 from tidemark.streaming import states
@@ -149,3 +149,25 @@ def test_quantiles_are_exact(spark):
         want = {r.k: r.q for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.lit(share)).alias("q")).collect()}
         got = {r.k: r.quantile for r in ranges.quantiles(df, ["k"], "v", share).collect()}
         assert got == pytest.approx(want)
+
+
+def test_retries_stand_breadth_first(spark, tmp_path):
+    """Random trees with tied times, a long chain, a cycle of two with a run behind it, and a run whose predecessor is unknown, against a queue."""
+    rng = random.Random(11)
+    log = {n: (START + timedelta(minutes=rng.randrange(30)), rng.randrange(n) if n % 20 else None) for n in range(120)}
+    log |= {200 + n: (START, 199 + n if n else None) for n in range(40)}
+    log |= {300: (START, 301), 301: (START, 300), 302: (START, 301), 303: (START, 999)}
+    df = spark.createDataFrame([(k, at, up) for k, (at, up) in log.items()], "run_id long, created_at timestamp, retry_of long")
+    want = {}
+    for root in (k for k, (_, up) in log.items() if up not in log):
+        queue, depth = [root], {root: 0}
+        for n, run in enumerate(queue):
+            want[run] = (root, depth[run], n, "retry" if depth[run] else "origin")
+            for child in sorted((k for k, (_, up) in log.items() if up == run), key=lambda k: (log[k][0], k)):
+                queue.append(child)
+                depth[child] = depth[run] + 1
+    got = {r.run_id: r for r in runs.retry_order(df, f"{tmp_path}/work").collect()}
+    assert len(got) == len(log)
+    assert {k: (r.root, r.depth, r.place, r.relation) for k, r in got.items() if not r.cycle} == want
+    assert all(r.place is None for r in got.values() if r.cycle)
+    assert {k for k, r in got.items() if r.cycle} == {300, 301, 302}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import retryable
+from tidemark.operators.ranges import in_ranges, running
 from tidemark.sources.storage import written
 
 
@@ -108,6 +109,34 @@ def retry_roots(runs: DataFrame, root: str) -> DataFrame:
     return now.select("run_id", F.when(~cycle, F.col("up")).alias("root"), F.when(~cycle, F.col("depth")).alias("depth"), cycle.alias("cycle"))
 
 
+def _places(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row in its key's order, from 0; written in ranges, so that no key is in one task."""
+    rows = running(in_ranges(df, keys, order), keys, order, {name: ("sum", F.lit(1).cast("long"))})
+    return rows.withColumn(name, F.col(name) - 1).drop("_part")
+
+
+def retry_order(runs: DataFrame, root: str) -> DataFrame:
+    """Every run's place in its chain: (run_id, root, depth, place, relation, cycle), the first run at 0, then breadth first.
+
+    Runs of one depth stand in the order of the runs that they retry, and retries of the same run by (created_at, run_id).
+    That is the order of their paths from the first run, which are never made: a run's rank is told by the rank of the run
+    above and its own, and each round doubles the stretch of the path that ranks are about, so chains of depth d take log2(d)
+    rounds. A run in a cycle has no place, one whose predecessor is not in the log begins a chain.
+    """
+    ends = retry_roots(runs, root)
+    rows = runs.select("run_id", "created_at", "retry_of").join(ends, "run_id")
+    chains = rows.where(~F.col("cycle")).select("run_id", "root", "depth", "created_at", F.when(F.col("depth") > 0, F.col("retry_of")).alias("up"))
+    now = _places(chains, [], ["created_at", "run_id"], "rank").drop("created_at")
+    deepest = now.agg(F.max("depth").alias("d")).first().d or 0
+    for _ in range(int(deepest).bit_length()):
+        above = now.select(F.col("run_id").alias("up"), F.col("rank").alias("above"), F.col("up").alias("next"))
+        both = now.join(above, "up", "left").select("run_id", "root", "depth", F.col("next").alias("up"), "above", F.col("rank").alias("own"))
+        now = _places(both, [], ["above", "own"], "rank").drop("above", "own")
+    placed = _places(now.drop("up"), ["root"], ["depth", "rank"], "place").drop("rank")
+    placed = placed.withColumns({"relation": F.when(F.col("depth") == 0, "origin").otherwise("retry"), "cycle": F.lit(False)})
+    return placed.unionByName(ends.where("cycle").select("run_id", "cycle"), allowMissingColumns=True)
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str], payload: Column) -> DataFrame:
     """The first row of each key, and whether other rows of the key carry another payload."""
     w = Window.partitionBy(*keys)

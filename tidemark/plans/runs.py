@@ -156,6 +156,22 @@ def c13_retry_chains(t: Tables):
     return runs.retry_roots(t.runs(), shared_dir(t.spark))
 
 
+@query(
+    """, RECURSIVE numbered AS (SELECT o_orderkey AS run_id, o_custkey, o_orderdate AS created_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders),
+    tree AS (SELECT n.run_id, n.created_at, p.run_id AS retry_of FROM numbered n LEFT JOIN numbered p ON p.o_custkey = n.o_custkey AND p.k = n.k // 2),
+    chain AS (SELECT run_id, run_id AS root, 0 AS depth, [(created_at, run_id)] AS path FROM tree WHERE retry_of IS NULL UNION ALL SELECT t.run_id, c.root, c.depth + 1, list_append(c.path, (t.created_at, t.run_id)) FROM tree t JOIN chain c ON t.retry_of = c.run_id)
+    SELECT run_id, root, depth, row_number() OVER (PARTITION BY root ORDER BY depth, path) - 1 AS place, CASE depth WHEN 0 THEN 'origin' ELSE 'retry' END AS relation FROM chain""",
+    "runs",
+)
+def c13_retry_order(t: Tables):
+    """Orders of each customer as a tree of retries, two for each run, breadth first."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    rows = t.table("orders").select(F.col("o_orderkey").alias("run_id"), "o_custkey", F.col("o_orderdate").alias("created_at"), F.row_number().over(w).alias("k"))
+    above = rows.select(F.col("run_id").alias("retry_of"), "o_custkey", F.col("k").alias("half"))
+    tree = rows.withColumn("half", F.floor(F.col("k") / 2)).join(above, ["o_custkey", "half"], "left")
+    return runs.retry_order(tree, shared_dir(t.spark)).select("run_id", "root", "depth", "place", "relation")
+
+
 @query("SELECT run_id, dataset_id FROM runs WHERE status = 'failed' AND run_id NOT IN (SELECT run_id FROM findings)", "runs", "findings")
 def c7_undelivered(t: Tables):
     """Failed runs that no finding reports."""
