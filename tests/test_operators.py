@@ -199,6 +199,14 @@ def test_a_day_is_complete_without_its_closed_hours(spark):
     assert row(sunday.where(fx.is_open(F.col("bar_ts"))), fx).complete
 
 
+def test_days_of_closed_hours_alone_are_returned(spark):
+    rows = [("p", "fx", "s", datetime(2026, 1, 3, h)) for h in (5, 6)] + [("p", "fx", "s", datetime(2026, 1, 7, h)) for h in range(24)]
+    df = spark.createDataFrame(rows, "provider string, asset_class string, symbol string, bar_ts timestamp")
+    for contiguous in (False, True):
+        got = {r.bucket.day: (r.observed, r.closed, r.expected, r.complete) for r in bars.completeness(df, "1h", "1d", require_contiguous=contiguous, session=time.SESSIONS["fx"]).collect()}
+        assert got[3] == (0, 2, 0, False) and got[7][:3] == (23, 1, 23) and got[7][3] != contiguous  # the break parts the day's neighbours
+
+
 def test_gap_debt_owes_what_no_run_holds(spark):
     schema = "task string, id long, start timestamp, end timestamp, error string"
     failed = spark.createDataFrame([("t", 1, at("2026-01-01"), at("2026-01-05"), "coverage"), ("t", 2, at("2026-01-10"), at("2026-01-12"), "gap"), ("t", 3, at("2026-01-20"), at("2026-01-21"), "none"), ("t", 4, at("2026-01-22"), at("2026-01-22"), "gap")], schema)

@@ -54,19 +54,19 @@ def with_completeness(buckets: DataFrame, source: str, target: str, session: Ses
 def completeness(bars: DataFrame, source: str, target: str, keys: tuple[str, ...] = SERIES, require_contiguous: bool = False, session: SessionProfile | None = None) -> DataFrame:
     """For each target bucket with bars: observed and expected source stamps, and whether both are the same set.
 
-    With a session, bars of closed hours count for nothing, and expected are the bucket's stamps inside the session; without
-    one, all of its stamps. A stamp off the source's cadence makes a bucket incomplete. With ``require_contiguous``
-    neighbours also have to be exactly one step apart.
+    With a session, bars of closed hours are counted apart (closed), and expected are the bucket's stamps inside the session;
+    without one, all of its stamps. A bucket that has bars of closed hours alone is returned and never complete. A stamp off
+    the source's cadence makes a bucket incomplete. With ``require_contiguous`` neighbours also have to be exactly one step apart.
     """
     step = TIMEFRAMES[source]
-    seen = bars.select(*keys, F.col("bar_ts").alias("ts")).distinct()
-    seen = (seen if session is None else seen.where(session.is_open(F.col("ts")))).withColumn("bucket", bucket(F.col("ts"), target))
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy(*keys, "bucket").orderBy("ts")))
-    rows = seen.withColumn("gap", gap) if require_contiguous else seen.withColumn("gap", F.lit(None).cast("long"))
-    regular = F.bool_and(on_cadence(F.col("ts"), step)).alias("regular")
-    counts = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("observed"), regular, F.coalesce(F.bool_and(F.col("gap") == step), F.lit(True)).alias("contiguous"))
+    inside = F.lit(True) if session is None else session.is_open(F.col("ts"))
+    seen = bars.select(*keys, F.col("bar_ts").alias("ts")).distinct().withColumns({"open": inside, "bucket": bucket(F.col("ts"), target)})
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy(*keys, "bucket", "open").orderBy("ts")))
+    rows = seen.withColumn("gap", F.when(F.col("open"), gap)) if require_contiguous else seen.withColumn("gap", F.lit(None).cast("long"))
+    regular = F.coalesce(F.bool_and(F.when(F.col("open"), on_cadence(F.col("ts"), step))), F.lit(True)).alias("regular")
+    counts = rows.groupBy(*keys, "bucket").agg(F.count_if("open").alias("observed"), F.count_if(~F.col("open")).alias("closed"), regular, F.coalesce(F.bool_and(F.col("gap") == step), F.lit(True)).alias("contiguous"))
     out = with_completeness(counts, source, target, session)
-    return out.withColumn("complete", F.col("complete") & F.col("contiguous"))
+    return out.withColumn("complete", F.col("complete") & F.col("contiguous") & (F.col("observed") > 0))
 
 
 def _quoted(hashes: Column) -> Column:

@@ -96,10 +96,17 @@ def d4_contiguous_buckets(t: Tables):
     return bars.completeness(t.bars(), "1h", "1d", require_contiguous=True).select("symbol", "bucket", "observed", "expected", "contiguous", "complete")
 
 
-@query(FX_DAYS + " SELECT symbol, bucket, observed, expected, observed = expected AS complete FROM buckets", "bars")
+@query(
+    ", hours AS (SELECT DISTINCT symbol, bar_ts AS ts FROM bars), known AS (SELECT symbol, ts, " + SESSION_SQL["fx"] + " AS open FROM " + LOCAL.replace("FROM grid", "FROM hours") + "),"
+    " days AS (SELECT symbol, date_trunc('day', ts) AS bucket, count(*) FILTER (open) AS observed, count(*) FILTER (NOT open) AS closed FROM known GROUP BY ALL),"
+    " cells AS (SELECT symbol, unnest(generate_series(bucket, bucket + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS ts FROM days),"
+    " cell AS (SELECT symbol, date_trunc('day', ts) AS bucket, count(*) FILTER (" + SESSION_SQL["fx"] + ") AS expected FROM " + LOCAL.replace("FROM grid", "FROM cells") + " GROUP BY ALL)"
+    " SELECT symbol, bucket, observed, closed, expected, observed = expected AND observed > 0 AS complete FROM days JOIN cell USING (symbol, bucket)",
+    "bars",
+)
 def d4_bucket_completeness(t: Tables):
-    """Days against the hours that the session is open, with its daily break and its weekend."""
-    return bars.completeness(t.bars(), "1h", "1d", session=ft.SESSIONS["fx"]).select("symbol", "bucket", "observed", "expected", "complete")
+    """Every day that has bars against the hours that the session is open, with its daily break and its weekend; bars of closed hours are counted apart."""
+    return bars.completeness(t.bars(), "1h", "1d", session=ft.SESSIONS["fx"]).select("symbol", "bucket", "observed", "closed", "expected", "complete")
 
 
 @query(
