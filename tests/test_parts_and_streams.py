@@ -151,6 +151,13 @@ def test_quantiles_are_exact(spark):
         assert got == pytest.approx(want)
 
 
+def test_no_values_of_quantiles_are_broadcast(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), (F.col("id") % 7).alias("v"))
+    plan = ranges.quantiles(df, ["k"], "v", 0.95)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("LeftSemi, BuildRight" in line for line in joins), joins
+
+
 def test_retries_stand_breadth_first(spark, tmp_path):
     """Random trees with tied times, a long chain, a cycle of two with a run behind it, and a run whose predecessor is unknown, against a queue."""
     rng = random.Random(11)

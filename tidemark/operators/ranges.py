@@ -84,6 +84,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, share: float) -> DataF
     wanted = wanted.where(inside("_low") | inside("_high")).drop("_n")
     at = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_v")) - 1
     wanted = wanted.select(F.struct(*keys).alias("_key"), F.col("_part").alias("_in"), "_before", "_low", "_high", "_weight", "n")  # null keys have quantiles as well
-    found = rows.join(wanted, (F.col("_in") == F.col("_part")) & F.struct(*keys).eqNullSafe(F.col("_key"))).withColumn("_at", at).where("_at = _low or _at = _high")
+    # there are no more parts than ranges, however many rows or keys: these are sent to all tasks, and rows never
+    near = rows.join(F.broadcast(wanted.select(F.col("_in").alias("_part")).distinct()), "_part", "left_semi")
+    found = near.hint("merge").join(wanted, (F.col("_in") == F.col("_part")) & F.struct(*keys).eqNullSafe(F.col("_key"))).withColumn("_at", at).where("_at = _low or _at = _high")
     low, high = F.max(F.when(F.col("_at") == F.col("_low"), F.col("_v"))), F.max(F.when(F.col("_at") == F.col("_high"), F.col("_v")))
     return found.groupBy(*keys).agg((low + (high - low) * F.max("_weight")).alias("quantile"), F.max("n").alias("n"))
