@@ -178,3 +178,26 @@ def test_retries_stand_breadth_first(spark, tmp_path):
     assert {k: (r.root, r.depth, r.place, r.relation) for k, r in got.items() if not r.cycle} == want
     assert all(r.place is None for r in got.values() if r.cycle)
     assert {k for k, r in got.items() if r.cycle} == {300, 301, 302}
+
+
+def test_runs_without_one_above_lie_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Most runs have none above them: a join on that alone would put all of these in one task."""
+    held, places = [], runs._places
+
+    def kept(df, keys, order, name):
+        if "above" in df.columns:
+            held.append(max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()))
+        return places(df, keys, order, name)
+
+    monkeypatch.setattr(runs, "_places", kept)
+    df = spark.createDataFrame([(n, START, n - 1 if n in (1, 2, 3) else None) for n in range(400)], "run_id long, created_at timestamp, retry_of long")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        assert runs.retry_order(df, f"{tmp_path}/work").count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert held and max(held) < 200

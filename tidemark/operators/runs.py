@@ -95,7 +95,9 @@ def retry_roots(runs: DataFrame, root: str) -> DataFrame:
     is known by the rounds, which are enough for a chain of all runs.
     """
     known = runs.select(F.col("run_id").alias("up"), F.lit(True).alias("known"))
-    rows = runs.select("run_id", F.col("retry_of").alias("up")).join(known, "up", "left")
+    # runs that retry none have no key: they are spread by their own ids
+    known, rows = known.withColumn("_at", F.xxhash64("up")), runs.select("run_id", F.col("retry_of").alias("up"))
+    rows = rows.withColumn("_at", F.xxhash64(F.coalesce("up", "run_id"))).join(known, ["up", "_at"], "left").drop("_at")
     up = F.when(F.col("known"), F.col("up"))
     now = written(rows.select("run_id", F.coalesce(up, "run_id").alias("up"), up.isNotNull().cast("long").alias("depth")), root, "chains-0")
     rounds = max(1, now.count()).bit_length()
@@ -130,7 +132,9 @@ def retry_order(runs: DataFrame, root: str) -> DataFrame:
     deepest = now.agg(F.max("depth").alias("d")).first().d or 0
     for _ in range(int(deepest).bit_length()):
         above = now.select(F.col("run_id").alias("up"), F.col("rank").alias("above"), F.col("up").alias("next"))
-        both = now.join(above, "up", "left").select("run_id", "root", "depth", F.col("next").alias("up"), "above", F.col("rank").alias("own"))
+        # each round more runs have none above; they are spread by their own ids
+        above = above.withColumn("_at", F.xxhash64("up"))
+        both = now.withColumn("_at", F.xxhash64(F.coalesce("up", "run_id"))).join(above, ["up", "_at"], "left").select("run_id", "root", "depth", F.col("next").alias("up"), "above", F.col("rank").alias("own"))
         now = _places(both, [], ["above", "own"], "rank").drop("above", "own")
     placed = _places(now.drop("up"), ["root"], ["depth", "rank"], "place").drop("rank")
     placed = placed.withColumns({"relation": F.when(F.col("depth") == 0, "origin").otherwise("retry"), "cycle": F.lit(False)})
