@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,20 @@ def test_a_passage_of_frequent_lines_is_found(spark):
     assert got == {(2000, 1000): (60, 132)}
 
 
+def test_every_place_of_a_step_is_kept():
+    """Two lines in turn, near each other, and again far behind: the step between them has a range for each."""
+    lines = [(0, 10, 5), (12, 20, 6), (40, 50, 5), (52, 60, 6), (1000, 1010, 5), (1012, 1020, 6)]
+    units = [{"start": s + k, "end": s + k + 4, "of": of} for s, _, of in lines for k in (0, 4)]
+    spans = [{"start_word": 0, "end_word": 100}]
+    schema = pa.schema([("node", pa.int64()), ("units", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("of", pa.int64())]))), ("spans", pa.list_(pa.struct([("start_word", pa.int64()), ("end_word", pa.int64())])))])
+    batch = pa.RecordBatch.from_pylist([{"node": 9, "units": units, "spans": spans}, {"node": 10, "units": units[:4], "spans": spans}], schema)
+    rows = [r for b in substring_dedup._step_rows(batch, 2) for r in b.to_pylist()]
+    far = [r for r in rows if r["node"] == 9 and len(r["spans"]) > 1]
+    assert [[tuple(x.values()) for x in r["spans"]] for r in far] == [[(0, 60), (1000, 1020)]] and not far[0]["covered"]
+    assert (1000, 1020) in [tuple(x.values()) for x in far[0]["at"]]
+    assert [r["covered"] for r in rows if r["node"] == 10] == [True]
+
+
 def test_four_holders_of_parts_of_a_passage_all_link(spark):
     """Two documents that share 66 words alone, and two of smaller ids that hold parts of these words."""
     shared = words(66, 9950).split()

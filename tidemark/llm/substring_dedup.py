@@ -314,7 +314,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def steps_of(node: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(key, node, start, end) of the steps between runs of at least so many neighbours; each key once in a document."""
+    """(key, node, start, end) of the steps between runs of at least so many neighbours, in the order of node, key and start."""
     order = np.lexsort((end, start, node))
     node, start, end, of = node[order], start[order], end[order], of[order]
     for few in (least, 1):  # runs of one lead, and again without those that are too short
@@ -333,8 +333,16 @@ def steps_of(node: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarra
     key = mix(mix(of[i].astype(np.uint64)) + of[j].astype(np.uint64)).view(np.int64)
     order = np.lexsort((start[i], key, node[i]))
     i, j, key = i[order], j[order], key[order]
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (node[i][1:] != node[i][:-1])]) if len(key) else order
-    return key[first], node[i][first], start[i][first], end[j][first]
+    return key, node[i], start[i], end[j]
+
+
+def _touching(new: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, range's first place) of places of which those within twice ``REACH`` words make one range; groups begin where ``new`` is true."""
+    base = new.cumsum() << 32
+    reach = np.maximum.accumulate(base + end)
+    first = np.flatnonzero(np.r_[True, new[1:] | ((base + start)[1:] - reach[:-1] > 2 * REACH)])
+    last = np.r_[first[1:], len(start)] - 1
+    return start[first], (reach - base)[last], first
 
 
 def _steps(least: int):
@@ -342,7 +350,7 @@ def _steps(least: int):
 
 
 def _step_rows(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
-    """(key, node, start, end, covered) of the steps of each document; covered if one passage holds all of it."""
+    """(key, node, at, spans, covered) of the steps of each document: all places of a key, the ranges that these make, and whether passages hold every place."""
     if batch.num_rows:
         nodes, units, spans = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
         node = np.repeat(np.array(nodes, np.int64), np.diff(units.offsets.to_numpy()))
@@ -355,7 +363,12 @@ def _step_rows(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
                 at = np.flatnonzero(node == n)
                 covered[at] = ((np.array([x["start_word"] for x in own]) <= start[at][:, None]) & (np.array([x["end_word"] for x in own]) >= end[at][:, None])).any(axis=1)
         if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), *(pa.array(x.astype(np.int32)) for x in (start, end)), pa.array(covered)], names=["key", "node", "start", "end", "covered"])
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            group = np.flatnonzero(new)
+            low, high, first = _touching(new, start, end)
+            lists = lambda x, y, names, at: pa.ListArray.from_arrays(pa.array(np.r_[at, len(x)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (x, y)], names=names))
+            at, ranges_ = lists(start, end, ["start", "end"], group), lists(low, high, ["low", "high"], np.searchsorted(first, group))
+            yield pa.RecordBatch.from_arrays([pa.array(key[group]), pa.array(node[group]), at, ranges_, pa.array(np.logical_and.reduceat(covered, group))], names=["key", "node", "at", "spans", "covered"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,21 +515,23 @@ def _stepped(scratch: Scratch, units: DataFrame, spans: DataFrame) -> list[DataF
     out = []
     while True:
         lists = units.groupBy("node").agg(F.collect_list(F.struct("start", "end", "of")).alias("units"))
-        steps = lists.join(spans, "node", "left").select("node", "units", "spans").mapInArrow(_steps(1 if out else RUN), "key long, node long, start int, end int, covered boolean")
+        steps = lists.join(spans, "node", "left").select("node", "units", "spans").mapInArrow(_steps(1 if out else RUN), "key long, node long, at array<struct<start: int, end: int>>, spans array<struct<low: int, high: int>>, covered boolean")
         steps = scratch.table(steps, "steps")
-        place = F.struct("node", "start", "end")
+        place = F.struct("node", "spans")
         held = steps.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("covered").alias("done"), F.min(place).alias("first"), F.min(F.struct(F.xxhash64("node").alias("h"), place.alias("at"))).alias("second"))
         held = held.where("n > 1 and not done").select("key", "n", "first", F.col("second.at").alias("second"))
         # a step that very many documents share is a hot key: both sides are shuffled for this join alone, so that Spark can split it
         known = scratch.table(steps.join(scratch.table(held, "keys").hint("merge"), "key"), "held")
-        few = known.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "start", "end", "covered")).alias("p"))  # at most FEW
+        few = known.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "spans", "covered")).alias("p"))  # at most FEW
         few = few.select("p", F.explode("p").alias("x")).where("not x.covered").select("x", F.explode("p").alias("y"))
         star = known.where((F.col("n") > FEW) & ~F.col("covered")).select(place.alias("x"), F.explode(F.array("first", "second")).alias("y"))
         y = F.col("y")
         for hit in (few, star):
             hit = hit.where("y.node < x.node")
-            out.append(hit.select(F.col("x.node").alias("a"), y["node"].alias("b"), F.greatest(F.lit(0), y["start"] - REACH).alias("low"), (y["end"] + REACH).alias("high")))
-        units = known.where((F.col("n") > FEW) & (F.col("end") - F.col("start") < MIN_WORDS)).select("node", "start", "end", F.col("first.node").alias("of"))
+            hit = hit.select(F.col("x.node").alias("a"), y["node"].alias("b"), F.explode(y["spans"]).alias("span"))
+            out.append(hit.select("a", "b", F.greatest(F.lit(0), F.col("span.low") - REACH).alias("low"), (F.col("span.high") + REACH).alias("high")))
+        units = known.where(F.col("n") > FEW).select("node", F.explode("at").alias("at"), F.col("first.node").alias("of"))
+        units = units.select("node", "at.start", "at.end", "of").where(F.col("end") - F.col("start") < MIN_WORDS)
         if units.isEmpty():
             return out
 
