@@ -6,6 +6,7 @@ import hashlib
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,30 @@ def test_states_go_on_after_a_restart(spark, tmp_path):
     assert got == [("x", 1, "down", 1), ("x", 2, "up", 2), ("x", 5, "down", 3), ("y", 1, "up", 1)]
 
 
+def test_samples_reach_the_state_in_packs(spark, tmp_path):
+    """The state operator takes a row for each name and span of a lot, not one for each sample; odd values come back as they were."""
+    rows = [("x", 0, 3600, 5, None, "up"), (None, 0, 3600, 1, 1, "é"), ("x", 0, 3600, 7, 2**62 + 1, None), ("x", 3600, 7200, 3600, 3, ""), ("x", 0, 3600, 5, -1, "up"), ("x", 0, 3600, 6, 9, None)]
+    columns = ["name", "span", "ends_ms", "at", "seq", "state"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    lot = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
+    packed = [r for batch in states._packs(iter([lot.slice(0, 2), lot.slice(2)])) for r in batch.to_pylist()]
+    got = {(r["name"], r["span"], r["ends_ms"]): list(states._changed(r["samples"], r["states"])) for r in packed}
+    assert len(packed) == 3
+    assert got == {("x", 0, 3600): [(5, None, "up"), (6, 9, None)], (None, 0, 3600): [(1, 1, "é")], ("x", 3600, 7200): [(3600, 3, "")]}
+
+
+def test_open_spans_take_samples_behind_the_watermark(spark, tmp_path):
+    """Only a span that the watermark has passed is closed: neither it nor a span never seen takes later samples."""
+    at = lambda h, m=0: START + timedelta(hours=h, minutes=m)
+    first = [("x", at(0, 10), 1, "up"), ("x", at(1, 10), 2, "up"), ("x", at(1, 50), 4, "up")]
+    second = [("x", at(1, 20), 3, "down"), ("x", at(0, 30), 9, "late"), ("y", at(0, 30), 9, "late"), ("y", at(9), 1, "up")]
+    for rows in (first, second):
+        spark.createDataFrame(rows, "name string, ts timestamp, seq long, state string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("name string, ts timestamp, seq long, state string").parquet(f"{tmp_path}/in")
+        changes = states.span_changes(stream, "1 hour", "5 minutes", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert sorted((r.name, r.seq, r.state) for r in changes.collect()) == [("x", 1, "up"), ("x", 2, "up"), ("x", 3, "down"), ("x", 4, "up")]
+
+
 def test_quantiles_are_exact(spark):
     rng = random.Random(3)
     rows = [(k, None if n % 11 == 0 else rng.choice([1.0, 2.5, rng.random() * 50])) for k in ("a", "b", None) for n in range(300)] + [("one", 4.0), ("none", None)]
