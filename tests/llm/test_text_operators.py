@@ -374,6 +374,28 @@ def test_every_place_of_a_step_is_kept():
     assert [r["covered"] for r in rows if r["node"] == 10] == [True]
 
 
+def test_words_of_a_lot_are_hashed_as_each_alone():
+    """Texts of a lot are hashed as one: each has the hashes of its own words, and a word has one wherever it stands."""
+    rng = random.Random(2)
+    texts = ["", None, " \t", "a", "A\x0bb\x0c\r\n", "é É \x1c x\x85y", "x" * 300 + " " + "x" * 301 + " x" + "x" * 255, "\x00 \x00\x00"]
+    texts += ["".join(rng.choice("abAB \t\né😀x") for _ in range(rng.randrange(300))) for _ in range(300)]
+    hashes = substring_dedup.text_hashes(texts)
+    known = {}
+    for text, h in zip(texts, hashes, strict=True):
+        words = substring_dedup.words_of(text)
+        assert len(words) == len(h)
+        assert all(known.setdefault(w, v) == v for w, v in zip(words, h.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+
+
+def test_steps_are_covered_by_one_span_of_their_own_document():
+    """A place is covered by a span that holds it, not by two that hold its ends, nor by another document's."""
+    span = lambda s, e: {"start_word": s, "end_word": e, "exact": True}
+    spans = pa.array([[span(5, 20), span(0, 9)], None, [span(30, 40)], []], pa.list_(pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("exact", pa.bool_())])))
+    row, start, end = np.array([[0, 0, 9], [0, 4, 10], [0, 5, 20], [0, 6, 21], [1, 6, 9], [2, 6, 9], [2, 30, 31], [3, 30, 31]]).T
+    assert substring_dedup._covered(spans, row, start, end).tolist() == [True, False, True, False, False, False, True, False]
+
+
 def test_four_holders_of_parts_of_a_passage_all_link(spark):
     """Two documents that share 66 words alone, and two of smaller ids that hold parts of these words."""
     shared = words(66, 9950).split()

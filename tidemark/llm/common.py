@@ -81,9 +81,12 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, over an array of unsigned 64-bit numbers."""
-    h = (h ^ (h >> np.uint64(30))) * _M2
-    h = (h ^ (h >> np.uint64(27))) * _M3
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= _M2
+    h ^= h >> np.uint64(27)
+    h *= _M3
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -92,9 +95,11 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return words
     take = min(n, width)
-    h = np.full(n - take + 1, np.uint64(take), np.uint64)
-    for i in range(take):
-        h = h * _M1 + words[i : n - take + 1 + i]
+    h = words[: n - take + 1] + np.uint64(take * int(_M1) % (1 << 64))
+    h ^= h >> np.uint64(29)
+    for i in range(1, take):
+        h *= _M1
+        h += words[i : n - take + 1 + i]
         h ^= h >> np.uint64(29)
     return mix(h)
 

@@ -33,10 +33,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, distinct_texts, lots, mix, shingle_hashes, text_key, window_hashes, word_hashes
+from tidemark.llm.common import Scratch, distinct_texts, lots, mix, shingle_hashes, text_key, window_hashes
 
 K, ONE_IN = 3, 4
 FEW = 8  #: a seed of so many documents joins all of them
@@ -49,10 +50,65 @@ AT = 27  #: bits of a place within a document
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the low bytes of a number
+_LONG = 256  # bytes of a word beyond which it is hashed by itself
+_LOT = 1 << 18  # bytes of texts that are hashed as one
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a lower-cased text, and where the words begin: all words eight bytes at a time, and no word is an object by itself."""
+    n = len(text)
+    data = np.frombuffer(text + bytes(16 - n % 8), np.uint8)
+    gap = np.ones(n + 2, bool)
+    _SPACE.take(data[:n], out=gap[1:-1])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    start = edges[::2]
+    size = edges[1::2] - start
+    whole, h = data.view("<u8"), size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def eight(at: np.ndarray) -> np.ndarray:
+        """The eight bytes from a place on, out of the two numbers that hold them."""
+        first, bits = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (whole.take(first) >> bits) | (whole.take(first + 1) << (np.uint64(63) - bits) << np.uint64(1))
+
+    def put(h: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        x = (h ^ (eight(at) & _LOW.take(left, mode="clip"))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+    h, at = put(h, start, size), 8
+    which = np.flatnonzero(size > at)
+    while len(which) and at < _LONG:
+        h[which] = put(h[which], start[which] + at, size[which] - at)
+        at += 8
+        which = which[size[which] > at]
+    for i in which:
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]])
+    return h, start
+
+
+def hashed_lots(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of its first text, words of each text, hashes of all their words) of neighbouring texts that are hashed as one."""
+    held, size, done = [], 0, 0
+    for n, text in enumerate(texts, 1):
+        held.append((text.encode() if isinstance(text, str) else text or b"").lower())
+        size += len(held[-1]) + 1
+        if size >= _LOT or n == len(texts):
+            h, start = _hashed(b"\n".join(held))
+            ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in held]))
+            yield done, np.diff(ends, prepend=0), h
+            held, size, done = [], 0, n
+
+
+def text_hashes(texts: list) -> list[np.ndarray]:
+    """For each text one hash for each of its words, as ``words_of`` cuts them."""
+    return [part for _, counts, h in hashed_lots(texts) for part in np.split(h, counts.cumsum()[:-1])]
+
+
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the seeds of a row of word hashes."""
     h = shingle_hashes(words, K)
@@ -277,13 +333,20 @@ def _longest(pieces: np.ndarray, share: float) -> tuple[int, int, int, int, int]
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seed, place) of each text's seeds, each at its first place: the node, and the word within it."""
     for batch in lots(batches):
-        found, places = [], []
-        for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            if len(words) >= MIN_WORDS:
-                at, h = seeds(word_hashes(words))
-                h, first = np.unique(h, return_index=True)
-                found.append(h.view(np.int64)), places.append((node << AT) + at[first])
+        found, places, nodes = [], [], batch.column(0).to_numpy()
+        for done, counts, words in hashed_lots(batch.column(1).to_pylist()):
+            if counts.max() < MIN_WORDS:
+                continue
+            text = np.repeat(np.arange(len(counts)), counts)
+            at, h = seeds(words)
+            inside = (text[at] == text[at + K - 1]) & (counts[text[at]] >= MIN_WORDS)
+            at, h = at[inside], h[inside]
+            order = np.lexsort((h, text[at].astype(np.uint16)))  # fewer texts than that are in a lot
+            at, h = at[order], h[order]
+            of = text[at]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])][: len(h)])
+            at, of = at[first], of[first]
+            found.append(h[first].view(np.int64)), places.append((nodes[done + of] << AT) + at - (counts.cumsum() - counts)[of])
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, places)], names=["seed", "place"])
 
@@ -315,7 +378,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def steps_of(node: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """(key, node, start, end) of the steps between runs of at least so many neighbours, in the order of node, key and start."""
-    order = np.lexsort((end, start, node))
+    order = np.lexsort((end, (node << AT) + start))
     node, start, end, of = node[order], start[order], end[order], of[order]
     for few in (least, 1):  # runs of one lead, and again without those that are too short
         new = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (of[1:] != of[:-1])]) if len(node) else np.zeros(0, np.int64)
@@ -331,7 +394,8 @@ def steps_of(node: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarra
         pairs.append((i[good], j[good]))
     i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
     key = mix(mix(of[i].astype(np.uint64)) + of[j].astype(np.uint64)).view(np.int64)
-    order = np.lexsort((start[i], key, node[i]))
+    own = node[i]
+    order = np.lexsort((start[i], key, own.astype(np.uint16) if len(own) and own.max() < 1 << 16 else own))  # numbers of 16 bits are sorted by digits
     i, j, key = i[order], j[order], key[order]
     return key, node[i], start[i], end[j]
 
@@ -345,6 +409,18 @@ def _touching(new: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return start[first], (reach - base)[last], first
 
 
+def _covered(spans: pa.ListArray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether one of the spans of its row holds a place: the furthest end of those that begin no later does."""
+    own, flat = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy()) << 32, spans.flatten()
+    if not len(own):
+        return np.zeros(len(row), bool)
+    low, high = (own + flat.field(k).to_numpy(zero_copy_only=False) for k in ("start_word", "end_word"))
+    order = np.argsort(low)
+    reach = np.maximum.accumulate(high[order])
+    at = np.searchsorted(low[order], (row << 32) + start, side="right") - 1
+    return (at >= 0) & (reach[at] >= (row << 32) + end)
+
+
 def _steps(least: int):
     return lambda batches: (out for batch in lots(batches, 512) for out in _step_rows(batch, least))
 
@@ -352,16 +428,12 @@ def _steps(least: int):
 def _step_rows(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
     """(key, node, at, spans, covered) of the steps of each document: all places of a key, the ranges that these make, and whether passages hold every place."""
     if batch.num_rows:
-        nodes, units, spans = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-        node = np.repeat(np.array(nodes, np.int64), np.diff(units.offsets.to_numpy()))
+        nodes, units, spans = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+        row = np.repeat(np.arange(len(nodes)), np.diff(units.offsets.to_numpy()))
         flat = units.flatten()
         start, end, of = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-        key, node, start, end = steps_of(node, start, end, of, least)
-        covered = np.zeros(len(key), bool)
-        for n, own in zip(nodes, spans, strict=True):
-            if own:
-                at = np.flatnonzero(node == n)
-                covered[at] = ((np.array([x["start_word"] for x in own]) <= start[at][:, None]) & (np.array([x["end_word"] for x in own]) >= end[at][:, None])).any(axis=1)
+        key, row, start, end = steps_of(row, start, end, of, least)
+        node, covered = nodes[row], _covered(spans, row, start, end)
         if len(key):
             new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
             group = np.flatnonzero(new)
@@ -406,8 +478,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in lots(batches, 64):
         found, counts = [], []
-        for node, text, shared, spans in zip(*(batch.column(k).to_pylist() for k in ("node", "text", "shared", "spans")), strict=True):
-            words = word_hashes(words_of(text))
+        for node, words, shared, spans in zip(batch.column("node").to_pylist(), text_hashes(batch.column("text").to_pylist()), *(batch.column(k).to_pylist() for k in ("shared", "spans")), strict=True):
             if len(words) < MIN_WORDS:
                 continue
             counts.append((node << AT) + len(words))
@@ -482,10 +553,10 @@ def _aligned(share: float):
         last, grams = None, Grams(np.zeros(0, np.uint64))
         for batch in lots(batches):
             out = []
-            for a, b, low, part, text in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "low", "part", "text")), strict=True):
+            parts = text_hashes(batch.column("part").to_pylist())
+            for a, b, low, own, text in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "low")), parts, batch.column("text"), strict=True):
                 if a != last:
-                    last, grams = a, Grams(word_hashes(words_of(text)))
-                own = word_hashes(part.split())
+                    last, grams = a, Grams(text_hashes([text.as_py()])[0])
                 out += [(a, p[0], p[1], b, low + p[2], low + p[3], p[4]) for p in places_of(grams, own, share)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "start_word", "end_word", "b", "of_start", "of_end", "n_matched"])
