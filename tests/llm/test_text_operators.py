@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 import textwrap
 import zlib
 from collections import defaultdict
@@ -227,6 +228,42 @@ def test_token_counts_equal_plain_dynamic_programming(awkward, empty):
     assert token_counts.token_counts(empty, PIECES).count() == 0
 
 
+def test_new_pretokens_are_counted_together_and_not_by_a_call_each():
+    trie, calls = token_counts.load(PIECES), 0
+    text = " ".join(sorted({w + "q" for w in words(4_000, 11).split()}))
+
+    def count(frame, event, argument):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        n = trie.total(text)[0]
+    finally:
+        sys.setprofile(None)
+    assert n > 2_000 and calls < n
+
+
+def test_levels_of_new_pretokens_equal_single_steps(monkeypatch):
+    trie, rng = token_counts.load(PIECES), random.Random(12)
+    made = ["".join(rng.choices(alphabet, k=rng.randint(1, most))) for alphabet, most in (("ab", 7), ("theing", 47), ("aé漢😀\x00", 5), ("\x00a", 4), (token_counts.MARK + "the", 9), ("the ing漢", 60)) for _ in range(400)]
+    texts = [" ".join(rng.choices(made, k=rng.randint(0, 60))) for _ in range(60)] + ["", " \n", "x" * 47, "x" * 48]
+    want = [(len(t.split()), sum(trie.long(token_counts.MARK + w) for w in t.split())) for t in texts]
+    assert [trie.total(t) for t in texts] == want and trie.totals(texts) == want
+    monkeypatch.setattr(token_counts, "WORDS", 20)
+    monkeypatch.setattr(token_counts, "BLOCK", 7)
+    assert [x for i in range(0, len(texts), 3) for x in trie.totals(texts[i : i + 3])] == want
+
+
+def test_lots_of_texts_end_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "LOT", 10)
+    texts = ["aaaa", None, "é" * 30, "", "b", "c" * 9, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    got = list(token_counts.by_size(iter([batch, batch.slice(0, 0)])))
+    assert [t for b in got for t in b.column(1).to_pylist()] == texts
+    assert all(sum(len((t or "").encode()) for t in b.column(1).to_pylist()[1:]) <= 10 for b in got)
+
+
 def jump_plain(key: int, n: int) -> int:
     b, j = -1, 0
     while j < n:
